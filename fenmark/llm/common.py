@@ -5,6 +5,9 @@ Everything here is a small per-batch helper; Spark partitions, shuffles and join
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -139,16 +142,56 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder named in spark.checkpoint.dir, its lineage cut. A folder is set here only where the session has none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, removed when the driver ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # at exit the session may be gone already
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables in the shared folder that cut lineage. On leaving the block all are removed but those passed to keep().
+
+    Written tables rather than checkpoint(): a checkpoint keeps its plan's size estimate, a product over joins whose digits double
+    with each round of a loop.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, {}, set()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = shared_folder(self.spark, "table")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(id(df))
+        return df
+
+    def drop(self, df: DataFrame) -> None:
+        path, _ = self.paths.pop(id(df))
+        _remove(self.spark, path)
+
+    def __exit__(self, *_: object) -> None:
+        for k, (_, df) in list(self.paths.items()):
+            if k not in self.kept:
+                self.drop(df)
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: Column, how: str = "inner", salts: int = 8) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fenmark.llm.common import checkpointed, salted_join
+from fenmark.llm.common import Scratch, salted_join
 
 
 def _minima(rows: DataFrame) -> DataFrame:
@@ -26,16 +26,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return own.union(out.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every end of links (u, v): component is the smallest node reachable.
 
-    Self-links, repeated links and links with a null end are ignored. Each round halves the depth of the remaining trees; it
-    stops when every edge leads from a node to its smallest one, which a fixed point shows.
+    Self-links, repeated links and links with a null end are ignored. It stops when a round changes no edge: then every edge leads
+    from a node to its component's smallest one.
     """
-    edges = checkpointed(links.select("u", "v").where("u != v").distinct())
+    edges = scratch.table(links.select("u", "v").where("u != v").distinct())
     seen = None
     for _ in range(most_rounds):
-        edges = checkpointed(_small_star(_large_star(edges)))
+        last, edges = edges, scratch.table(_small_star(_large_star(edges)))
+        scratch.drop(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

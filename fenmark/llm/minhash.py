@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fenmark.llm.common import checkpointed, chunks, each_batch, mix, salted_join, shingle_sets, signed
+from fenmark.llm.common import Scratch, chunks, each_batch, mix, salted_join, shingle_sets, signed
 from fenmark.llm.components import components
 
 SHINGLE = 5
@@ -112,21 +112,21 @@ def _tile(most: int | None):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) of documents that are links, by full sets made from their whole texts."""
     need = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = checkpointed(docs.join(need, F.col("doc_id") == F.col("rep")).select("rep", "text").mapInArrow(each_batch(_with_sets), "rep long, shingles binary"))
+    sets = scratch.table(docs.join(need, F.col("doc_id") == F.col("rep")).select("rep", "text").mapInArrow(each_batch(_with_sets), "rep long, shingles binary"))
     found = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return checkpointed(found.mapInArrow(each_batch(_confirm), "a long, b long").distinct())
+    return scratch.table(found.mapInArrow(each_batch(_confirm), "a long, b long").distinct())
 
 
-def _across(members: DataFrame, found: DataFrame, sigs: DataFrame, tested: DataFrame, most: int | None) -> DataFrame:
+def _across(members: DataFrame, found: DataFrame, sigs: DataFrame, tested: DataFrame, most: int | None, scratch: Scratch) -> DataFrame:
     """Untested pairs in buckets that still hold several components: those outside a bucket's largest component (left) against all of it.
 
     Buckets of two are tested already. Both sides are dealt into tiles of about TILE rows, so no task gets a whole large bucket.
     """
     labelled = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = checkpointed(labelled.select("key", "rep", "component"))
+    labelled = scratch.table(labelled.select("key", "rep", "component"))
     parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and n > 2")
     mixed = mixed.select("key", F.col("big.component").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / TILE).cast("int").alias("n_left"), F.ceil(F.col("n") / TILE).cast("int").alias("n_right"))
@@ -135,7 +135,7 @@ def _across(members: DataFrame, found: DataFrame, sigs: DataFrame, tested: DataF
     left = rows.where("component != big").select("key", "rep", "component", "sig", F.pmod(dealt, "n_left").cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("r"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
     right = rows.select("key", "rep", "component", "sig", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("l"), F.pmod(dealt, "n_right").cast("int").alias("r"), F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
     pairs = left.union(right).groupBy("key", "l", "r").applyInArrow(_tile(most), "a long, b long").distinct()
-    return checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
+    return scratch.table(pairs.join(tested, ["a", "b"], "left_anti"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -146,32 +146,34 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     document. Rows with a null doc_id are linked to rows with an equal set only; their component_id is that class's, or null.
     """
     docs = documents.select("doc_id", "text")
-    marked = checkpointed(docs.mapInArrow(each_batch(_fingerprint), "doc_id long, n_shingles long, cls long, sig binary, keys array<long>"))
-    full = marked.where("cls is not null")
-    classes = checkpointed(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    chosen = full.join(classes.select(F.col("cls").alias("c"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("cls") == F.col("c")))
-    chosen = checkpointed(chosen.select("rep", "sig", "keys"))
-    sigs = chosen.select("rep", "sig")
-
-    banded = chosen.select("rep", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first != last")
-    members = checkpointed(salted_join(banded, hubs, ["key"], F.col("rep")))
-    pairs = members.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).union(members.where("rep != last").select("rep", "last")).distinct()
-    pairs = pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-    tested = checkpointed(pairs.mapInArrow(each_batch(_agree), "a long, b long"))
-    links = _confirmed(tested, docs)
-    for most in (8, None):
-        found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        more = _across(members.select("key", "rep"), found, sigs, tested, most)
-        if more.isEmpty():
-            break
-        tested, links = tested.union(more), links.union(_confirmed(more, docs))
-    else:
-        found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    named = found.select(F.col("node").alias("rep"), "component").distinct()
-    # only classes with copies or links need a name other than their own document
-    named = classes.join(named, "rep", "left").where("n > 1 or component is not null").select("cls", F.coalesce("component", "rep").alias("component"))
-    out = salted_join(marked.select("doc_id", "n_shingles", "cls"), checkpointed(named), ["cls"], F.col("doc_id"), how="left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    with Scratch(documents.sparkSession) as scratch:
+        marked = scratch.keep(scratch.table(docs.mapInArrow(each_batch(_fingerprint), "doc_id long, n_shingles long, cls long, sig binary, keys array<long>")))
+        full = marked.where("cls is not null")
+        classes = scratch.table(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+        chosen = full.join(classes.select(F.col("cls").alias("c"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("cls") == F.col("c")))
+        chosen = scratch.table(chosen.select("rep", "sig", "keys"))
+        sigs = chosen.select("rep", "sig")
+
+        banded = chosen.select("rep", F.explode("keys").alias("key"))
+        hubs = banded.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first != last")
+        members = scratch.table(salted_join(banded, hubs, ["key"], F.col("rep")))
+        pairs = members.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).union(members.where("rep != last").select("rep", "last")).distinct()
+        pairs = pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
+        tested = scratch.table(pairs.mapInArrow(each_batch(_agree), "a long, b long"))
+        links = _confirmed(tested, docs, scratch)
+        for most in (8, None):
+            found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+            more = _across(members.select("key", "rep"), found, sigs, tested, most, scratch)
+            if more.isEmpty():
+                break
+            tested, links = tested.union(more), links.union(_confirmed(more, docs, scratch))
+        else:
+            found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+
+        named = found.select(F.col("node").alias("rep"), "component").distinct()
+        # only classes with copies or links need a name other than their own document
+        named = classes.join(named, "rep", "left").where("n > 1 or component is not null").select("cls", F.coalesce("component", "rep").alias("component"))
+        named = scratch.keep(scratch.table(named))
+        out = salted_join(marked.select("doc_id", "n_shingles", "cls"), named, ["cls"], F.col("doc_id"), how="left")
+        component = F.coalesce("component", "doc_id")
+        return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
