@@ -180,6 +180,14 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def bytes_of(self, df: DataFrame) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)][0])
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+    def small(self, df: DataFrame, most: int = 8 << 20) -> DataFrame:
+        """A table of this block, marked for broadcast if it has at most `most` bytes as written; else Spark's joins shuffle it."""
+        return F.broadcast(df) if self.bytes_of(df) <= most else df
+
     def keep(self, df: DataFrame) -> DataFrame:
         self.kept.add(id(df))
         return df

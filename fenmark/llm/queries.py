@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fenmark.llm import bpe, langid, topk, toxicity, warc
+from fenmark.llm.common import shared_folder
 from fenmark.llm.minhash import near_duplicates
 
 
@@ -11,9 +15,61 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, _table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the labelled rows that may be learnt from are cut to the documented bound before they meet the texts
+    known = _table(spark, sf_dir, "labels").where("doc_id is not null and toxic in (0, 1)").where(_fold(3) != 1)
+    known = known.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id")).limit(toxicity.TRAIN_ROWS)
+    model = toxicity.fit(docs.join(F.broadcast(known), "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").where(topk.usable("embedding")).select("vec_id", topk.quantised("embedding").alias("v"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang").where(_fold(4) != 2))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_warc, op4_toxicity, op5_exact_top_k, op7_language_id, op10_byte_bpe)}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        d AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS payload_digest FROM p),
+        m AS (SELECT payload_digest, max(page_id) AS target FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+               CASE WHEN page_id < target THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < target THEN target END AS refers_to
+        FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND payload_bytes >= 1000""",
+    "op5_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
