@@ -1,9 +1,10 @@
 """Operator 2, MinHash near-dedup: universal hash minima, banding, signature verification, exact verification, components.
 
 Documents with equal shingle sets form a class; only classes are banded. In each bucket every class is held against the
-bucket's smallest class (the hub), so a bucket of n classes gives n - 1 candidates. Buckets that then still span several
-components are searched for the links between those components, in tiles of bounded size that compare signatures in place
-and emit only pairs that pass. All links are confirmed on full shingle sets.
+bucket's smallest and largest document (the hubs), so a bucket of n classes gives under 2 n candidates. Buckets that then still
+span several components are searched for the links between those, in tiles of bounded size that compare signatures in place: first
+the best few partners of each document, then, of documents with very many, all of them, by full sets held in the tile. All links
+are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -83,27 +84,39 @@ def _agree(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Keeps pairs with 100 * |intersection| >= 75 * |union| on full sets."""
-    keep = []
-    for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-        p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        keep.append(100 * both >= THRESHOLD * (len(p) + len(q) - both))
+    keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
     yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tile(most: int | None):
+def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table, list[np.ndarray], list[np.ndarray]]:
+    sides = [table.filter(table[c]) for c in ("is_left", "is_right")]
+    sigs = [np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(t), BANDS * ROWS) for t in sides]
+    return *sides, sigs, [t["component"].to_numpy() for t in sides]
+
+
+def _promising(i: int, sigs: list[np.ndarray], comp: list[np.ndarray], band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Right rows of other components than left row i's whose signatures agree with it, and how much. Of the bands in which a pair
+    meets only the first counts, so that it is looked at once."""
+    like = np.where(comp[1] != comp[0][i], (sigs[1] == sigs[0][i]).mean(axis=1), 0)
+    at = np.flatnonzero(like >= SIGNATURE_LEAST)
+    if len(at):
+        met = (sigs[1][at].reshape(-1, BANDS, ROWS) == sigs[0][i].reshape(BANDS, ROWS)).all(axis=2)
+        at = at[met.argmax(axis=1) == band]
+    return at, like[at]
+
+
+def _tile(most: int):
     def run(table: pa.Table) -> pa.Table:
-        """Pairs of a tile's left and right classes that lie in different components and whose signatures agree."""
-        left, right = table.filter(table["is_left"]), table.filter(table["is_right"])
-        sig = [np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(t), BANDS * ROWS) for t in (left, right)]
+        """The `most` best pairs of each left row of a tile; (x, x) for a left row that has more."""
+        left, right, sigs, comp = _sides(table)
         rep = [t["rep"].to_numpy() for t in (left, right)]
-        comp = [t["component"].to_numpy() for t in (left, right)]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(left)):
-            like = np.where(comp[1] != comp[0][i], (sig[1] == sig[0][i]).mean(axis=1), 0)
-            at = np.flatnonzero(like >= SIGNATURE_LEAST)
-            if most and len(at) > most:
-                at = at[np.argpartition(-like[at], most)[:most]]
+            at, like = _promising(i, sigs, comp, table["band"][0].as_py())
+            if len(at) > most:
+                at = at[np.argpartition(-like, most)[:most]]
+                a.append(rep[0][i : i + 1])
+                b.append(rep[0][i : i + 1])
             a.append(np.full(len(at), rep[0][i]))
             b.append(rep[1][at])
         x, y = np.concatenate(a), np.concatenate(b)
@@ -112,30 +125,59 @@ def _tile(most: int | None):
     return run
 
 
+def _alike(p: np.ndarray, q: np.ndarray) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= THRESHOLD * (len(p) + len(q) - both)
+
+
+def _exact_tile(table: pa.Table) -> pa.Table:
+    """A link for each two components of a tile that have one, by full sets held in the tile. All pairs that could be are tried."""
+    left, right, sigs, comp = _sides(table)
+    sets = [[np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()] for t in (left, right)]
+    rep = [t["rep"].to_numpy() for t in (left, right)]
+    a, b, joined = [], [], set()
+    for i in range(len(left)):
+        at, like = _promising(i, sigs, comp, table["band"][0].as_py())
+        for j in at[np.argsort(-like, kind="stable")]:
+            two = (int(comp[0][i]), int(comp[1][j]))
+            if two not in joined and _alike(sets[0][i], sets[1][j]):
+                joined |= {two, two[::-1]}
+                a.append(min(rep[0][i], rep[1][j]))
+                b.append(max(rep[0][i], rep[1][j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) of documents that are links, by full sets made from their whole texts."""
-    need = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = scratch.table(docs.join(need, F.col("doc_id") == F.col("rep")).select("rep", "text").mapInArrow(each_batch(_with_sets), "rep long, shingles binary"))
+    sets = _sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), docs, scratch)
     found = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
     return scratch.table(found.mapInArrow(each_batch(_confirm), "a long, b long").distinct())
 
 
-def _across(members: DataFrame, found: DataFrame, sigs: DataFrame, tested: DataFrame, most: int | None, scratch: Scratch) -> DataFrame:
-    """Untested pairs in buckets that still hold several components: those outside a bucket's largest component (left) against all of it.
+def _sets_of(reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, shingles) of the named documents. Their list is broadcast where small, so that the texts need not be shuffled."""
+    need = scratch.table(reps.distinct())
+    return scratch.table(docs.join(scratch.small(need), F.col("doc_id") == F.col("rep")).select("rep", "text").mapInArrow(each_batch(_with_sets), "rep long, shingles binary"))
 
-    Buckets of two are tested already. Both sides are dealt into tiles of about TILE rows, so no task gets a whole large bucket.
-    """
+
+def _mixed(members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, band, rep, component, big, n_left, n_right): rows of the buckets that hold several components; big is the largest.
+    Buckets of two are tested already."""
     labelled = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = scratch.table(labelled.select("key", "rep", "component"))
+    labelled = scratch.table(labelled.select("key", "band", "rep", "component"))
     parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and n > 2")
     mixed = mixed.select("key", F.col("big.component").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / TILE).cast("int").alias("n_left"), F.ceil(F.col("n") / TILE).cast("int").alias("n_right"))
-    rows = salted_join(labelled, mixed, ["key"], F.col("rep")).join(sigs, "rep")
+    return scratch.table(salted_join(labelled, mixed, ["key"], F.col("rep")))
+
+
+def _tiles(rows: DataFrame, left: F.Column, more: list[str]) -> DataFrame:
+    """Left rows against all rows of a bucket, both dealt into tiles of about TILE rows, so that no task gets a whole large bucket."""
     dealt = F.xxhash64("rep")
-    left = rows.where("component != big").select("key", "rep", "component", "sig", F.pmod(dealt, "n_left").cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("r"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
-    right = rows.select("key", "rep", "component", "sig", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("l"), F.pmod(dealt, "n_right").cast("int").alias("r"), F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
-    pairs = left.union(right).groupBy("key", "l", "r").applyInArrow(_tile(most), "a long, b long").distinct()
-    return scratch.table(pairs.join(tested, ["a", "b"], "left_anti"))
+    same = ["key", "band", "rep", "component", *more]
+    one = rows.where(left).select(*same, F.pmod(dealt, "n_left").cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("r"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
+    two = rows.select(*same, F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("l"), F.pmod(dealt, "n_right").cast("int").alias("r"), F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
+    return one.union(two).groupBy("key", "l", "r")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -154,21 +196,38 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         chosen = scratch.table(chosen.select("rep", "sig", "keys"))
         sigs = chosen.select("rep", "sig")
 
-        banded = chosen.select("rep", F.explode("keys").alias("key"))
+        banded = chosen.select("rep", F.posexplode("keys").alias("band", "key"))
         hubs = banded.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first != last")
         members = scratch.table(salted_join(banded, hubs, ["key"], F.col("rep")))
         pairs = members.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).union(members.where("rep != last").select("rep", "last")).distinct()
         pairs = pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
         tested = scratch.table(pairs.mapInArrow(each_batch(_agree), "a long, b long"))
         links = _confirmed(tested, docs, scratch)
-        for most in (8, None):
-            found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-            more = _across(members.select("key", "rep"), found, sigs, tested, most, scratch)
+        members = members.select("key", "band", "rep")
+        left = F.col("component") != F.col("big")
+
+        def joined() -> DataFrame:
+            return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+
+        found, crowded = joined(), None
+        for most in (4, 16):
+            rows = _mixed(members, found, scratch)
+            more = scratch.table(_tiles(rows.join(sigs, "rep"), left, ["sig"]).applyInArrow(_tile(most), "a long, b long").distinct())
+            crowded = more.where("a = b").select(F.col("a").alias("rep"))
+            more = scratch.table(more.where("a != b").join(tested, ["a", "b"], "left_anti"))
             if more.isEmpty():
                 break
             tested, links = tested.union(more), links.union(_confirmed(more, docs, scratch))
-        else:
-            found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+            found = joined()
+        if not crowded.isEmpty():
+            # rows alike to very many others but not linked yet are held against all of those, in place
+            rows = _mixed(members, found, scratch)
+            crowded = rows.join(scratch.small(scratch.table(crowded)), "rep").where(left)
+            keys = scratch.table(crowded.select("key").distinct())
+            rows = scratch.table(rows.join(scratch.small(keys), "key"))
+            rows = rows.join(sigs, "rep").join(_sets_of(rows.select("rep"), docs, scratch), "rep")
+            links = links.union(scratch.table(_tiles(rows, left, ["sig", "shingles"]).applyInArrow(_exact_tile, "a long, b long").distinct()))
+            found = joined()
 
         named = found.select(F.col("node").alias("rep"), "component").distinct()
         # only classes with copies or links need a name other than their own document
