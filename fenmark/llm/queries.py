@@ -6,11 +6,46 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenmark.llm import bpe, decontaminate, langid, lines, suffix, topk, toxicity, warc
+from fenmark.llm import bpe, decontaminate, langid, lines, quality, suffix, topk, toxicity, warc
 from fenmark.llm.common import shared_folder
 from fenmark.llm.minhash import near_duplicates
 
 
+DECONTAMINATE_SQL = rf"""
+    WITH raw AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+    dotted AS (SELECT kind, id, regexp_replace(text, '([0-9])[.,]([0-9])', '\1\2', 'g') AS t FROM raw WHERE id IS NOT NULL AND text IS NOT NULL),
+    named AS (SELECT kind, id, lower(t) AS plain, regexp_replace(lower(regexp_replace(t, '{decontaminate.NAME}', '\1<name>', 'g')), '[0-9]+([.,][0-9]+)*', '<num>', 'g') AS t FROM dotted),
+    tok AS (SELECT kind, id,
+              list_filter(regexp_split_to_array(regexp_replace(t, '<num> ?({"|".join(decontaminate.UNITS.split())})([^\p{{L}}\p{{N}}]|$)', '<num> <unit>\2', 'g'), '{decontaminate.BREAK}'), lambda x: x <> '') AS tokens,
+              list_filter(regexp_split_to_array(regexp_replace(plain, '([0-9]) ?({"|".join(decontaminate.UNITS.split())})([^\p{{L}}\p{{N}}]|$)', '\1 \2\3', 'g'), '{decontaminate.BREAK}'), lambda x: x <> '') AS vals FROM named),
+    win AS (SELECT kind, id, unnest(CASE WHEN len(tokens) >= 5 THEN list_transform(range(1, len(tokens) - 3), lambda i: struct_pack(at := i - 1, w := array_to_string(tokens[i:i+4], ' ')))
+                                         WHEN len(tokens) > 0 THEN [struct_pack(at := CAST(0 AS BIGINT), w := 'short ' || array_to_string(tokens, ' '))] END, recursive := true) FROM tok),
+    sizes AS (SELECT id AS item_id, count(DISTINCT w) AS n_windows FROM win WHERE kind = 'b' GROUP BY 1),
+    hits AS (SELECT d.id AS doc_id, b.id AS item_id, d.w, d.at - b.at AS shift FROM win d JOIN win b ON d.w = b.w WHERE d.kind = 'd' AND b.kind = 'b'),
+    held AS (SELECT doc_id, item_id, n_windows, count(DISTINCT w) AS n_matched FROM hits JOIN sizes USING (item_id) GROUP BY ALL HAVING n_matched * 100 >= n_windows * 75),
+    best AS (SELECT doc_id, item_id, arg_max(shift, (n, -shift)) AS shift FROM (SELECT doc_id, item_id, shift, count(DISTINCT w) AS n FROM hits GROUP BY ALL) GROUP BY ALL),
+    slots AS (SELECT h.*, list_filter(list_transform(range(1, len(i.tokens) + 1), lambda k: struct_pack(t := i.tokens[k], own := i.vals[k], there := CASE WHEN k + shift >= 1 THEN d.vals[k + shift] END)),
+                lambda s: s.t IN ('<num>', '<name>', '<unit>') AND s.there IS NOT NULL) AS slots
+              FROM held h JOIN best USING (doc_id, item_id) JOIN tok d ON d.kind = 'd' AND d.id = doc_id JOIN tok i ON i.kind = 'b' AND i.id = item_id)
+    SELECT DISTINCT doc_id, item_id, n_windows, n_matched, CAST(len(slots) AS INTEGER) AS n_slots, CAST(len(list_filter(slots, lambda s: s.own <> s.there)) AS INTEGER) AS n_changed
+    FROM slots WHERE len(list_distinct(list_transform(slots, lambda s: struct_pack(own := s.own, there := s.there)))) = len(list_distinct(list_transform(slots, lambda s: s.own)))"""
+
+# an independent way: lines that share their first or second half are compared place by place
+LINES_SQL = """
+    WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
+    n AS (SELECT doc_id, line_no, line, lower(trim(line, ' ')) AS t FROM l),
+    f AS (SELECT t, min((doc_id, line_no)) AS p FROM n WHERE length(t) >= 20 AND doc_id IS NOT NULL GROUP BY 1),
+    k AS (SELECT t, p, length(t) AS s, m, unnest(['h' || left(t, m // 2), 't' || right(t, m // 2)]) AS k FROM (SELECT t, p, unnest([length(t), length(t) + 1]) AS m FROM f)),
+    c AS (SELECT DISTINCT a.t, a.p, b.t AS u FROM k a JOIN k b ON a.m = b.m AND a.k = b.k AND b.p < a.p AND abs(a.s - b.s) <= 1),
+    e AS (SELECT DISTINCT t FROM c WHERE len(list_filter(range(1, greatest(length(t), length(u)) + 1), lambda i:
+            CASE WHEN length(t) = length(u) THEN left(t, i - 1) = left(u, i - 1) AND substr(t, i + 1) = substr(u, i + 1)
+                 WHEN length(t) > length(u) THEN left(t, i - 1) = left(u, i - 1) AND substr(t, i + 1) = substr(u, i)
+                 ELSE left(t, i - 1) = left(u, i - 1) AND substr(t, i) = substr(u, i + 1) END)) > 0),
+    d AS (SELECT n.*, f.p IS NOT NULL AND ((n.doc_id, n.line_no) <> f.p OR e.t IS NOT NULL) AS gone FROM n LEFT JOIN f USING (t) LEFT JOIN e USING (t)),
+    r AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS text, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_dropped FROM d GROUP BY 1)
+    SELECT doc_id, text, n_lines, n_dropped FROM r UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,6 +54,11 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -68,7 +108,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_warc, op4_toxicity, op5_exact_top_k, op6_suffix_dedup, op7_language_id, op8_decontaminate, op9_line_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_minhash_dedup, op3_warc, op4_toxicity, op5_exact_top_k, op6_suffix_dedup, op7_language_id, op8_decontaminate, op9_line_dedup, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
@@ -78,6 +118,8 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id < target THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id < target THEN target END AS refers_to
         FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND payload_bytes >= 1000""",
+    "op8_decontaminate": DECONTAMINATE_SQL,
+    "op9_line_dedup": LINES_SQL,
     "op5_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
