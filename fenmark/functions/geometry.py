@@ -113,3 +113,24 @@ def from_text(s: ColumnOrName) -> Column:
 
 def as_text(g: ColumnOrName) -> Column:
     return _call("as_text", g)
+
+
+def as_geojson(g: ColumnOrName) -> Column:
+    return _call("as_geojson", g)
+
+
+def transform(g: ColumnOrName, source: Column | int, target: int) -> Column:
+    """Coordinates from one of EPSG 27700, 4326 and 3857 to another; 27700 is right to some metres."""
+    return _call("transform", g, source if isinstance(source, Column) else F.lit(source), F.lit(target))
+
+
+def tile_geometry(g: ColumnOrName, z: int, x: int, y: int) -> Column:
+    """A web Mercator geometry on a tile's grid of 4096 with a margin of 64; null outside."""
+    return _call("tile_geometry", g, F.lit(z), F.lit(x), F.lit(y))
+
+
+def tile_bounds(z: int, x: int, y: int) -> tuple[float, float, float, float]:
+    """xmin, ymin, xmax, ymax of a tile in web Mercator."""
+    world = 2 * 3.141592653589793 * 6378137.0
+    side = world / 2**z
+    return -world / 2 + x * side, world / 2 - (y + 1) * side, -world / 2 + (x + 1) * side, world / 2 - y * side

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 JAR = Path(__file__).parent / "jvm" / "geometry.jar"
 
-#: SQL name -> (nested class of fenmark.Geo, Spark type of the result)
+#: SQL name -> (nested class of fenmark.Geo, or another class's, Spark type of the result)
 FUNCTIONS = {
     "fm_area": ("Area", "double"),
     "fm_length": ("Length", "double"),
@@ -34,6 +34,9 @@ FUNCTIONS = {
     "fm_from_text": ("FromText", "binary"),
     "fm_as_text": ("AsText", "string"),
     "fm_round_exact": ("RoundExact", "double"),
+    "fm_transform": ("Crs$Transform", "binary"),
+    "fm_as_geojson": ("Crs$AsGeoJson", "string"),
+    "fm_tile_geometry": ("Crs$TileGeometry", "binary"),
 }
 
 
@@ -42,5 +45,5 @@ def ensure_spatial(spark: SparkSession) -> SparkSession:
     if not spark.catalog.functionExists("fm_area"):
         spark.sql(f"ADD JAR '{JAR}'")
         for name, (cls, kind) in FUNCTIONS.items():
-            spark.udf.registerJavaFunction(name, f"fenmark.Geo${cls}", kind)
+            spark.udf.registerJavaFunction(name, f"fenmark.{cls}" if "$" in cls else f"fenmark.Geo${cls}", kind)
     return spark
