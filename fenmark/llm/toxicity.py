@@ -1,7 +1,7 @@
 """Operator 4, a counterfactual-regularised toxicity classifier.
 
-A logistic model over hashed words and word beginnings. Sentences that name a group of people are scored a second time with the
-group swapped for another; the squared change of the score is penalised, so that a mention alone moves no score.
+A logistic model over hashed words and word beginnings. Sentences that name a group of people are scored again with the group
+swapped for another, and with none; the squared changes of the score are penalised, so that a mention alone moves no score.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ BITS = 20
 FEATURES = 600
 PREFIXES = (4, 5, 6)
 LEAST_DOCS = 5
-PENALTY, L2 = 1.0, 1e-4
+PENALTY, L2 = 20.0, 1e-4
 CUT = 0.7
 
 #: Terms that name groups of people; each line is a ring in which a term is swapped for the next.
@@ -153,16 +153,16 @@ def fit(labelled: DataFrame, most: int = TRAIN_ROWS) -> Model:
     def presence(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = [t.as_py() for t in batch.column("text")]
         own = [_presence(t, place) for t in texts]
-        other = [_presence(swapped(t), place) if MENTION.search(t) else None for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))], names=["toxic", "own", "other"])
+        other = [[_presence(x, place) for x in (swapped(t), MENTION.sub("", t))] if MENTION.search(t) else [] for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.list_(pa.int64())))], names=["toxic", "own", "other"])
 
-    got = rows.select("text", "toxic").mapInArrow(each_batch(presence), "toxic int, own array<long>, other array<long>").collect()
+    got = rows.select("text", "toxic").mapInArrow(each_batch(presence), "toxic int, own array<long>, other array<array<long>>").collect()
     x, y, change = np.zeros((len(got), len(buckets)), np.float32), np.array([r.toxic for r in got]), []
     for i, r in enumerate(got):
         x[i, r.own] = 1
-        if r.other is not None:
+        for o in r.other:
             c = x[i].copy()
-            c[r.other] -= 1
+            c[o] -= 1
             change.append(c)
     # labelled mentions are few, so each ring's bare swap counts as a sentence too
     for a, b in SWAP.items():
