@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
 from fenmark.functions import loads, numeric
-from fenmark.operators import grid, overlay
-from fenmark.plans import nutrient, synth
+from fenmark.operators import grid, outputs, overlay, tiles
+from fenmark.plans import boundary, newt, nutrient, synth
 from fenmark.session import ensure_spatial
+from fenmark.sources.catalog import Catalog
+from fenmark.streaming import metrics
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -306,5 +310,111 @@ def pivot_ratio(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(100 - part * 100, 4).alias("busy"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0")
+def active_version_read(spark, sf_dir):
+    """The second version of a table after both were promoted."""
+    cat = Catalog(spark, _folder(spark, "catalog"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    cat.promote({"customers": rows})
+    cat.promote({"customers": rows.where("c_custkey % 3 = 0")})
+    return cat.read("customers").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def rollback_read(spark, sf_dir):
+    """The first version again, after a rollback."""
+    cat = Catalog(spark, _folder(spark, "catalog"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    cat.promote({"customers": rows})
+    cat.promote({"customers": rows.where("c_custkey % 3 = 0")})
+    cat.rollback(["customers"])
+    return cat.read("customers").select("c_custkey", "c_name")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (l_partkey IS NULL) AS null_keys, count(*) FILTER (l_quantity < 5 OR l_quantity > 40) AS out_of_range, count(*) FILTER (l_returnflag NOT IN ('A', 'N')) AS not_allowed, (SELECT count(*) FROM (SELECT l_orderkey, l_suppkey FROM lineitem GROUP BY ALL HAVING count(*) > 1)) AS repeated_keys FROM lineitem")
+def quality_counts(spark, sf_dir):
+    """A table's rule counts in one pass, with the keys that repeat."""
+    lines = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity")
+    counts = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_partkey").isNull()).alias("null_keys"), F.count_if((q < 5) | (q > 40)).alias("out_of_range"), F.count_if(~F.col("l_returnflag").isin("A", "N")).alias("not_allowed"))
+    again = lines.groupBy("l_orderkey", "l_suppkey").count().where("count > 1").agg(F.count(F.lit(1)).alias("repeated_keys"))
+    return counts.crossJoin(again)  # one row each
+
+
+@query("SELECT CAST(ceil((SELECT count(*) FROM orders) * 0.9) AS BIGINT) AS floor_rows, count(*) AS n, count(*) >= ceil((SELECT count(*) FROM orders) * 0.9) AS ok FROM orders WHERE o_orderkey % 20 <> 0")
+def quality_row_floor(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    both = o.agg(F.ceil(F.count(F.lit(1)) * 0.9).cast("long").alias("floor_rows"), F.count_if(F.col("o_orderkey") % 20 != 0).alias("n"))
+    return both.withColumn("ok", F.col("n") >= F.col("floor_rows"))
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS area, CASE WHEN o_orderkey % 5 = 0 THEN 'Package Treatment Plant default' WHEN o_orderkey % 2 = 0 THEN 'W' END AS works FROM orders) WHERE NOT (area IS NULL AND (works IS NULL OR works = 'Package Treatment Plant default'))")
+def scope_filter(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 == 0, F.col("o_totalprice")).alias("area"), F.when(k % 5 == 0, nutrient.PACKAGE_PLANT).when(k % 2 == 0, "W").alias("works"))
+    outside = F.col("area").isNull()
+    return o.where(~(outside & F.col("works").isNull())).where(~(outside & F.col("works").eqNullSafe(nutrient.PACKAGE_PLANT))).select("o_orderkey")
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, event_type, round(avg(value), 4) AS mean, arg_max(value, (ts, event_id)) AS last_value, count(*) AS n FROM events GROUP BY ALL")
+def streaming_tumbling(spark, sf_dir):
+    """Daily buckets by a stream that reads what there is and stops."""
+    source = table(spark, sf_dir, "events")
+    out, state = _folder(spark, "buckets"), _folder(spark, "state")
+    rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(_streamable(spark, f"{sf_dir}/events.parquet"))
+    found = metrics.tumbling(rows.withColumn("ts", F.col("ts").cast("timestamp")), "1 day")
+    q = found.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True)
+    q.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    b = spark.read.parquet(out)
+    return b.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", F.round("mean", 4).alias("mean"), "last_value", "n")
+
+
+def _streamable(spark: SparkSession, path: str) -> str:
+    """A stream reads folders: the table's own, or the one its single file is in, by a glob that names just that file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path if fs.getFileStatus(p).isDirectory() else path.replace("events.parquet", "event[s].parquet")
+
+
+@query()
+def newt_habitat_impact(spark, sf_dir):
+    """Habitat areas of all sites; curved edges have no closed form, tests hold them against known areas."""
+    found = newt.assess(synth.developments(spark, sf_dir).select(F.col("id").alias("site"), "geom"), synth.layer(spark, sf_dir, "lpa"), synth.layer(spark, sf_dir, "ponds").select("geom"))
+    return found["habitat_impact"].withColumn("Shape_Area", F.round("Shape_Area", 1))
+
+
+@query()
+def newt_pond_frequency(spark, sf_dir):
+    found = newt.assess(synth.developments(spark, sf_dir).select(F.col("id").alias("site"), "geom"), synth.layer(spark, sf_dir, "lpa"), synth.layer(spark, sf_dir, "ponds").select("geom"))
+    return found["pond_frequency"]
+
+
+@query()
+def tile_mvt(spark, sf_dir):
+    """The tile that holds the whole grid's west; tests decode it."""
+    return tiles.tile(synth.layer(spark, sf_dir, "lpa"), "lpa", 7, 62, 44, ["name"])
+
+
+@query()
+def boundary_metadata(spark, sf_dir):
+    return synth.developments(spark, sf_dir).select("id", boundary.first_error().alias("error"), F.to_json(boundary.metadata()).alias("metadata"))
+
+
+@query()
+def nutrient_csv(spark, sf_dir):
+    """The fixed 31 columns of the CSV."""
+    return outputs.csv_projection(nutrient.assess(nutrient.prepare(synth.developments(spark, sf_dir)), synth.reference(spark, sf_dir)))
+
+
+@query()
+def nutrient_payload(spark, sf_dir):
+    return outputs.payload(nutrient.assess(nutrient.prepare(synth.developments(spark, sf_dir)), synth.reference(spark, sf_dir)))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nutrient_impact_summary(spark, sf_dir)
