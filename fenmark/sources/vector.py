@@ -73,15 +73,15 @@ def kml_features(text: str) -> Iterator[tuple[str, bytes | None, int]]:
         return [[float(v) for v in p.split(",")] for p in (e.text or "").split()]
 
     root = ElementTree.fromstring(text)
-    for p in root.iter("{*}Placemark"):
+    for p in root.iterfind(".//{*}Placemark"):
         found = None
-        for poly in p.iter("{*}Polygon"):
-            rings = [coords(c) for side in ("outerBoundaryIs", "innerBoundaryIs") for b in poly.iter(f"{{*}}{side}") for c in b.iter("{*}coordinates")]
+        for poly in p.iterfind(".//{*}Polygon"):
+            rings = [coords(c) for side in ("outerBoundaryIs", "innerBoundaryIs") for b in poly.iterfind(f".//{{*}}{side}") for c in b.iterfind(".//{*}coordinates")]
             found = {"type": "Polygon", "coordinates": rings}
             break
         for kind in () if found else ("LineString", "Point"):
-            for g in p.iter(f"{{*}}{kind}"):
-                c = coords(next(g.iter("{*}coordinates")))
+            for g in p.iterfind(f".//{{*}}{kind}"):
+                c = coords(next(g.iterfind(".//{*}coordinates")))
                 found = {"type": kind, "coordinates": c[0] if kind == "Point" else c}
         name = p.find("{*}name")
         yield json.dumps({"Name": name.text if name is not None else None}), wkb(found), 4326
