@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+#: Written tables up to this size may be broadcast.
+SMALL = 8 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -184,9 +186,13 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)][0])
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
-    def small(self, df: DataFrame, most: int = 8 << 20) -> DataFrame:
-        """A table of this block, marked for broadcast if it has at most `most` bytes as written; else Spark's joins shuffle it."""
-        return F.broadcast(df) if self.bytes_of(df) <= most else df
+    def is_small(self, df: DataFrame, most: int = SMALL) -> bool:
+        """Whether a table of this block has at most `most` bytes as written."""
+        return self.bytes_of(df) <= most
+
+    def small(self, df: DataFrame, most: int = SMALL) -> DataFrame:
+        """A table of this block, marked for broadcast if it is small; else Spark's joins shuffle it."""
+        return F.broadcast(df) if self.is_small(df, most) else df
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.kept.add(id(df))

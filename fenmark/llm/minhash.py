@@ -25,6 +25,8 @@ THRESHOLD = 75
 #: A pair of similarity 0.75 has a signature agreement below 0.6 once in 30,000 times (128 minima).
 SIGNATURE_LEAST = 0.6
 TILE = 512
+#: Partners of a row that a tile names for confirmation; rows with more are dealt with in place.
+PARTNERS = 8
 
 _seeds = np.random.default_rng(7)
 MULTIPLIERS = _seeds.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -163,12 +165,16 @@ def _sets_of(reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
 def _mixed(members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, band, rep, component, big, n_left, n_right): rows of the buckets that hold several components; big is the largest.
     Buckets of two are tested already."""
-    labelled = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = scratch.small(found).withColumnRenamed("node", "rep")
+    labelled = members.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = scratch.table(labelled.select("key", "band", "rep", "component"))
     parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and n > 2")
     mixed = mixed.select("key", F.col("big.component").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / TILE).cast("int").alias("n_left"), F.ceil(F.col("n") / TILE).cast("int").alias("n_right"))
-    return scratch.table(salted_join(labelled, mixed, ["key"], F.col("rep")))
+    mixed = scratch.table(mixed)
+    if scratch.is_small(mixed):
+        return labelled.join(F.broadcast(mixed), "key")
+    return salted_join(labelled, mixed, ["key"], F.col("rep"))
 
 
 def _tiles(rows: DataFrame, left: F.Column, more: list[str]) -> DataFrame:
@@ -209,24 +215,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         def joined() -> DataFrame:
             return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
-        found, crowded = joined(), None
-        for most in (4, 16):
-            rows = _mixed(members, found, scratch)
-            more = scratch.table(_tiles(rows.join(sigs, "rep"), left, ["sig"]).applyInArrow(_tile(most), "a long, b long").distinct())
-            crowded = more.where("a = b").select(F.col("a").alias("rep"))
-            more = scratch.table(more.where("a != b").join(tested, ["a", "b"], "left_anti"))
-            if more.isEmpty():
-                break
-            tested, links = tested.union(more), links.union(_confirmed(more, docs, scratch))
+        found = joined()
+        rows = _mixed(members, found, scratch)
+        pairs = scratch.table(_tiles(rows.join(sigs, "rep"), left, ["sig"]).applyInArrow(_tile(PARTNERS), "a long, b long").distinct())
+        more = scratch.table(pairs.where("a != b").join(scratch.small(tested), ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = links.union(_confirmed(more, docs, scratch))
             found = joined()
+        crowded = scratch.table(pairs.where("a = b").select(F.col("a").alias("rep")))
         if not crowded.isEmpty():
-            # rows alike to very many others but not linked yet are held against all of those, in place
+            # rows alike to more others than that, and not linked with them yet, are held against all of those in place
             rows = _mixed(members, found, scratch)
-            crowded = rows.join(scratch.small(scratch.table(crowded)), "rep").where(left)
-            keys = scratch.table(crowded.select("key").distinct())
+            keys = scratch.table(rows.join(scratch.small(crowded), "rep", "left_semi").where(left).select("key").distinct())
             rows = scratch.table(rows.join(scratch.small(keys), "key"))
-            rows = rows.join(sigs, "rep").join(_sets_of(rows.select("rep"), docs, scratch), "rep")
-            links = links.union(scratch.table(_tiles(rows, left, ["sig", "shingles"]).applyInArrow(_exact_tile, "a long, b long").distinct()))
+            facts = _sets_of(rows.select("rep"), docs, scratch).join(sigs, "rep")
+            links = links.union(scratch.table(_tiles(rows.join(facts, "rep"), left, ["sig", "shingles"]).applyInArrow(_exact_tile, "a long, b long").distinct()))
             found = joined()
 
         named = found.select(F.col("node").alias("rep"), "component").distinct()

@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from fenmark.llm import minhash
 from fenmark.llm.minhash import near_duplicates
 
 SCHEMA = "doc_id long, text string, cls string, component string"
@@ -49,7 +52,9 @@ def families(seed=3):
     return rows + [(900, None), (901, ""), (902, " \t\n"), (903, "one two"), (904, "ONE  two"), (905, "one two three four five")]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("partners", [8, 1])
+def test_against_brute_force(spark, monkeypatch, partners):
+    monkeypatch.setattr(minhash, "PARTNERS", partners)
     rows = families()
     got = near_duplicates(spark.createDataFrame([(*x, "x", "y") for x in rows], SCHEMA)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows)
