@@ -328,7 +328,8 @@ def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
     spans = found.where("runs < 0").select("doc_id", F.col("ctx").alias("low"), F.col("pos").alias("high"))
     segs = found.where("runs >= 0").select("key", "doc_id", "pos", "before", "runs")
     by_doc = scratch.table(segs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos", "before", "runs")).alias("segs")))
-    near = scratch.table(docs.join(scratch.small(by_doc), "doc_id").mapInArrow(each_batch(_contexts), "key long, doc_id long, pos long, before int, runs int, left binary, right binary"))
+    # this list grows with the input and soon passes any bound for a broadcast, so it is joined alike at every size
+    near = scratch.table(docs.join(by_doc, "doc_id").mapInArrow(each_batch(_contexts), "key long, doc_id long, pos long, before int, runs int, left binary, right binary"))
     hot = scratch.table(near.groupBy("key").count().where(F.col("count") > HOT_SEGMENTS).select("key"))
     # at most 1 key in HOT_SEGMENTS is hot, and small() checks the size
     cold = near.join(scratch.small(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(_sorted_out, runs)
