@@ -397,7 +397,7 @@ def newt_pond_frequency(spark, sf_dir):
 @query()
 def tile_mvt(spark, sf_dir):
     """The tile that holds the whole grid's west; tests decode it."""
-    return tiles.tile(synth.layer(spark, sf_dir, "lpa"), "lpa", 7, 62, 44, ["name"])
+    return tiles.tile(synth.layer(spark, sf_dir, "lpa"), "lpa", 7, 61, 43, ["name"])
 
 
 @query()
