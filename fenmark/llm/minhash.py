@@ -109,10 +109,11 @@ def _promising(i: int, sigs: list[np.ndarray], comp: list[np.ndarray], band: int
 
 def _tile(most: int):
     def run(table: pa.Table) -> pa.Table:
-        """The `most` best pairs of each left row of a tile; (x, x) for a left row that has more."""
+        """The `most` best pairs of each left row of a tile; (x, x) and the bucket's key for a left row that has more."""
         left, right, sigs, comp = _sides(table)
         rep = [t["rep"].to_numpy() for t in (left, right)]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        key = table["key"][0].as_py() if len(table) else None
         for i in range(len(left)):
             at, like = _promising(i, sigs, comp, table["band"][0].as_py())
             if len(at) > most:
@@ -122,7 +123,7 @@ def _tile(most: int):
             a.append(np.full(len(at), rep[0][i]))
             b.append(rep[1][at])
         x, y = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "key": pa.array([key if same else None for same in x == y], pa.int64())})
 
     return run
 
@@ -217,17 +218,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
         found = joined()
         rows = _mixed(members, found, scratch)
-        pairs = scratch.table(_tiles(rows.join(sigs, "rep"), left, ["sig"]).applyInArrow(_tile(PARTNERS), "a long, b long").distinct())
-        more = scratch.table(pairs.where("a != b").join(scratch.small(tested), ["a", "b"], "left_anti"))
+        pairs = scratch.table(_tiles(rows.join(sigs, "rep"), left, ["sig"]).applyInArrow(_tile(PARTNERS), "a long, b long, key long").distinct())
+        more = scratch.table(pairs.where("a != b").select("a", "b").join(scratch.small(tested), ["a", "b"], "left_anti"))
         if not more.isEmpty():
             links = links.union(_confirmed(more, docs, scratch))
             found = joined()
-        crowded = scratch.table(pairs.where("a = b").select(F.col("a").alias("rep")))
+        crowded = scratch.table(pairs.where("a = b").select("key").distinct())
         if not crowded.isEmpty():
-            # rows alike to more others than that, and not linked with them yet, are held against all of those in place
+            # a pair that its first bucket's tiles did not name has a row that was crowded there, which by now may be in the largest
+            # component; such buckets, where still mixed, are searched whole, in place
             rows = _mixed(members, found, scratch)
-            keys = scratch.table(rows.join(scratch.small(crowded), "rep", "left_semi").where(left).select("key").distinct())
-            rows = scratch.table(rows.join(scratch.small(keys), "key"))
+            rows = scratch.table(rows.join(scratch.small(crowded), "key"))
             facts = _sets_of(rows.select("rep"), docs, scratch).join(sigs, "rep")
             links = links.union(scratch.table(_tiles(rows.join(facts, "rep"), left, ["sig", "shingles"]).applyInArrow(_exact_tile, "a long, b long").distinct()))
             found = joined()

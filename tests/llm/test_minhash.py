@@ -61,6 +61,36 @@ def test_against_brute_force(spark, monkeypatch, partners):
     assert len(got) == len(rows)
 
 
+def outgrown(seed):
+    """A component B of five copies of b, and twelve copies of c that are linked in the tiles only, for documents half like c are the
+    hubs of their buckets; then they outnumber B. One pair links the two, b and c: of the words they share all copies lack some."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    shared = [word() for _ in range(400)]
+    b, c = shared + [word() for _ in range(65)], shared + [word() for _ in range(65)]
+
+    def changed(w, at, n):
+        return w[:at] + [word() for _ in range(n)] + w[at + n :]
+
+    docs = {500: b, 501: c}
+    docs |= {400 + k: changed(b, 60 * (k + 1), 1) for k in range(4)}
+    docs |= {502 + k: changed(c, 30 * (k + 1), 1) for k in range(11)}
+    for d in [*range(200), *range(900, 1100)]:
+        docs[d] = c
+        for at in r.sample(range(0, 460, 15), 9):
+            docs[d] = changed(docs[d], at, 14)
+    return [(d, " ".join(w)) for d, w in docs.items()]
+
+
+def test_largest_component_changes_between_the_passes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PARTNERS", 1)
+    rows = outgrown(20)
+    want = brute(rows)
+    got = near_duplicates(spark.createDataFrame([(*x, "x", "y") for x in rows], SCHEMA)).collect()
+    assert want[500][1] == want[501][1]
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
 def test_empty_null_and_repeated(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, "a b c d e f", None, None)] * 3 + [(None, "a b c d e f", None, None), (None, None, None, None), (None, "z y", None, None)]
