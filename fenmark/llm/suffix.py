@@ -71,8 +71,10 @@ def _anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((pos, doc, ctx, key))
         same = np.zeros(len(order), bool)
         same[1:] = (key[order][1:] == key[order][:-1]) & (ctx[order][1:] == ctx[order][:-1])
-        # a repeated doc_id must not make a row its own copy
-        one, two = order[~same], order[same]
+        # a repeated doc_id must not make a row its own copy: segments at the place of the earliest one are that one
+        lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        moved = (doc[order] != doc[lead]) | (pos[order] != pos[lead])
+        one, two = order[~same], order[same & moved]
         k, c = signed(key), signed(ctx)
         low, high = first[two] - base[two], last[two] - base[two] + LENGTH
         yield pa.RecordBatch.from_arrays(
@@ -83,8 +85,8 @@ def _anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of key, ctx, doc_id, pos: bytes of repeated segments (runs < 0), and the first segment of each of the
-    several that share a key. Only the last row and the key's first segment are kept between batches."""
-    held, last = None, None
+    several that share a key. Only the last row, its earliest equal's place and the key's first segment are kept between batches."""
+    held, last, place = None, None, None
     names = [x.split()[0] for x in ANCHORS.split(", ")]
     for b in batches:
         if not b.num_rows:
@@ -98,7 +100,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, ctx, doc, pos, before, runs = (np.r_[np.array([v], x.dtype), x] for v, x in zip(last, (key, ctx, doc, pos, before, runs), strict=True))
             new_key = np.r_[True, key[1:] != key[:-1]]
             new = new_key | np.r_[True, ctx[1:] != ctx[:-1]]
-            again = np.flatnonzero(~new)
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            lead_doc, lead_pos = doc[lead], pos[lead]
+            if last is not None:
+                lead_doc[lead == 0], lead_pos[lead == 0] = place
+            again = np.flatnonzero(~new & ((doc != lead_doc) | (pos != lead_pos)))
             low = pos[again] - before[again]
             out.append([key[again], low, doc[again], low + runs[again] + LENGTH, before[again] * 0, before[again] * 0 - 1])
             if last is not None:  # the row carried over was looked at already
@@ -117,6 +123,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if tail != 0 or last is None:
                 held = None if tail in set(wanted.tolist()) else tuple(x[tail] for x in (key, ctx, doc, pos, before, runs))
             last = tuple(x[-1] for x in (key, ctx, doc, pos, before, runs))
+            place = lead_doc[-1], lead_pos[-1]
         cols = [np.concatenate(x) for x in zip(*out, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64,) * 4 + (np.int32,) * 2, strict=True)], names=names)
 
@@ -230,9 +237,9 @@ def deep_shallow(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, n
     return order, prefix
 
 
-def repeated(group: np.ndarray, before: np.ndarray, runs: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of segments in order of their places: (segment, first, last) of runs of distances before the anchor at which strings start
-    that an earlier segment of the group has too."""
+def repeated(group: np.ndarray, place: np.ndarray, before: np.ndarray, runs: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of segments in order of their places, which are numbered: (segment, first, last) of runs of distances before the anchor at which
+    strings start that a segment of the group at an earlier place has too."""
     n = len(group)
     orders = [deep_shallow(left, group), deep_shallow(right, group)]
     # bytes after a shorter string's end are not common, so classes at a depth hold only strings that long, besides lone short ones
@@ -248,9 +255,9 @@ def repeated(group: np.ndarray, before: np.ndarray, runs: np.ndarray, left: list
             label.append(cls[valid])
         both = label[0] * (n + 1) + label[1]
         o = np.argsort(both, kind="stable")
-        again = np.zeros(len(o), bool)
-        again[1:] = both[o][1:] == both[o][:-1]
-        hit[valid[o[again]], d] = True
+        new = np.r_[True, both[o][1:] != both[o][:-1]]
+        lead = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
+        hit[valid[o[place[valid[o]] != place[valid[lead]]]], d] = True
     edge = np.diff(np.concatenate([np.zeros((n, 1), np.int8), hit.astype(np.int8)], axis=1), axis=1)
     seg, low = np.nonzero(edge == 1)
     _, high = np.nonzero(edge == -1)
@@ -265,7 +272,8 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.lexsort((pos, doc))
         before, runs = t["before"].to_numpy()[place], t["runs"].to_numpy()[place]
         left, right = (t[c].take(pa.array(place)).to_pylist() for c in ("left", "right"))
-        seg, low, high = repeated(np.unique(key[place], return_inverse=True)[1], before, runs, left, right)
+        where = np.cumsum(np.r_[True, (np.diff(doc[place]) != 0) | (np.diff(pos[place]) != 0)])
+        seg, low, high = repeated(np.unique(key[place], return_inverse=True)[1], where, before, runs, left, right)
         at = pos[place][seg]
         return pa.RecordBatch.from_arrays([pa.array(doc[place][seg]), pa.array(at - high), pa.array(at - low + LENGTH)], names=["doc_id", "low", "high"])
 

@@ -50,6 +50,21 @@ def test_suffix_edge_tables(spark):
     assert len(got) == 3 and {x.n_removed for x in got if x.doc_id is None} == {0}
 
 
+def test_suffix_rows_that_repeat_a_doc_id_stay(spark, monkeypatch):
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    own, passage, start = text(700), text(150), text(400)
+    rows = [(1, own), (2, passage), (3, text(150) + passage + text(150)), (5, start[:250] + text(90))]
+    again = [(7, start + text(120)), (7, start + text(200))]  # other texts under one doc_id, alike at one place
+    for hot in (4096, 1):
+        monkeypatch.setattr(suffix, "HOT_SEGMENTS", hot)
+        for parts in (1, 3):
+            got = suffix.remove_repeats(frame(spark, (rows + again[:1]) * 3, "doc_id long, text string").repartition(parts)).collect()
+            assert {(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got} == {(d, *v) for d, v in repeats(rows + again[:1]).items()} and len(got) == 15
+    got = suffix.remove_repeats(frame(spark, again, "doc_id long, text string")).collect()
+    assert [x.n_removed for x in got] == [0, 0]
+
+
 def test_deep_shallow_orders_suffixes():
     import numpy as np
 
