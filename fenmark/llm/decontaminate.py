@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders. Windows of five template tokens are hashed and joined with those of the
 benchmark items. A document that has at least 75 % of an item's windows holds the item, unless the values in its slots contradict
-each other: one value of the item that stands in several slots must have become one value in the document too.
+each other: one value of the item that stands in several slots must have become one value in the document too. Only slots in
+windows that matched count for this, each at the shift of its own window.
 """
 
 from __future__ import annotations
@@ -46,6 +47,12 @@ def _windows(tokens: str) -> Column:
     return F.when(n >= WINDOW, run).when(n > 0, F.array(F.xxhash64(F.lit("short"), F.array_join(F.col(tokens), " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _consistent(slots: Column) -> Column:
+    """Whether each value of the item has become one value of the document (doc_values)."""
+    pairs = F.array_distinct(F.transform(slots, lambda s: F.struct(s["own"].alias("own"), F.get("doc_values", s["at"]).alias("there"))))
+    return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["own"])))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_slots, n_changed, for each item (item_id, text) that a document (doc_id, text) holds.
 
@@ -67,19 +74,30 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = shares.join(sizes, "item_id").where(F.col("n_matched") * 100 >= F.col("n_windows") * LEAST_SHARE)
         # the alignment with the most windows, the earliest of those that tie
         lined = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("w").alias("n"))
-        best = lined.groupBy("doc_id", "item_id").agg(F.max(F.struct("n", -F.col("shift"))).alias("b")).select("doc_id", "item_id", (-F.col("b.col2")).alias("shift"))
+        best = lined.groupBy("doc_id", "item_id").agg(F.max(F.struct("n", -F.col("shift"))).alias("b")).select("doc_id", "item_id", (-F.col("b.col2")).alias("shift"), F.col("b.n").alias("n_best"))
         held = scratch.keep(scratch.table(held.join(best, ["doc_id", "item_id"])))
+        # places of the item in matched windows; of a place's windows the one on the alignment with the most windows gives the shift
+        own = hits.join(scratch.small(held).select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").withColumn("shift", F.col("at") - F.col("item_at"))
+        own = own.select("doc_id", "item_id", "item_at", "shift").distinct().join(lined, ["doc_id", "item_id", "shift"])
+        own = own.select("doc_id", "item_id", "shift", "n", F.explode(F.sequence(F.col("item_at"), F.col("item_at") + (WINDOW - 1))).alias("place"))
+        own = own.groupBy("doc_id", "item_id", "place").agg(F.max(F.struct("n", -F.col("shift"))).alias("b")).select("doc_id", "item_id", F.struct("place", (-F.col("b.col2")).alias("shift")).alias("e"))
+        own = scratch.keep(scratch.table(own.groupBy("doc_id", "item_id").agg(F.map_from_entries(F.collect_list("e")).alias("shifts"))))
         # values are looked at in the few documents that hold an item
         ids = scratch.keep(scratch.table(held.select("doc_id").distinct()))
-        texts = docs.join(scratch.small(ids), "doc_id").select("doc_id", _tokens(_marked("text")[1]).alias("doc_values"))
-        lined = held.join(texts, "doc_id").join(item_tokens, "item_id")
+        texts = docs.join(scratch.small(ids), "doc_id").select("doc_id", _tokens(_marked("text")[0]).alias("doc_tokens"), _tokens(_marked("text")[1]).alias("doc_values"))
+        lined = held.join(own, ["doc_id", "item_id"]).join(texts, "doc_id").join(item_tokens, "item_id")
         slots = F.filter(
             F.transform("tokens", lambda t, i: F.struct(t.alias("t"), F.get("values", i).alias("own"), F.get("doc_values", i + F.col("shift").cast("int")).alias("there"))),
             lambda s: s["t"].isin("<num>", "<name>", "<unit>") & s["there"].isNotNull(),
         )
-        slots = lined.select("doc_id", "item_id", "n_windows", "n_matched", slots.alias("slots"))
-        pairs = F.array_distinct(F.transform("slots", lambda s: F.struct(s["own"].alias("own"), s["there"].alias("there"))))
-        slots = slots.select("*", pairs.alias("pairs"))
-        checked = slots.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["own"]))))
+        covered = F.filter(
+            F.transform("tokens", lambda t, i: F.struct(t.alias("t"), F.get("values", i).alias("own"), F.col("shifts")[i].alias("shift"), (i + F.col("shifts")[i]).cast("int").alias("at"))),
+            lambda s: s["t"].isin("<num>", "<name>", "<unit>") & (F.get("doc_tokens", s["at"]) == s["t"]),
+        )
+        slots = lined.select("doc_id", "item_id", "n_windows", "n_matched", "n_best", "shift", "doc_values", slots.alias("slots"), covered.alias("covered"))
+        # a share of windows that suffices must agree: those of the best alignment, or all that matched
+        whole = F.col("n_best") * 100 >= F.col("n_windows") * LEAST_SHARE
+        on_best = F.filter("covered", lambda s: s["shift"] == F.col("shift"))
+        checked = slots.where(_consistent(F.col("covered")) | (whole & _consistent(on_best)))
         changed = F.size(F.filter("slots", lambda s: s["own"] != s["there"]))
         return checked.select("doc_id", "item_id", F.col("n_windows").cast("long"), F.col("n_matched").cast("long"), F.size("slots").alias("n_slots"), changed.alias("n_changed")).distinct()

@@ -126,6 +126,22 @@ def test_decontamination_catches_other_numbers(spark):
     assert decontaminate.contaminated(frame(spark, [], "doc_id long, text string"), bench).count() == 0
 
 
+def test_decontamination_reads_slots_where_windows_matched(spark):
+    item = "they say Tom has 12 apples and then buys quite a lot of green pears from the man at the corner before walking back home where Tom counts 12 again"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    head = item[: item.index(" before")] + " before walking back home"
+    rows = [
+        (1, item.replace("quite a lot", "quite a very lot")),  # a word added between the slots
+        (2, item.replace("green pears", "pears")),  # a word left out
+        (3, head + " where and 40 of the other things went on for 77 days"),  # the end cut, other text after it
+        (4, item.replace("counts 12", "counts 40")),  # contradicts itself
+        (5, item.replace("quite a lot", "quite a very lot").replace("12", "31")),
+        (6, item.replace("counts 12", "counts 40").replace("quite a lot", "quite a very lot")),
+    ]
+    got = decontaminate.contaminated(frame(spark, rows, "doc_id long, text string"), bench).collect()
+    assert sorted(x.doc_id for x in got) == [1, 2, 3, 5]
+
+
 def test_bpe_equals_tiktoken_and_round_trips(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = bpe.load_ranks(path)
