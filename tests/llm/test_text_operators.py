@@ -215,6 +215,17 @@ def test_language_id(spark):
     assert langid.fit(df.where("false")) == {} and langid.predict(df.limit(2), {}).count() == 2
 
 
+def test_language_of_long_texts_is_not_rejected(spark):
+    r = random.Random(8)
+    words = {x: ["".join(r.choices(letters, k=r.randrange(2, 9))) for _ in range(3000)] for x, letters in (("xx", "abcdefghijklm"), ("yy", "defghijklmnop"))}
+    text = lambda x, n: " ".join(r.choices(words[x], k=n))
+    model = langid.fit(frame(spark, [(i, text(x, 200), x) for i in range(120) for x in ["xx" if i % 2 else "yy"]], "doc_id long, text string, lang string"))
+    rows = [(0, text("xx", 300_000), "xx"), (1, text("yy", 300_000), "yy"), (2, text("xx", 1000), "xx")]
+    got = {x.doc_id: x for x in langid.predict(frame(spark, rows, "doc_id long, text string, lang string"), model).collect()}
+    assert all(x.lang_pred == x.lang and not x.rejected for x in got.values())
+    assert got[0].score > got[2].score / 2
+
+
 def test_toxicity_ignores_group_mentions(spark):
     r = random.Random(9)
     plain = [f"w{i}" for i in range(60)]
