@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that an earlier line repeats, and documents that have no other line; n_chars follows the text."""
-    kept = lines.dedup_lines(docs.select(*COLUMNS)).where("n_dropped = 0 or n_dropped < n_lines")
+    """Drops lines that an earlier line repeats (of under 20 characters, exactly), and documents that have no other line; n_chars follows the text."""
+    kept = lines.dedup_lines(docs.select(*COLUMNS), short=True).where("n_dropped = 0 or n_dropped < n_lines")
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -109,6 +109,12 @@ def test_line_dedup_equals_brute_force(spark):
     assert len(got) == len(rows) and got[0].asDict().keys() >= {"h", "cls"}
 
 
+def test_short_lines_take_part_in_the_exact_match(spark):
+    rows = [(1, "Share this\n\nsome line of more than twenty characters"), (2, " share this \n\nshare thin"), (3, "share thin\nSome line of more than twenty character")]
+    got = {x.doc_id: (x.text, x.n_dropped) for x in lines.dedup_lines(frame(spark, rows, "doc_id long, text string"), short=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nshare thin", 1), 3: ("", 2)}
+
+
 def test_decontamination_catches_other_numbers(spark):
     item = "Tom has 12 apples and buys 12 more at 3 euros each while Anna walks 5 km to the shop today"
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "one two", "x")], "item_id long, text string, doc_id string")
