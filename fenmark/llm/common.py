@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
 
-CHUNK_BYTES = 1 << 20
-#: Written tables up to this size may be broadcast.
-SMALL = 8 << 20
+#: Bytes that are looked at together; what a batch needs besides its text and its results is a small multiple of this.
+BLOCK = 1 << 18
+#: Written tables up to the first size on disk, and the second one as rows, may be broadcast.
+SMALL, SMALL_ROWS = 8 << 20, 64 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -27,9 +31,6 @@ IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 BYTE_CODES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_powers: list[np.ndarray] = []
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -39,17 +40,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        both = []
-        for b in (BASE, INVERSE):
-            a = np.full(size, b, dtype=np.uint64)
-            a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        _powers[:] = both
-    return _powers[0], _powers[1]
+@functools.cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """BLOCK + 1 powers of BASE and of its inverse modulo 2**64."""
+    both = []
+    for b in (BASE, INVERSE):
+        a = np.full(BLOCK + 1, b, dtype=np.uint64)
+        a[0] = 1
+        both.append(np.multiply.accumulate(a))
+    return both[0], both[1]
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +64,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole rows of about `most` bytes."""
     data, offs = flat(column)
     n, at = len(offs) - 1, 0
@@ -75,29 +74,41 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         at = end
 
 
+def _pieces(data: np.ndarray, offs: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Polynomial, first and end byte of each run of word bytes of a row in data[a:b]."""
+    inside = IS_WORD[data[a:b]]
+    edges = offs[np.searchsorted(offs, a, "right") : np.searchsorted(offs, b, "left")] - a
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[edges] = inside[edges]
+    last[:-1] &= ~inside[1:]
+    last[edges - 1] = inside[edges - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = powers()
+    total = np.zeros(b - a + 1, np.uint64)
+    np.cumsum(BYTE_CODES[LOWER[data[a:b]]] * up[: b - a], out=total[1:])
+    return (total[end] - total[start]) * down[start], start + a, end + a
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, first and end byte of each word ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) of a chunk."""
-    n = len(data)
-    if not n:
+    """Hash, row, first and end byte of each word ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) of a chunk.
+
+    Texts of any length are read in blocks; a word that a block's end cuts, however long, is put together from its pieces.
+    """
+    if not len(data):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    inside = IS_WORD[data]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    edges = offs[1:-1]
-    edges = edges[(edges > 0) & (edges < n)]
-    before[edges] = False
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    after[edges - 1] = False
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODES[LOWER[data]] * up[:n], out=total[1:])
-    hashed = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return hashed, np.searchsorted(offs, start, "right") - 1, start, end
+    parts = [_pieces(data, offs, a, min(a + BLOCK, len(data))) for a in range(0, len(data), BLOCK)]
+    value, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    cut = np.flatnonzero((start[1:] == end[:-1]) & (start[1:] % BLOCK == 0)) + 1
+    cut = cut[~np.isin(start[cut], offs)]
+    head = -1
+    for k in cut.tolist():
+        head = head if head >= 0 and end[head] == start[k] else k - 1
+        value[head : head + 1] += value[k : k + 1] * np.uint64(pow(BASE, int(start[k] - start[head]), 1 << 64))
+        end[head] = end[k]
+    value, start, end = (np.delete(x, cut) for x in (value, start, end))
+    return mix(value + (end - start).astype(np.uint64)), np.searchsorted(offs, start, "right") - 1, start, end
 
 
 def shingles(hashed: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +156,12 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share. Where the session names none, a local one stands in, as in tests; a session with
+    a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or "file:///tmp/checkpoints").rstrip("/")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -187,8 +202,13 @@ class Scratch:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
     def is_small(self, df: DataFrame, most: int = SMALL) -> bool:
-        """Whether a table of this block has at most `most` bytes as written."""
-        return self.bytes_of(df) <= most
+        """Whether a table of this block has at most `most` bytes as written, and at most SMALL_ROWS as rows: repetitive columns take
+        little room on disk."""
+        if self.bytes_of(df) > most:
+            return False
+        wide = [F.coalesce(F.octet_length(f.name) if isinstance(f.dataType, StringType | BinaryType) else 8 * F.size(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, StringType | BinaryType | ArrayType | MapType)]
+        row = functools.reduce(lambda a, b: a + b, wide, F.lit(16 * len(df.columns)))
+        return (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= SMALL_ROWS
 
     def small(self, df: DataFrame, most: int = SMALL) -> DataFrame:
         """A table of this block, marked for broadcast if it is small; else Spark's joins shuffle it."""

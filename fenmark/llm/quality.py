@@ -109,7 +109,11 @@ def _shares(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     rows, buckets, values = [at], [key & ((1 << BITS) - 1)], [np.sqrt(count / np.maximum(total[at], 1))]
     size = np.diff(offs)
     kinds = [(data >= 65) & (data <= 90), (data >= 33) & (data <= 47) | (data == 124), (data >= 48) & (data <= 57), data == 10]
-    sums = [np.diff(np.r_[0, np.cumsum(k)][offs]) / np.maximum(size, 1) for k in kinds]
+    some = np.flatnonzero(size)
+    sums = [np.zeros(len(size)) for _ in kinds]
+    for total_of, k in zip(sums, kinds, strict=True):
+        if len(some):
+            total_of[some] = np.add.reduceat(k, offs[some], dtype=np.int64) / size[some]
     sums += [np.minimum(total, 200) / 200, np.bincount(at, minlength=len(size)) / np.maximum(total, 1)]
     for j, v in enumerate(sums):
         rows.append(np.arange(len(size)))

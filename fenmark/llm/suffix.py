@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fenmark.llm.common import BYTE_CODES, Scratch, chunks, each_batch, mix, powers, signed
+from fenmark.llm.common import BASE, BYTE_CODES, Scratch, chunks, each_batch, mix, signed
 
 LENGTH = 100
 PIECE = 32
 SPAN = LENGTH - PIECE + 1
+#: Bytes of text that are looked at together; equal segments among them are settled before the shuffle.
+CHUNK = 4 << 20
 #: Words of 8 bytes that the shallow sort looks at.
 SHALLOW = 6
 HOT_SEGMENTS = 4096
@@ -38,10 +40,13 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     sizes = np.maximum(np.diff(offs) - LENGTH + 1, 0)
     if not sizes.sum():
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    up, down = powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * up[:n], out=total[1:])
-    piece = mix((total[PIECE:] - total[: n - PIECE + 1]) * down[: n - PIECE + 1])
+    # polynomials of 32 and of 64 bytes from each place on, by doubling
+    value, width = BYTE_CODES[data], 1
+    while width < PIECE:
+        value = value[:-width] + value[width:] * np.uint64(pow(BASE, width, 1 << 64))
+        width *= 2
+    piece, wide = mix(value), value[:-width] + value[width:] * np.uint64(pow(BASE, width, 1 << 64))
+    del value
     bits = max(24, n.bit_length())
     least = (piece >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(piece), dtype=np.uint64)
     width = 1
@@ -55,18 +60,31 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])])
     last = start[np.r_[new[1:], len(start)] - 1]
     row, at, first = row[new], at[new], start[new]
-    whole = mix((total[last + LENGTH] - total[first]) * down[first] + ((at - first) * 1000 + (last - first)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    # a segment has 100 to 168 bytes: its first, middle and last 64 hold them all
+    long = last - first + LENGTH - 64
+    whole = ((at - first) * 1000 + (last - first)).astype(np.uint64)
+    for part in (wide[first], wide[first + long // 2], wide[first + long]):
+        whole = mix(whole * np.uint64(0xD6E8FEB86659FD93) + part)
     return row, at, first, last, piece[at], whole
 
 
+def _windows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, bytes of it that came before, bytes, offsets) of runs of whole rows, and of a longer row the windows that together
+    hold each of its strings once."""
+    for a, _, data, offs in chunks(column, CHUNK):
+        for low in range(0, max(1, len(data) - LENGTH + 1), CHUNK) if len(offs) == 2 else (0,):
+            part = data[low : low + CHUNK + LENGTH - 1] if len(offs) == 2 else data
+            yield a, low, part, np.array([0, len(part)]) if len(offs) == 2 else offs
+
+
 def _anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A row for each segment; of equal segments in a run of rows only the earliest, and rows with runs < 0 for the bytes of the others."""
     ids = batch.column("doc_id").to_numpy()
-    for a, _, data, offs in chunks(batch.column("text"), 4 << 20):
+    for a, gone, data, offs in _windows(batch.column("text")):
         row, at, first, last, key, ctx = segments(data, offs)
         if not len(row):
             continue
-        doc, base = ids[row + a], offs[row]
+        doc, base = ids[row + a], offs[row] - gone
         pos = at - base
         order = np.lexsort((pos, doc, ctx, key))
         same = np.zeros(len(order), bool)

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fenmark.llm.common import BYTE_CODES, LOWER, chunks, each_batch, mix, powers, words
+from fenmark.llm.common import BASE, BYTE_CODES, LOWER, chunks, each_batch, mix, words
 
 #: Bound of the labelled sample that the model is fitted on.
 TRAIN_ROWS = 20_000
@@ -59,15 +59,14 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(row, bucket) of each word and each word beginning of a chunk, with repeats."""
     hashed, row, start, end = words(data, offs)
     rows, found = [row], [hashed]
-    if len(row):
-        up, down = powers(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[LOWER[data]] * up[: len(data)], out=total[1:])
-        for n in PREFIXES:
-            at = end - start >= n
-            s = start[at]
-            rows.append(row[at])
-            found.append(mix((total[s + n] - total[s]) * down[s] + np.uint64(n << 40)))
+    for n in PREFIXES:
+        at = end - start >= n
+        s = start[at]
+        rows.append(row[at])
+        value = np.full(len(s), n << 40, np.uint64)
+        for j in range(n):
+            value += BYTE_CODES[LOWER[data[s + j]]] * np.uint64(pow(BASE, j, 1 << 64))
+        found.append(mix(value))
     return np.concatenate(rows), (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
