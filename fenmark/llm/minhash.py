@@ -22,8 +22,9 @@ from fenmark.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 THRESHOLD = 75
-#: A pair of similarity 0.75 has a signature agreement below 0.6 once in 30,000 times (128 minima).
-SIGNATURE_LEAST = 0.6
+#: A pair of similarity 0.75 has a signature agreement below a half once in some 3 billion times (128 minima). What passes is
+#: confirmed on full sets, so a lower bound costs confirmations only.
+SIGNATURE_LEAST = 0.5
 TILE = 512
 #: Partners of a row that a tile names for confirmation; rows with more are dealt with in place.
 PARTNERS = 8

@@ -61,6 +61,28 @@ def test_against_brute_force(spark, monkeypatch, partners):
     assert len(got) == len(rows)
 
 
+def border_families(seed, n=50):
+    """Families of documents whose similarities lie closely around 0.75: each replaces some words of a base or of another one."""
+    r, rows = random.Random(seed), []
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    for _ in range(n):
+        docs = [[word() for _ in range(r.randrange(120, 200))]]
+        for _ in range(r.randrange(4, 20)):
+            w = list(r.choice(docs))
+            for at in r.sample(range(len(w)), round(len(w) * r.uniform(0.02, 0.04))):
+                w[at] = word()
+            docs.append(w)
+        rows += [" ".join(w) for w in docs]
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_families_at_the_border(spark):
+    rows = border_families(5)
+    got = near_duplicates(spark.createDataFrame([(*x, "x", "y") for x in rows], SCHEMA)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows)
+
+
 def outgrown(seed):
     """A component B of five copies of b, and twelve copies of c that are linked in the tiles only, for documents half like c are the
     hubs of their buckets; then they outnumber B. One pair links the two, b and c: of the words they share all copies lack some."""
