@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 
 from fenmark.llm.common import Scratch, salted_join
 
-#: Shorter lines (after trimming) take no part in the search for edits, where they meet by chance, and in the match of equal lines
-#: only with `short`. At least the finer number of blocks.
-LEAST_CHARS = 20
 BLOCKS = (2, 16)
 
 
@@ -46,14 +43,12 @@ def _shared(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(salted_join(each, scratch.small(shared), ["key"], F.col("h")).select("h").distinct())
 
 
-def duplicate_lines(documents: DataFrame, scratch: Scratch, short: bool = False) -> DataFrame:
-    """(doc_id, line_no) of the lines to drop, as a table of scratch. With `short`, non-empty lines of fewer than LEAST_CHARS that
-    equal an earlier one too."""
+def duplicate_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, line_no) of the lines to drop, as a table of scratch. Lines that are empty once trimmed take no part."""
     split = documents.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = split.select("doc_id", "line_no", _norm("line").alias("t")).where(F.length("t") >= (1 if short else LEAST_CHARS)).withColumn("h", F.xxhash64("t"))
+    lines = split.select("doc_id", "line_no", _norm("line").alias("t")).where(F.length("t") > 0).withColumn("h", F.xxhash64("t"))
     place = F.struct("doc_id", "line_no")
-    # a short line has no keys, so it is only matched whole
-    thin = scratch.table(lines.select("doc_id", "line_no", "h", F.when(F.length("t") >= LEAST_CHARS, _block_keys("t", BLOCKS[0])).alias("keys")))
+    thin = scratch.table(lines.select("doc_id", "line_no", "h", _block_keys("t", BLOCKS[0]).alias("keys")))
     # one row for each distinct line, with its earliest place
     firsts = scratch.table(thin.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")))
     again = scratch.table(firsts.where("n > 1").select("h", "first"))
@@ -85,16 +80,16 @@ def duplicate_lines(documents: DataFrame, scratch: Scratch, short: bool = False)
     return scratch.table(equal.select("doc_id", "line_no").union(edited).distinct())
 
 
-def dedup_lines(documents: DataFrame, short: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame) -> DataFrame:
     """documents with text without its duplicate lines, n_lines (before) and n_dropped. All rows and other columns are kept.
 
     A null text stays null, with no lines; an empty text is one empty line. Rows with a null doc_id are left as they are. Lines of
     rows that repeat a doc_id stand at the same place, so equal rows do not drop each other; a line number dropped in one is dropped
-    in all. Columns named n_lines or n_dropped are replaced. Non-empty lines of fewer than LEAST_CHARS are dropped with `short` only,
-    where they equal an earlier one.
+    in all. Columns named n_lines or n_dropped are replaced. Empty lines stay. An empty table gives no rows. Memory grows with the
+    longest text only as far as Spark's own rows do: a line is one value.
     """
     with Scratch(documents.sparkSession) as scratch:
-        drops = duplicate_lines(documents.select("doc_id", "text"), scratch, short)
+        drops = duplicate_lines(documents.select("doc_id", "text"), scratch)
         drops = scratch.keep(scratch.table(drops.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("_drops"))))
         rows = documents.drop("n_lines", "n_dropped").join(scratch.small(drops), "doc_id", "left")
     lines = F.split("text", "\n", -1)
