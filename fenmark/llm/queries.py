@@ -11,30 +11,42 @@ from fenmark.llm.common import shared_folder
 from fenmark.llm.minhash import near_duplicates
 
 
+_words = lambda text: ", ".join(f"'{w}'" for w in text.split())
+
+# an independent way: pieces of text as rows; names are found by their neighbours, slots by joins on places
 DECONTAMINATE_SQL = rf"""
-    WITH raw AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
-    dotted AS (SELECT kind, id, regexp_replace(text, '([0-9])[.,]([0-9])', '\1\2', 'g') AS t FROM raw WHERE id IS NOT NULL AND text IS NOT NULL),
-    named AS (SELECT kind, id, lower(t) AS plain, regexp_replace(lower(regexp_replace(t, '{decontaminate.NAME}', '\1<name>', 'g')), '[0-9]+([.,][0-9]+)*', '<num>', 'g') AS t FROM dotted),
-    tok AS (SELECT kind, id,
-              list_filter(regexp_split_to_array(regexp_replace(t, '<num> ?({"|".join(decontaminate.UNITS.split())})([^\p{{L}}\p{{N}}]|$)', '<num> <unit>\2', 'g'), '{decontaminate.BREAK}'), lambda x: x <> '') AS tokens,
-              list_filter(regexp_split_to_array(regexp_replace(plain, '([0-9]) ?({"|".join(decontaminate.UNITS.split())})([^\p{{L}}\p{{N}}]|$)', '\1 \2\3', 'g'), '{decontaminate.BREAK}'), lambda x: x <> '') AS vals FROM named),
-    win AS (SELECT kind, id, unnest(CASE WHEN len(tokens) >= 5 THEN list_transform(range(1, len(tokens) - 3), lambda i: struct_pack(at := i - 1, w := array_to_string(tokens[i:i+4], ' ')))
-                                         WHEN len(tokens) > 0 THEN [struct_pack(at := CAST(0 AS BIGINT), w := 'short ' || array_to_string(tokens, ' '))] END, recursive := true) FROM tok),
-    sizes AS (SELECT id AS item_id, count(DISTINCT w) AS n_windows FROM win WHERE kind = 'b' GROUP BY 1),
-    hits AS (SELECT d.id AS doc_id, b.id AS item_id, d.w, d.at - b.at AS shift FROM win d JOIN win b ON d.w = b.w WHERE d.kind = 'd' AND b.kind = 'b'),
+    WITH raw AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    cut AS (SELECT kind, id, regexp_extract_all(text, '[\p{{L}}\p{{M}}]+(?:[''\x{{2019}}][\p{{L}}\p{{M}}]+)*|[0-9]+(?:[.,][0-9]+)*|[^\p{{L}}\p{{M}}0-9]') AS ps FROM raw),
+    p AS (SELECT kind, id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM cut),
+    k AS (SELECT *, regexp_matches(p, '^[\p{{L}}\p{{M}}]') AS w, regexp_matches(p, '^[0-9]') AS n, regexp_matches(p, '^\p{{Lu}}') AND regexp_matches(p, '^(\p{{L}}[''\x{{2019}}])?[\p{{L}}\p{{M}}]*\p{{Ll}}') AS c FROM p),
+    f AS (SELECT *, lag(p) OVER o AS p1, lag(c, 2) OVER o AS c2, lag(n) OVER o AS n1, lag(n, 2) OVER o AS n2, lead(n) OVER o AS after_n FROM k WINDOW o AS (PARTITION BY kind, id ORDER BY pos)),
+    g AS (SELECT *, sum(CASE WHEN c AND NOT (coalesce(p1, '') = ' ' AND coalesce(c2, false)) THEN 1 ELSE 0 END) OVER (PARTITION BY kind, id ORDER BY pos) AS block, c AND p[1] = upper(p[1]) AND lower(p) IN ({_words(decontaminate.OPENERS)}) AND lower(p[2:]) = p[2:] AS opener FROM f),
+    h AS (SELECT *, min(pos) FILTER (c AND NOT opener) OVER (PARTITION BY kind, id, block) AS named_from FROM g),
+    r AS (SELECT *, c AND pos >= named_from AS run, count(*) FILTER (c AND pos >= named_from) OVER (PARTITION BY kind, id, block) AS size FROM h),
+    t AS (SELECT kind, id, pos, 0 AS z, '<name>' AS t, v FROM (SELECT kind, id, min(pos) AS pos, string_agg(lower(p), ' ' ORDER BY pos) AS v FROM r WHERE run AND size <= 3 GROUP BY kind, id, block)
+          UNION ALL SELECT kind, id, pos, 1, CASE WHEN n THEN '<num>' WHEN lower(p) IN ({_words(decontaminate.UNITS)}) AND NOT coalesce(after_n, false) AND (coalesce(n1, false) OR coalesce(p1, '') = ' ' AND coalesce(n2, false)) THEN '<unit>' ELSE lower(p) END, lower(p) FROM r WHERE (w OR n) AND NOT coalesce(run AND size <= 3, false)),
+    tok AS (SELECT kind, id, t, v, row_number() OVER (PARTITION BY kind, id ORDER BY pos) - 1 AS place FROM t),
+    lists AS (SELECT kind, id, list(t ORDER BY place) AS ts, list(v ORDER BY place) AS vs, bool_and(t[1] = '<') AS bare FROM tok GROUP BY 1, 2),
+    win AS (SELECT kind, id, unnest(CASE WHEN len(ts) < 5 OR bare THEN [struct_pack(place := CAST(0 AS BIGINT), w := 'whole ' || array_to_string(vs, ' '), told := true)]
+                                       ELSE list_transform(range(0, len(ts) - 4), lambda i: struct_pack(place := i, w := array_to_string(ts[i+1:i+5], ' '), told := len(list_filter(ts[i+1:i+5], lambda x: x[1] <> '<')) > 0)) END, recursive := true) FROM lists),
+    sizes AS (SELECT id AS item_id, count(DISTINCT w) AS n_windows FROM win WHERE kind = 'b' AND told GROUP BY 1),
+    hits AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.w, b.place AS item_at, d.place - b.place AS shift FROM win d JOIN win b ON d.w = b.w WHERE d.kind = 'd' AND b.kind = 'b' AND b.told),
     held AS (SELECT doc_id, item_id, n_windows, count(DISTINCT w) AS n_matched FROM hits JOIN sizes USING (item_id) GROUP BY ALL HAVING n_matched * 100 >= n_windows * 75),
-    best AS (SELECT doc_id, item_id, arg_max(shift, (n, -shift)) AS shift FROM (SELECT doc_id, item_id, shift, count(DISTINCT w) AS n FROM hits GROUP BY ALL) GROUP BY ALL),
-    slots AS (SELECT h.*, list_filter(list_transform(range(1, len(i.tokens) + 1), lambda k: struct_pack(t := i.tokens[k], own := i.vals[k], there := CASE WHEN k + shift >= 1 THEN d.vals[k + shift] END)),
-                lambda s: s.t IN ('<num>', '<name>', '<unit>') AND s.there IS NOT NULL) AS slots
-              FROM held h JOIN best USING (doc_id, item_id) JOIN tok d ON d.kind = 'd' AND d.id = doc_id JOIN tok i ON i.kind = 'b' AND i.id = item_id)
-    SELECT DISTINCT doc_id, item_id, n_windows, n_matched, CAST(len(slots) AS INTEGER) AS n_slots, CAST(len(list_filter(slots, lambda s: s.own <> s.there)) AS INTEGER) AS n_changed
-    FROM slots WHERE len(list_distinct(list_transform(slots, lambda s: struct_pack(own := s.own, there := s.there)))) = len(list_distinct(list_transform(slots, lambda s: s.own)))"""
+    lined AS (SELECT doc_id, item_id, shift, count(DISTINCT w) AS n FROM hits SEMI JOIN held USING (doc_id, item_id) GROUP BY ALL),
+    best AS (SELECT doc_id, item_id, arg_max(shift, (n, -shift)) AS shift, max(n) AS n_best FROM lined GROUP BY ALL),
+    cover AS (SELECT doc_id, item_id, place, arg_max(shift, (n, -shift)) AS shift FROM (SELECT doc_id, item_id, shift, n, unnest(range(item_at, item_at + 5)) AS place FROM hits JOIN lined USING (doc_id, item_id, shift)) GROUP BY ALL),
+    slot AS (SELECT doc_id, item_id, c.shift, i.v AS own, d.v AS there FROM cover c JOIN tok i ON i.kind = 'b' AND i.id = item_id AND i.place = c.place JOIN tok d ON d.kind = 'd' AND d.id = doc_id AND d.place = c.place + c.shift WHERE i.t = d.t AND i.t[1] = '<'),
+    agree AS (SELECT doc_id, item_id, count(DISTINCT (own, there)) = count(DISTINCT own) AS every, count(DISTINCT (own, there)) FILTER (s.shift = b.shift) = count(DISTINCT own) FILTER (s.shift = b.shift) AS on_best FROM slot s JOIN best b USING (doc_id, item_id) GROUP BY ALL),
+    marks AS (SELECT doc_id, item_id, count(*) AS n_slots, count(*) FILTER (i.v <> d.v) AS n_changed FROM best b JOIN tok i ON i.kind = 'b' AND i.id = item_id JOIN tok d ON d.kind = 'd' AND d.id = doc_id AND d.place = i.place + b.shift WHERE i.t[1] = '<' GROUP BY ALL)
+    SELECT doc_id, item_id, n_windows, n_matched, CAST(coalesce(n_slots, 0) AS INTEGER) AS n_slots, CAST(coalesce(n_changed, 0) AS INTEGER) AS n_changed
+    FROM held JOIN best USING (doc_id, item_id) LEFT JOIN agree USING (doc_id, item_id) LEFT JOIN marks USING (doc_id, item_id)
+    WHERE coalesce(every, true) OR n_best * 100 >= n_windows * 75 AND coalesce(on_best, true)"""
 
 # an independent way: lines that share their first or second half are compared place by place
 LINES_SQL = """
     WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
     n AS (SELECT doc_id, line_no, line, lower(trim(line, ' ')) AS t FROM l),
-    f AS (SELECT t, min((doc_id, line_no)) AS p FROM n WHERE length(t) >= 20 AND doc_id IS NOT NULL GROUP BY 1),
+    f AS (SELECT t, min((doc_id, line_no)) AS p FROM n WHERE t <> '' AND doc_id IS NOT NULL GROUP BY 1),
     k AS (SELECT t, p, length(t) AS s, m, unnest(['h' || left(t, m // 2), 't' || right(t, m // 2)]) AS k FROM (SELECT t, p, unnest([length(t), length(t) + 1]) AS m FROM f)),
     c AS (SELECT DISTINCT a.t, a.p, b.t AS u FROM k a JOIN k b ON a.m = b.m AND a.k = b.k AND b.p < a.p AND abs(a.s - b.s) <= 1),
     e AS (SELECT DISTINCT t FROM c WHERE len(list_filter(range(1, greatest(length(t), length(u)) + 1), lambda i:
