@@ -22,6 +22,8 @@ from fenmark.llm.common import Scratch, each_batch, salted_join
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
+#: A scan has a task for each bundle, up to so many tasks.
+SCAN_TASKS = 20_000
 LEVEL = 3
 REVISIT_LEAST = 1000
 
@@ -175,7 +177,7 @@ def _rows(found: list[tuple[dict[str, str], bytes]], content: bool) -> pa.Record
 
 def scan(bundles: DataFrame, folder: str, content: bool = True) -> DataFrame:
     """All records (RECORDS) of the bundles named in column `bundle`, one frame at a time. A response whose content does not have
-    its digest is an error."""
+    its digest is an error. Null names are passed over, and a name that comes twice is read once; no names give no rows."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -189,7 +191,9 @@ def scan(bundles: DataFrame, folder: str, content: bool = True) -> DataFrame:
                             raise ValueError(f"damaged record {h['WARC-Record-ID']} in {name}")
                     yield _rows(found, content)
 
-    return bundles.select("bundle").distinct().mapInArrow(each_batch(run), RECORDS)
+    names = bundles.where("bundle is not null").select("bundle").distinct()
+    # names are few bytes, so that Spark alone would put them all into one task
+    return names.repartition(max(1, min(names.count(), SCAN_TASKS)), "bundle").mapInArrow(each_batch(run), RECORDS)
 
 
 def fetch(index: DataFrame, folder: str) -> DataFrame:
@@ -210,7 +214,9 @@ def fetch(index: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
-    """Archives every page below folder and reads the archives back: RECORDS without the content, one row a page."""
+    """Archives every page (page_id, url, html; other columns are ignored) below folder and reads the archives back: RECORDS without
+    the content, one row for each row of pages. Nulls as in classify(); an empty table gives no rows and no archives. A page is held
+    whole, with its frame, while it is written or read."""
     with Scratch(spark) as scratch:
         index = scratch.keep(scratch.table(write(classify(pages.select("page_id", "url", "html"), scratch), folder)))
         return scan(index, folder, content=False)
