@@ -17,11 +17,9 @@ from pyspark.sql import functions as F
 
 from fenmark.llm.common import each_batch
 
-#: The bound of the fitted sample: texts a language, and bytes of each that enter the dictionary.
-SAMPLES, SAMPLE_BYTES = 96, 1024
+#: The bound of the fitted sample: texts a language, and pieces of each, spread over the whole text, of so many characters.
+SAMPLES, PIECES, PIECE_CHARS = 96, 4, 256
 LEVEL = 6
-#: Texts of fewer bytes get the slower level, which finds the shorter matches that decide there.
-SHORT, SHORT_LEVEL = 400, 19
 MARGIN = 0.004
 #: Bytes that are compressed at once.
 BLOCK = 16 << 10
@@ -29,39 +27,46 @@ BLOCK = 16 << 10
 LETTER = regex.compile(r"\p{L}")
 
 
-def fit(labelled: DataFrame, samples: int = SAMPLES, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language of labelled (doc_id, text, lang), from the first bytes of at most `samples` of its texts.
+def _spread(text: str) -> str:
+    """PIECES pieces of a text at even distances, its beginning and its end among them; a shorter text whole."""
+    gap = (len(text) - PIECE_CHARS) / (PIECES - 1)
+    return text if gap < PIECE_CHARS else " ".join(text[int(i * gap) : int(i * gap) + PIECE_CHARS] for i in range(PIECES))
+
+
+def fit(labelled: DataFrame, samples: int = SAMPLES) -> dict[str, bytes]:
+    """A dictionary for each language of labelled (doc_id, text, lang), from pieces of at most `samples` of its texts.
 
     Rows with a null or empty text, or a null doc_id or lang, are passed over. The choice is by a hash of doc_id: the smallest in
-    each of `samples` buckets, so that neither the sample nor its making grows with the input. The commonest language is first.
+    each of `samples` buckets, so that neither the sample nor its making grows with the input. Of rows that repeat a doc_id each
+    different text counts. The commonest language is first.
     """
     rows = labelled.where("doc_id is not null and lang is not null and length(trim(text)) > 0").select("text", "lang", F.xxhash64("doc_id").alias("h"))
     chosen = rows.groupBy("lang", F.pmod("h", F.lit(samples)).alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h")
-    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.substring("text", 1, sample_bytes).alias("text")).distinct().collect()
+
+    def spread(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.set_column(2, "text", pa.array([_spread(t.as_py().lower()) for t in batch.column("text")], pa.string()))
+
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "text").mapInArrow(each_batch(spread), "lang string, h long, text string").distinct().collect()
     out: dict[str, list[bytes]] = {r.lang: [] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     for r in sorted(texts, key=lambda r: (r.lang, r.h, r.text)):
-        out[r.lang].append(r.text.lower().encode()[:sample_bytes])
+        out[r.lang].append(r.text.encode())
     return {lang: b"\n".join(parts) for lang, parts in out.items()}
 
 
 class Compressors:
     def __init__(self, model: dict[str, bytes]):
-        self.langs = list(model)
-        self.by_level = {}
-        for level in (LEVEL, SHORT_LEVEL):
-            made = []
-            for lang in self.langs:
-                d = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                made.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-            self.by_level[level] = made
+        self.langs, self.compress = list(model), []
+        for lang in self.langs:
+            d = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.compress.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
     def classify(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0
         raw = text.lower().encode("utf-8", "replace")
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        sizes = [sum(len(f(b)) for b in blocks) for f in self.by_level[SHORT_LEVEL if len(raw) < SHORT else LEVEL]]
+        sizes = [sum(len(f(b)) for b in blocks) for f in self.compress]
         sizes = sorted((x, i) for i, x in enumerate(sizes))
         best = sizes[0][0]
         return self.langs[sizes[0][1]], 1 - best / sizes[1][0] if len(sizes) > 1 else 1.0
