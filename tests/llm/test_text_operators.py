@@ -88,16 +88,17 @@ def near(a, b):
 def test_line_dedup_equals_brute_force(spark):
     r = random.Random(4)
     base = ["".join(r.choice("abcdé ") for _ in range(r.randrange(15, 60))) for _ in range(25)]
+    base += ["".join(r.choice("abcdefghijklmné") for _ in range(n)) for n in (*range(1, 31), 1, 2, 2, 3, 3, 4, 5, 6)]
 
     def edited(s):
         i = r.randrange(len(s))
         return r.choice([s, s.upper(), s[:i] + "z" + s[i + 1 :], s[:i] + s[i + 1 :], s[:i] + "yy" + s[i:], s[:i] + "q" + s[i:], "  " + s])
 
-    rows = [(i, "\n".join(edited(r.choice(base)) for _ in range(r.randrange(1, 8)))) for i in range(80)] + [(200, None), (201, ""), (None, base[0])]
+    rows = [(i, "\n".join(edited(r.choice(base)) for _ in range(r.randrange(1, 8)))) for i in range(80)] + [(200, None), (201, ""), (202, "\n \n"), (None, base[0])]
     got = lines.dedup_lines(frame(spark, rows, "doc_id long, text string")).collect()
     places = [((d, n), x, x.strip(" ").lower()) for d, t in rows if d is not None and t is not None for n, x in enumerate(t.split("\n"))]
     places.sort(key=lambda p: p[0])
-    gone = {p for k, (p, _, t) in enumerate(places) if len(t) >= 20 and any(len(u) >= 20 and near(t, u) for _, _, u in places[:k])}
+    gone = {p for k, (p, _, t) in enumerate(places) if t and any(u and near(t, u) for _, _, u in places[:k])}
     for x in got:
         if x.doc_id is None:
             assert x.text == base[0]
@@ -109,10 +110,12 @@ def test_line_dedup_equals_brute_force(spark):
     assert len(got) == len(rows) and got[0].asDict().keys() >= {"h", "cls"}
 
 
-def test_short_lines_take_part_in_the_exact_match(spark):
-    rows = [(1, "Share this\n\nsome line of more than twenty characters"), (2, " share this \n\nshare thin"), (3, "share thin\nSome line of more than twenty character")]
-    got = {x.doc_id: (x.text, x.n_dropped) for x in lines.dedup_lines(frame(spark, rows, "doc_id long, text string"), short=True).collect()}
-    assert got == {1: (rows[0][1], 0), 2: ("\nshare thin", 1), 3: ("", 2)}
+def test_line_dedup_edge_tables(spark):
+    rows = [(1, "Share this\n\nsome line", 7), (2, " share this \n\nshare thin", 8), (2, " share this \n\nshare thin", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int")
+    got = [(x.doc_id, x.text, x.n_lines, x.n_dropped) for x in lines.dedup_lines(df).collect()]
+    assert sorted(got) == [(1, rows[0][1], 3, 0), (2, "", 3, 2), (2, "", 3, 2)]
+    assert lines.dedup_lines(df.where("false")).count() == 0
 
 
 def test_decontamination_catches_other_numbers(spark):
@@ -148,6 +151,39 @@ def test_decontamination_reads_slots_where_windows_matched(spark):
     assert sorted(x.doc_id for x in got) == [1, 2, 3, 5]
 
 
+def test_decontamination_masks_whole_names(spark):
+    item = "Mary Jane Watson drives 3.5 miles to see Anna McDonald in town. Mary Jane Watson then walks 35 minutes back home with her"
+    bench = spark.createDataFrame([(1, item), (2, "12 13 14 15 16 17 18"), (3, "Tom Sawyer")], "item_id long, text string")
+    renamed = item.replace("Mary Jane Watson", "Olu Smith").replace("Anna McDonald", "Tom O\u2019Brien")
+    rows = [
+        (1, item),
+        (2, renamed),
+        (3, renamed.replace("3.5", "35")),  # two values of the item became one: still each became one value
+        (4, item.replace("35 minutes", "3.5 minutes")),
+        (5, item.replace("Mary Jane Watson then", "Olu Smith then")),  # one person became two
+        (6, item.title()),  # a headline's words are no names
+        (7, "5 6 7 8 9 10 11 12 13 14 15 16 17"),  # runs of numbers alone are no windows
+        (8, "12 13 14 15 16 17 18"),
+        (9, "Huck Finn"),  # a short item is held by its own words only
+        (10, "tom Sawyer"),
+        (11, "Tom Sawyer"),
+        (12, "The day Olu Smith drives 3.5 miles to see Bo in town was sunny. Then she walks 35 minutes."),
+    ]
+    got = decontaminate.contaminated(frame(spark, rows, "doc_id long, text string"), bench).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 2), (11, 3)]
+    assert {x.doc_id: x.n_changed for x in got if x.item_id == 1} == {1: 0, 2: 3, 3: 4, 4: 1}
+
+
+def test_decontamination_of_repeated_ids_and_other_columns(spark):
+    item = "they count nine red boats and seven small houses by the river"
+    bench = frame(spark, [(1, item), (1, item), (None, item)], "item_id long, text string")
+    rows = [(1, "so " + item), (1, "so " + item), (None, item), (2, item[:30]), (2, item[24:])]
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, tokens string, n_slots int")
+    got = decontaminate.contaminated(df, bench).collect()
+    assert [(x.doc_id, x.item_id, x.n_slots) for x in got if x.doc_id == 1] == [(1, 1, 0)] and {x.doc_id for x in got} <= {1, 2}
+    assert decontaminate.contaminated(df, bench.where("false")).count() == 0 == decontaminate.contaminated(df.where("false"), bench).count()
+
+
 def test_bpe_equals_tiktoken_and_round_trips(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = bpe.load_ranks(path)
@@ -163,10 +199,24 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
         assert x.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and x.round_trip
     back = bpe.decode(bpe.encode(frame(spark, list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.PATTERN), path)
     assert all(x.text == (texts[x.doc_id] or "") for x in back.collect())
+    assert bpe.digests(frame(spark, [], "doc_id long, text string"), path, public_tokenizers.PATTERN).count() == 0
+    clash = spark.createDataFrame([(1, "some text", "x")], "doc_id long, text string, ids string")
+    assert bpe.encode(clash, path, public_tokenizers.PATTERN).first().ids == other.encode_ordinary("some text")
     table = bpe.PerfectHash(ranks)
     assert sorted(table.ids) == sorted(ranks.values()) and table.get(b"no such token here") == -1
 
 
+def test_bpe_memo_is_bounded_and_changes_nothing():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    r, one = random.Random(4), bpe.Encoder(ranks)
+    few = bpe.Encoder(ranks, 2000)
+    words = ["".join(r.choices("abcdef", k=r.randrange(1, 12))) for _ in range(300)] + ["z" * 500]
+    for w in words + words[::-1]:
+        assert few[w] == one[w] and (one[w] == one.merged(w.encode()) or one[w] == (one.table.get(w.encode()),))
+    assert len(few) + len(few.old) < 30 and "z" * 500 not in one
+
+
 def test_warc_round_trip_and_seek(spark):
     big = "é" * 600
     rows = [(1, "http://a\nb", big), (2, "u", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (None, "u", big)]
@@ -187,7 +237,9 @@ def test_warc_round_trip_and_seek(spark):
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "TILE_ROWS", 7)
-    monkeypatch.setattr(topk, "FAN", 2)
+    for name in ("FAN", "TILES", "BLOCKS"):
+        monkeypatch.setattr(topk, name, 2)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 1)
     r = random.Random(6)
     rows = [(i, [r.choice([0.5, -0.25, 0.1, 1.0]) for _ in range(4)]) for i in range(0, 130)]
     rows += [(500, None), (550, [None, 1.0, 1.0, 1.0]), (600, [float("nan")] * 4), (650, [float("inf")] * 4), (700, rows[3][1])]
@@ -202,7 +254,18 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
         best = sorted((-sum(a * b for a, b in zip(whole[q], e, strict=True)), i) for i, e in whole.items() if i != q)[:5]
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert sorted(got) == sorted(want)
-    assert topk.top_k(v.where("false"), v.where("false")).count() == 0
+    assert topk.top_k(v.where("false"), v.where("false")).count() == 0 and topk.top_k(v, v.where("false")).count() == 0
+    assert topk.top_k(v.where("false"), v.where("vec_id = 50")).count() == 0
+
+
+def test_top_k_repeated_candidates_and_large_numbers(spark):
+    rows = [(1, [3, 4]), (2, [1, 1]), (2, [1, 1]), (3, [1 << 40, 1]), (4, [7]), (1, [3, 4])]
+    v = frame(spark, rows, "vec_id long, v array<long>")
+    got = [tuple(x) for x in topk.top_k(v, v.where("vec_id = 1"), 4).select("rank", "vec_id", "score").orderBy("rank").collect()]
+    assert got == [(1, 3, 3 * (1 << 40) + 4), (2, 4, 21), (3, 2, 7), (4, 2, 7)]
+    big = frame(spark, [(1, [1 << 40]), (2, [1 << 40])], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(big, big.where("vec_id = 1")).collect()
 
 
 WORDS = {"xx": "the and of that with for this".split(), "yy": "der die und nicht ist von mit".split()}
@@ -218,6 +281,8 @@ def test_language_id(spark):
     held = [x for i, x in got.items() if i < 900 and i % 4 == 2]
     assert sum(x.lang_pred == x.lang for x in held) / len(held) > 0.95
     assert all(got[i].lang_pred == "und" and got[i].rejected and got[i].score == 0 for i in (900, 901, 902))
+    clash = spark.createDataFrame([(1, "the and of that", "x", 3)], "doc_id long, text string, score string, rejected int")
+    assert langid.predict(clash, model).first().lang_pred == "xx" and langid.predict(clash.where("false"), model).count() == 0
     assert langid.fit(df.where("false")) == {} and langid.predict(df.limit(2), {}).count() == 2
 
 
