@@ -1,8 +1,8 @@
 """Operator 10, byte-level BPE encoding and decoding by a two-tier lookup.
 
 Each match of the pre-token pattern is looked up in a minimal perfect hash over the vocabulary's byte strings; a hit is one id.
-A miss is merged with a heap over a linked list of its bytes, lowest rank first and leftmost on ties. A bounded memo keeps the
-ids of pre-tokens seen lately in a worker.
+A miss is merged with a heap over a linked list of its bytes, lowest rank first and leftmost on ties. A memo, bounded by bytes,
+keeps the ids of pre-tokens seen lately in a worker.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 
 from fenmark.llm.common import each_batch
 
-MEMO_ENTRIES = 300_000
+#: Bytes of each of the memo's two generations, about; longer pre-tokens are not kept.
+MEMO_BYTES, MEMO_LONGEST = 16 << 20, 128
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -62,9 +63,10 @@ class PerfectHash:
 class Encoder(dict):
     """pre-token -> ids. Missing ones are made and kept; two generations bound the memo."""
 
-    def __init__(self, table: PerfectHash, ranks_of: dict[bytes, int], most: int = MEMO_ENTRIES):
+    def __init__(self, ranks: dict[bytes, int], most: int = MEMO_BYTES):
         super().__init__()
-        self.table, self.ranks, self.most, self.old = table, ranks_of, most, {}
+        self.table, self.ranks, self.most, self.held, self.old = PerfectHash(ranks), ranks, most, 0, {}
+        self.pairs = [ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         ids = self.old.get(token)
@@ -72,40 +74,46 @@ class Encoder(dict):
             raw = token.encode("utf-8", "surrogatepass")
             one = self.table.get(raw)
             ids = (one,) if one >= 0 else self.merged(raw)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[token] = ids
+        if len(token) <= MEMO_LONGEST:
+            # the objects' heads, their share of the dictionary, and what they hold
+            self.held += 160 + 2 * len(token) + 8 * len(ids)
+            if self.held > self.most:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[token] = ids
         return ids
 
     def merged(self, raw: bytes) -> tuple[int, ...]:
-        """Ids of a pre-token that is not in the vocabulary."""
+        """Ids of a pre-token that is not in the vocabulary. An entry of the heap is a rank and the place where its pair begins."""
         n, rank, pop, push = len(raw), self.ranks.get, heapq.heappop, heapq.heappush
-        end, nxt, prev = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
-        # an entry is rank, start and end of a merge in one integer, which compares fast
         width = 16 if n < 1 << 16 else n.bit_length()
-        two, mask = 2 * width, (1 << width) - 1
-        heap = [(r << two) | (i << width) | (i + 2) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
+        low = (1 << width) - 1
+        best = [self.pairs[x << 8 | y] for x, y in zip(raw, raw[1:])]  # noqa: B905  the rank of the pair that begins here
+        best.append(-1)
+        heap = [r << width | i for i, r in enumerate(best) if r >= 0]
         heapq.heapify(heap)
+        after, before = list(range(1, n + 2)), list(range(-1, n))
         while heap:
             x = pop(heap)
-            i, e = (x >> width) & mask, x & mask
-            j = nxt[i]
-            if end[i] < 0 or j >= n or end[j] != e:
+            i = x & low
+            if best[i] != x >> width:
                 continue  # one of its parts has merged since
-            end[i], end[j] = e, -1
-            k = nxt[i] = nxt[j]
+            j = after[i]
+            k = after[i] = after[j]
+            best[j] = r = -1
             if k < n:
-                prev[k] = i
-                if (r := rank(raw[i : end[k]])) is not None:
-                    push(heap, (r << two) | (i << width) | end[k])
-            p = prev[i]
-            if p >= 0 and (r := rank(raw[p:e])) is not None:
-                push(heap, (r << two) | (p << width) | e)
+                before[k] = i
+                if (r := rank(raw[i : after[k]], -1)) >= 0:
+                    push(heap, r << width | i)
+            best[i] = r
+            if (p := before[i]) >= 0:
+                r = best[p] = rank(raw[p:k], -1)
+                if r >= 0:
+                    push(heap, r << width | p)
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[raw[i : end[i]]])
-            i = nxt[i]
+            out.append(self.ranks[raw[i : after[i]]])
+            i = after[i]
         return tuple(out)
 
 
@@ -116,9 +124,12 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.split = regex.compile(pattern).findall
-        self.encoder = Encoder(PerfectHash(ranks), ranks)
-        self.pieces = {i: k for k, i in ranks.items()}
-        self.names = {i: str(i) for i in self.pieces}
+        self.encoder = Encoder(ranks)
+        size = max(ranks.values(), default=-1) + 1
+        self.pieces: list[bytes | None] = [None] * size
+        self.names: list[str | None] = [None] * size
+        for k, i in ranks.items():
+            self.pieces[i], self.names[i] = k, str(i)
 
     @classmethod
     def of(cls, ranks: dict[bytes, int], pattern: str, name: str) -> Codec:
@@ -193,7 +204,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "text") -
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + f", `{out}` string"
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        pieces = {i: k for k, i in ranks.value.items()}
+        pieces = {i: k for k, i in ranks.value.items()}  # an id that the vocabulary does not have is an error
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
             made = [None if v is None else b"".join(map(pieces.__getitem__, v)).decode("utf-8", "replace") for v in part.column(part.schema.get_field_index(ids)).to_pylist()]
