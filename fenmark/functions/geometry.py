@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,16 @@ def intersection_area(a: ColumnOrName, b: ColumnOrName) -> Column:
     return _call("intersection_area", a, b)
 
 
+def shared(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """The intersection, or null where they share no point."""
+    return _call("shared", a, b)
+
+
+def shared_area(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """The area of the intersection, 0 where only boundaries meet, or null where they share no point."""
+    return _call("shared_area", a, b)
+
+
 def difference(a: ColumnOrName, b: ColumnOrName) -> Column:
     """a without b; a where b is null."""
     return _call("difference", a, b)
@@ -134,3 +146,16 @@ def tile_bounds(z: int, x: int, y: int) -> tuple[float, float, float, float]:
     world = 2 * 3.141592653589793 * 6378137.0
     side = world / 2**z
     return -world / 2 + x * side, world / 2 - (y + 1) * side, -world / 2 + (x + 1) * side, world / 2 - y * side
+
+
+def hash_key(g: ColumnOrName) -> Column:
+    """A name for a geometry by its bytes: equal geometries have the same."""
+    return F.sha2(F.col(g) if isinstance(g, str) else g, 256)
+
+
+def epsg(text: str) -> int:
+    """27700 from EPSG:27700 in any of its spellings; ValueError for others."""
+    found = re.fullmatch(r"(?i)(?:urn:ogc:def:crs:)?EPSG:{1,2}(\d+)", text.strip())
+    if not found:
+        raise ValueError(f"no EPSG code: {text}")
+    return int(found[1])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +36,23 @@ class Settings:
     load_factor: float = 0.9
 
 
+def settings(conf: dict[str, str], base: Settings = Settings()) -> Settings:
+    """base with what a session's settings say, as spark.fenmark.greenspace.share or spark.fenmark.bufferPercent; other names below
+    spark.fenmark. are an error. Pass dict(spark.sparkContext.getConf().getAll())."""
+    names = {"greenspace": {"thresholdHa": "threshold_ha", "share": "share", "nCoeff": "n_coeff", "pCoeff": "p_coeff"}, "suds": {"thresholdDwellings": "threshold_dwellings", "flowShare": "flow_share", "reduction": "reduction"}, "": {"bufferPercent": "buffer_percent", "fallbackWorks": "fallback_works", "days": "days", "mgPerKg": "mg_per_kg", "loadFactor": "load_factor"}}
+    found: dict[str, dict] = {group: {} for group in names}
+    for key, text in conf.items():
+        if key.startswith("spark.fenmark."):
+            group, _, name = key.removeprefix("spark.fenmark.").rpartition(".")
+            if name not in names.get(group, {}):
+                raise ValueError(f"unknown setting: {key}")
+            field = names[group][name]
+            old = getattr(getattr(base, group) if group else base, field)
+            found[group][field] = type(old)(text)
+    parts = {group: replace(getattr(base, group), **found[group]) for group in ("greenspace", "suds")}
+    return replace(base, **found[""], **parts)
+
+
 def land_use_uplift(area_ha: Column, site_ha: Column, current: Column, housing: Column, greenspace_coeff: float, g: Greenspace = Greenspace()) -> Column:
     """Load change of an area that becomes housing; sites from the threshold on keep a share of greenspace. Rounded to 2 places."""
     then = F.when(site_ha >= g.threshold_ha, housing * (1 - g.share) + F.lit(g.share * greenspace_coeff)).otherwise(housing)

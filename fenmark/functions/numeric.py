@@ -46,3 +46,36 @@ def finite(c: ColumnOrName) -> Column:
 def sum_or_zero(c: ColumnOrName) -> Column:
     """The sum of what is not null, 0 if nothing is."""
     return F.coalesce(F.sum(_col(c)), F.lit(0.0))
+
+
+def cleaned(df):
+    """df with null for NaN and infinite numbers in every column, those within structs, arrays and maps' values too."""
+    from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
+
+    def touches(t) -> bool:
+        if isinstance(t, StructType):
+            return any(touches(f.dataType) for f in t)
+        return isinstance(t, DoubleType | FloatType) or isinstance(t, ArrayType) and touches(t.elementType) or isinstance(t, MapType) and touches(t.valueType)
+
+    def clean(c: Column, t) -> Column:
+        if not touches(t):
+            return c
+        if isinstance(t, StructType):
+            return F.when(c.isNotNull(), F.struct(*[clean(c[f.name], f.dataType).alias(f.name) for f in t]))
+        if isinstance(t, ArrayType):
+            return F.transform(c, lambda x: clean(x, t.elementType))
+        if isinstance(t, MapType):
+            return F.transform_values(c, lambda _, v: clean(v, t.valueType))
+        return finite(c)
+
+    return df.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+
+
+def unwrapped_json(c: ColumnOrName) -> Column:
+    """The text that a JSON string holds, for JSON that was encoded twice; null for what is no JSON string."""
+    return F.get_json_object(F.concat(F.lit("["), F.when(_col(c).startswith('"'), _col(c)), F.lit("]")), "$[0]")
+
+
+def normalised(c: ColumnOrName) -> Column:
+    """Text to compare by: trimmed, empty for null."""
+    return F.trim(F.coalesce(_col(c), F.lit("")))

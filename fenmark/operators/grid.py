@@ -3,6 +3,9 @@
 A row's level is the smallest whose cells are at least as wide as its bounding box, so that it covers four cells at most, however
 large it is. Two rows meet at the larger of their levels, in one cell only: the one that holds the lower left corner of what their
 boxes share. So pairs come once, without a distinct, and neither small parcels nor huge catchments multiply rows.
+
+A cell of a huge row may hold very many small ones. Rows that are lifted by `FAR` levels or more are dealt over `SALTS` keys of the
+cell, and the few rows of that size are repeated as often.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from fenmark.functions import geometry as st
 
 BASE, STEP, LEVELS = 500.0, 4.0, 12
+FAR, SALTS = 3, 16
 
 
 def with_box(df: DataFrame, geom: str, name: str, grow: float = 0.0) -> DataFrame:
@@ -36,11 +40,28 @@ def _levels(df: DataFrame) -> list[int]:
     return sorted(r[0] for r in df.select(_level("_box")).distinct().collect())
 
 
-def _celled(df: DataFrame, own: str, met: list[int]) -> DataFrame:
-    """df once for each cell it covers at its own level and at each larger level in met."""
-    df = df.withColumn(own, _level("_box"))
-    larger = F.filter(F.array(*[F.lit(m) for m in met]) if met else F.array().cast("array<int>"), lambda m: m > F.col(own))
-    df = df.withColumn("_level", F.explode(F.concat(F.array(F.col(own)), larger)))
+def _celled(df: DataFrame, own: str, other: str, met: list[int]) -> DataFrame:
+    """df once for each cell it covers at its own level, and at each larger level in met. Column _part tells who meets there: both
+    sides at their own level, or one side's rows (`own` or `other`) at theirs with smaller ones of the other side."""
+    df = df.withColumn("_own", _level("_box"))
+    level, none = F.col("_own"), F.array().cast("array<struct<_level:int,_part:string,_salt:int>>")
+
+    def key(at: Column, part: str, salt: Column) -> Column:
+        return F.struct(at.cast("int").alias("_level"), F.lit(part).alias("_part"), salt.cast("int").alias("_salt"))
+
+    def alone(at: Column, part: str, salt: Column) -> Column:
+        return F.array(key(at, part, salt))
+
+    keys = [alone(level, "=", F.lit(-1))]
+    if met:
+        # a row is met by smaller ones in its cell as it is, and by much smaller ones in each share of it
+        keys.append(F.when(level > min(met), alone(level, own, F.lit(-1))).otherwise(none))
+        keys.append(F.when(level - min(met) >= FAR, F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: key(level, own, i))).otherwise(none))
+        dealt = F.pmod(F.xxhash64("_box"), F.lit(SALTS))
+        larger = F.filter(F.array(*[F.lit(m) for m in met]), lambda m: m > level)
+        keys.append(F.transform(larger, lambda m: key(m, other, F.when(m - level >= FAR, dealt).otherwise(-1))))
+    df = df.withColumn("_key", F.explode(F.concat(*keys))).drop("_own")
+    df = df.withColumns({c: F.col(f"_key.{c}") for c in ("_level", "_part", "_salt")}).drop("_key")
     s = _size(F.col("_level"))
     for axis in ("x", "y"):
         df = df.withColumn(f"_c{axis}", F.explode(F.sequence(F.floor(F.col(f"_box.{axis}0") / s), F.floor(F.col(f"_box.{axis}1") / s))))
@@ -54,15 +75,13 @@ def box_pairs(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom: str
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     a, b = with_box(left, lgeom, "_box", within), with_box(right, rgeom, "_box")
     on_left, on_right = _levels(a), _levels(b)
-    a, b = _celled(a, "_l", on_right), _celled(b, "_r", on_left)
-    a = a.withColumnRenamed("_box", "_lbox")
-    b = b.withColumnRenamed("_box", "_rbox")
-    pairs = a.join(b, ["_level", "_cx", "_cy"]).where("_level = greatest(_l, _r)")
+    a, b = _celled(a, "l", "r", on_right).withColumnRenamed("_box", "_lbox"), _celled(b, "r", "l", on_left).withColumnRenamed("_box", "_rbox")
+    pairs = a.join(b, ["_level", "_part", "_salt", "_cx", "_cy"])
     s = _size(F.col("_level"))
     for axis in ("x", "y"):
         low = F.greatest(f"_lbox.{axis}0", f"_rbox.{axis}0")
         pairs = pairs.where((low <= F.least(f"_lbox.{axis}1", f"_rbox.{axis}1")) & (F.floor(low / s) == F.col(f"_c{axis}")))
-    return pairs.drop("_level", "_cx", "_cy", "_l", "_r", "_lbox", "_rbox")
+    return pairs.drop("_level", "_part", "_salt", "_cx", "_cy", "_lbox", "_rbox")
 
 
 def spatial_join(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom: str = "r_geom") -> DataFrame:

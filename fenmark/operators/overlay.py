@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
-from fenmark.operators.grid import spatial_join, within_distance
+from fenmark.operators.grid import BASE, STEP, box_pairs, spatial_join, within_distance
+from fenmark.session import written
 
 
 def _feature(layer: DataFrame, attr: str, fid: str) -> DataFrame:
@@ -19,15 +20,17 @@ def majority_overlap(left: DataFrame, layers: dict[str, tuple[DataFrame, str, st
     """left with a column for each of layers {name: (layer, attribute, feature id, default)}: the attribute of the feature that
     overlaps most. The default stands where nothing does, or where the winner's attribute is null.
 
-    All layers go through one join and one grouping. touching: a shared boundary (area 0) counts.
+    All layers go through one join and one grouping. touching: a shared boundary (area 0) counts. Feature ids may be numbers or
+    strings; in layers of different kinds they are compared as strings.
     """
+    if len({layer.schema[fid].dataType for layer, _, fid, _ in layers.values()}) > 1:
+        layers = {name: (layer.withColumn(fid, F.col(fid).cast("string")), attr, fid, default) for name, (layer, attr, fid, default) in layers.items()}
     tagged = reduce(DataFrame.unionByName, [_feature(layer, attr, fid).drop("_fid_text").withColumn("_layer", F.lit(name)) for name, (layer, attr, fid, _) in layers.items()])
-    pairs = spatial_join(left.select(F.col(key), "geom"), tagged).withColumn("_area", st.intersection_area("geom", "r_geom"))
-    if not touching:
-        pairs = pairs.where("_area > 0")
-    best = F.struct(F.col("_area"), (-F.col("_fid")).alias("_least"))
-    won = pairs.groupBy(key).agg(*[F.max_by(F.struct("_attr"), F.when(F.col("_layer") == name, best)).alias(name) for name in layers])
-    # max_by passes over rows of other layers, whose order is null
+    # one look at the geometries: the area is null where they do not share a point
+    pairs = box_pairs(left.select(F.col(key), "geom"), tagged).withColumn("_area", st.shared_area("geom", "r_geom")).where(F.col("_area").isNotNull() if touching else F.col("_area") > 0)
+    best = F.struct((-F.col("_area")).alias("_area"), F.col("_fid"))
+    won = pairs.groupBy(key).agg(*[F.min_by(F.struct("_attr"), F.when(F.col("_layer") == name, best)).alias(name) for name in layers])
+    # min_by passes over rows of other layers, whose order is null
     won = won.select(key, *[F.col(f"{name}._attr").alias(name) for name in layers])
     out = left.join(won, key, "left")
     for name, (_, _, _, default) in layers.items():
@@ -40,18 +43,31 @@ def land_use_intersections(sites: DataFrame, coefficients: DataFrame, catchments
     """Site x coefficient x catchment where all three share area, with area_in_nn_catchment_ha. Geometry columns: geom in each."""
     c = coefficients.withColumnRenamed("geom", "c_geom")
     n = catchments.withColumnRenamed("geom", "n_geom")
-    two = spatial_join(sites.select(key, "geom"), c, "geom", "c_geom")
+    two = box_pairs(sites.select(key, "geom"), c, "geom", "c_geom")
     # a catchment must meet both; their pair is narrowed first
-    two = two.withColumn("cut", st.intersection("geom", "c_geom")).where(~st.is_empty("cut")).drop("geom", "c_geom")
-    three = spatial_join(two, n, "cut", "n_geom").withColumn("area_in_nn_catchment_ha", st.intersection_area("cut", "n_geom") / 10_000.0)
+    two = two.withColumn("cut", st.shared("geom", "c_geom")).where("cut is not null").drop("geom", "c_geom")
+    three = box_pairs(two, n, "cut", "n_geom").withColumn("area_in_nn_catchment_ha", st.shared_area("cut", "n_geom") / 10_000.0)
     return three.where("area_in_nn_catchment_ha > 0").drop("cut", "n_geom")
 
 
+def union_by(df: DataFrame, keys: list[str], geom: str, name: str) -> DataFrame:
+    """keys and the union of each group's geometries as `name`. Geometries are united by small cells first, then by larger ones, so
+    that no task gets a whole large group as it came."""
+    df = df.select(*keys, F.col(geom).alias(name)).where(F.col(name).isNotNull())
+    for level in (2, 5):
+        s = BASE * STEP**level
+        b = st.bounds(name)
+        df = df.withColumn("_b", b).groupBy(*keys, F.floor(F.col("_b")[0] / s).alias("_cx"), F.floor(F.col("_b")[1] / s).alias("_cy")).agg(st.union_agg(name).alias(name))
+    return df.groupBy(*keys).agg(st.union_agg(name).alias(name))
+
+
 def clip(layer: DataFrame, mask: DataFrame, geom: str = "geom") -> DataFrame:
-    """layer's rows that meet the union of mask's geometries, cut to it; what gets empty goes."""
-    whole = mask.agg(st.union_agg("geom").alias("m_geom"))
-    met = spatial_join(layer, whole, geom, "m_geom").withColumn(geom, st.intersection(geom, "m_geom")).drop("m_geom")
-    return met.where(~st.is_empty(geom))
+    """layer's rows that meet the union of mask's geometries, cut to it; what gets empty goes. A row is cut by what it meets only."""
+    rest = [c for c in layer.columns if c != geom]
+    rows = written(layer.select(*rest, geom).withColumn("_row", F.monotonically_increasing_id()))
+    met = spatial_join(rows.select("_row", geom), mask.select(F.col("geom").alias("m_geom")), geom, "m_geom")
+    cut = rows.join(union_by(met, ["_row"], "m_geom", "_mask"), "_row").withColumn(geom, st.shared(geom, "_mask"))
+    return cut.where(F.col(geom).isNotNull()).select(*layer.columns)
 
 
 def overlay_intersection(left: DataFrame, right: DataFrame, grid: float | None = 1e-4, keep_all: bool = False) -> DataFrame:
@@ -68,7 +84,7 @@ def overlay_intersection(left: DataFrame, right: DataFrame, grid: float | None =
 
 def overlay_difference(left: DataFrame, right: DataFrame, key: str, grid: float | None = 1e-4) -> DataFrame:
     """left without what right's geometries cover; what gets empty goes. right has r_geom."""
-    cover = spatial_join(left.select(key, "geom"), right.select("r_geom")).groupBy(key).agg(st.union_agg("r_geom").alias("_cover"))
+    cover = union_by(spatial_join(left.select(key, "geom"), right.select("r_geom")), [key], "r_geom", "_cover")
     out = left.join(cover, key, "left").withColumn("geom", st.difference("geom", "_cover")).drop("_cover")
     if grid:
         out = out.withColumn("geom", st.reduce_precision("geom", grid))
@@ -84,21 +100,37 @@ def any_intersection(left: DataFrame, layer: DataFrame, attr: str, fid: str, key
 def nearest(left: DataFrame, layer: DataFrame, attr: str, fid: str, key: str, name: str, most: float | None = None, start: float = 2_000.0) -> DataFrame:
     """left with the attribute of the nearest feature and its distance_m, null where none is within `most`.
 
-    Rings are widened fourfold for rows that found nothing yet. A hit inside a ring is the nearest: what is outside is farther.
+    Rings are widened fourfold for rows that found nothing yet, up to the distance that holds both layers. A hit inside a ring is the
+    nearest: what is outside is farther. The rows that are left after a ring are written, so that no ring is searched again.
     """
-    todo, found, radius = left.select(key, "geom"), None, start
-    feature = _feature(layer, attr, fid)
-    limit = most if most is not None else 4e7
+    todo, found, radius = written(left.select(key, "geom")), None, start
+    feature = written(_feature(layer, attr, fid))
+    both = todo.select("geom").union(feature.select("r_geom")).select(st.bounds("geom").alias("b"))
+    x0, y0, x1, y1 = both.agg(*[f(F.col("b")[i]) for i, f in enumerate((F.min, F.min, F.max, F.max))]).first()
+    limit = 0.0 if x0 is None else ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5 + 1.0
+    limit = limit if most is None else min(limit, most)
     while True:
         radius = min(radius, limit)
         hit = within_distance(todo, feature, radius).groupBy(key).agg(F.min_by(F.struct("_attr", "distance_m"), F.struct("distance_m", "_fid")).alias("_n"))
+        hit = written(hit)
         found = hit if found is None else found.unionByName(hit)
-        if radius >= limit or (todo := todo.join(hit.select(key), key, "left_anti")).isEmpty() or feature.isEmpty():
+        if radius >= limit:
+            break
+        todo = written(todo.join(hit.select(key), key, "left_anti"))
+        if todo.isEmpty():
             break
         radius *= 4
     return left.join(found, key, "left").withColumn(name, F.col("_n._attr")).withColumn("distance_m", F.col("_n.distance_m")).drop("_n")
 
 
+def by_distance(pairs: DataFrame, key: str, fid: str, most: int | None = None) -> DataFrame:
+    """Pairs of within_distance() with their rank for each `key`, nearest first, ties by feature id; the first `most` only if given.
+    Rows come in that order for each key."""
+    order = Window.partitionBy(key).orderBy("distance_m", fid)
+    ranked = pairs.withColumn("rank", F.row_number().over(order))
+    return ranked if most is None else ranked.where(F.col("rank") <= most)
+
+
 def semi(left: DataFrame, right: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """left's rows that meet any of right's r_geom (left_semi) or none (left_anti)."""
     return left.join(spatial_join(left.select(key, "geom"), right.select("r_geom")).select(key), key, how)

@@ -12,6 +12,7 @@ from fenmark.functions.loads import Settings, daily_water, land_use_uplift, suds
 from fenmark.functions.numeric import ratio, round_half_even, sum_or_zero, to_number
 from fenmark.operators.numbering import number_rows
 from fenmark.operators.overlay import land_use_intersections, majority_overlap
+from fenmark.session import written
 
 PACKAGE_PLANT = "Package Treatment Plant default"
 #: Older input names and the present ones.
@@ -33,12 +34,14 @@ class Reference:
 
 
 def prepare(sites: DataFrame, order: str = "id", job: str | None = None) -> DataFrame:
-    """Present names, checked columns, rlb_id from 1 in the given order (within each job, if there are several) and site areas."""
+    """Present names, the expected columns only, rlb_id from 1 in the given order (within each job, if there are several) and site
+    areas. The order column may be of any type that can be ordered; it should be unique."""
     have = set(sites.columns)
     sites = sites.withColumnsRenamed({a: b for a, b in LEGACY_NAMES.items() if a in have and b not in have})
     missing = [c for c in REQUIRED if c not in sites.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
+    sites = sites.select(*dict.fromkeys([*REQUIRED, order, *([job] if job else [])]))
     if job:
         sites = sites.withColumn("rlb_id", F.row_number().over(Window.partitionBy(job).orderBy(order)))
     else:
@@ -48,6 +51,7 @@ def prepare(sites: DataFrame, order: str = "id", job: str | None = None) -> Data
 
 def assess(sites: DataFrame, ref: Reference, s: Settings = Settings(), key: str = "rlb_id", job: str | None = None) -> DataFrame:
     """impact_summary: one row for each development in scope. sites come from prepare(); key must be unique over all jobs."""
+    sites = written(sites)  # the joins below read them four times
     out = majority_overlap(
         sites,
         {"majority_wwtw_id": (ref.works, "code", "id", str(s.fallback_works)), "majority_name": (ref.planning, "name", "id", "UNKNOWN"), "majority_opcat_name": (ref.subcatchments, "name", "id", None)},
@@ -74,9 +78,12 @@ def assess(sites: DataFrame, ref: Reference, s: Settings = Settings(), key: str
 
     rates = ref.rates.groupBy("nn_catchment").agg(F.min_by(F.struct("occupancy_rate", "water_usage"), "pos").alias("r")).select(F.col("nn_catchment").alias("_nn"), "r.*")
     out = out.join(rates, out["nn_catchment"].eqNullSafe(rates["_nn"]), "left").drop("_nn")
-    group = Window.partitionBy(*([job] if job else []), "majority_wwtw_id")
-    for c in ("occupancy_rate", "water_usage"):
-        out = out.withColumn(c, F.coalesce(F.col(c), F.avg(c).over(group)))
+    # means are aggregated and joined back, as a works that very many sites share must not become one task
+    group = [*([job] if job else []), "majority_wwtw_id"]
+    rated = written(out)
+    means = rated.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(F.avg("occupancy_rate").alias("_occupancy"), F.avg("water_usage").alias("_usage"))
+    out = rated.join(means, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group], "left").drop(*[f"_{c}" for c in group])
+    out = out.withColumns({"occupancy_rate": F.coalesce("occupancy_rate", "_occupancy"), "water_usage": F.coalesce("water_usage", "_usage")}).drop("_occupancy", "_usage")
     out = out.withColumn("daily_water_usage_L", daily_water(F.col("dwellings"), F.col("occupancy_rate"), F.col("water_usage")))
 
     facts = ["wwtw_name", "wwtw_subcatchment", "n_conc_2025", "n_conc_2030", "p_conc_2025", "p_conc_2030"]

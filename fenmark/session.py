@@ -1,10 +1,14 @@
-"""Registers the geometry functions in a session."""
+"""What a session needs: the geometry functions, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 JAR = Path(__file__).parent / "jvm" / "geometry.jar"
 
@@ -14,6 +18,8 @@ FUNCTIONS = {
     "fm_length": ("Length", "double"),
     "fm_intersection": ("Intersection", "binary"),
     "fm_intersection_area": ("IntersectionArea", "double"),
+    "fm_shared": ("Shared", "binary"),
+    "fm_shared_area": ("SharedArea", "double"),
     "fm_difference": ("Difference", "binary"),
     "fm_intersects": ("Intersects", "boolean"),
     "fm_distance": ("Distance", "double"),
@@ -47,3 +53,32 @@ def ensure_spatial(spark: SparkSession) -> SparkSession:
         for name, (cls, kind) in FUNCTIONS.items():
             spark.udf.registerJavaFunction(name, f"fenmark.{cls}" if "$" in cls else f"fenmark.Geo${cls}", kind)
     return spark
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where the session names none, a local one stands in, as in tests; a session with
+    a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or "file:///tmp/checkpoints").rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, removed when the driver ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # at exit the session may be gone already
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: it is computed once, and what follows does not depend on lost executors."""
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
