@@ -1,9 +1,14 @@
-"""Declarative data-quality rules: all counts of a table in one pass, all failures reported together."""
+"""Declarative data-quality rules: a table's own counts in one pass, all failures reported together.
+
+Key uniqueness and each reference to another table are passes of their own, as they group and join.
+"""
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +46,9 @@ def check(table: str, df: DataFrame, rules: Rules, previous: DataFrame | None =
     for c in dict.fromkeys([*rules.key, *rules.non_null]):
         counts[f"null {c}"] = bad(value(c).isNull())
     for c, (least, most) in rules.ranges.items():
-        x = value(c).cast("double")
+        x = value(c).try_cast("double")
         counts[f"range {c}"] = bad((x < least) | (x > most) | F.isnan(x) | (F.abs(x) == float("inf")))
+        counts[f"number {c}"] = bad(x.isNull() & value(c).isNotNull())
     for c, values in rules.allowed.items():
         counts[f"allowed {c}"] = bad(~value(c).isin(values))
     if rules.geometry_types:
@@ -62,9 +68,62 @@ def check(table: str, df: DataFrame, rules: Rules, previous: DataFrame | None =
         if twice:
             out.append(f"table={table} rule=unique_key detail={twice} keys")
     for c, (target, column, allow_null) in rules.references.items():
-        mine = df.select(value(c).cast("double").alias("v"))
-        lost = mine.join(target.select(F.col(column).cast("double").alias("v")), "v", "left_anti")
-        lost = (lost.where("v is not null") if allow_null else lost).count()
+        # values that are no numbers refer to nothing, and are not nulls
+        mine = df.select(value(c).try_cast("double").alias("v"), value(c).isNull().alias("none"))
+        lost = mine.join(target.select(F.col(column).try_cast("double").alias("v")).where("v is not null").distinct(), "v", "left_anti")
+        lost = (lost.where("not none") if allow_null else lost).count()
         if lost:
             out.append(f"table={table} rule=reference_{c} detail={lost} rows")
     return out
+
+
+RULE_KEYS = {f.name for f in fields(Rules)}
+
+
+def load_rules(text: str, references: dict[str, DataFrame] | None = None) -> dict[str, Rules]:
+    """Rules by table from YAML (where a YAML library is there) or JSON text: {tables: {name: {key: [..], unique: true, ranges:
+    {column: [least, most]}, allowed: {column: [..]}, references: {column: {table: .., column: .., allow_null: ..}}, ..}}}.
+
+    Unknown keys, a table without a key, and a reference to a table that is not among `references` are errors that name the table.
+    """
+    try:
+        import yaml
+    except ImportError:
+        doc = json.loads(text)
+    else:
+        doc = yaml.safe_load(text)
+    tables = (doc or {}).get("tables")
+    if not isinstance(tables, dict) or not tables:
+        raise ValueError("rules: no tables")
+    out = {}
+    for name, given in tables.items():
+        given = dict(given or {})
+        if unknown := sorted(set(given) - RULE_KEYS):
+            raise ValueError(f"rules of {name}: unknown {unknown}")
+        if not given.get("key"):
+            raise ValueError(f"rules of {name}: no key")
+        given["key"] = [given["key"]] if isinstance(given["key"], str) else list(given["key"])
+        given["ranges"] = {c: (float(a), float(b)) for c, (a, b) in given.get("ranges", {}).items()}
+        targets = {}
+        for c, r in given.get("references", {}).items():
+            if r["table"] not in (references or {}):
+                raise ValueError(f"rules of {name}: {c} refers to unknown table {r['table']}")
+            targets[c] = (references[r["table"]], r.get("column", "id"), bool(r.get("allow_null", True)))
+        out[name] = Rules(**given | {"references": targets})
+    return out
+
+
+FAILURE = re.compile(r"table=(\S+) rule=(\S+) detail=(.*)", re.S)
+
+
+def parse_failure(text: str) -> dict[str, str]:
+    """table, rule and detail of a failure's text; other texts are the detail of an unknown rule."""
+    m = FAILURE.fullmatch(text.strip())
+    return dict(zip(("table", "rule", "detail"), m.groups(), strict=True)) if m else {"table": "", "rule": "unknown", "detail": text.strip()}
+
+
+def failures_by_table(failures: DataFrame, column: str = "failure") -> DataFrame:
+    """table, n and detail (`rule: detail` of each failure, joined by `; ` in order) of failure texts, for any number of runs."""
+    part = lambda i: F.regexp_extract(column, r"(?s)^table=(\S+) rule=(\S+) detail=(.*)$", i)
+    rows = failures.where(F.col(column).isNotNull()).select(part(1).alias("table"), F.when(part(2) == "", F.concat(F.lit("unknown: "), column)).otherwise(F.concat(part(2), F.lit(": "), part(3))).alias("d"))
+    return rows.groupBy("table").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("d")), "; ").alias("detail"))

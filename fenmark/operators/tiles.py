@@ -5,11 +5,12 @@ from __future__ import annotations
 import struct
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
 from fenmark.operators.grid import spatial_join
+from fenmark.operators.outputs import tile_etag
 
 
 def _varint(n: int) -> bytes:
@@ -90,31 +91,67 @@ def commands(wkb: bytes) -> tuple[int, list[int]]:
     return kind, out
 
 
+def _value(v: object) -> bytes:
+    if isinstance(v, bool):
+        return _varint(7 << 3) + _varint(int(v))
+    if isinstance(v, int):
+        return _varint(6 << 3) + _varint(v << 1 if v >= 0 else (-v << 1) - 1)
+    if isinstance(v, float):
+        return _varint(3 << 3 | 1) + struct.pack("<d", v)
+    return _field(1, str(v).encode())
+
+
 def encode_layer(name: str, rows: list[tuple[bytes, dict]]) -> bytes:
-    """A tile with one layer of (WKB on the grid, string properties)."""
+    """A tile with one layer of (WKB on the grid, properties): strings, numbers and truth values keep their kind."""
     keys: dict[str, int] = {}
-    values: dict[str, int] = {}
+    values: dict[bytes, int] = {}
     features = b""
     for wkb, properties in rows:
         kind, numbers = commands(wkb)
-        tags = [x for k, v in properties.items() if v is not None for x in (keys.setdefault(k, len(keys)), values.setdefault(str(v), len(values)))]
+        tags = [x for k, v in properties.items() if v is not None for x in (keys.setdefault(k, len(keys)), values.setdefault(_value(v), len(values)))]
         body = _field(2, b"".join(map(_varint, tags))) + _varint(3 << 3) + _varint(kind) + _field(4, b"".join(map(_varint, numbers)))
         features += _field(2, body)
     layer = _varint(15 << 3) + _varint(2) + _field(1, name.encode()) + features
-    layer += b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _field(1, v.encode())) for v in values)
+    layer += b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, v) for v in values)
     return _field(3, layer + _varint(5 << 3) + _varint(4096))
 
 
-def tile(layer: DataFrame, name: str, z: int, x: int, y: int, properties: list[str], srid: int = 27700) -> DataFrame:
-    """One row (z, x, y, tile, features): the features of layer (geom in srid) that touch the tile; no row if none does."""
-    one = layer.sparkSession.range(1).select(st.box(*[F.lit(v) for v in st.tile_bounds(z, x, y)]).alias("t_geom"))
-    rows = spatial_join(layer.select(*properties, st.transform("geom", srid, 3857).alias("geom")), one, "geom", "t_geom")
+def near_box(layer: DataFrame, box: tuple[float, float, float, float], stored: tuple[str, str, str, str] | None = None) -> DataFrame:
+    """layer's rows whose bounding box shares a point with box, all in one system. With `stored`, columns that hold xmin, ymin, xmax
+    and ymax, the filter reaches the scan and no geometry is read for it."""
+    if stored:
+        x0, y0, x1, y1 = (F.col(c) for c in stored)
+    else:
+        b = st.bounds("geom")
+        x0, y0, x1, y1 = (b[i] for i in range(4))
+    return layer.where((x0 <= box[2]) & (x1 >= box[0]) & (y0 <= box[3]) & (y1 >= box[1]))
+
+
+def _source_box(spark: SparkSession, z: int, x: int, y: int, srid: int, steps: int = 16) -> tuple[float, float, float, float]:
+    """A box in srid that holds a tile, by points along its sides and a margin for their bow in between."""
+    x0, y0, x1, y1 = st.tile_bounds(z, x, y)
+    side = [(x0 + (x1 - x0) * i / steps, y0 + (y1 - y0) * j / steps) for i in range(steps + 1) for j in range(steps + 1) if i in (0, steps) or j in (0, steps)]
+    moved = spark.createDataFrame(side, "px double, py double").select(st.bounds(st.transform(st.point("px", "py"), 3857, srid)).alias("b"))
+    r = moved.agg(F.min(F.col("b")[0]), F.min(F.col("b")[1]), F.max(F.col("b")[2]), F.max(F.col("b")[3])).first()
+    margin = max(r[2] - r[0], r[3] - r[1]) * 0.02
+    return r[0] - margin, r[1] - margin, r[2] + margin, r[3] + margin
+
+
+def tile(layer: DataFrame, name: str, z: int, x: int, y: int, properties: list[str], srid: int = 27700, version: int = 1, stored: tuple[str, str, str, str] | None = None) -> DataFrame:
+    """One row (z, x, y, tile, features, etag): the features of layer (geom in srid) that touch the tile; no row if none does.
+
+    Features far from the tile go by their boxes, before any geometry is transformed; see near_box() for `stored`."""
+    spark = layer.sparkSession
+    close = near_box(layer, _source_box(spark, z, x, y, srid), stored)
+    one = spark.range(1).select(st.box(*[F.lit(v) for v in st.tile_bounds(z, x, y)]).alias("t_geom"))
+    rows = spatial_join(close.select(*properties, st.transform("geom", srid, 3857).alias("geom")), one, "geom", "t_geom")
     rows = rows.select(F.lit(z).alias("z"), F.lit(x).alias("x"), F.lit(y).alias("y"), st.tile_geometry("geom", z, x, y).alias("g"), *properties).where("g is not null")
 
     def encode(table: pa.Table) -> pa.Table:
         body = [(r["g"], {p: r[p] for p in properties}) for r in table.to_pylist()]
-        body.sort(key=lambda r: [str(v) for v in r[1].values()])
+        body.sort(key=lambda r: ([str(v) for v in r[1].values()], r[0]))
         return pa.table({"z": pa.array([z], pa.int32()), "x": pa.array([x], pa.int32()), "y": pa.array([y], pa.int32()), "tile": pa.array([encode_layer(name, body)], pa.binary()), "features": pa.array([len(body)], pa.int64())})
 
     # a tile is what one browser request loads, so its features fit one task
-    return rows.groupBy("z", "x", "y").applyInArrow(encode, "z int, x int, y int, tile binary, features long")
+    tiles = rows.groupBy("z", "x", "y").applyInArrow(encode, "z int, x int, y int, tile binary, features long")
+    return tiles.withColumn("etag", tile_etag(name, "z", "x", "y", version))

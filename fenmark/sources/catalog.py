@@ -5,9 +5,13 @@ All tables of a load are written under new versions first; readers see them when
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,31 @@ KEPT_VERSIONS = 2
 HISTORY = "run_id string, table string, version int, rows long, status string, detail string, loaded_at timestamp"
 
 
+@dataclass(frozen=True)
+class Manifest:
+    """One reference-data version: its name, and for each table the path of its rows."""
+
+    data_version: str
+    tables: dict[str, str]
+
+    def __post_init__(self) -> None:
+        if not isinstance(self.data_version, str) or not self.data_version:
+            raise ValueError("a manifest needs a data_version")
+        if not isinstance(self.tables, dict) or not self.tables:
+            raise ValueError("a manifest needs tables")
+        if wrong := sorted(str(t) for t, p in self.tables.items() if not (isinstance(t, str) and t and isinstance(p, str) and p)):
+            raise ValueError(f"a manifest needs a path for each table: {wrong}")
+
+    @classmethod
+    def parse(cls, text: str) -> Manifest:
+        doc = json.loads(text)
+        return cls(doc.get("data_version", ""), doc.get("tables", {}))
+
+
+class Busy(RuntimeError):
+    """Another load is running."""
+
+
 class Catalog:
     """Tables below root, a URI that driver and executors share."""
 
@@ -65,10 +94,39 @@ class Catalog:
         v = self.active(table) if version is None else version
         return self.spark.read.option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}/version={v}")
 
-    def promote(self, tables: dict[str, DataFrame], check=None, cluster: dict[str, str] | None = None) -> str:
+    @contextlib.contextmanager
+    def single_flight(self, stale_after_s: float = 6 * 3600) -> Iterator[None]:
+        """Only one load at a time changes the pointer: the lock file is made whole or not at all. A lock that a lost driver left is
+        taken over once it is stale; Busy otherwise."""
+        lock = self._path(f"{self.root}/.lock")
+        now = datetime.now(UTC).timestamp()
+        if self.fs.exists(lock) and now - self.fs.getFileStatus(lock).getModificationTime() / 1000 > stale_after_s:
+            self.fs.delete(lock, False)
+        if not self._created(lock):
+            raise Busy(f"another load holds {lock.toString()}")
+        try:
+            yield
+        finally:
+            self.fs.delete(lock, False)
+
+    def _created(self, path) -> bool:
+        try:
+            self.fs.create(path, False).close()
+        except Exception as e:
+            if "AlreadyExists" in str(e) or "already exists" in str(e):
+                return False
+            raise
+        return True
+
+    def promote(self, tables: dict[str, DataFrame], check=None, cluster: dict[str, str] | None = None, expected: dict[str, int] | None = None) -> str:
         """Writes every table as a new version, runs check(table name, new frame, old frame or None) -> failures on each, and makes
-        all of them active at once; with a failure none is, and ValueError names all failures. Gives the run id."""
-        run, new, failures = uuid.uuid4().hex, {}, []
+        all of them active at once; with a failure none is, and ValueError names all failures. Gives the run id. A table whose written
+        rows are not as many as `expected` says has failed. Busy if another load is running."""
+        with self.single_flight():
+            return self._promote(tables, check, cluster, expected or {})
+
+    def _promote(self, tables: dict[str, DataFrame], check, cluster: dict[str, str] | None, expected: dict[str, int]) -> str:
+        run, new, failures, before = uuid.uuid4().hex, {}, [], self.pointer()
         for name, df in tables.items():
             new[name] = max(self.versions(name), default=0) + 1
             out = df.repartitionByRange(cluster[name]) if cluster and name in cluster else df
@@ -76,6 +134,8 @@ class Catalog:
         for name in tables:
             old = self.read(name) if self.pointer().get(name) else None
             failures += check(name, self.read(name, new[name]), old) if check else []
+            if name in expected and (n := self.read(name, new[name]).count()) != expected[name]:
+                failures.append(f"table={name} rule=rows_written detail={n} instead of {expected[name]}")
         if failures:
             for name, v in new.items():
                 self.fs.delete(self._path(f"{self.root}/{name}/version={v}"), True)
@@ -84,13 +144,16 @@ class Catalog:
         self._replace("pointer.json", self.pointer() | new)
         self._record(run, new, "success", "")
         for name in tables:
-            for v in [v for v in self.versions(name) if v < new[name]][: -(KEPT_VERSIONS - 1)]:
+            # the version that was active stays, and of the others the latest, KEPT_VERSIONS in all with the new one
+            others = [v for v in self.versions(name) if v < new[name] and v != before.get(name)]
+            keep = KEPT_VERSIONS - 1 - (name in before)
+            for v in others[: len(others) - keep]:
                 self.fs.delete(self._path(f"{self.root}/{name}/version={v}"), True)
         return run
 
     def _record(self, run: str, new: dict[str, int], status: str, detail: str) -> None:
         now = datetime.now(UTC)
-        rows = [(run, t, v, self.read(t, v).count() if status == "success" else None, status, detail, now) for t, v in new.items()]
+        rows = [(run, t, v, self.read(t, v).count() if status != "failed" else None, status, detail, now) for t, v in new.items()]
         self.spark.createDataFrame(rows, HISTORY).coalesce(1).write.mode("append").parquet(f"{self.root}/history")
 
     def history(self) -> DataFrame:
@@ -98,6 +161,28 @@ class Catalog:
             return self.spark.createDataFrame([], HISTORY)
         return self.spark.read.schema(HISTORY).parquet(f"{self.root}/history")
 
+    def status(self, tables: list[str]) -> DataFrame:
+        """table, version, n (rows of the active version; null where there is none) and empty, for each of tables."""
+        def one(t: str) -> DataFrame:
+            if not self.versions(t):
+                return self.spark.sql("SELECT {t} AS table, CAST(NULL AS INT) AS version, CAST(NULL AS BIGINT) AS n", t=t)
+            return self.read(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table"), F.lit(self.active(t)).alias("version"), "n")
+
+        return reduce(DataFrame.unionByName, map(one, tables)).withColumn("empty", F.coalesce(F.col("n") == 0, F.lit(True)))
+
+    def generation(self) -> datetime | None:
+        """When the last successful load was; what was cached before is old."""
+        return self.history().where("status = 'success'").agg(F.max("loaded_at")).first()[0]
+
+    def reconcile(self) -> list[str]:
+        """Notes `reconciled` for tables whose active version has no successful load in the history, as after a driver was lost
+        between the rename and the record; gives their names."""
+        known = {(r.table, r.version) for r in self.history().where("status in ('success', 'reconciled')").select("table", "version").distinct().collect()}
+        lost = {t: v for t, v in self.pointer().items() if (t, v) not in known}
+        if lost:
+            self._record(uuid.uuid4().hex, lost, "reconciled", "the pointer was ahead of the history")
+        return sorted(lost)
+
     def rollback(self, tables: list[str] | None = None) -> tuple[dict[str, int], dict[str, str]]:
         """Moves pointers one version back: (moved, skipped with reasons). Default: the tables of the last successful load."""
         if tables is None:
@@ -115,6 +200,12 @@ class Catalog:
             self._record(uuid.uuid4().hex, moved, "success", "rollback")
         return moved, skipped
 
+    def source_tag(self, path: str) -> str:
+        """A tag of a file in any store that Hadoop reads: it changes with its length and its time of change."""
+        p = self._path(path)
+        s = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        return f"{s.getLen()}-{s.getModificationTime()}"
+
     def needs_reload(self, table: str, etag: str) -> bool:
         """Whether a source's tag differs from the one noted at its last load."""
         return self._read("etags.json").get(table) != etag

@@ -9,6 +9,7 @@ import struct
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from fenmark.functions import geometry as st
 from fenmark.session import ensure_spatial
 
+#: Features that a reader hands on at once.
+BATCH_ROWS = 1_000
 FEATURES = "attributes string, geom binary, srid int"
 
 
@@ -72,19 +75,32 @@ def kml_features(text: str) -> Iterator[tuple[str, bytes | None, int]]:
     def coords(e) -> list:
         return [[float(v) for v in p.split(",")] for p in (e.text or "").split()]
 
-    root = ElementTree.fromstring(text)
-    for p in root.iterfind(".//{*}Placemark"):
-        found = None
-        for poly in p.iterfind(".//{*}Polygon"):
+    def shapes(e) -> list[dict]:
+        """The geometries below an element, those of nested collections too."""
+        out = []
+        for poly in e.iterfind(".//{*}Polygon"):
             rings = [coords(c) for side in ("outerBoundaryIs", "innerBoundaryIs") for b in poly.iterfind(f".//{{*}}{side}") for c in b.iterfind(".//{*}coordinates")]
-            found = {"type": "Polygon", "coordinates": rings}
-            break
-        for kind in () if found else ("LineString", "Point"):
-            for g in p.iterfind(f".//{{*}}{kind}"):
+            out.append({"type": "Polygon", "coordinates": rings})
+        for kind in ("LineString", "Point"):
+            for g in e.iterfind(f".//{{*}}{kind}"):
                 c = coords(next(g.iterfind(".//{*}coordinates")))
-                found = {"type": kind, "coordinates": c[0] if kind == "Point" else c}
+                out.append({"type": kind, "coordinates": c[0] if kind == "Point" else c})
+        return out
+
+    root = ElementTree.fromstring(text)
+    for p in root.iterfind(".//{*}Placemark"):
         name = p.find("{*}name")
-        yield json.dumps({"Name": name.text if name is not None else None}), wkb(found), 4326
+        known = {"Name": name.text if name is not None else None}
+        for d in p.iterfind("{*}ExtendedData//{*}Data"):
+            v = d.find("{*}value")
+            known[d.get("name")] = v.text if v is not None else None
+        for d in p.iterfind("{*}ExtendedData//{*}SimpleData"):
+            known[d.get("name")] = d.text
+        found, kinds = shapes(p), {g["type"] for g in shapes(p)}
+        if len(found) > 1:
+            one = kinds.pop() if len(kinds) == 1 else None
+            found = [{"type": f"Multi{one}", "coordinates": [g["coordinates"] for g in found]} if one else {"type": "GeometryCollection", "geometries": found}]
+        yield json.dumps(known, ensure_ascii=False), wkb(found[0] if found else None), 4326
 
 
 def _polygon_parts(points: list[tuple], parts: list[int]) -> dict:
@@ -102,7 +118,8 @@ def _polygon_parts(points: list[tuple], parts: list[int]) -> dict:
 
 
 def shapefile_features(shp: bytes, dbf: bytes, prj: str | None) -> Iterator[tuple[str, bytes | None, int]]:
-    """(attributes, geom, srid) of each record: null, point, line and polygon shapes, also with Z or M."""
+    """(attributes, geom, srid) of each record that is not marked as deleted: null, point, multipoint, line and polygon shapes, also
+    with Z or M."""
     count, head, width = struct.unpack("<IHH", dbf[4:12])
     fields, at = [], 32
     while dbf[at] != 0x0D:
@@ -111,6 +128,9 @@ def shapefile_features(shp: bytes, dbf: bytes, prj: str | None) -> Iterator[tupl
     rows = []
     for i in range(count):
         row, p = {}, head + i * width + 1
+        if dbf[p - 1 : p] == b"*":  # deleted
+            rows.append(None)
+            continue
         for name, kind, size in fields:
             raw = dbf[p : p + size].decode("utf-8", "replace").strip()
             p += size
@@ -128,6 +148,9 @@ def shapefile_features(shp: bytes, dbf: bytes, prj: str | None) -> Iterator[tupl
         geometry = None
         if kind == 1:
             geometry = {"type": "Point", "coordinates": struct.unpack("<dd", body[4:20])}
+        elif kind == 8:
+            (n,) = struct.unpack("<I", body[36:40])
+            geometry = {"type": "MultiPoint", "coordinates": list(struct.iter_unpack("<dd", body[40 : 40 + 16 * n]))}
         elif kind in (3, 5):
             n_parts, n_points = struct.unpack("<II", body[36:44])
             parts = list(struct.unpack(f"<{n_parts}I", body[44 : 44 + 4 * n_parts]))
@@ -137,7 +160,8 @@ def shapefile_features(shp: bytes, dbf: bytes, prj: str | None) -> Iterator[tupl
             else:
                 lines = [points[a:b] for a, b in zip(parts, [*parts[1:], n_points], strict=True)]
                 geometry = {"type": "MultiLineString", "coordinates": lines}
-        yield json.dumps(rows[i], ensure_ascii=False), wkb(geometry), srid
+        if rows[i] is not None:
+            yield json.dumps(rows[i], ensure_ascii=False), wkb(geometry), srid
         at, i = at + 8 + size, i + 1
 
 
@@ -180,18 +204,18 @@ def zip_member(raw: bytes, name: str | None = None) -> tuple[str, dict[str, byte
     raise ValueError("no_supported_file")
 
 
-def features(name: str, raw: bytes, layer: str | None = None, entry: str | None = None, beside: dict[str, bytes] | None = None) -> list[tuple[str, bytes | None, int]]:
-    """All features of one file by its ending."""
+def features(name: str, raw: bytes, layer: str | None = None, entry: str | None = None, beside: dict[str, bytes] | None = None) -> Iterator[tuple[str, bytes | None, int]]:
+    """The features of one file by its ending."""
     kind = name.lower().rpartition(".")[2]
     if kind == "zip":
         inner, members = zip_member(raw, entry)
         return features(inner, members[inner], layer, None, members)
     if kind in ("geojson", "json"):
-        return list(geojson_features(raw.decode()))
+        return geojson_features(raw.decode())
     if kind == "kml":
-        return list(kml_features(raw.decode()))
+        return kml_features(raw.decode())
     if kind == "gpkg":
-        return list(geopackage_features(raw, layer))
+        return geopackage_features(raw, layer)
     if kind == "shp":
         stem = name[:-4]
         found = {n.lower(): v for n, v in (beside or {}).items()}
@@ -199,19 +223,23 @@ def features(name: str, raw: bytes, layer: str | None = None, entry: str | None
             if (stem + needed).lower() not in found:
                 raise ValueError(f"missing_companion: {stem + needed}")
         prj = found.get((stem + ".prj").lower())
-        return list(shapefile_features(raw, found[(stem + ".dbf").lower()], prj.decode() if prj else None))
+        return shapefile_features(raw, found[(stem + ".dbf").lower()], prj.decode() if prj else None)
     raise ValueError(f"unsupported_format: {name}")
 
 
-def read_vector(spark: SparkSession, path: str, layer: str | None = None, entry: str | None = None) -> DataFrame:
-    """Features (path, attributes, geom, srid) of all files at path (a glob works), one task a file or so. Shapefiles come zipped."""
+def read_vector(spark: SparkSession, path: str, layer: str | None = None, entry: str | None = None, declared: tuple[int, ...] | None = None) -> DataFrame:
+    """Features (path, attributes, geom, srid) of all files at path (a glob works), one task a file or so, handed on in batches.
+    Shapefiles come zipped. With `declared`, other EPSG codes are an error."""
 
     def parse(batches):
         for b in batches:
             for p, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                rows = features(p.rpartition("/")[2], raw.as_py(), layer, entry)
-                cols = [[p] * len(rows), *([r[i] for r in rows] for i in range(3))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.binary(), pa.int32()), strict=True)], names=["path", "attributes", "geom", "srid"])
+                found = features(p.rpartition("/")[2], raw.as_py(), layer, entry)
+                while rows := list(islice(found, BATCH_ROWS)):
+                    if declared is not None and (other := {r[2] for r in rows} - set(declared)):
+                        raise ValueError(f"unsupported_crs: {sorted(other)} in {p}")
+                    cols = [[p] * len(rows), *([r[i] for r in rows] for i in range(3))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.binary(), pa.int32()), strict=True)], names=["path", "attributes", "geom", "srid"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, f"path string, {FEATURES}")
 

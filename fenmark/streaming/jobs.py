@@ -35,7 +35,8 @@ def run(spark: SparkSession, source: str, checkpoint: str, assess: Callable[[Dat
     come once. A reference that comes again within `redelivery` is passed over.
     """
     rows = spark.readStream.schema("value string").text(source).withColumn("received_at", F.current_timestamp())
-    rows = parse(rows).withWatermark("received_at", redelivery).dropDuplicatesWithinWatermark(["reference", "value"])
+    # messages without a readable reference are told apart by their text
+    rows = parse(rows).withColumn("_job", F.coalesce("reference", "value")).withWatermark("received_at", redelivery).dropDuplicatesWithinWatermark(["_job"]).drop("_job")
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()

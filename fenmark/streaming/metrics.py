@@ -39,3 +39,27 @@ def tumbling(events: DataFrame, width: str = "5 seconds", late: str = "30 second
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     out = rows.groupBy(F.window("ts", width), "event_type").agg(F.avg("value").alias("mean"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"), F.count(F.lit(1)).alias("n"))
     return out.select(F.col("window.start").alias("bucket"), "event_type", "mean", "last_value", "n")
+
+
+def retained(df: DataFrame, time: str, now: Column, days: int = 30) -> DataFrame:
+    """Rows not older than `days` before now."""
+    return df.where(F.col(time) >= now - F.make_dt_interval(F.lit(days)))
+
+
+def long_metrics(stats: DataFrame) -> DataFrame:
+    """name, metric, value: a row for each number of parse_stats()."""
+    wide = [c for c in stats.columns if c != "name"]
+    return stats.unpivot("name", wide, "metric", "value").where("value is not null")
+
+
+def drop_old_days(spark, folder: str, last: str, days: int = 30) -> list[str]:
+    """Removes `day=YYYY-MM-DD` partitions below folder that lie more than `days` before the day `last`; gives their names."""
+    from datetime import date, timedelta
+
+    least = (date.fromisoformat(last) - timedelta(days=days)).isoformat()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sorted(n for s in fs.listStatus(path) if (n := s.getPath().getName()).startswith("day=") and n.removeprefix("day=") < least)
+    for n in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{n}"), True)
+    return old
