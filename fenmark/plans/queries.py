@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
 from fenmark.functions import loads, numeric
-from fenmark.operators import grid, outputs, overlay, tiles
-from fenmark.plans import boundary, newt, nutrient, synth
-from fenmark.session import ensure_spatial
+from fenmark.operators import grid, numbering, outputs, overlay, quality_gate, tiles, validation
+from fenmark.plans import boundary, newt, nutrient, registry, synth
+from fenmark.session import ensure_spatial, shared_folder
+from fenmark.sources import tabular
 from fenmark.sources.catalog import Catalog
 from fenmark.streaming import metrics
 
@@ -68,6 +67,20 @@ def batch_majority_overlap(spark, sf_dir):
     return overlay.majority_overlap(synth.developments(spark, sf_dir), layers, "id").select("id", *layers)
 
 
+@query(_ctes("dev", "works") + f" SELECT md5(CAST(dev.id AS VARCHAR)) AS id, coalesce(first(works.code ORDER BY {_shared('dev', 'works')} DESC, md5(CAST(works.id AS VARCHAR))) FILTER (works.id IS NOT NULL), '141') AS works_code FROM dev LEFT JOIN works ON {_meet('dev', 'works')} GROUP BY dev.id")
+def majority_overlap_text_ids(spark, sf_dir):
+    """Ids that are text on both sides, as uuids are."""
+    named = lambda df: df.withColumn("id", F.md5(F.col("id").cast("string")))
+    dev, works = named(synth.developments(spark, sf_dir)), named(synth.layer(spark, sf_dir, "works"))
+    return overlay.majority_overlap(dev, {"works_code": (works, "code", "id", "141")}, "id").select("id", "works_code")
+
+
+@query("SELECT md5(c_name) AS id, row_number() OVER (ORDER BY md5(c_name)) AS rlb_id FROM customer")
+def row_numbers_text_ids(spark, sf_dir):
+    """Row numbers by ids that are text."""
+    return numbering.number_rows(table(spark, sf_dir, "customer").select(F.md5("c_name").alias("id")), "id", "rlb_id")
+
+
 TRIPLE = f"SELECT dev.id, dev.dwellings, coef.id AS coef_id, oid, n2k_site_n, lu_curr_n_coeff, n_resi_coeff, lu_curr_p_coeff, p_resi_coeff, {_shared('dev', 'coef', 'nnc')} / 10000.0 AS area_in_nn_catchment_ha, {_r2('(dev.x1 - dev.x0) * (dev.y1 - dev.y0) / 10000.0')} AS dev_area_ha FROM dev JOIN coef ON {_meet('dev', 'coef')} JOIN nnc ON {_meet('dev', 'nnc')} AND {_meet('coef', 'nnc')} WHERE {_shared('dev', 'coef', 'nnc')} > 0"
 
 
@@ -90,7 +103,7 @@ def _suds(e: str) -> str:
     return _r2(f"{e}_lu_uplift - abs({e}_lu_uplift) * (CASE WHEN dwellings >= 50 THEN 0.25 ELSE 0.0 END)")
 
 
-NUTRIENT_SQL = (
+NUTRIENT_CTES = (
     _ctes("dev", "coef", "nnc", "lpa", "works", "rates", "works_lookup")
     + f""", tri AS ({TRIPLE}),
     up AS (SELECT *, {_uplift('n', '0.2 * 3.0')} AS nu, {_uplift('p', '0.2 * 0.2')} AS pu FROM tri),
@@ -98,11 +111,22 @@ NUTRIENT_SQL = (
     base AS (SELECT dev.id, dev.dwellings, {_r2('(dev.x1 - dev.x0) * (dev.y1 - dev.y0) / 10000.0')} AS dev_area_ha, coalesce(TRY_CAST(w.v AS INTEGER), 141) AS majority_wwtw_id, l.v AS majority_name, o.v AS opcat, s.* EXCLUDE (id)
              FROM dev JOIN {_major('works', 'code', "'141'")} w USING (id) JOIN {_major('lpa', 'name', "'UNKNOWN'")} l USING (id) JOIN {_major('lpa', 'name', 'NULL')} o USING (id) LEFT JOIN sums s USING (id)),
     rated AS (SELECT base.*, coalesce(occupancy_rate, avg(occupancy_rate) OVER g) AS occ, coalesce(water_usage, avg(water_usage) OVER g) AS lit FROM base LEFT JOIN rates ON base.nn_catchment IS NOT DISTINCT FROM rates.nn_catchment WINDOW g AS (PARTITION BY majority_wwtw_id)),
-    full_ AS (SELECT rated.*, wwtw_name, CASE WHEN majority_wwtw_id = 141 AND wwtw_subcatchment IS NULL THEN opcat ELSE wwtw_subcatchment END AS wwtw_subcatchment, n_conc_2025, n_conc_2030, p_conc_2025, p_conc_2030, {_suds('n')} AS n_post, {_suds('p')} AS p_post FROM rated LEFT JOIN works_lookup ON majority_wwtw_id = CAST(wwtw_code AS INTEGER))
-    SELECT id, dwellings, dev_area_ha, {_r2('area_in_nn_catchment_ha')} AS area_in_nn_catchment_ha, majority_wwtw_id, majority_name, wwtw_name, wwtw_subcatchment, nn_catchment, n_lu_uplift, p_lu_uplift,
+    full_ AS (SELECT rated.*, wwtw_name, CASE WHEN majority_wwtw_id = 141 AND wwtw_subcatchment IS NULL THEN opcat ELSE wwtw_subcatchment END AS wwtw_subcatchment, n_conc_2025, n_conc_2030, p_conc_2025, p_conc_2030, {_suds('n')} AS n_post, {_suds('p')} AS p_post FROM rated LEFT JOIN works_lookup ON majority_wwtw_id = CAST(wwtw_code AS INTEGER))"""
+)
+OUT_OF_SCOPE = f"area_in_nn_catchment_ha IS NULL AND (wwtw_name IS NULL OR wwtw_name = '{nutrient.PACKAGE_PLANT}')"
+
+
+def _total(e: str) -> str:
+    both = f"(coalesce({e}_post, 0.0) + {_load(e, '2030')})"
+    return f"round({_r2(f'{both} + abs({both}) * 0.2')} + 1e-6, 0) + 0.0"
+
+
+NUTRIENT_SQL = (
+    NUTRIENT_CTES
+    + f"""SELECT id, dwellings, dev_area_ha, {_r2('area_in_nn_catchment_ha')} AS area_in_nn_catchment_ha, majority_wwtw_id, majority_name, wwtw_name, wwtw_subcatchment, nn_catchment, n_lu_uplift, p_lu_uplift,
            round(n_post + 1e-6, 1) + 0.0 AS n_lu_post_suds, round(p_post + 1e-6, 1) + 0.0 AS p_lu_post_suds, round({_r2(_load('n', '2025'))} + 1e-6, 1) AS n_wwtw_temp, round({_r2(_load('p', '2030'))} + 1e-6, 1) AS p_wwtw_perm,
-           round({_r2('(coalesce(n_post, 0.0) + ' + _load('n', '2030') + ') + abs(coalesce(n_post, 0.0) + ' + _load('n', '2030') + ') * 0.2')} + 1e-6, 0) + 0.0 AS n_total
-    FROM full_ WHERE NOT (area_in_nn_catchment_ha IS NULL AND (wwtw_name IS NULL OR wwtw_name = '{nutrient.PACKAGE_PLANT}'))"""
+           {_total('n')} AS n_total
+    FROM full_ WHERE NOT ({OUT_OF_SCOPE})"""
 )
 
 
@@ -310,15 +334,10 @@ def pivot_ratio(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(100 - part * 100, 4).alias("busy"))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0")
 def active_version_read(spark, sf_dir):
     """The second version of a table after both were promoted."""
-    cat = Catalog(spark, _folder(spark, "catalog"))
+    cat = Catalog(spark, shared_folder(spark, "catalog"))
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     cat.promote({"customers": rows})
     cat.promote({"customers": rows.where("c_custkey % 3 = 0")})
@@ -328,7 +347,7 @@ def active_version_read(spark, sf_dir):
 @query("SELECT c_custkey, c_name FROM customer")
 def rollback_read(spark, sf_dir):
     """The first version again, after a rollback."""
-    cat = Catalog(spark, _folder(spark, "catalog"))
+    cat = Catalog(spark, shared_folder(spark, "catalog"))
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     cat.promote({"customers": rows})
     cat.promote({"customers": rows.where("c_custkey % 3 = 0")})
@@ -365,7 +384,7 @@ def scope_filter(spark, sf_dir):
 def streaming_tumbling(spark, sf_dir):
     """Daily buckets by a stream that reads what there is and stops."""
     source = table(spark, sf_dir, "events")
-    out, state = _folder(spark, "buckets"), _folder(spark, "state")
+    out, state = shared_folder(spark, "buckets"), shared_folder(spark, "state")
     rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(_streamable(spark, f"{sf_dir}/events.parquet"))
     found = metrics.tumbling(rows.withColumn("ts", F.col("ts").cast("timestamp")), "1 day")
     q = found.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True)
@@ -381,6 +400,205 @@ def _streamable(spark: SparkSession, path: str) -> str:
     return path if fs.getFileStatus(p).isDirectory() else path.replace("events.parquet", "event[s].parquet")
 
 
+CSV_SQL = (
+    NUTRIENT_CTES
+    + f"""SELECT n.rlb_id AS RLB_ID, f.id, n.name AS Name, n.dwelling_category AS Dwel_Cat, 'synthetic' AS Source, f.dwellings AS Dwellings, dev_area_ha AS Dev_Area_Ha, {_r2('area_in_nn_catchment_ha')} AS AreaInNNCatchment, nn_catchment AS NN_Catchment,
+           opcat AS Dev_SubCatchment, majority_name AS Majority_LPA, majority_wwtw_id AS Majority_WwTw_ID, wwtw_name AS WwTW_name, wwtw_subcatchment AS WwTw_SubCatchment, n_lu_uplift AS N_LU_Uplift, p_lu_uplift AS P_LU_Uplift,
+           round(n_post + 1e-6, 1) + 0.0 AS N_LU_postSuDS, round(p_post + 1e-6, 1) + 0.0 AS P_LU_postSuDS, round(occ, 6) AS Occ_Rate, round(lit, 6) AS Water_Usage_L_Day, round(f.dwellings * (occ * lit), 4) AS Litres_used, n_conc_2025 AS Nitrogen_2025_2030, n_conc_2030 AS Nitrogen_2030_onwards, p_conc_2025 AS Phosphorus_2025_2030, p_conc_2030 AS Phosphorus_2030_onwards,
+           round({_r2(_load('n', '2025'))} + 1e-6, 1) AS N_WwTW_Temp, round({_r2(_load('p', '2025'))} + 1e-6, 1) AS P_WwTW_Temp, round({_r2(_load('n', '2030'))} + 1e-6, 1) AS N_WwTW_Perm, round({_r2(_load('p', '2030'))} + 1e-6, 1) AS P_WwTW_Perm, {_total('n')} AS N_Total, {_total('p')} AS P_Total
+    FROM full_ f JOIN (SELECT id, name, dwelling_category, row_number() OVER (ORDER BY id) AS rlb_id FROM dev) n USING (id) WHERE NOT ({OUT_OF_SCOPE})"""
+)
+
+
+@query(CSV_SQL)
+def nutrient_csv(spark, sf_dir):
+    """The fixed 31 columns of the CSV; sums of floating numbers are rounded further, as their order differs."""
+    rows = outputs.csv_projection(nutrient.assess(nutrient.prepare(synth.developments(spark, sf_dir)), synth.reference(spark, sf_dir)))
+    digits = {"N_LU_Uplift": 2, "P_LU_Uplift": 2, "N_LU_postSuDS": 1, "P_LU_postSuDS": 1, "N_WwTW_Temp": 1, "P_WwTW_Temp": 1, "N_WwTW_Perm": 1, "P_WwTW_Perm": 1, "N_Total": 0, "P_Total": 0}
+    rows = rows.withColumns({c: F.round(F.col(c) + 1e-6, d) + 0.0 for c, d in digits.items()})
+    return rows.withColumns({c: F.round(c, d) for c, d in {"Occ_Rate": 6, "Water_Usage_L_Day": 6, "Litres_used": 4}.items()})
+
+
+BAND = "CASE WHEN {0} <= 0.25 THEN 1 WHEN {0} <= 2 THEN 2 WHEN {0} <= 5 THEN 3 ELSE 4 END"
+
+
+@query(NUTRIENT_CTES + f"SELECT f.id, {_total('n')} AS n_total, {_total('p')} AS p_total, {BAND.format(_total('n'))} AS n_band, coalesce(len(string_split(nullif(nn_catchment, ''), '; ')), 0) AS n_catchments, wwtw_name AS works, coalesce(area_in_nn_catchment_ha > 0, false) AS within FROM full_ f WHERE NOT ({OUT_OF_SCOPE})")
+def nutrient_payload(spark, sf_dir):
+    """The payload's fields, read back from its JSON."""
+    made = outputs.payload(nutrient.assess(nutrient.prepare(synth.developments(spark, sf_dir)), synth.reference(spark, sf_dir)))
+    load = "struct<total: double, band: int>"
+    p = F.from_json("payload", f"nitrogen {load}, phosphorus {load}, catchments array<struct<id: string, name: string>>, wasteWaterTreatmentWorks string, withinCatchment boolean")
+    rows = made.select("id", p.alias("p"))
+    total = lambda e: F.round(F.col(f"p.{e}.total") + 1e-6, 0) + 0.0
+    # bands are compared for the rounded total, as the sums are
+    return rows.select("id", total("nitrogen").alias("n_total"), total("phosphorus").alias("p_total"), loads.band(total("nitrogen")).alias("n_band"), F.size("p.catchments").cast("long").alias("n_catchments"), F.col("p.wasteWaterTreatmentWorks").alias("works"), F.col("p.withinCatchment").alias("within"))
+
+
+PARTS = f"(SELECT dev.id AS site, lpa.id AS z, rz, sum({_shared('dev', 'lpa', 'nnc')}) AS m2 FROM dev JOIN lpa ON {_meet('dev', 'lpa')} JOIN nnc ON {_meet('dev', 'nnc')} AND {_meet('lpa', 'nnc')} GROUP BY ALL HAVING m2 > 0)"
+
+
+@query(_ctes("dev", "lpa", "nnc") + f" SELECT site, unnest(['RLB', 'Buffer']) AS Area, rz AS RZ, m2 AS Shape_Area FROM {PARTS}")
+def newt_habitat_rectangles(spark, sf_dir):
+    """Habitat areas without buffers, where all shapes are rectangles."""
+    return _newt_rectangles(spark, sf_dir)["habitat_impact"].withColumn("Shape_Area", F.round("Shape_Area", 3))
+
+
+@query(_ctes("dev", "lpa", "nnc") + f", z AS (SELECT dev.id AS site, nnc.id AS pond, list(DISTINCT rz) AS rz FROM dev JOIN nnc ON {_meet('dev', 'nnc')} JOIN lpa ON {_meet('dev', 'lpa')} AND {_meet('nnc', 'lpa')} GROUP BY ALL) SELECT site, 'NS' AS PANS, 'RLB' AS Area, CASE WHEN list_contains(rz, 'Red') THEN 'Red' WHEN list_contains(rz, 'Amber') THEN 'Amber' ELSE 'Green' END AS MaxZone, 'F' AS TmpImp, count(*) AS FREQUENCY FROM z GROUP BY ALL")
+def newt_frequency_rectangles(spark, sf_dir):
+    return _newt_rectangles(spark, sf_dir)["pond_frequency"]
+
+
+def _newt_rectangles(spark, sf_dir):
+    sites = synth.developments(spark, sf_dir).select(F.col("id").alias("site"), "geom")
+    return newt.assess(sites, synth.layer(spark, sf_dir, "lpa"), synth.layer(spark, sf_dir, "nnc").select("geom"), s=newt.Settings(0.0, 0.0))
+
+
+@query(_ctes("dev") + " SELECT id, (x1 - x0) * (y1 - y0) / 10000.0 AS hectares, round((x1 - x0) * (y1 - y0) / 4046.856, 4) AS acres, 2.0 * ((x1 - x0) + (y1 - y0)) / 1000.0 AS kilometres, round(2.0 * ((x1 - x0) + (y1 - y0)) / 1609.344, 4) AS miles FROM dev")
+def boundary_areas(spark, sf_dir):
+    """The parts of a boundary's metadata that need no other coordinate system."""
+    m = synth.developments(spark, sf_dir).select("id", boundary.metadata().alias("m"))
+    return m.select("id", "m.area.hectares", "m.area.acres", "m.perimeter.kilometres", "m.perimeter.miles")
+
+
+@query(_ctes("coef") + " SELECT id FROM coef WHERE x0 <= 40000 AND x1 >= 20000 AND y0 <= 45000 AND y1 >= 30000")
+def tile_filter(spark, sf_dir):
+    """What a tile's envelope keeps of a layer, by boxes and then by geometries."""
+    box = (20000.0, 30000.0, 40000.0, 45000.0)
+    close = tiles.near_box(synth.layer(spark, sf_dir, "coef").select("id", "geom"), box)
+    return close.where(st.intersects("geom", st.box(*[F.lit(v) for v in box]))).select("id")
+
+
+@query(_ctes("dev", "works") + f" SELECT id, works_id, CAST(rank AS INTEGER) AS rank, round(d, 6) AS distance_m FROM (SELECT dev.id, works.id AS works_id, {_GAP} AS d, row_number() OVER (PARTITION BY dev.id ORDER BY {_GAP}, works.id) AS rank FROM dev JOIN works ON {_GAP} <= 3000) WHERE rank <= 5")
+def nearby_works_ordered(spark, sf_dir):
+    """The nearest works of each site in order of distance."""
+    works = synth.layer(spark, sf_dir, "works").select(F.col("id").alias("works_id"), F.col("geom").alias("r_geom"))
+    near = grid.within_distance(synth.developments(spark, sf_dir).select("id", "geom"), works, 3000.0)
+    return overlay.by_distance(near.drop("geom", "r_geom"), "id", "works_id", 5).select("id", "works_id", "rank", F.round("distance_m", 6).alias("distance_m"))
+
+
+@query("WITH l AS (SELECT s_suppkey AS pos, s_suppkey % 3 + 1 AS version, CASE WHEN s_suppkey % 4 = 0 THEN 'x' ELSE CAST(s_suppkey % 50 AS VARCHAR) END AS code, s_name AS name FROM supplier) SELECT coalesce(TRY_CAST(code AS BIGINT), -1) AS code, arg_min(name, pos) AS name FROM l WHERE version = 3 GROUP BY 1")
+def works_lookup_latest(spark, sf_dir):
+    """A lookup's rows of its largest version, one a code."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select((k % 3 + 1).cast("int").alias("version"), k.alias("pos"), F.when(k % 4 == 0, "x").otherwise((k % 50).cast("string")).alias("code"), F.col("s_name").alias("name"))
+    lookups = rows.groupBy("version").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "code", "name")))).alias("data")).withColumn("name", F.lit("works"))
+    return tabular.latest_lookup(lookups, "works", "code: string, name: string", "code").select(F.coalesce("code", F.lit(-1).cast("long")).alias("code"), "name")
+
+
+ERRORS = "CASE WHEN id % 7 = 0 THEN 'null_geometry' WHEN id % 7 = 1 THEN 'degrees' WHEN id % 7 = 2 THEN 'not_polygonal' WHEN id % 7 = 3 AND x1 + 650000 > 700000 THEN 'outside_grid' ELSE '' END"
+
+
+@query(_ctes("dev") + f" SELECT id, {ERRORS} AS errors FROM dev")
+def site_errors(spark, sf_dir):
+    """What is wrong with each uploaded site."""
+    dev = synth._sql(ensure_spatial(spark), sf_dir, synth.RECTANGLES["dev"])
+    k, move = F.col("id") % 7, F.when(F.col("id") % 7 == 3, 650_000).otherwise(0)
+    g = F.when(k == 1, st.box(F.lit(0.5), F.lit(50), F.lit(0.6), F.lit(51))).when(k == 2, st.point(F.col("x0") + 1000, F.col("y0") + 1000)).when(k != 0, st.box(F.col("x0") + move, "y0", F.col("x1") + move, "y1"))
+    return dev.select("id", g.alias("geom")).select("id", F.array_join(validation.geometry_errors(), ",").alias("errors"))
+
+
+@query("SELECT 'not_numeric: Dwellings ' || count(*) AS error FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0")
+def attribute_errors(spark, sf_dir):
+    k = F.col("c_custkey")
+    sites = table(spark, sf_dir, "customer").select(*[k.alias(c) for c in validation.REQUIRED if c != "Dwellings"], F.when(k % 7 == 0, "many").when(k % 11 != 0, k.cast("string")).alias("Dwellings"))
+    return spark.createDataFrame([(e,) for e in validation.attribute_errors(sites)], "error string")
+
+
+@query("SELECT coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN 'R' || o_orderkey END, 'unknown') AS id, coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN 'R' || o_orderkey END, '') AS name, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE 'housing' END AS dwelling_category, 'web_submission' AS source, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 90 ELSE 0 END AS INTEGER) AS dwellings, CAST(4 AS DOUBLE) AS shape_area FROM orders")
+def job_fields(spark, sf_dir):
+    """The fields that a job's message gives its site."""
+    k = F.col("o_orderkey")
+    o = table(ensure_spatial(spark), sf_dir, "orders").withColumn("geom", st.box(F.lit(0), F.lit(0), F.lit(2), F.lit(2)))
+    kinds = F.when(k % 3 == 0, F.array("o_orderpriority", F.lit("x"))).when(k % 3 == 1, F.array().cast("array<string>"))
+    out = validation.with_job_fields(o, F.when(k % 5 != 0, F.concat(F.lit("R"), k)), kinds, F.when(k % 2 == 0, k % 90))
+    return out.select("id", "name", "dwelling_category", "source", "dwellings", "shape_area")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+def many_to_one_join(spark, sf_dir):
+    """A join whose right side must be unique."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return validation.many_to_one(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), o, ["l_orderkey"])
+
+
+@query(_ctes("dev", "lpa") + f" SELECT dev.id, arg_min(l.name2, ({_shared('dev', 'l')} * -1, l.id)) AS major, string_agg(DISTINCT name2, ',' ORDER BY name2) AS names FROM dev JOIN (SELECT * EXCLUDE (name), name AS name2 FROM lpa) l ON {_meet('dev', 'l')} GROUP BY 1")
+def assignments_by_name(spark, sf_dir):
+    """Two assignments through the table of their kinds."""
+    sites, lpa = synth.developments(spark, sf_dir).select("id", "geom"), synth.layer(spark, sf_dir, "lpa")
+    out = registry.assign("majority_overlap", sites, lpa, "name", "id", "id", "major")
+    out = registry.assign("any_intersection", out, lpa, "name", "id", "id", "names")
+    return out.where("major is not null").select("id", "major", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 = 0 AS within_nn_catchment, o_orderkey % 2 = 0 AS within_works_catchment, o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 AS requires_assessment FROM orders")
+def result_predicates(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 == 0, F.array(k)).when(k % 3 == 1, F.array().cast("array<bigint>")).alias("nn_catchment_entries"), F.when(k % 2 == 0, "w").alias("wwtw_name"))
+    return outputs.with_predicates(o).drop("nn_catchment_entries", "wwtw_name")
+
+
+@query("SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n': CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END}) AS record FROM nation")
+def json_records(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey")).alias("n"), F.lit(b"x").alias("geom"))
+    return outputs.json_records(n)
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def json_encoded_twice(spark, sf_dir):
+    """A key of JSON text that was encoded as a JSON string again."""
+    e = table(spark, sf_dir, "events").select("event_id", F.to_json(F.array("props")).alias("t"))
+    twice = F.expr("substring(t, 2, length(t) - 2)")
+    return e.select("event_id", F.get_json_object(numeric.unwrapped_json(twice), "$.k").cast("int").alias("k"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type LIKE 'c_i%' OR event_type IN ('view', 'nothing') GROUP BY 1")
+def metric_filter(spark, sf_dir):
+    t = F.col("event_type")
+    return table(spark, sf_dir, "events").where(t.like("c_i%") | t.isin("view", "nothing")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, 'ORD_' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS id FROM orders")
+def prefixed_row_ids(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("ORD_"), F.row_number().over(w)).alias("id"))
+
+
+@query("SELECT c_custkey, trim(coalesce(CASE WHEN c_custkey % 3 <> 0 THEN '  ' || c_mktsegment || ' ' END, ''), ' ') AS segment FROM customer")
+def text_normalised(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", numeric.normalised(F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")))).alias("segment"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
+def sample_scan(spark, sf_dir):
+    """The first hundred rows, for a look at a table: the limit is the feature."""
+    return tabular.sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAYS")
+def retention(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    last = e.agg(F.max("ts").alias("last"))
+    return metrics.retained(e.join(F.broadcast(last)), "ts", F.col("last"), 5).select("event_id")  # one row
+
+
+@query("SELECT 'customers' AS \"table\", 2 AS version, count(*) AS n, count(*) = 0 AS empty FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'nowhere', 0, 0, true")
+def catalog_status(spark, sf_dir):
+    cat = Catalog(spark, shared_folder(spark, "catalog"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    cat.promote({"customers": rows})
+    cat.promote({"customers": rows.where("c_custkey % 3 = 0")})
+    return cat.status(["customers", "nowhere"]).fillna(0, ["version", "n"])
+
+
+@query("SELECT 'orders' AS \"table\", count(*) AS n, string_agg(d, '; ' ORDER BY d) AS detail FROM (SELECT 'range_o_totalprice: ' || count(*) || ' rows' AS d FROM orders WHERE o_totalprice > 300000 HAVING count(*) > 0 UNION ALL SELECT 'allowed_o_orderstatus: ' || count(*) || ' rows' FROM orders WHERE o_orderstatus NOT IN ('F', 'O') HAVING count(*) > 0)")
+def gate_failures(spark, sf_dir):
+    """A gate's failures as rows, by table."""
+    rules = quality_gate.Rules(ranges={"o_totalprice": (0, 300_000)}, allowed={"o_orderstatus": ["F", "O"]})
+    found = quality_gate.check("orders", table(spark, sf_dir, "orders"), rules)
+    return quality_gate.failures_by_table(spark.createDataFrame([(f,) for f in found], "failure string"))
+
+
 @query()
 def newt_habitat_impact(spark, sf_dir):
     """Habitat areas of all sites; curved edges have no closed form, tests hold them against known areas."""
@@ -394,6 +612,13 @@ def newt_pond_frequency(spark, sf_dir):
     return found["pond_frequency"]
 
 
+@query()
+def newt_payload(spark, sf_dir):
+    """The newt results of each site as JSON."""
+    found = _newt_rectangles(spark, sf_dir)
+    return outputs.newt_payload(found["habitat_impact"], found["pond_frequency"])
+
+
 @query()
 def tile_mvt(spark, sf_dir):
     """The tile that holds the whole grid's west; tests decode it."""
@@ -405,16 +630,5 @@ def boundary_metadata(spark, sf_dir):
     return synth.developments(spark, sf_dir).select("id", boundary.first_error().alias("error"), F.to_json(boundary.metadata()).alias("metadata"))
 
 
-@query()
-def nutrient_csv(spark, sf_dir):
-    """The fixed 31 columns of the CSV."""
-    return outputs.csv_projection(nutrient.assess(nutrient.prepare(synth.developments(spark, sf_dir)), synth.reference(spark, sf_dir)))
-
-
-@query()
-def nutrient_payload(spark, sf_dir):
-    return outputs.payload(nutrient.assess(nutrient.prepare(synth.developments(spark, sf_dir)), synth.reference(spark, sf_dir)))
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nutrient_impact_summary(spark, sf_dir)
