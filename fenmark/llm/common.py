@@ -5,11 +5,7 @@ Everything here is a small per-batch helper; Spark partitions, shuffles and join
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import functools
-import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
 
+from fenmark.session import remove, shared_folder
+
 #: Bytes that are looked at together; what a batch needs besides its text and its results is a small multiple of this.
 BLOCK = 1 << 18
 #: Written tables up to the first size on disk, and the second one as rows, may be broadcast.
@@ -155,28 +153,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a local one stands in, as in tests; a session with
-    a cluster must name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (named or "file:///tmp/checkpoints").rstrip("/")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver ends."""
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # at exit the session may be gone already
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 class Scratch:
     """Tables in the shared folder that cut lineage. On leaving the block all are removed but those passed to keep().
 
@@ -220,7 +196,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         path, _ = self.paths.pop(id(df))
-        _remove(self.spark, path)
+        remove(self.spark, path)
 
     def __exit__(self, *_: object) -> None:
         for k, (_, df) in list(self.paths.items()):
@@ -237,11 +213,13 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: Colum
 
 
 def each_batch(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable:
-    """For mapInArrow: f on every non-empty batch."""
+    """For mapInArrow: f on every non-empty batch. At the end the memory of batches goes back, as workers wait for their next task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield from f(b)
+        b = None
+        pa.default_memory_pool().release_unused()
 
     return run

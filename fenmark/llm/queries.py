@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fenmark.llm import bpe, decontaminate, langid, lines, quality, suffix, topk, toxicity, warc
-from fenmark.llm.common import shared_folder
 from fenmark.llm.minhash import near_duplicates
+from fenmark.session import shared_folder
 
 
 _words = lambda text: ", ".join(f"'{w}'" for w in text.split())

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from fenmark.llm import common
-from fenmark.llm.common import Scratch, checkpoint_dir, flat, words
+from fenmark.llm.common import Scratch, flat, words
 
 
 def plain(text):
@@ -42,20 +42,6 @@ def test_a_table_is_small_by_its_rows_too(spark, monkeypatch):
         assert s.is_small(s.table(spark.range(0).selectExpr("'x' AS t")))
 
 
-def test_checkpoint_dir_is_the_sessions(spark):
-    assert checkpoint_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-
-    class Far:
-        class sparkContext:
-            master = "spark://host:7077"
-
-        class conf:
-            get = staticmethod(lambda name, default: None)
-
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        checkpoint_dir(Far)
-
-
 def test_hash_of_a_word_is_its_polynomial():
     data, offs = flat(pa.array(["abc"]))
     value = sum(int(common.BYTE_CODES[x]) * pow(common.BASE, j, 1 << 64) for j, x in enumerate(b"abc")) % (1 << 64)

@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 
 from fenmark.llm import bpe, decontaminate, langid, lines, quality, suffix, topk, toxicity, warc
-from fenmark.llm.common import shared_folder
+from fenmark.session import shared_folder
 
 EXTRA = ", h string, cls string, component string"
 
