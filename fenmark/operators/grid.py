@@ -17,6 +17,15 @@ from fenmark.functions import geometry as st
 
 BASE, STEP, LEVELS = 500.0, 4.0, 12
 FAR, SALTS = 3, 16
+#: Inputs of fewer bytes are dealt over all cores first.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small df dealt over all cores: geometries cost far more than their bytes tell, so Spark would give them to one task. Larger
+    ones, and those whose size Spark cannot tell, have parts enough and stay."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < SPREAD_BYTES else df
 
 
 def with_box(df: DataFrame, geom: str, name: str, grow: float = 0.0) -> DataFrame:
@@ -35,9 +44,12 @@ def _size(level: Column) -> Column:
     return F.lit(BASE) * F.pow(F.lit(STEP), level)
 
 
-def _levels(df: DataFrame) -> list[int]:
-    """The levels in use, at most LEVELS + 1."""
-    return sorted(r[0] for r in df.select(_level("_box")).distinct().collect())
+def _levels(a: DataFrame, b: DataFrame) -> tuple[list[int], list[int]]:
+    """The levels in use on either side, at most LEVELS + 1 each."""
+    both = a.select(F.lit(0).alias("side"), _level("_box").alias("level")).union(b.select(F.lit(1), _level("_box")))
+    found = both.groupBy("side").agg(F.collect_set("level").alias("levels")).collect()
+    of = {r.side: sorted(r.levels) for r in found}
+    return of.get(0, []), of.get(1, [])
 
 
 def _celled(df: DataFrame, own: str, other: str, met: list[int]) -> DataFrame:
@@ -73,8 +85,8 @@ def box_pairs(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom: str
     clash = set(left.columns) & set(right.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-    a, b = with_box(left, lgeom, "_box", within), with_box(right, rgeom, "_box")
-    on_left, on_right = _levels(a), _levels(b)
+    a, b = with_box(spread(left), lgeom, "_box", within), with_box(right, rgeom, "_box")
+    on_left, on_right = _levels(a, b)
     a, b = _celled(a, "l", "r", on_right).withColumnRenamed("_box", "_lbox"), _celled(b, "r", "l", on_left).withColumnRenamed("_box", "_rbox")
     pairs = a.join(b, ["_level", "_part", "_salt", "_cx", "_cy"])
     s = _size(F.col("_level"))
