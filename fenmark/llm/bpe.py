@@ -156,7 +156,7 @@ def encode(documents: DataFrame, path: str, pattern: str, text: str = "text", ou
     """documents with a column of token ids of each whole text: int array, empty for null and empty texts. Other columns are kept.
 
     The pattern splits a text into pre-tokens that are encoded separately; there are no special tokens. A column named as `out` is
-    replaced.
+    replaced; an empty table stays empty. A worker needs some 40 bytes for each byte of its longest text, and the memo's bound.
     """
     ranks = _shared(documents, path)
     rest = documents.drop(out)

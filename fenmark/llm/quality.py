@@ -127,7 +127,12 @@ WIDTH = (1 << BITS) + 6
 
 def fit(documents: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Labeller accuracies from the vote patterns of all documents (doc_id, text), and a scorer fitted on the `most` of smallest
-    doc_id hash at most. Rows with a null doc_id vote but are not sampled. An empty table gives a model that scores 0.5."""
+    doc_id hash at most.
+
+    Rows with a null doc_id vote but are not sampled; null texts vote as empty ones. Rows that repeat a doc_id all vote, and are all
+    sampled if their hash is. An empty table gives a model that scores 0.5. The sample is at the driver as the distinct hashed words
+    of each text, 8 bytes each and 16,390 a text at most, so a long text takes no more than 130 KB there.
+    """
     counts = {r.p: r["count"] for r in documents.select(pattern().alias("p")).groupBy("p").count().collect()}
     posterior, acc = expectation_maximisation(counts)
     rows = documents.where("doc_id is not null").select("text", F.xxhash64("doc_id").alias("h"))
@@ -165,7 +170,9 @@ def fit(documents: DataFrame, most: int = TRAIN_ROWS) -> Model:
 def score(documents: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """doc_id, posterior (of the document's own votes), score (of the scorer, 0 to 1) and kept (score >= keep), for every row.
 
-    Null and empty texts are scored like any other; a vote pattern that was not fitted has a null posterior.
+    Null and empty texts are scored like any other, and repeated rows each by themselves; an empty table gives no rows. A vote
+    pattern that was not fitted has a null posterior. A score of exactly `keep` is kept. Other columns are ignored. A worker needs some
+    15 bytes for each byte of its longest text.
     """
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast((model.weights, model.bias, model.posterior))

@@ -130,8 +130,9 @@ def _descend(x: np.ndarray, y: np.ndarray, change: np.ndarray, steps: int = 400)
 def fit(labelled: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """A model of labelled (doc_id, text, toxic 0 or 1), fitted on the `most` rows of smallest doc_id hash at most.
 
-    Rows with a null doc_id, text or label are passed over; without both labels the model scores 0 everywhere. Buckets are chosen
-    by the difference of their shares in toxic and other texts.
+    Rows with a null doc_id, text or label are passed over; without both labels the model scores one of 0 and 1 everywhere, 0 if there
+    are none. Repeated rows count as often as they come. Buckets are chosen by the difference of their shares in toxic and other texts;
+    ties go to the smaller bucket.
     """
     rows = labelled.where("doc_id is not null and text is not null and toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h"))
     last = rows.select("h").orderBy("h").limit(most).agg(F.max("h"), F.count(F.lit(1))).first()
@@ -182,7 +183,11 @@ def fit(labelled: DataFrame, most: int = TRAIN_ROWS) -> Model:
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every row of documents (doc_id, text). Null and empty texts get the bias' score; none is dropped."""
+    """doc_id and score (0 to 1) of every row of documents (doc_id, text; other columns are ignored).
+
+    Null and empty texts get the bias' score; none is dropped, and repeated rows are scored alike. An empty table gives no rows. Texts
+    are scored whole, in blocks; a worker needs some 15 bytes for each byte of its longest text.
+    """
     sent = documents.sparkSession.sparkContext.broadcast((model.table(), model.bias))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
