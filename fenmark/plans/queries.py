@@ -12,7 +12,7 @@ from fenmark.plans import boundary, newt, nutrient, registry, synth
 from fenmark.session import ensure_spatial, shared_folder
 from fenmark.sources import tabular
 from fenmark.sources.catalog import Catalog
-from fenmark.streaming import metrics
+from fenmark.streaming import jobs, metrics
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -599,6 +599,49 @@ def gate_failures(spark, sf_dir):
     return quality_gate.failures_by_table(spark.createDataFrame([(f,) for f in found], "failure string"))
 
 
+@query(_ctes("dev", "works") + f" SELECT id, v AS works_code FROM (SELECT dev.id, coalesce(arg_max(works.code, ({_shared('dev', 'works')}, -works.id)) FILTER ({_shared('dev', 'works')} > 0), 'none') AS v FROM dev LEFT JOIN works ON {_meet('dev', 'works')} GROUP BY 1)")
+def majority_overlap_strict(spark, sf_dir):
+    """A shared boundary alone does not count."""
+    dev = synth.developments(spark, sf_dir)
+    return overlay.majority_overlap(dev, {"works_code": (synth.layer(spark, sf_dir, "works"), "code", "id", "none")}, "id", touching=False).select("id", "works_code")
+
+
+@query(_ctes("coef") + f" SELECT a.id, b.id AS other, {_shared('a', 'b')} AS area FROM coef a JOIN coef b ON {_meet('a', 'b')} WHERE a.id % 7 = 0 AND b.id % 5 = 0")
+def overlay_keep_all(spark, sf_dir):
+    """Pairs that share a line or a point only stay."""
+    coef = synth.layer(spark, sf_dir, "coef").select("id", "geom")
+    right = coef.where("id % 5 = 0").select(F.col("id").alias("other"), F.col("geom").alias("r_geom"))
+    return overlay.overlay_intersection(coef.where("id % 7 = 0"), right, keep_all=True).select("id", "other", F.round(st.area("geom"), 3).alias("area"))
+
+
+@query(_ctes("coef", "nnc") + f" SELECT coef.id, sum({_shared('coef', 'nnc')}) AS area FROM coef JOIN nnc ON {_meet('coef', 'nnc')} GROUP BY 1 HAVING area > 0")
+def clip_by_layer(spark, sf_dir):
+    """A layer cut to the union of another one's features."""
+    cut = overlay.clip(synth.layer(spark, sf_dir, "coef").select("id", "geom"), synth.layer(spark, sf_dir, "nnc"))
+    return cut.select("id", F.round(st.area("geom"), 3).alias("area")).where("area > 0")
+
+
+@query(_ctes("dev") + " SELECT id, 'Polygon' AS kind, (x0 + x1) / 2.0 AS x, (y0 + y1) / 2.0 AS y, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area, true AS valid, round(dwellings / ((x1 - x0) * (y1 - y0) / 10000.0), 6) AS density FROM dev")
+def geometry_facts(spark, sf_dir):
+    """Kind, centroid, area, validity after a round through text, and dwellings a hectare."""
+    dev = synth.developments(spark, sf_dir).withColumn("geom", st.make_valid(st.from_text(st.as_text("geom"))))
+    b = st.bounds(st.centroid("geom"))
+    return dev.select("id", st.geometry_type("geom").alias("kind"), b[0].alias("x"), b[1].alias("y"), st.area("geom").alias("area"), st.is_valid("geom").alias("valid"), F.round(numeric.ratio("dwellings", st.area("geom") / 10_000.0), 6).alias("density"))
+
+
+@query("SELECT 'NRF-' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS reference, CAST(max(o_custkey % 50 + 1) AS INTEGER) AS units FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1")
+def streaming_jobs(spark, sf_dir):
+    """Job messages as a stream, each twice and every fourth without a reference: valid ones come once."""
+    k = F.col("o_orderkey")
+    ref = F.when(k % 4 != 0, F.concat(F.lit("NRF-"), F.lpad((k % 1_000_000).cast("string"), 6, "0")))
+    body = F.struct(ref.alias("reference"), F.struct(F.lit("{}").alias("boundaryGeometryOriginal")).alias("boundaryGeojson"), (F.col("o_custkey") % 50 + 1).alias("housingUnits"))
+    folder = shared_folder(spark, "jobs")
+    rows = table(spark, sf_dir, "orders").select(F.to_json(body).alias("value"))
+    rows.union(rows).write.text(f"{folder}/in")
+    jobs.run(spark, f"{folder}/in", f"{folder}/state", lambda df: df.select("reference", F.col("housingUnits").alias("units")), f"{folder}/out", f"{folder}/bad")
+    return spark.read.parquet(f"{folder}/out").select("reference", "units")
+
+
 @query()
 def newt_habitat_impact(spark, sf_dir):
     """Habitat areas of all sites; curved edges have no closed form, tests hold them against known areas."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fenmark.functions import geometry as st
 from fenmark.functions import loads, numeric
 from fenmark.operators import outputs, tiles, validation
-from fenmark.plans import nutrient, registry
+from fenmark.plans import extract, nutrient, registry
 from fenmark.sources import tabular, vector
 from fenmark.sources.catalog import Busy, Catalog, Manifest
 from fenmark.streaming import jobs, metrics
@@ -204,3 +204,12 @@ def test_newt_payload(sp):  # noqa: F811
     got = {r.site: json.loads(r.payload) for r in outputs.newt_payload(habitat, frequency).collect()}
     assert got[1]["habitatImpacts"] == [{"area": "RLB", "zone": "Red", "squareMetres": 5.0}] and got[1]["pondFrequencies"][0]["frequency"] == 4
     assert got[2]["pondFrequencies"] == [] and got[3]["habitatImpacts"] == []
+
+
+def test_extract_around_sites(sp):  # noqa: F811
+    near = layer(sp, [(1, box(0, 0, 10, 10))]), layer(sp, [(2, box(1000, 0, 1010, 10))])
+    rows = layer(sp, [("a", box(0, 0, 100, 10)), ("b", box(500, 500, 600, 600)), ("c", box(1005, 0, 1300, 10))], "name string, wkt string")
+    got = {r.name: r.a for r in extract.around(list(near), {"rows": rows}, 20.0)["rows"].select("name", st.area("geom").alias("a")).collect()}
+    assert got.keys() == {"a", "c"} and got["a"] == pytest.approx(300) and got["c"] == pytest.approx(250)
+    text = one(sp, st.as_geojson(st.box(F.lit(0), F.lit(0), F.lit(2), F.lit(1))))[0]
+    assert json.loads(text)["type"] == "Polygon" and len(json.loads(text)["coordinates"][0]) == 5
