@@ -4,8 +4,10 @@ Each 100-byte string has an anchor: its k-byte piece of least hash (the leftmost
 alone. Runs of strings with one anchor form a segment, about 3 in 100 bytes of text, so only suffixes at anchors are sorted. Equal
 segments are settled by fingerprints. Where an anchor piece occurs in different segments, the segments' bytes after the anchor and,
 reversed, before it are sorted: multikey quicksort to a shallow depth, blind tries for groups that still tie. Common prefixes of
-neighbours in both orders tell which of the segments' strings are equal. Anchors in very many segments are split instead: each of
-their strings is grouped by its own bytes.
+neighbours in both orders tell which of the segments' strings are equal. Groups that are too large for one task are split by the
+next bytes first: strings that begin at like distances before the anchor share the bytes around it. What is too large after that
+is one string at one distance in very many segments, up to a few bytes; there each string is named by its bytes, and its first place
+is an aggregate.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ SPAN = LENGTH - PIECE + 1
 CHUNK = 4 << 20
 #: Words of 8 bytes that the shallow sort looks at.
 SHALLOW = 6
+#: Segments that one task sorts at once; larger groups are split into strings of STEP neighbouring distances.
 HOT_SEGMENTS = 4096
+STEP = 9
 BLOCK_ROWS = 30_000
 
 ANCHORS = "key long, ctx long, doc_id long, pos long, before int, runs int"
@@ -309,6 +313,24 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(held.combine_chunks())
 
 
+SEGMENTS = "key long, doc_id long, pos long, before int, runs int, left binary, right binary"
+
+
+def _split(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Each segment's strings by STEP neighbouring distances before the anchor, under a key made of all bytes that these share."""
+    out: list[list] = [[] for _ in range(7)]
+    for r in batch.to_pylist():
+        low, high = r["before"] - r["runs"], r["before"]
+        for first in range(low - low % STEP, high + 1, STEP):
+            a, b = max(low, first), min(high, first + STEP - 1)
+            shared = first.to_bytes(1, "big") + r["key"].to_bytes(8, "big", signed=True) + r["left"][:first] + b"|" + r["right"][: LENGTH - first - STEP + 1]
+            key = int.from_bytes(hashlib.sha1(shared).digest()[:8], "big", signed=True)
+            for c, v in zip(out, (key, r["doc_id"], r["pos"], b, b - a, r["left"][:b], r["right"][: LENGTH - a]), strict=True):
+                c.append(v)
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()] * 2
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in SEGMENTS.split(", ")])
+
+
 def _each_string(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Every string of a segment, named by 128 bits of SHA-1."""
     a, b, docs, at = [], [], [], []
@@ -345,6 +367,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in held], names=["doc_id", "low", "high"])
 
 
+def _parted(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows of keys with more than HOT_SEGMENTS rows, and the others. At most one key in HOT_SEGMENTS is hot; small() checks."""
+    hot = scratch.table(rows.groupBy("key").count().where(F.col("count") > HOT_SEGMENTS).select("key"))
+    return rows.join(scratch.small(hot), "key", "left_semi"), rows.join(scratch.small(hot), "key", "left_anti")
+
+
 def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, low, high): maximal runs of bytes of documents (doc_id, text) to remove, as a table of scratch."""
     docs = documents.where("doc_id is not null and octet_length(text) >= 100").select("doc_id", "text")
@@ -355,14 +383,14 @@ def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
     segs = found.where("runs >= 0").select("key", "doc_id", "pos", "before", "runs")
     by_doc = scratch.table(segs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos", "before", "runs")).alias("segs")))
     # this list grows with the input and soon passes any bound for a broadcast, so it is joined alike at every size
-    near = scratch.table(docs.join(by_doc, "doc_id").mapInArrow(each_batch(_contexts), "key long, doc_id long, pos long, before int, runs int, left binary, right binary"))
-    hot = scratch.table(near.groupBy("key").count().where(F.col("count") > HOT_SEGMENTS).select("key"))
-    # at most 1 key in HOT_SEGMENTS is hot, and small() checks the size
-    cold = near.join(scratch.small(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(_sorted_out, runs)
-    strings = scratch.table(near.join(scratch.small(hot), "key", "left_semi").mapInArrow(each_batch(_each_string), "a long, b long, doc_id long, low long"))
+    near = scratch.table(docs.join(by_doc, "doc_id").mapInArrow(each_batch(_contexts), SEGMENTS))
+    hot, cold = _parted(near, scratch)
+    hot, finer = _parted(scratch.table(hot.mapInArrow(each_batch(_split), SEGMENTS)), scratch)
+    sorted_out = cold.union(finer).repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(_sorted_out, runs)
+    strings = scratch.table(hot.mapInArrow(each_batch(_each_string), "a long, b long, doc_id long, low long"))
     earliest = strings.groupBy("a", "b").agg(F.min(F.struct("doc_id", "low")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "p")
     hit = strings.join(scratch.table(earliest), ["a", "b"]).where(F.struct("doc_id", "low") != F.col("p")).select("doc_id", "low", (F.col("low") + LENGTH).alias("high"))
-    every = spans.union(cold).union(hit).repartition("doc_id").sortWithinPartitions("doc_id", "low", "high").mapInArrow(_merge, runs)
+    every = spans.union(sorted_out).union(hit).repartition("doc_id").sortWithinPartitions("doc_id", "low", "high").mapInArrow(_merge, runs)
     return scratch.table(every)
 
 

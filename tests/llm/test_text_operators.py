@@ -38,7 +38,7 @@ def test_suffix_removal_equals_brute_force(spark, monkeypatch):
     rows = [(i, "".join(r.choice(pool) if r.random() < 0.5 else word() * r.randrange(1, 9) for _ in range(r.randrange(1, 9)))) for i in range(60)]
     rows += [(100, "x" * 350), (101, "x" * 99), (102, None), (103, ""), (104, rows[0][1]), (105, "ab" * 200), (106, "y" * 100 + "x" * 100)]
     r.shuffle(rows)
-    for hot in (4096, 2):
+    for hot in (4096, 12, 2):
         monkeypatch.setattr(suffix, "HOT_SEGMENTS", hot)
         got = suffix.remove_repeats(frame(spark, rows, "doc_id long, text string").repartition(3)).collect()
         assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got} == repeats(rows) and len(got) == len(rows)
