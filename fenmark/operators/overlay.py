@@ -13,7 +13,7 @@ from fenmark.session import written
 
 
 def _feature(layer: DataFrame, attr: str, fid: str) -> DataFrame:
-    return layer.select(F.col("geom").alias("r_geom"), F.col(fid).cast("string").alias("_fid_text"), F.col(fid).alias("_fid"), F.col(attr).cast("string").alias("_attr"))
+    return layer.select(F.col("geom").alias("r_geom"), F.col(fid).alias("_fid"), F.col(attr).cast("string").alias("_attr"))
 
 
 def majority_overlap(left: DataFrame, layers: dict[str, tuple[DataFrame, str, str, object]], key: str, touching: bool = True) -> DataFrame:
@@ -25,7 +25,7 @@ def majority_overlap(left: DataFrame, layers: dict[str, tuple[DataFrame, str, st
     """
     if len({layer.schema[fid].dataType for layer, _, fid, _ in layers.values()}) > 1:
         layers = {name: (layer.withColumn(fid, F.col(fid).cast("string")), attr, fid, default) for name, (layer, attr, fid, default) in layers.items()}
-    tagged = reduce(DataFrame.unionByName, [_feature(layer, attr, fid).drop("_fid_text").withColumn("_layer", F.lit(name)) for name, (layer, attr, fid, _) in layers.items()])
+    tagged = reduce(DataFrame.unionByName, [_feature(layer, attr, fid).withColumn("_layer", F.lit(name)) for name, (layer, attr, fid, _) in layers.items()])
     # one look at the geometries: the area is null where they do not share a point
     pairs = box_pairs(left.select(F.col(key), "geom"), tagged).withColumn("_area", st.shared_area("geom", "r_geom")).where(F.col("_area").isNotNull() if touching else F.col("_area") > 0)
     best = F.struct((-F.col("_area")).alias("_area"), F.col("_fid"))
