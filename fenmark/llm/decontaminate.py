@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders. Windows of five template tokens are hashed and joined with those of the
 benchmark items. A document that has at least 75 % of an item's windows holds the item, unless the values in its slots contradict
 each other: one value of the item that stands in several slots must have become one value in the document too. Only slots in
-windows that matched count for this, each at the shift of its own window.
+windows that matched count for this, each at the shift of its own window. A name at the item's very beginning or end does not, as it
+may run into a name of the text around it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ LEAST_SHARE = 75
 #: Unit words that may follow a number.
 UNITS = "km cm mm kg mg lb oz ml kb mb gb mph kph hours hour minutes minute seconds second days day years year miles mile feet foot inches inch metres meters metre meter grams gram litres liters litre liter percent dollars dollar euros euro pounds pound degrees degree"
 #: Words that open sentences and are no names, though capitalised there.
-OPENERS = "a an the this that these those it he she they we you i in on at to of for from by with and but or if when while as after before what which who how why where there here one two all some each every many most is are was were do does did can could not no so then given find let calculate compute write read choose der die das ein eine er sie es wir ich und aber wenn wie was wo wer nicht mit von le la les un une des il elle nous vous je et mais si quand dans el los las una unos unas y pero cuando donde en como"
+OPENERS = "a an the this that these those it he she they we you i in on at to of for from by with and but or if when while as after before what which who how why where there here one two all some each every many most is are was were do does did can could not no so then given find let calculate compute write read choose der die das ein eine er sie es wir ich und aber wenn wie was wo wer nicht mit von im am es auf zu bei nach le la les un une des il elle nous vous je et mais si quand dans de du en par pour sur avec el los las una unos unas y pero cuando donde en como"
 
 LETTERS = r"[\p{L}\p{M}]"
 WORD = rf"{LETTERS}++(?:['\u2019]{LETTERS}++)*+"
@@ -120,8 +121,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             lambda s: _is_slot(s["t"]) & s["there"].isNotNull(),
         )
         covered = F.filter(
-            F.transform("tokens", lambda t, i: F.struct(t.alias("t"), F.get("values", i).alias("own"), F.col("shifts")[i].alias("shift"), (i + F.col("shifts")[i]).cast("int").alias("at"))),
-            lambda s: _is_slot(s["t"]) & (F.get("doc_tokens", s["at"]) == s["t"]),
+            F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("place"), F.get("values", i).alias("own"), F.col("shifts")[i].alias("shift"), (i + F.col("shifts")[i]).cast("int").alias("at"))),
+            lambda s: _is_slot(s["t"]) & (F.get("doc_tokens", s["at"]) == s["t"]) & ~((s["t"] == "<name>") & s["place"].isin(F.lit(0), F.size("tokens") - 1)),
         )
         slots = pairs.select("doc_id", "item_id", "n_windows", "n_matched", "n_best", "shift", "doc_values", slots.alias("slots"), covered.alias("covered"))
         # a share of windows that suffices must agree: those of the best alignment, or all that matched

@@ -35,7 +35,7 @@ DECONTAMINATE_SQL = rf"""
     lined AS (SELECT doc_id, item_id, shift, count(DISTINCT w) AS n FROM hits SEMI JOIN held USING (doc_id, item_id) GROUP BY ALL),
     best AS (SELECT doc_id, item_id, arg_max(shift, (n, -shift)) AS shift, max(n) AS n_best FROM lined GROUP BY ALL),
     cover AS (SELECT doc_id, item_id, place, arg_max(shift, (n, -shift)) AS shift FROM (SELECT doc_id, item_id, shift, n, unnest(range(item_at, item_at + 5)) AS place FROM hits JOIN lined USING (doc_id, item_id, shift)) GROUP BY ALL),
-    slot AS (SELECT doc_id, item_id, c.shift, i.v AS own, d.v AS there FROM cover c JOIN tok i ON i.kind = 'b' AND i.id = item_id AND i.place = c.place JOIN tok d ON d.kind = 'd' AND d.id = doc_id AND d.place = c.place + c.shift WHERE i.t = d.t AND i.t[1] = '<'),
+    slot AS (SELECT doc_id, item_id, c.shift, i.v AS own, d.v AS there FROM cover c JOIN tok i ON i.kind = 'b' AND i.id = item_id AND i.place = c.place JOIN tok d ON d.kind = 'd' AND d.id = doc_id AND d.place = c.place + c.shift JOIN lists l ON l.kind = 'b' AND l.id = item_id WHERE i.t = d.t AND i.t[1] = '<' AND NOT (i.t = '<name>' AND c.place IN (0, len(l.ts) - 1))),
     agree AS (SELECT doc_id, item_id, count(DISTINCT (own, there)) = count(DISTINCT own) AS every, count(DISTINCT (own, there)) FILTER (s.shift = b.shift) = count(DISTINCT own) FILTER (s.shift = b.shift) AS on_best FROM slot s JOIN best b USING (doc_id, item_id) GROUP BY ALL),
     marks AS (SELECT doc_id, item_id, count(*) AS n_slots, count(*) FILTER (i.v <> d.v) AS n_changed FROM best b JOIN tok i ON i.kind = 'b' AND i.id = item_id JOIN tok d ON d.kind = 'd' AND d.id = doc_id AND d.place = i.place + b.shift WHERE i.t[1] = '<' GROUP BY ALL)
     SELECT doc_id, item_id, n_windows, n_matched, CAST(coalesce(n_slots, 0) AS INTEGER) AS n_slots, CAST(coalesce(n_changed, 0) AS INTEGER) AS n_changed

@@ -152,7 +152,7 @@ def test_decontamination_reads_slots_where_windows_matched(spark):
 
 
 def test_decontamination_masks_whole_names(spark):
-    item = "Mary Jane Watson drives 3.5 miles to see Anna McDonald in town. Mary Jane Watson then walks 35 minutes back home with her"
+    item = "When Mary Jane Watson drives 3.5 miles to see Anna McDonald in town. Mary Jane Watson then walks 35 minutes back home with her"
     bench = spark.createDataFrame([(1, item), (2, "12 13 14 15 16 17 18"), (3, "Tom Sawyer")], "item_id long, text string")
     renamed = item.replace("Mary Jane Watson", "Olu Smith").replace("Anna McDonald", "Tom O\u2019Brien")
     rows = [
@@ -174,6 +174,14 @@ def test_decontamination_masks_whole_names(spark):
     assert {x.doc_id: x.n_changed for x in got if x.item_id == 1} == {1: 0, 2: 3, 3: 4, 4: 1}
 
 
+def test_decontamination_of_names_at_an_items_edges(spark):
+    item = "Olu counts the nine red boats that lie by the bank and paints them for Olu"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, "it was Monday " + item), (2, item + " Smith who came"), (3, item.replace("for Olu", "for Ann"))]
+    got = decontaminate.contaminated(frame(spark, rows, "doc_id long, text string"), bench).collect()
+    assert sorted(x.doc_id for x in got) == [1, 2, 3]
+
+
 def test_decontamination_of_repeated_ids_and_other_columns(spark):
     item = "they count nine red boats and seven small houses by the river"
     bench = frame(spark, [(1, item), (1, item), (None, item)], "item_id long, text string")
