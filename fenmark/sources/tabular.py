@@ -58,8 +58,9 @@ def read_dump(spark: SparkSession, path: str, columns: list[str], table: str | N
     """The COPY body of one table of a plain or gzipped table dump as string columns, in the order of `columns`.
 
     A dump holds one file's lines in order; the body is what stands between `COPY name (..) FROM stdin;` and `\\.`. Without a table
-    the file must hold one. A file is read by one task, as Spark cannot split gzip, but never held whole. A table that is not there
-    is an error, and so are columns that its header does not name.
+    the file must hold one. A file is read by one task, as a part of it would not know which table it is in: a gzipped one line by
+    line, a plain one as one value of 2 GB at most. A table that is not there is an error, and so are columns that its header does
+    not name.
     """
 
     def header(line: str) -> tuple[str, list[str]] | None:
