@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenmark.llm import bpe, decontaminate, langid, lines, quality, suffix, topk, toxicity, warc
+from fenmark.llm import bpe, decontaminate, langid, lines, periodic, quality, resample, suffix, tokenfile, topk, toxicity, warc
 from fenmark.llm.minhash import near_duplicates
 from fenmark.session import shared_folder
 
@@ -120,7 +123,43 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_minhash_dedup, op3_warc, op4_toxicity, op5_exact_top_k, op6_suffix_dedup, op7_language_id, op8_decontaminate, op9_line_dedup, op10_byte_bpe)}
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, least_words=20, percent=10, seed="2024")
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _repeating(doc_id: int, n: int) -> np.ndarray | None:
+    """The periodic tails that the query gives to a tenth of the documents."""
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(_table(spark, sf_dir, "documents"), least=24, times=3, reorder=_repeating)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenfile.round_trip(spark, _table(spark, sf_dir, "documents"), path, shared_folder(spark, "ids"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_minhash_dedup, op3_warc, op4_toxicity, op5_exact_top_k, op6_suffix_dedup, op7_language_id, op8_decontaminate, op9_line_dedup, op10_byte_bpe, op11_resample, op12_periodic_runs, op13_token_file)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
