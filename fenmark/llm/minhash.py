@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fenmark.llm.common import Scratch, chunks, each_batch, mix, salted_join, shingle_sets, signed
+from fenmark.llm.common import BASE, Scratch, chunks, each_batch, mix, salted_join, shingle_sets, signed
 from fenmark.llm.components import components
 
 SHINGLE = 5
@@ -50,9 +50,11 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
     return acc
 
 
-def _class(values: np.ndarray) -> int:
-    """A name for a shingle set: rows with equal sets have the same."""
-    return int(signed(mix(np.array([mix(values).sum() + np.uint64(len(values))], np.uint64)))[0])
+def _class(values: np.ndarray) -> bytes:
+    """A name of 128 bits for a shingle set: rows with equal sets have the same."""
+    first = mix(values)
+    both = np.array([first.sum(), mix(first ^ np.uint64(BASE)).sum()], np.uint64)
+    return mix(both + np.uint64(len(values))).tobytes()
 
 
 def _fingerprint(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -64,7 +66,7 @@ def _fingerprint(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             cls.append(_class(s) if len(s) else None)
             sigs.append(sig.tobytes() if len(s) else None)
             keys.append(signed(_band_keys(sig)).tolist() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "sig", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "sig", "keys"])
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -197,7 +199,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     docs = documents.select("doc_id", "text")
     with Scratch(documents.sparkSession) as scratch:
-        marked = scratch.keep(scratch.table(docs.mapInArrow(each_batch(_fingerprint), "doc_id long, n_shingles long, cls long, sig binary, keys array<long>")))
+        marked = scratch.keep(scratch.table(docs.mapInArrow(each_batch(_fingerprint), "doc_id long, n_shingles long, cls binary, sig binary, keys array<long>")))
         full = marked.where("cls is not null")
         classes = scratch.table(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
         chosen = full.join(classes.select(F.col("cls").alias("c"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("cls") == F.col("c")))

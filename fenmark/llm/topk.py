@@ -26,8 +26,13 @@ PACKED = "ids binary, vectors binary, width int"
 
 
 def quantised(column: str) -> F.Column:
-    """floor(256 * x) of each component x, as a double."""
-    return F.transform(column, lambda x: F.floor(x.cast("double") * 256).cast("long"))
+    """floor(256 * x) of each component x, as a double. One that does not fit 64 bits is an error."""
+
+    def one(x: F.Column) -> F.Column:
+        y = x.cast("double") * 256
+        return F.when(F.abs(y) < float(1 << 63), F.floor(y).cast("long")).otherwise(F.raise_error(F.lit("a component beyond 64 bits")).cast("long"))
+
+    return F.transform(column, one)
 
 
 def usable(column: str) -> F.Column:
@@ -45,7 +50,7 @@ def _pack(most: int):
             full = np.zeros((len(rows), width), np.int64)
             for i, r in enumerate(rows):
                 full[i, : len(r)] = r
-            if len(full) and np.abs(full).max() < 1 << 31:
+            if len(full) and full.min() >= -(1 << 31) and full.max() < 1 << 31:
                 full = full.astype(np.int32)
             made = [pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([full.tobytes()], pa.binary()), pa.array([width], pa.int32())]
             ids.clear()

@@ -8,6 +8,7 @@ that one record needs one frame. Equal payloads are stored once: later ones are
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -99,6 +100,11 @@ def classify(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return found.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(F.col("target").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("target").alias("refers_to"))
 
 
+def store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder that Hadoop names: its connector's s3a and s3n are S3 here."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
+
+
 def write(classified: DataFrame, folder: str) -> DataFrame:
     """Writes the records of classify() into bundles below folder, a URI that driver and executors share; gives the INDEX rows.
 
@@ -107,7 +113,7 @@ def write(classified: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = store(folder)
         fs.create_dir(root, recursive=True)
         packer = zstandard.ZstdCompressor(level=LEVEL)
         out, name, frames, at, frame, held, index = None, "", [], 0, [], 0, []
@@ -180,7 +186,7 @@ def scan(bundles: DataFrame, folder: str, content: bool = True) -> DataFrame:
     its digest is an error. Null names are passed over, and a name that comes twice is read once; no names give no rows."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = store(folder)
         for name in batch.column("bundle"):
             with fs.open_input_file(f"{root}/{name.as_py()}") as f:
                 for at, packed, size in read_seek_table(f):
@@ -200,7 +206,7 @@ def fetch(index: DataFrame, folder: str) -> DataFrame:
     """The records (RECORDS) of the given rows of an index, by seeking: one read and one decompression a record."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = store(folder)
         found = []
         for r in batch.to_pylist():
             with fs.open_input_file(f"{root}/{r['bundle']}") as f:
