@@ -73,8 +73,9 @@ def reduce_precision(g: ColumnOrName, grid: float) -> Column:
     return _call("reduce_precision", g, F.lit(float(grid)))
 
 
-def make_valid(g: ColumnOrName) -> Column:
-    return _call("make_valid", g)
+def make_valid(g: ColumnOrName, linework: bool = False) -> Column:
+    """A valid geometry. With linework, polygons by the even-odd rule over all their rings: parts that overlap twice become holes."""
+    return _call("linework" if linework else "make_valid", g)
 
 
 def is_valid(g: ColumnOrName) -> Column:
@@ -123,6 +124,33 @@ def from_text(s: ColumnOrName) -> Column:
     return _call("from_text", s)
 
 
+def try_from_text(s: ColumnOrName) -> Column:
+    """A geometry from WKT; null where that is damaged."""
+    return _call("try_text", s)
+
+
+def from_geojson(s: ColumnOrName) -> Column:
+    """A geometry from the text of a GeoJSON geometry or feature, in two dimensions; null where that is damaged."""
+    return _call("from_geojson", s)
+
+
+def sound(g: ColumnOrName) -> Column:
+    """WKB as it is; null where it cannot be read."""
+    return _call("try_geometry", g)
+
+
+def hilbert(x: ColumnOrName, y: ColumnOrName, box: tuple[float, float, float, float]) -> Column:
+    """The place of a point on Hilbert's curve through box (xmin, ymin, xmax, ymax) in 32,768 cells a side; points outside count as at
+    its edge."""
+    x0, y0, x1, y1 = box
+
+    def cell(v: ColumnOrName, low: float, high: float) -> Column:
+        v = (F.col(v) if isinstance(v, str) else v).cast("double")
+        return F.floor(F.least(F.greatest((v - low) / max(high - low, 1e-9), F.lit(0.0)), F.lit(1.0)) * 32767).cast("int")
+
+    return _call("hilbert", cell(x, x0, x1), cell(y, y0, y1))
+
+
 def as_text(g: ColumnOrName) -> Column:
     return _call("as_text", g)
 

@@ -31,17 +31,30 @@ from fenmark.llm.common import Scratch, each_batch
 MAGIC = b"PFORIDS1"
 BLOCK_IDS, PERCENTILE = 4096, 95
 #: Blocks that are packed or unpacked together, bytes of text for each file, and bytes of a worker's memo, about.
-TOGETHER, FILE_TEXT, MEMO_BYTES, MEMO_LONGEST = 32, 32 << 20, 48 << 20, 64
+TOGETHER, FILE_TEXT, MEMO_BYTES, MEMO_LONGEST = 32, 32 << 20, 64 << 20, 64
 HEAD, INDEX, TAIL = struct.Struct("<IHHI"), struct.Struct("<III"), struct.Struct("<Q8s")
 
 #: A space before a character that is no white space begins a new pre-token of byte-level BPE, whatever is before it.
 CUT = re.compile("[ ](?=[^\\s\x1c-\x1f\x85᠎])")
+#: Characters whose kind needs no Unicode tables, and the pre-tokens of texts that have no others.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ž"
+PLAIN = re.compile(f"[ -~\n{LETTERS}]*")
+WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^ \n0-9{LETTERS}]+|[ \n]+(?![^ \n])|[ \n]+")
 
 FOUND = "file long, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
+def byte_names() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others by the next free code."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(own))}
+
+
 class Pieces(dict):
-    """" piece" -> its ids as bytes, by the tokenizers library; the pieces seen lately are kept, in two generations."""
+    """pre-token -> its ids as bytes, by the tokenizers library's model. Those met lately are kept, in two generations, for all tasks of
+    a worker. Texts with characters beyond PLAIN are cut at spaces, and pieces that have such go through the library whole."""
+
+    _kept: dict[str, Pieces] = {}
 
     def __init__(self, path: str):
         super().__init__()
@@ -49,29 +62,41 @@ class Pieces(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.old, self.held = {}, 0
+        self.names, self.old, self.held = byte_names(), {}, 0
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    @classmethod
+    def of(cls, path: str) -> Pieces:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
 
-    def __missing__(self, piece: str) -> bytes:
-        made = self.old.get(piece)
+    def __missing__(self, word: str) -> bytes:
+        made = self.old.get(word)
         if made is None:
-            made = self.ids(" " + piece)
-        if len(piece) <= MEMO_LONGEST:
+            found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.names))
+            made = np.array([x.id for x in found], "<u4").tobytes()
+        if len(word) <= MEMO_LONGEST:
             self.held += 220 + len(made)
             if self.held > MEMO_BYTES:
                 self.old, self.held = dict(self), 0
                 self.clear()
-            self[piece] = made
+            self[word] = made
         return made
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, little-endian: those of its pieces one after the other."""
+        """Ids of a whole text, little-endian."""
         if not text:
             return b""
-        first, *rest = CUT.split(text)
-        return self.ids(first) + b"".join(map(self.__getitem__, rest)) if first else b"".join(map(self.__getitem__, rest))
+        if PLAIN.fullmatch(text):
+            return b"".join(map(self.__getitem__, WORDS.findall(text)))
+        out = []
+        for i, piece in enumerate(CUT.split(text)):
+            piece = " " + piece if i else piece
+            if PLAIN.fullmatch(piece):
+                out += map(self.__getitem__, WORDS.findall(piece))
+            else:
+                out.append(np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
+        return b"".join(out)
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
@@ -163,7 +188,7 @@ def write(documents: DataFrame, path: str, folder: str, end_id: int = 0) -> None
     mark = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = Pieces.of(path)
         held, size, at, done = [], 0, 0, 0
         starts, doc_id, ends = [], [], []
 

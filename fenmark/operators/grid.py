@@ -44,9 +44,10 @@ def _size(level: Column) -> Column:
     return F.lit(BASE) * F.pow(F.lit(STEP), level)
 
 
-def _levels(a: DataFrame, b: DataFrame) -> tuple[list[int], list[int]]:
+def _levels(a: DataFrame, b: DataFrame | None) -> tuple[list[int], list[int]]:
     """The levels in use on either side, at most LEVELS + 1 each."""
-    both = a.select(F.lit(0).alias("side"), _level("_box").alias("level")).union(b.select(F.lit(1), _level("_box")))
+    both = a.select(F.lit(0).alias("side"), _level("_box").alias("level"))
+    both = both if b is None else both.union(b.select(F.lit(1), _level("_box")))
     found = both.groupBy("side").agg(F.collect_set("level").alias("levels")).collect()
     of = {r.side: sorted(r.levels) for r in found}
     return of.get(0, []), of.get(1, [])
@@ -80,13 +81,19 @@ def _celled(df: DataFrame, own: str, other: str, met: list[int]) -> DataFrame:
     return df
 
 
-def box_pairs(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom: str = "r_geom", within: float = 0.0) -> DataFrame:
-    """Pairs of rows whose bounding boxes, the left one grown by `within`, share a point. Column names must differ between the sides."""
+def levels(df: DataFrame, geom: str = "geom") -> list[int]:
+    """The levels in use in df."""
+    return _levels(with_box(df.select(geom), geom, "_box"), None)[0]
+
+
+def box_pairs(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom: str = "r_geom", within: float = 0.0, known: list[int] | None = None) -> DataFrame:
+    """Pairs of rows whose bounding boxes, the left one grown by `within`, share a point. Column names must differ between the sides.
+    `known` are levels that hold all of left's, where left is costly to look at: it is not computed for them then."""
     clash = set(left.columns) & set(right.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     a, b = with_box(spread(left), lgeom, "_box", within), with_box(right, rgeom, "_box")
-    on_left, on_right = _levels(a, b)
+    on_left, on_right = _levels(a, b) if known is None else (known, _levels(b, None)[0])
     a, b = _celled(a, "l", "r", on_right).withColumnRenamed("_box", "_lbox"), _celled(b, "r", "l", on_left).withColumnRenamed("_box", "_rbox")
     pairs = a.join(b, ["_level", "_part", "_salt", "_cx", "_cy"])
     s = _size(F.col("_level"))

@@ -24,13 +24,15 @@ def _box_errors(x0: Column, y0: Column, x1: Column, y1: Column) -> list[Column]:
 
 
 def geometry_errors(g: str = "geom") -> Column:
-    """All codes of what is wrong with a site's geometry as an array, empty if nothing is: null_geometry, invalid_geometry,
-    not_polygonal, degrees, outside_grid."""
-    b = st.bounds(g)
+    """All codes of what is wrong with a site's geometry as an array, empty if nothing is: null_geometry, damaged_geometry (bytes that
+    are none; then nothing else is looked at), invalid_geometry, not_polygonal, degrees, outside_grid."""
+    sound = st.sound(g)
+    b = st.bounds(sound)
     found = [
         F.when(F.col(g).isNull(), "null_geometry"),
-        F.when(~st.is_valid(g), "invalid_geometry"),
-        F.when(~st.geometry_type(g).isin("Polygon", "MultiPolygon"), "not_polygonal"),
+        F.when(F.col(g).isNotNull() & sound.isNull(), "damaged_geometry"),
+        F.when(~st.is_valid(sound), "invalid_geometry"),
+        F.when(~st.geometry_type(sound).isin("Polygon", "MultiPolygon"), "not_polygonal"),
         *_box_errors(*[b[i] for i in range(4)]),
     ]
     return F.filter(F.array(*found), lambda x: x.isNotNull())

@@ -1,4 +1,4 @@
-"""The nutrient assessment of developments as one lazy plan."""
+"""The nutrient assessment of developments as one plan. What its joins read again is written to the shared folder on the way."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from fenmark.operators.overlay import land_use_intersections, majority_overlap
 from fenmark.session import written
 
 PACKAGE_PLANT = "Package Treatment Plant default"
+GRID = 27700
 #: Older input names and the present ones.
 LEGACY_NAMES = {"Name": "name", "Dwel_Cat": "dwelling_category", "Source": "source", "Dwellings": "dwellings", "Shape_Area": "shape_area"}
 REQUIRED = ["id", "name", "dwelling_category", "source", "dwellings", "geom"]
@@ -35,12 +36,15 @@ class Reference:
 
 def prepare(sites: DataFrame, order: str = "id", job: str | None = None) -> DataFrame:
     """Present names, the expected columns only, rlb_id from 1 in the given order (within each job, if there are several) and site
-    areas. The order column may be of any type that can be ordered; it should be unique."""
+    areas. The order column may be of any type that can be ordered; it should be unique. Where sites have a column srid (an EPSG code;
+    null: the grid's), geometries are moved to the national grid."""
     have = set(sites.columns)
     sites = sites.withColumnsRenamed({a: b for a, b in LEGACY_NAMES.items() if a in have and b not in have})
     missing = [c for c in REQUIRED if c not in sites.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
+    if "srid" in have:
+        sites = sites.withColumn("geom", st.transform("geom", F.coalesce(F.col("srid").cast("int"), F.lit(GRID)), GRID))
     sites = sites.select(*dict.fromkeys([*REQUIRED, order, *([job] if job else [])]))
     if job:
         sites = sites.withColumn("rlb_id", F.row_number().over(Window.partitionBy(job).orderBy(order)))
@@ -50,7 +54,11 @@ def prepare(sites: DataFrame, order: str = "id", job: str | None = None) -> Data
 
 
 def assess(sites: DataFrame, ref: Reference, s: Settings = Settings(), key: str = "rlb_id", job: str | None = None) -> DataFrame:
-    """impact_summary: one row for each development in scope. sites come from prepare(); key must be unique over all jobs."""
+    """impact_summary: one row for each development in scope. sites come from prepare(); key must be unique over all jobs.
+
+    The joins' levels and two tables are computed while the plan is built; a tables_go() block around it and the use of its result
+    removes the tables. Uplifts are summed as decimals, so that totals do not depend on the order of rows.
+    """
     sites = written(sites)  # the joins below read them four times
     out = majority_overlap(
         sites,
@@ -66,8 +74,7 @@ def assess(sites: DataFrame, ref: Reference, s: Settings = Settings(), key: str
     sums = met.groupBy(key).agg(
         # areas are summed in any order, so noise far below a square millimetre is cut before rounding
         F.round(sum_or_zero("area_in_nn_catchment_ha"), 9).alias("area_in_nn_catchment_ha"),
-        sum_or_zero("n_lu_uplift").alias("n_lu_uplift"),
-        sum_or_zero("p_lu_uplift").alias("p_lu_uplift"),
+        *[sum_or_zero(F.col(c).try_cast("decimal(20,2)")).cast("double").alias(c) for c in ("n_lu_uplift", "p_lu_uplift")],
         F.array_join(F.array_sort(F.collect_set("n2k_site_n")), "; ").alias("nn_catchment"),
         F.array_sort(F.collect_set(entry)).alias("nn_catchment_entries"),
     )
@@ -100,5 +107,10 @@ def assess(sites: DataFrame, ref: Reference, s: Settings = Settings(), key: str
     out = out.withColumn("dwelling_density", ratio("dwellings", "dev_area_ha"))
     for c in ("area_in_nn_catchment_ha", "n_wwtw_temp", "p_wwtw_temp", "n_wwtw_perm", "p_wwtw_perm", "n_total", "p_total"):
         out = out.withColumn(c, round_half_even(c))
+    return in_scope(out).drop("geom")
+
+
+def in_scope(out: DataFrame) -> DataFrame:
+    """Rows without any area in a catchment go, unless a works of its own that is no package plant serves them."""
     outside = F.col("area_in_nn_catchment_ha").isNull()
-    return out.where(~(outside & F.col("wwtw_name").isNull())).where(~(outside & F.col("wwtw_name").eqNullSafe(PACKAGE_PLANT))).drop("geom")
+    return out.where(~(outside & F.col("wwtw_name").isNull())).where(~(outside & F.col("wwtw_name").eqNullSafe(PACKAGE_PLANT)))

@@ -107,7 +107,7 @@ NUTRIENT_CTES = (
     _ctes("dev", "coef", "nnc", "lpa", "works", "rates", "works_lookup")
     + f""", tri AS ({TRIPLE}),
     up AS (SELECT *, {_uplift('n', '0.2 * 3.0')} AS nu, {_uplift('p', '0.2 * 0.2')} AS pu FROM tri),
-    sums AS (SELECT id, round(sum(area_in_nn_catchment_ha), 9) AS area_in_nn_catchment_ha, round(coalesce(sum(nu), 0.0) + 1e-6, 2) + 0.0 AS n_lu_uplift, round(coalesce(sum(pu), 0.0) + 1e-6, 2) + 0.0 AS p_lu_uplift, coalesce(string_agg(DISTINCT n2k_site_n, '; ' ORDER BY n2k_site_n), '') AS nn_catchment FROM up GROUP BY 1),
+    sums AS (SELECT id, round(sum(area_in_nn_catchment_ha), 9) AS area_in_nn_catchment_ha, CAST(coalesce(sum(CAST(nu AS DECIMAL(20, 2))), 0) AS DOUBLE) AS n_lu_uplift, CAST(coalesce(sum(CAST(pu AS DECIMAL(20, 2))), 0) AS DOUBLE) AS p_lu_uplift, coalesce(string_agg(DISTINCT n2k_site_n, '; ' ORDER BY n2k_site_n), '') AS nn_catchment FROM up GROUP BY 1),
     base AS (SELECT dev.id, dev.dwellings, {_r2('(dev.x1 - dev.x0) * (dev.y1 - dev.y0) / 10000.0')} AS dev_area_ha, coalesce(TRY_CAST(w.v AS INTEGER), 141) AS majority_wwtw_id, l.v AS majority_name, o.v AS opcat, s.* EXCLUDE (id)
              FROM dev JOIN {_major('works', 'code', "'141'")} w USING (id) JOIN {_major('lpa', 'name', "'UNKNOWN'")} l USING (id) JOIN {_major('lpa', 'name', 'NULL')} o USING (id) LEFT JOIN sums s USING (id)),
     rated AS (SELECT base.*, coalesce(occupancy_rate, avg(occupancy_rate) OVER g) AS occ, coalesce(water_usage, avg(water_usage) OVER g) AS lit FROM base LEFT JOIN rates ON base.nn_catchment IS NOT DISTINCT FROM rates.nn_catchment WINDOW g AS (PARTITION BY majority_wwtw_id)),
@@ -118,13 +118,13 @@ OUT_OF_SCOPE = f"area_in_nn_catchment_ha IS NULL AND (wwtw_name IS NULL OR wwtw_
 
 def _total(e: str) -> str:
     both = f"(coalesce({e}_post, 0.0) + {_load(e, '2030')})"
-    return f"round({_r2(f'{both} + abs({both}) * 0.2')} + 1e-6, 0) + 0.0"
+    return _r2(f"{both} + abs({both}) * 0.2")
 
 
 NUTRIENT_SQL = (
     NUTRIENT_CTES
     + f"""SELECT id, dwellings, dev_area_ha, {_r2('area_in_nn_catchment_ha')} AS area_in_nn_catchment_ha, majority_wwtw_id, majority_name, wwtw_name, wwtw_subcatchment, nn_catchment, n_lu_uplift, p_lu_uplift,
-           round(n_post + 1e-6, 1) + 0.0 AS n_lu_post_suds, round(p_post + 1e-6, 1) + 0.0 AS p_lu_post_suds, round({_r2(_load('n', '2025'))} + 1e-6, 1) AS n_wwtw_temp, round({_r2(_load('p', '2030'))} + 1e-6, 1) AS p_wwtw_perm,
+           n_post AS n_lu_post_suds, p_post AS p_lu_post_suds, {_r2(_load('n', '2025'))} AS n_wwtw_temp, {_r2(_load('p', '2030'))} AS p_wwtw_perm,
            {_total('n')} AS n_total
     FROM full_ WHERE NOT ({OUT_OF_SCOPE})"""
 )
@@ -134,10 +134,8 @@ NUTRIENT_SQL = (
 def nutrient_impact_summary(spark, sf_dir):
     sites = nutrient.prepare(synth.developments(spark, sf_dir))
     out = nutrient.assess(sites, synth.reference(spark, sf_dir))
-    # floating sums depend on their order, so what is compared is rounded further
-    digits = {"n_lu_uplift": 2, "p_lu_uplift": 2, "n_lu_post_suds": 1, "p_lu_post_suds": 1, "n_wwtw_temp": 1, "p_wwtw_perm": 1, "n_total": 0}
-    out = out.withColumns({c: F.round(F.col(c) + 1e-6, d) + 0.0 for c, d in digits.items()})
-    return out.select("id", "dwellings", "dev_area_ha", "area_in_nn_catchment_ha", "majority_wwtw_id", "majority_name", "wwtw_name", "wwtw_subcatchment", "nn_catchment", *digits)
+    measures = ["n_lu_uplift", "p_lu_uplift", "n_lu_post_suds", "p_lu_post_suds", "n_wwtw_temp", "p_wwtw_perm", "n_total"]
+    return out.select("id", "dwellings", "dev_area_ha", "area_in_nn_catchment_ha", "majority_wwtw_id", "majority_name", "wwtw_name", "wwtw_subcatchment", "nn_catchment", *measures)
 
 
 @query(_ctes("dev", "coef") + f" SELECT dev.id, coef.id AS coef_id FROM dev JOIN coef ON {_meet('dev', 'coef')}")
@@ -375,9 +373,8 @@ def quality_row_floor(spark, sf_dir):
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS area, CASE WHEN o_orderkey % 5 = 0 THEN 'Package Treatment Plant default' WHEN o_orderkey % 2 = 0 THEN 'W' END AS works FROM orders) WHERE NOT (area IS NULL AND (works IS NULL OR works = 'Package Treatment Plant default'))")
 def scope_filter(spark, sf_dir):
     k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 == 0, F.col("o_totalprice")).alias("area"), F.when(k % 5 == 0, nutrient.PACKAGE_PLANT).when(k % 2 == 0, "W").alias("works"))
-    outside = F.col("area").isNull()
-    return o.where(~(outside & F.col("works").isNull())).where(~(outside & F.col("works").eqNullSafe(nutrient.PACKAGE_PLANT))).select("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 == 0, F.col("o_totalprice")).alias("area_in_nn_catchment_ha"), F.when(k % 5 == 0, nutrient.PACKAGE_PLANT).when(k % 2 == 0, "W").alias("wwtw_name"))
+    return nutrient.in_scope(o).select("o_orderkey")
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, event_type, round(avg(value), 4) AS mean, arg_max(value, (ts, event_id)) AS last_value, count(*) AS n FROM events GROUP BY ALL")
@@ -404,18 +401,16 @@ CSV_SQL = (
     NUTRIENT_CTES
     + f"""SELECT n.rlb_id AS RLB_ID, f.id, n.name AS Name, n.dwelling_category AS Dwel_Cat, 'synthetic' AS Source, f.dwellings AS Dwellings, dev_area_ha AS Dev_Area_Ha, {_r2('area_in_nn_catchment_ha')} AS AreaInNNCatchment, nn_catchment AS NN_Catchment,
            opcat AS Dev_SubCatchment, majority_name AS Majority_LPA, majority_wwtw_id AS Majority_WwTw_ID, wwtw_name AS WwTW_name, wwtw_subcatchment AS WwTw_SubCatchment, n_lu_uplift AS N_LU_Uplift, p_lu_uplift AS P_LU_Uplift,
-           round(n_post + 1e-6, 1) + 0.0 AS N_LU_postSuDS, round(p_post + 1e-6, 1) + 0.0 AS P_LU_postSuDS, round(occ, 6) AS Occ_Rate, round(lit, 6) AS Water_Usage_L_Day, round(f.dwellings * (occ * lit), 4) AS Litres_used, n_conc_2025 AS Nitrogen_2025_2030, n_conc_2030 AS Nitrogen_2030_onwards, p_conc_2025 AS Phosphorus_2025_2030, p_conc_2030 AS Phosphorus_2030_onwards,
-           round({_r2(_load('n', '2025'))} + 1e-6, 1) AS N_WwTW_Temp, round({_r2(_load('p', '2025'))} + 1e-6, 1) AS P_WwTW_Temp, round({_r2(_load('n', '2030'))} + 1e-6, 1) AS N_WwTW_Perm, round({_r2(_load('p', '2030'))} + 1e-6, 1) AS P_WwTW_Perm, {_total('n')} AS N_Total, {_total('p')} AS P_Total
+           n_post AS N_LU_postSuDS, p_post AS P_LU_postSuDS, round(occ, 6) AS Occ_Rate, round(lit, 6) AS Water_Usage_L_Day, round(f.dwellings * (occ * lit), 4) AS Litres_used, n_conc_2025 AS Nitrogen_2025_2030, n_conc_2030 AS Nitrogen_2030_onwards, p_conc_2025 AS Phosphorus_2025_2030, p_conc_2030 AS Phosphorus_2030_onwards,
+           {_r2(_load('n', '2025'))} AS N_WwTW_Temp, {_r2(_load('p', '2025'))} AS P_WwTW_Temp, {_r2(_load('n', '2030'))} AS N_WwTW_Perm, {_r2(_load('p', '2030'))} AS P_WwTW_Perm, {_total('n')} AS N_Total, {_total('p')} AS P_Total
     FROM full_ f JOIN (SELECT id, name, dwelling_category, row_number() OVER (ORDER BY id) AS rlb_id FROM dev) n USING (id) WHERE NOT ({OUT_OF_SCOPE})"""
 )
 
 
 @query(CSV_SQL)
 def nutrient_csv(spark, sf_dir):
-    """The fixed 31 columns of the CSV; sums of floating numbers are rounded further, as their order differs."""
+    """The fixed 31 columns of the CSV."""
     rows = outputs.csv_projection(nutrient.assess(nutrient.prepare(synth.developments(spark, sf_dir)), synth.reference(spark, sf_dir)))
-    digits = {"N_LU_Uplift": 2, "P_LU_Uplift": 2, "N_LU_postSuDS": 1, "P_LU_postSuDS": 1, "N_WwTW_Temp": 1, "P_WwTW_Temp": 1, "N_WwTW_Perm": 1, "P_WwTW_Perm": 1, "N_Total": 0, "P_Total": 0}
-    rows = rows.withColumns({c: F.round(F.col(c) + 1e-6, d) + 0.0 for c, d in digits.items()})
     return rows.withColumns({c: F.round(c, d) for c, d in {"Occ_Rate": 6, "Water_Usage_L_Day": 6, "Litres_used": 4}.items()})
 
 
@@ -429,9 +424,7 @@ def nutrient_payload(spark, sf_dir):
     load = "struct<total: double, band: int>"
     p = F.from_json("payload", f"nitrogen {load}, phosphorus {load}, catchments array<struct<id: string, name: string>>, wasteWaterTreatmentWorks string, withinCatchment boolean")
     rows = made.select("id", p.alias("p"))
-    total = lambda e: F.round(F.col(f"p.{e}.total") + 1e-6, 0) + 0.0
-    # bands are compared for the rounded total, as the sums are
-    return rows.select("id", total("nitrogen").alias("n_total"), total("phosphorus").alias("p_total"), loads.band(total("nitrogen")).alias("n_band"), F.size("p.catchments").cast("long").alias("n_catchments"), F.col("p.wasteWaterTreatmentWorks").alias("works"), F.col("p.withinCatchment").alias("within"))
+    return rows.select("id", F.col("p.nitrogen.total").alias("n_total"), F.col("p.phosphorus.total").alias("p_total"), F.col("p.nitrogen.band").alias("n_band"), F.size("p.catchments").cast("long").alias("n_catchments"), F.col("p.wasteWaterTreatmentWorks").alias("works"), F.col("p.withinCatchment").alias("within"))
 
 
 PARTS = f"(SELECT dev.id AS site, lpa.id AS z, rz, sum({_shared('dev', 'lpa', 'nnc')}) AS m2 FROM dev JOIN lpa ON {_meet('dev', 'lpa')} JOIN nnc ON {_meet('dev', 'nnc')} AND {_meet('lpa', 'nnc')} GROUP BY ALL HAVING m2 > 0)"
@@ -642,6 +635,47 @@ def streaming_jobs(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("reference", "units")
 
 
+def _messages(spark, sf_dir):
+    """A job for each development, as JSON text: every 17th with a boundary that is damaged, every 19th with no units at first and
+    corrected then, all valid ones twice."""
+    dev = synth._sql(ensure_spatial(spark), sf_dir, synth.RECTANGLES["dev"])
+    k = F.col("id")
+    ring = F.format_string("[[%d,%d],[%d,%d],[%d,%d],[%d,%d],[%d,%d]]", "x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1", "x0", "y0")
+    boundary = F.when(k % 17 == 0, '{"type":"Polygon","coordinates":[[[1,2],[3,4]]]}').otherwise(F.format_string('{"type":"Polygon","coordinates":[%s]}', ring))
+
+    def message(units):
+        body = F.struct(F.format_string("NRF-%06d", "id").alias("reference"), F.struct(boundary.alias("boundaryGeometryOriginal")).alias("boundaryGeojson"), F.array("dwelling_category").alias("developmentTypes"), units.alias("housingUnits"))
+        return F.to_json(body).alias("value")
+
+    good = dev.select(message(F.col("dwellings")))
+    return dev.where(k % 19 == 0).select(message(F.lit(0))).union(good).union(good)
+
+
+OWN_CTES = NUTRIENT_CTES.replace("PARTITION BY majority_wwtw_id", "PARTITION BY base.id, majority_wwtw_id")
+
+
+@query(OWN_CTES + f"SELECT 'NRF-' || lpad(CAST(f.id AS VARCHAR), 6, '0') AS id, f.dwellings, dev_area_ha, {_r2('area_in_nn_catchment_ha')} AS area_in_nn_catchment_ha, majority_wwtw_id, nn_catchment, {_total('n')} AS n_total, {_total('p')} AS p_total FROM full_ f WHERE f.id % 17 <> 0 AND NOT ({OUT_OF_SCOPE})")
+def jobs_to_totals(spark, sf_dir):
+    """From JSON messages to nutrient totals, each job by itself."""
+    folder = shared_folder(spark, "jobs")
+    _messages(spark, sf_dir).write.text(f"{folder}/in")
+    jobs.run(spark, f"{folder}/in", f"{folder}/state", jobs.assess_nutrients(synth.reference(spark, sf_dir)), f"{folder}/out", f"{folder}/bad", read=jobs.parse_sites, failed=f"{folder}/failed")
+    return spark.read.parquet(f"{folder}/out").select("id", "dwellings", "dev_area_ha", "area_in_nn_catchment_ha", "majority_wwtw_id", "nn_catchment", "n_total", "p_total")
+
+
+@query("SELECT count(*) FILTER (k % 17 <> 0 AND k <> 7) AS done, count(*) FILTER (k % 17 <> 0 AND k = 7) AS failed, max(2) AS attempts, count(*) FILTER (k % 17 = 0) AS damaged, count(*) FILTER (k % 19 = 0) AS no_units FROM (SELECT c_custkey AS k FROM customer)")
+def poison_jobs(spark, sf_dir):
+    """One job makes its batch fail: it is set apart, and all others complete."""
+    folder = shared_folder(spark, "jobs")
+    _messages(spark, sf_dir).write.text(f"{folder}/in")
+    poison = F.when(F.col("reference") == "NRF-000007", F.raise_error(F.lit("no such plan")).cast("double")).otherwise(st.area("geom"))
+    jobs.run(spark, f"{folder}/in", f"{folder}/state", lambda rows: rows.select("reference", poison.alias("area")), f"{folder}/out", f"{folder}/bad", read=jobs.parse_sites, failed=f"{folder}/failed")
+    done = spark.read.parquet(f"{folder}/out").agg(F.count(F.lit(1)).alias("done"))
+    failed = spark.read.schema("reference string, attempts int").parquet(f"{folder}/failed/batch=*/part=*").agg(F.count(F.lit(1)).alias("failed"), F.max("attempts").alias("attempts"))
+    bad = spark.read.parquet(f"{folder}/bad").agg(F.count_if(F.col("error") == "damaged_boundary").alias("damaged"), F.count_if(F.col("error") == "bad_housing_units").alias("no_units"))
+    return done.join(failed).join(bad).select("done", "failed", "attempts", "damaged", "no_units")  # one row each
+
+
 @query()
 def newt_habitat_impact(spark, sf_dir):
     """Habitat areas of all sites; curved edges have no closed form, tests hold them against known areas."""

@@ -6,6 +6,8 @@ import atexit
 import contextlib
 import re
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,11 @@ FUNCTIONS = {
     "fm_round_exact": ("RoundExact", "double"),
     "fm_transform": ("Crs$Transform", "binary"),
     "fm_as_geojson": ("Crs$AsGeoJson", "string"),
+    "fm_from_geojson": ("Parse$FromGeoJson", "binary"),
+    "fm_try_geometry": ("Parse$TryGeometry", "binary"),
+    "fm_try_text": ("Parse$TryText", "binary"),
+    "fm_linework": ("Shapes$Linework", "binary"),
+    "fm_hilbert": ("Shapes$Hilbert", "int"),
     "fm_tile_geometry": ("Crs$TileGeometry", "binary"),
 }
 
@@ -64,10 +71,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return (named or "file:///tmp/checkpoints").rstrip("/")
 
 
+#: Paths of the tables scopes that are open, innermost last; each thread has its own.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+
+
+@contextlib.contextmanager
+def tables_go(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside (by written(), or below shared_folder()) go at the end of the block, so results must be taken
+    before. Without a block they go when the driver ends."""
+    mine: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), mine))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in mine:
+            remove(spark, path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver ends."""
+    """A new path under the shared folder, removed at the end of the tables_go() block around it, or when the driver ends."""
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
+    else:
+        atexit.register(remove, spark, path)
     return path
 
 
