@@ -166,7 +166,12 @@ def transform(g: ColumnOrName, source: Column | int, target: int) -> Column:
 
 def tile_geometry(g: ColumnOrName, z: int, x: int, y: int) -> Column:
     """A web Mercator geometry on a tile's grid of 4096 with a margin of 64; null outside."""
-    return _call("tile_geometry", g, F.lit(z), F.lit(x), F.lit(y))
+    return tile_geometry_at(g, F.lit(z), F.lit(x), F.lit(y))
+
+
+def tile_geometry_at(g: ColumnOrName, z: Column, x: Column, y: Column) -> Column:
+    """tile_geometry() for a tile that differs from row to row."""
+    return _call("tile_geometry", g, z, x, y)
 
 
 def tile_bounds(z: int, x: int, y: int) -> tuple[float, float, float, float]:

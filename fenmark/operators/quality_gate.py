@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,8 @@ from fenmark.functions import geometry as st
 
 @dataclass
 class Rules:
-    """key: columns, or attributes.NAME for JSON attributes. ranges: column -> (least, most). allowed: column -> values."""
+    """key: columns, or attributes.NAME for JSON attributes. ranges: column -> (least, most). allowed: column -> values. references:
+    column -> (frame, or the name of a table; column there; whether nulls pass)."""
 
     key: list[str] = field(default_factory=list)
     unique: bool = False
@@ -28,7 +30,7 @@ class Rules:
     geometry_types: list[str] = field(default_factory=list)
     srid: int | None = None
     row_floor_percent: float = 90.0
-    references: dict[str, tuple[DataFrame, str, bool]] = field(default_factory=dict)
+    references: dict[str, tuple[DataFrame | str, str, bool]] = field(default_factory=dict)
 
 
 def value(name: str) -> Column:
@@ -36,8 +38,9 @@ def value(name: str) -> Column:
     return F.get_json_object("attributes", f"$.{name.split('.', 1)[1]}") if name.startswith("attributes.") else F.col(name)
 
 
-def check(table: str, df: DataFrame, rules: Rules, previous: DataFrame | None = None) -> list[str]:
-    """What fails, as `table=.. rule=.. detail=..`; empty if nothing does. Null values pass ranges, allowed values and geometry rules."""
+def check(table: str, df: DataFrame, rules: Rules, previous: DataFrame | None = None, lookup: Callable[[str], DataFrame] | None = None) -> list[str]:
+    """What fails, as `table=.. rule=.. detail=..`; empty if nothing does. Null values pass ranges, allowed values and geometry rules.
+    lookup reads the tables that references name."""
 
     def bad(c: Column) -> Column:
         return F.count_if(F.coalesce(c, F.lit(False)))
@@ -68,6 +71,8 @@ def check(table: str, df: DataFrame, rules: Rules, previous: DataFrame | None =
         if twice:
             out.append(f"table={table} rule=unique_key detail={twice} keys")
     for c, (target, column, allow_null) in rules.references.items():
+        if isinstance(target, str):
+            target = lookup(target)
         # values that are no numbers refer to nothing, and are not nulls
         mine = df.select(value(c).try_cast("double").alias("v"), value(c).isNull().alias("none"))
         lost = mine.join(target.select(F.col(column).try_cast("double").alias("v")).where("v is not null").distinct(), "v", "left_anti")
@@ -77,14 +82,20 @@ def check(table: str, df: DataFrame, rules: Rules, previous: DataFrame | None =
     return out
 
 
+def gate(rules: dict[str, Rules]) -> Callable[[str, DataFrame, DataFrame | None, Callable[[str], DataFrame]], list[str]]:
+    """A check for Catalog.promote(): each table by its rules. References that name tables see the new versions of the same load."""
+    return lambda table, new, old, lookup: check(table, new, rules[table], old, lookup) if table in rules else []
+
+
 RULE_KEYS = {f.name for f in fields(Rules)}
 
 
-def load_rules(text: str, references: dict[str, DataFrame] | None = None) -> dict[str, Rules]:
+def load_rules(text: str, references: dict[str, DataFrame] | None = None, by_name: bool = False) -> dict[str, Rules]:
     """Rules by table from YAML (where a YAML library is there) or JSON text: {tables: {name: {key: [..], unique: true, ranges:
     {column: [least, most]}, allowed: {column: [..]}, references: {column: {table: .., column: .., allow_null: ..}}, ..}}}.
 
-    Unknown keys, a table without a key, and a reference to a table that is not among `references` are errors that name the table.
+    by_name: tables that rules refer to stay names, for gate(). Unknown keys, a table without a key, and else a reference to a table
+    that is not among `references` are errors that name the table.
     """
     try:
         import yaml
@@ -106,9 +117,9 @@ def load_rules(text: str, references: dict[str, DataFrame] | None = None) -> dic
         given["ranges"] = {c: (float(a), float(b)) for c, (a, b) in given.get("ranges", {}).items()}
         targets = {}
         for c, r in given.get("references", {}).items():
-            if r["table"] not in (references or {}):
+            if not by_name and r["table"] not in (references or {}):
                 raise ValueError(f"rules of {name}: {c} refers to unknown table {r['table']}")
-            targets[c] = (references[r["table"]], r.get("column", "id"), bool(r.get("allow_null", True)))
+            targets[c] = (r["table"] if by_name else references[r["table"]], r.get("column", "id"), bool(r.get("allow_null", True)))
         out[name] = Rules(**given | {"references": targets})
     return out
 

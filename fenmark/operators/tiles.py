@@ -1,16 +1,24 @@
-"""Vector tiles: geometries on a tile's grid, encoded as a Mapbox vector tile layer."""
+"""Vector tiles: geometries on a tile's grid, encoded as a Mapbox vector tile layer; one tile, or all tiles of a range of zooms."""
 
 from __future__ import annotations
 
+import json
 import struct
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
-from fenmark.operators.grid import spatial_join
+from fenmark.operators.grid import spatial_join, spread
 from fenmark.operators.outputs import tile_etag
+from fenmark.session import written
+
+#: Features of a tile that are encoded together, and parts of a tile that are merged together.
+PART_FEATURES, FAN = 4096, 8
+PARTIAL = "z int, x int, y int, part long, names array<string>, shown array<binary>, tags array<array<int>>, bodies array<binary>"
+WORLD = 2 * 3.141592653589793 * 6378137.0
 
 
 def _varint(n: int) -> bytes:
@@ -155,3 +163,191 @@ def tile(layer: DataFrame, name: str, z: int, x: int, y: int, properties: list[s
     # a tile is what one browser request loads, so its features fit one task
     tiles = rows.groupBy("z", "x", "y").applyInArrow(encode, "z int, x int, y int, tile binary, features long")
     return tiles.withColumn("etag", tile_etag(name, "z", "x", "y", version))
+
+
+def _tile_box(z: Column, x: Column, y: Column, margin: float = 0.0) -> Column:
+    side = F.lit(WORLD) / F.pow(F.lit(2.0), z)
+    m = side * margin
+    left, top = F.lit(-WORLD / 2) + x * side, F.lit(WORLD / 2) - y * side
+    return st.box(left - m, top - side - m, left + side + m, top + m)
+
+
+def _merge(parts: list[tuple[list[str], list[bytes], list[list[int]], list[bytes]]]) -> tuple[list[str], list[bytes], list[list[int]], list[bytes]]:
+    """Partial layers as one: their dictionaries of keys and of values united in order, tags renumbered, features in order."""
+    names, shown = sorted({k for p in parts for k in p[0]}), sorted({v for p in parts for v in p[1]})
+    key, value = {k: i for i, k in enumerate(names)}, {v: i for i, v in enumerate(shown)}
+    rows = []
+    for own_names, own_shown, tags, bodies in parts:
+        for tag, body in zip(tags, bodies, strict=True):
+            rows.append(([n for k, v in zip(tag[::2], tag[1::2], strict=True) for n in (key[own_names[k]], value[own_shown[v]])], body))
+    rows.sort()
+    return names, shown, [t for t, _ in rows], [b for _, b in rows]
+
+
+def _partial_batch(keys: list[tuple[int, int, int, int]], made: list[tuple]) -> pa.RecordBatch:
+    cols = [*zip(*keys, strict=True), *zip(*made, strict=True)]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PARTIAL.split(", ")])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int, int], list[dict]]]:
+    """Rows that follow each other with the same z, x, y and part."""
+    at, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            k = (r["z"], r["x"], r["y"], r["part"])
+            if k != at:
+                if rows:
+                    yield at, rows
+                at, rows = k, []
+            rows.append(r)
+    if rows:
+        yield at, rows
+
+
+def _encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with g and properties (JSON text of an object) to partial layers."""
+    for k, rows in _grouped(batches):
+        single = []
+        for r in rows:
+            kind, numbers = commands(r["g"])
+            given = {n: _value(v) for n, v in json.loads(r["properties"]).items() if v is not None}
+            tags = [x for i in range(len(given)) for x in (i, i)]
+            single.append((list(given), list(given.values()), [tags], [_varint(3 << 3) + _varint(kind) + _field(4, b"".join(map(_varint, numbers)))]))
+        yield _partial_batch([k], [_merge(single)])
+
+
+def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for k, rows in _grouped(batches):
+        yield _partial_batch([k], [_merge([(r["names"], r["shown"], r["tags"], r["bodies"]) for r in rows])])
+
+
+def pyramid(layer: DataFrame, name: str, zooms: tuple[int, int], properties: list[str], srid: int = 27700, version: int = 1) -> DataFrame:
+    """(z, x, y, tile, features, etag) for every tile of the zooms from the first to the last that a feature of layer (geom in srid)
+    touches.
+
+    Features are dealt to the tiles of the first zoom by their boxes and cut there; the tiles of each further zoom take what is left in
+    the one above, so that a feature costs what of it is in a tile. A tile's features are encoded in parts of about PART_FEATURES with
+    dictionaries of their own, and the parts merged FAN at a time: no task gets a whole layer, however low the zoom, but for the bytes
+    of the tile itself. What is smaller than a step of a tile's grid goes. Null geometries are in no tile; an empty layer has none.
+    """
+    low, high = zooms
+    margin = 64 / 4096
+    rows = spread(layer).select(F.to_json(F.struct(*properties)).alias("properties"), st.transform("geom", srid, 3857).alias("geom")).where("geom is not null")
+    b, side = st.bounds("geom"), WORLD / 2**low
+    rows = rows.withColumn("_b", b).where(F.col("_b").isNotNull())
+
+    def across(v: Column, first: bool, down: bool) -> Column:
+        at = (F.lit(WORLD / 2) - v if down else v + WORLD / 2) / side
+        return F.least(F.greatest(F.floor(at), F.lit(0)), F.lit(2**low - 1)).cast("int")
+
+    rows = rows.withColumn("x", F.explode(F.sequence(across(F.col("_b")[0], True, False), across(F.col("_b")[2], False, False))))
+    rows = rows.withColumn("y", F.explode(F.sequence(across(F.col("_b")[3], True, True), across(F.col("_b")[1], False, True))))
+    z, x, y = F.col("z"), F.col("x"), F.col("y")
+
+    def cut(df: DataFrame) -> DataFrame:
+        here = df.where(st.intersects("geom", _tile_box(z, x, y)))
+        return written(here.select("z", "x", "y", "properties", st.shared("geom", _tile_box(z, x, y, margin)).alias("geom")))
+
+    levels = [cut(rows.withColumn("z", F.lit(low)))]
+    for zoom in range(low + 1, high + 1):
+        four = levels[-1].withColumn("_c", F.explode(F.array(*[F.struct((x * 2 + i).cast("int").alias("x"), (y * 2 + j).cast("int").alias("y")) for i in (0, 1) for j in (0, 1)])))
+        levels.append(cut(four.select(F.lit(zoom).alias("z"), "_c.x", "_c.y", "properties", "geom")))
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.union(more)
+    every = every.select("z", "x", "y", "properties", st.tile_geometry_at("geom", z, x, y).alias("g")).where("g is not null")
+    keys = ["z", "x", "y"]
+    sizes = every.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART_FEATURES).alias("parts"))
+    every = every.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("properties", "g"), F.col("parts"))).drop("parts")
+    by = [*keys, "part"]
+    made = written(every.repartition(*by).sortWithinPartitions(*by).mapInArrow(_encode_parts, PARTIAL))
+    most = made.agg(F.max("part")).first()[0] or 0
+    while most:
+        most //= FAN
+        made = made.withColumn("part", F.floor(F.col("part") / FAN).cast("long")).repartition(*by).sortWithinPartitions(*by).mapInArrow(_merge_parts, PARTIAL)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                features = b"".join(_field(2, _field(2, b"".join(map(_varint, t))) + body) for t, body in zip(r["tags"], r["bodies"], strict=True))
+                whole = _varint(15 << 3) + _varint(2) + _field(1, name.encode()) + features
+                whole += b"".join(_field(3, k.encode()) for k in r["names"]) + b"".join(_field(4, v) for v in r["shown"])
+                tile = _field(3, whole + _varint(5 << 3) + _varint(4096))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k]], pa.int32()) for k in ("z", "x", "y")] + [pa.array([tile], pa.binary()), pa.array([len(r["bodies"])], pa.int64())], names=["z", "x", "y", "tile", "features"])
+
+    return made.mapInArrow(finish, "z int, x int, y int, tile binary, features long").withColumn("etag", tile_etag(name, "z", "x", "y", version))
+
+
+def _fields(raw: memoryview) -> Iterator[tuple[int, memoryview | int]]:
+    """Number and value of each field of a message: bytes, or a whole number."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 2:
+            size = number()
+            yield tag >> 3, raw[at : at + size]
+            at += size
+        elif tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            size = 8 if tag & 7 == 1 else 4
+            yield tag >> 3, raw[at : at + size]
+            at += size
+
+
+def decoded(tiles: DataFrame) -> DataFrame:
+    """(z, x, y, layer, kind, properties): a row for each feature of tiles (z, x, y, tile). kind is point, line or polygon; properties
+    is an array of key and value as text. Values that are text or numbers are read; others are null."""
+
+    def value(raw: memoryview) -> str | None:
+        for n, v in _fields(raw):
+            if n == 1:
+                return bytes(v).decode()
+            if n == 3:
+                return repr(struct.unpack("<d", v)[0])
+            if n == 6:
+                return str(v >> 1 ^ -(v & 1))
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                out = []
+                for _, layer in _fields(memoryview(r["tile"])):
+                    parts = list(_fields(layer))
+                    keys, values = [bytes(v).decode() for n, v in parts if n == 3], [value(v) for n, v in parts if n == 4]
+                    name = next(bytes(v).decode() for n, v in parts if n == 1)
+                    for n, feature in parts:
+                        if n != 2:
+                            continue
+                        own = dict(_fields(feature))
+                        tags, at = [], list(own.get(2, b""))
+                        while at:
+                            t = shift = 0
+                            while True:
+                                byte = at.pop(0)
+                                t |= (byte & 127) << shift
+                                shift += 7
+                                if byte < 128:
+                                    break
+                            tags.append(t)
+                        given = [{"key": keys[k], "value": values[v]} for k, v in zip(tags[::2], tags[1::2], strict=True)]
+                        out.append((r["z"], r["x"], r["y"], name, {1: "point", 2: "line", 3: "polygon"}.get(own.get(3)), given))
+                if out:
+                    kinds = [pa.int32()] * 3 + [pa.string()] * 2 + [pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["z", "x", "y", "layer", "kind", "properties"])
+
+    return tiles.select("z", "x", "y", "tile").mapInArrow(run, "z int, x int, y int, layer string, kind string, properties array<struct<key: string, value: string>>")

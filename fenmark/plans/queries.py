@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
 from fenmark.functions import loads, numeric
 from fenmark.operators import grid, numbering, outputs, overlay, quality_gate, tiles, validation
-from fenmark.plans import boundary, newt, nutrient, registry, synth
+from fenmark.plans import boundary, incremental, newt, nutrient, registry, synth
 from fenmark.session import ensure_spatial, shared_folder
 from fenmark.sources import tabular
-from fenmark.sources.catalog import Catalog
+from fenmark.sources.catalog import Catalog, Manifest
 from fenmark.streaming import jobs, metrics
 
 QUERIES: dict = {}
@@ -676,6 +678,71 @@ def poison_jobs(spark, sf_dir):
     return done.join(failed).join(bad).select("done", "failed", "attempts", "damaged", "no_units")  # one row each
 
 
+@query("SELECT unnest(['1 half', '2 all', '3 again', '4 after a load']) AS step, unnest([count(*) FILTER (c_custkey % 2 = 0), count(*) FILTER (c_custkey % 2 <> 0), 0, count(*)]) AS computed, unnest([count(*) FILTER (c_custkey % 2 = 0), count(*), count(*), count(*)]) AS sites FROM customer")
+def incremental_runs(spark, sf_dir):
+    """How many sites each run computes: what no run has, and all after new reference data."""
+    cat, store = Catalog(ensure_spatial(spark), shared_folder(spark, "catalog")), incremental.ResultStore(spark, shared_folder(spark, "results"))
+    works, dev = synth.layer(spark, sf_dir, "works"), synth.developments(spark, sf_dir).select("id", "geom")
+    cat.promote({"works": works})
+    steps = []
+    for step, sites in (("1 half", dev.where("id % 2 = 0")), ("2 all", dev), ("3 again", dev), ("4 after a load", dev)):
+        if step == "4 after a load":
+            cat.promote({"works": works})
+        found, computed = store.assess(sites, [], _works_of(cat), {"default": "141"}, str(cat.generation()))
+        steps.append((step, computed, found.count()))
+    return spark.createDataFrame(steps, "step string, computed long, sites long")
+
+
+def _works_of(cat):
+    return lambda rows: overlay.majority_overlap(rows, {"works_code": (cat.read("works"), "code", "id", "141")}, "key").select("key", "works_code")
+
+
+@query(SQL["majority_overlap"])
+def incremental_results(spark, sf_dir):
+    """Results that come from two runs are those of one."""
+    cat, store = Catalog(ensure_spatial(spark), shared_folder(spark, "catalog")), incremental.ResultStore(spark, shared_folder(spark, "results"))
+    dev = synth.developments(spark, sf_dir).select("id", "geom")
+    cat.promote({"works": synth.layer(spark, sf_dir, "works")})
+    store.assess(dev.where("id % 3 = 0"), [], _works_of(cat), {"default": "141"}, "g")
+    return store.assess(dev, [], _works_of(cat), {"default": "141"}, "g")[0].select("id", "works_code")
+
+
+_TILE = "CAST(floor(({0} + 20037508.342789244) / (40075016.68557849 / pow(2, z))) AS INTEGER)"
+
+
+@query(_ctes("coef") + f", t AS (SELECT id, z, unnest(range({_TILE.format('x0')}, {_TILE.format('x1')} + 1)) AS x, {_TILE.format('-y1')} AS ya, {_TILE.format('-y0')} AS yb FROM coef, (SELECT unnest([8, 9, 10]) AS z)), u AS (SELECT z, x, unnest(range(ya, yb + 1)) AS y, id FROM t) SELECT CAST(z AS INTEGER) AS z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, count(*) AS features, sum(id) AS ids FROM u GROUP BY ALL")
+def tile_pyramid(spark, sf_dir):
+    """All tiles of three zooms of a layer in web Mercator, decoded again."""
+    made = tiles.pyramid(synth.layer(spark, sf_dir, "coef").select("id", "geom"), "coef", (8, 10), ["id"], srid=3857)
+    own = F.col("properties")[0]["value"].cast("long")
+    return tiles.decoded(made).groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("features"), F.sum(own).alias("ids"))
+
+
+@query(SQL["tile_filter"])
+def clustered_box_scan(spark, sf_dir):
+    """The rows near a box from a layer that is stored along Hilbert's curve with its boxes."""
+    cat, box = Catalog(ensure_spatial(spark), shared_folder(spark, "catalog")), (20000.0, 30000.0, 40000.0, 45000.0)
+    cat.promote({"coef": grid.clustered(synth.layer(spark, sf_dir, "coef").select("id", "geom"))}, cluster={"coef": "place"}, group_bytes=1 << 20)
+    close = tiles.near_box(cat.read("coef"), box, ("x0", "y0", "x1", "y1"))
+    return close.where(st.intersects("geom", st.box(*[F.lit(v) for v in box]))).select("id")
+
+
+@query("SELECT 'customers' AS \"table\", 2 AS version, 'v2' AS data_version, false AS reload, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'orders', 1, 'v1', true, count(*) FROM orders WHERE o_custkey % 3 = 0")
+def provenance(spark, sf_dir):
+    """Which data version each table's rows came from; a load that a rule between two tables stops leaves no trace in it."""
+    cat = Catalog(spark, shared_folder(spark, "catalog"))
+    customers, orders = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rules = {"orders": quality_gate.Rules(key=["o_orderkey"], references={"o_custkey": ("customers", "c_custkey", False)}, row_floor_percent=0)}
+    third = customers.where("c_custkey % 3 = 0")
+    cat.promote({"customers": third, "orders": orders.where("o_custkey % 3 = 0")}, quality_gate.gate(rules), data_version="v1")
+    with contextlib.suppress(ValueError):
+        # the new orders refer to customers that the new customers do not have
+        cat.promote({"customers": third, "orders": orders}, quality_gate.gate(rules), data_version="bad")
+    cat.promote({"customers": third}, quality_gate.gate(rules), data_version="v2")
+    stale = cat.stale_tables(Manifest("v2", {"customers": "c", "orders": "o"}))
+    return cat.provenance(["customers", "orders"]).join(cat.status(["customers", "orders"]), ["table", "version"]).select("table", "version", "data_version", F.col("table").isin(stale).alias("reload"), "n")
+
+
 @query()
 def newt_habitat_impact(spark, sf_dir):
     """Habitat areas of all sites; curved edges have no closed form, tests hold them against known areas."""
