@@ -207,9 +207,10 @@ class Catalog:
         run, seen, before = uuid.uuid4().hex, self._last("pointers"), self.pointer()
         new = {}
         for name in tables:
-            for lost in self._loading(name):  # of loads that were lost: the lock is ours
-                self._drop(name, lost)
-            new[name] = max(self.versions(name), default=0) + 1
+            lost = self._loading(name)  # of loads that were lost, as the lock is ours; one may live on, so its number is not used again
+            new[name] = max([*self.versions(name), *lost], default=0) + 1
+            for v in lost:
+                self._drop(name, v)
             self.fs.mkdirs(self._path(f"{self.root}/{name}"))
             self.fs.create(self._path(f"{self.root}/{name}/.loading-{new[name]}"), True).close()
         try:
@@ -228,6 +229,8 @@ class Catalog:
             for name, v in new.items():
                 self._drop(name, v)
             self._record(run, new, "failed", str(e)[:4000] or type(e).__name__, token=token, data_version=data_version)
+            if self._last("locks") != token:
+                raise Stale(f"a later load than {token} has taken over") from e
             raise
         for name, v in new.items():
             self.fs.delete(self._path(f"{self.root}/{name}/.loading-{v}"), False)
