@@ -60,6 +60,23 @@ LINES_SQL = """
     r AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS text, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_dropped FROM d GROUP BY 1)
     SELECT doc_id, text, n_lines, n_dropped FROM r UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL"""
 
+# the checksum is made byte by byte for each distinct word, from a table that its polynomial gives
+RESAMPLE_SQL = r"""
+    WITH texts AS (SELECT 'd' AS kind, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+    w AS (SELECT kind, r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+    c AS (SELECT kind, r, w, count(*) AS n FROM w GROUP BY ALL),
+    tab AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) x(n)),
+    h AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM c)),
+    k AS (SELECT w, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, tab),
+    g AS (SELECT bucket, sum(n) FILTER (kind = 'd') AS s, sum(n) FILTER (kind = 'b') AS t FROM c JOIN k USING (w) GROUP BY 1),
+    whole AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS s, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t FROM g),
+    gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(g.t, 0) AS DOUBLE) + 1) * (whole.s + 10000) / ((CAST(coalesce(g.s, 0) AS DOUBLE) + 1) * (whole.t + 10000)))) AS BIGINT) AS gain FROM g, whole),
+    d AS (SELECT doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_features, CAST(coalesce(sum(n * gain), 0) AS BIGINT) AS weight FROM texts LEFT JOIN c USING (kind, r) LEFT JOIN k USING (w) LEFT JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY r, doc_id),
+    e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d),
+    o AS (SELECT *, n_features >= 20 AND score IS NOT NULL AS able FROM e),
+    p AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS n FROM o)
+    SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 10 * n // 100 THEN place END AS rank FROM p"""
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -170,6 +187,7 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id < target THEN target END AS refers_to
         FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND payload_bytes >= 1000""",
     "op8_decontaminate": DECONTAMINATE_SQL,
+    "op11_resample": RESAMPLE_SQL,
     "op9_line_dedup": LINES_SQL,
     "op5_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS e FROM embeddings
