@@ -124,6 +124,10 @@ def spatial_join(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom:
     return box_pairs(left, right, lgeom, rgeom).where(st.intersects(lgeom, rgeom))
 
 
-def within_distance(left: DataFrame, right: DataFrame, most: float, lgeom: str = "geom", rgeom: str = "r_geom") -> DataFrame:
-    """Pairs at most `most` apart, with their distance_m."""
+def within_distance(left: DataFrame, right: DataFrame, most: float, lgeom: str = "geom", rgeom: str = "r_geom", from_centre: bool = False) -> DataFrame:
+    """Pairs at most `most` apart, with their distance_m. from_centre: the left geometry counts as its centroid alone, as when a site is
+    a place to look from; it is kept as it is."""
+    if from_centre:
+        found = within_distance(left.withColumn("_centre", st.centroid(lgeom)), right, most, "_centre", rgeom)
+        return found.drop("_centre")
     return box_pairs(left, right, lgeom, rgeom, most).withColumn("distance_m", st.distance(lgeom, rgeom)).where(F.col("distance_m") <= most)

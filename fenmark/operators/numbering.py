@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values that are looked at for each range.
-SAMPLES = 16
+from fenmark.session import written
 
+#: Rows of a range, about.
+RANGE_ROWS = 1 << 20
 
-def number_rows(df: DataFrame, order: str, name: str, buckets: int = 64) -> DataFrame:
+
+def number_rows(df: DataFrame, order: str, name: str, buckets: int | None = None) -> DataFrame:
     """df with name = 1, 2, ... in the order of a unique column of any type that can be ordered; nulls come first.
 
-    Ranks within ranges, plus the ranges' offsets. The ranges' bounds come from the values of least hash, SAMPLES a range: the choice
-    does not change when the plan runs again. An empty table stays empty.
+    Rows are dealt into ranges, as many as their number needs (or `buckets`), sorted there and written once; a row's number is its place
+    in its range, plus the rows of the ranges before, of which there is one row a range. An empty table stays empty.
     """
-    some = df.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(SAMPLES * buckets)
-    values = [r[0] for r in some.orderBy(order).collect()]
-    cuts = values[SAMPLES::SAMPLES] if len(values) == SAMPLES * buckets else values[:: max(1, len(values) // buckets)]
-    above = [F.when(F.col(order) > F.lit(c), 1).otherwise(0) for c in dict.fromkeys(cuts)]
-    df = df.withColumn("_range", F.aggregate(F.array(*above), F.lit(0), lambda a, x: a + x) if above else F.lit(0))
-    sizes = df.groupBy("_range").count()
-    # one row a range
-    offsets = sizes.withColumn("_offset", F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select("_range", F.coalesce("_offset", F.lit(0)).alias("_offset"))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
-    return ranked.join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_rank") + F.col("_offset")).cast("long")).drop("_range", "_rank", "_offset")
+    spark = df.sparkSession
+    ranges = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+    by = F.col(order).asc_nulls_first()
+    table = written(df.repartitionByRange(ranges, by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()))
+    # the high bits of _at tell the range, the low ones the place in it
+    table = table.withColumn("_range", F.shiftright("_at", 33))
+    offsets, before = [], 0
+    for r in table.groupBy("_range").count().orderBy("_range").collect():
+        offsets.append((r["_range"], before))
+        before += r["count"]
+    starts = spark.createDataFrame(offsets, "_range long, _before long")
+    return table.join(F.broadcast(starts), "_range").withColumn(name, F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1).drop("_range", "_at", "_before")

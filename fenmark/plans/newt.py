@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
 from fenmark.functions.loads import highest_zone
-from fenmark.operators.grid import spatial_join
+from fenmark.operators.grid import box_pairs, spatial_join
+from fenmark.operators.overlay import union_by
+from fenmark.session import written
 
 
 @dataclass(frozen=True)
@@ -19,10 +21,11 @@ class Settings:
     grid: float = 1e-4
 
 
-def _cut(rows: DataFrame, mask: DataFrame, key: str = "site") -> DataFrame:
-    """rows cut to their own site's mask (site, m_geom); what does not meet it goes."""
-    met = rows.join(mask, key).where(st.intersects("geom", "m_geom")).withColumn("geom", st.intersection("geom", "m_geom")).drop("m_geom")
-    return met.where(~st.is_empty("geom"))
+def _within_sites(left: DataFrame, right: DataFrame, lgeom: str, rgeom: str) -> DataFrame:
+    """Pairs of rows of one site whose geometries share a point, by grid cells: a site with very many rows is no task of its own."""
+    other = right.withColumnRenamed("site", "_site")
+    met = box_pairs(left, other, lgeom, rgeom).where(F.col("site") == F.col("_site")).drop("_site")
+    return met.where(st.intersects(lgeom, rgeom))
 
 
 def assess(sites: DataFrame, zones: DataFrame, ponds: DataFrame, surveyed: bool = False, s: Settings = Settings()) -> dict[str, DataFrame]:
@@ -38,26 +41,28 @@ def assess(sites: DataFrame, zones: DataFrame, ponds: DataFrame, surveyed: bool
     state = state.withColumn("TmpImp", F.col("TmpImp") if surveyed and "TmpImp" in ponds.columns else F.lit("F")).select("PANS", "TmpImp", "geom")
 
     site = sites.select("site", st.make_valid("geom").alias("geom")).where("geom is not null")
-    around = site.groupBy("site").agg(st.reduce_precision(st.union(F.collect_list(st.buffer("geom", s.buffer_m))), s.grid).alias("geom"))
-    parts = site.withColumn("Area", F.lit("RLB")).unionByName(around.withColumn("Area", F.lit("Buffer")))
-    extent = parts.groupBy("site").agg(st.union_agg("geom").alias("m_geom"))
-    own = site.groupBy("site").agg(st.union_agg("geom").alias("m_geom"))
+    # unions go by cells first, so that no task gets all parts of a large site
+    around = union_by(site.withColumn("geom", st.buffer("geom", s.buffer_m)), ["site"], "geom", "_all").select("site", st.reduce_precision("_all", s.grid).alias("geom"))
+    parts = written(site.withColumn("Area", F.lit("RLB")).unionByName(around.withColumn("Area", F.lit("Buffer"))))
+    extent = union_by(parts, ["site"], "geom", "m_geom")
+    own = union_by(site, ["site"], "geom", "m_geom")
 
-    zone = spatial_join(zones.select("rz", "geom"), extent, "geom", "m_geom").withColumn("geom", st.intersection("geom", "m_geom")).drop("m_geom").where(~st.is_empty("geom"))
+    extent = written(extent)
+    zone = written(spatial_join(zones.select("rz", "geom"), extent, "geom", "m_geom").withColumn("geom", st.intersection("geom", "m_geom")).drop("m_geom").where(~st.is_empty("geom")))
     pond = spatial_join(state, extent, "geom", "m_geom").withColumn("geom", st.intersection("geom", "m_geom")).drop("m_geom").where(~st.is_empty("geom"))
     pond = pond.join(own.withColumnRenamed("m_geom", "own"), "site")
     inside = st.intersects("geom", "own")
     pond = pond.withColumn("Area", F.when(inside, "RLB").otherwise("Buffer")).withColumn("geom", F.when(inside, st.intersection("geom", "own")).otherwise(F.col("geom"))).drop("own")
     pond = pond.withColumn("pond", F.xxhash64("site", "geom", "PANS", "TmpImp", "Area"))
-    pond = pond.groupBy("site", "pond", "PANS", "TmpImp", "Area", "geom").agg(F.count(F.lit(1)).alias("n"))  # equal ponds have equal zones
+    pond = written(pond.groupBy("site", "pond", "PANS", "TmpImp", "Area", "geom").agg(F.count(F.lit(1)).alias("n")))  # equal ponds have equal zones
 
-    reach = pond.groupBy("site").agg(st.reduce_precision(st.union(F.collect_list(st.buffer("geom", s.pond_buffer_m))), s.grid).alias("m_geom"))
-    near = _cut(zone, reach).withColumnRenamed("geom", "z_geom")
-    met = parts.join(near, "site").where(st.intersects("geom", "z_geom"))
+    reach = union_by(pond.withColumn("geom", st.buffer("geom", s.pond_buffer_m)), ["site"], "geom", "_all").select("site", st.reduce_precision("_all", s.grid).alias("m_geom"))
+    near = _within_sites(zone, reach, "geom", "m_geom").select("site", "rz", st.intersection("geom", "m_geom").alias("z_geom")).where(~st.is_empty("z_geom"))
+    met = _within_sites(parts, written(near), "geom", "z_geom")
     shape = st.reduce_precision(st.intersection(st.reduce_precision("geom", s.grid), st.reduce_precision("z_geom", s.grid)), s.grid)
     habitat = met.select("site", "Area", F.col("rz").alias("RZ"), st.area(shape).alias("Shape_Area")).where("Shape_Area > 0")
 
-    touched = pond.join(zone.withColumnRenamed("geom", "z_geom"), "site").where(st.intersects("geom", "z_geom"))
+    touched = _within_sites(pond, zone.withColumnRenamed("geom", "z_geom"), "geom", "z_geom")
     worst = touched.where("PANS is not null and TmpImp is not null and rz is not null").groupBy("site", "pond", "PANS", "TmpImp", "Area").agg(highest_zone(F.array_sort(F.collect_set("rz"))).alias("MaxZone"), F.first("n").alias("n"))
     frequency = worst.groupBy("site", "PANS", "Area", "MaxZone", "TmpImp").agg(F.sum("n").alias("FREQUENCY"))
     return {"habitat_impact": habitat, "pond_frequency": frequency}

@@ -196,6 +196,17 @@ def distance_within(spark, sf_dir):
     return out.select("id", "works_id", F.round("distance_m", 6).alias("distance_m"), F.coalesce("wwtw_name", F.concat(F.lit("WWTW "), "code")).alias("works_name"))
 
 
+_CENTRE_GAP = "sqrt(pow(greatest(0, works.x0 - (dev.x0 + dev.x1) / 2.0, (dev.x0 + dev.x1) / 2.0 - works.x1), 2) + pow(greatest(0, works.y0 - (dev.y0 + dev.y1) / 2.0, (dev.y0 + dev.y1) / 2.0 - works.y1), 2))"
+
+
+@query(_ctes("dev", "works") + f" SELECT dev.id, works.id AS works_id, round({_CENTRE_GAP}, 6) AS distance_m FROM dev JOIN works ON {_CENTRE_GAP} <= 3000")
+def distance_from_centre(spark, sf_dir):
+    """Works within three kilometres of the middle of each site."""
+    works = synth.layer(spark, sf_dir, "works").select(F.col("id").alias("works_id"), F.col("geom").alias("r_geom"))
+    near = grid.within_distance(synth.developments(spark, sf_dir).select("id", "geom"), works, 3000.0, from_centre=True)
+    return near.select("id", "works_id", F.round("distance_m", 6).alias("distance_m"))
+
+
 @query(_ctes("coef") + ", m AS (SELECT 10000 AS x0, 20000 AS y0, 26000 AS x1, 41000 AS y1)" + f" SELECT coef.id, {_shared('coef', 'm')} AS area FROM coef, m WHERE {_meet('coef', 'm')}")
 def clip_select(spark, sf_dir):
     mask = ensure_spatial(spark).range(1).select(st.box(F.lit(10000), F.lit(20000), F.lit(26000), F.lit(41000)).alias("geom"))
@@ -315,11 +326,19 @@ def union_all_by_name(spark, sf_dir):
 
 @query("SELECT event_id, round(r, 6) AS rate FROM (SELECT event_id, (value - lag(value) OVER w) / nullif((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000.0, 0) AS r FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) WHERE r >= 0")
 def counter_rate_lag(spark, sf_dir):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events")
-    dt = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 1000000.0
-    r = F.try_divide(F.col("value") - F.lag("value").over(w), F.nullif(dt, F.lit(0.0)))
-    return e.select("event_id", r.alias("r")).where("r >= 0").select("event_id", F.round("r", 6).alias("rate"))
+    found = metrics.counter_rates(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"])
+    return found.select("event_id", F.round("rate", 6).alias("rate"))
+
+
+@query(SQL["counter_rate_lag"])
+def counter_rate_stream(spark, sf_dir):
+    """The same rates by a stream that keeps the last value of each series."""
+    source, out = table(spark, sf_dir, "events"), shared_folder(spark, "rates")
+    rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(_streamable(spark, f"{sf_dir}/events.parquet"))
+    found = metrics.counter_rates(rows.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"])
+    writer = found.writeStream.option("checkpointLocation", shared_folder(spark, "state")).trigger(availableNow=True)
+    writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", F.round("rate", 6).alias("rate"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, round(avg(value), 4) AS mean, arg_max(value, (ts, event_id)) AS last_value, count(*) AS n FROM events GROUP BY ALL")
@@ -577,6 +596,17 @@ def retention(spark, sf_dir):
     return metrics.retained(e.join(F.broadcast(last)), "ts", F.col("last"), 5).select("event_id")  # one row
 
 
+@query("SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM events) - 7 AS compacted FROM events")
+def compacted_days(spark, sf_dir):
+    """All rows after days older than a week were rewritten, and which of them lie in such days."""
+    folder = shared_folder(spark, "days")
+    e = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date").cast("string"))
+    e.write.partitionBy("day").parquet(folder)
+    done = metrics.compact_days(spark, folder, e.agg(F.max("day")).first()[0], order=["event_type", "user_id", "ts"])
+    rows = spark.read.schema(e.schema).parquet(folder)
+    return rows.select("event_id", "day", F.col("day").isin([d.removeprefix("day=") for d in done]).alias("compacted"))
+
+
 @query("SELECT 'customers' AS \"table\", 2 AS version, count(*) AS n, count(*) = 0 AS empty FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'nowhere', 0, 0, true")
 def catalog_status(spark, sf_dir):
     cat = Catalog(spark, shared_folder(spark, "catalog"))
@@ -750,6 +780,21 @@ def newt_habitat_impact(spark, sf_dir):
     return found["habitat_impact"].withColumn("Shape_Area", F.round("Shape_Area", 1))
 
 
+# sites that are points: their buffers are regular polygons of 64 sides, whose area is known where one zone holds them whole
+_DISC = "round(0.5 * 64 * 250.0 * 250.0 * sin(2 * pi() / 64), 1)"
+_INNER = "x0 % 20000 BETWEEN 600 AND 19400 AND y0 % 20000 BETWEEN 600 AND 19400"
+
+
+@query(_ctes("ponds", "lpa") + f" SELECT ponds.id AS site, 'Buffer' AS Area, rz AS RZ, {_DISC} AS Shape_Area FROM (SELECT * FROM ponds WHERE {_INNER}) ponds JOIN lpa ON {_meet('ponds', 'lpa')}")
+def newt_buffers_of_points(spark, sf_dir):
+    """Habitat areas of points with a pond at the same place, far from the edges of zones: the buffers of site and pond are one polygon."""
+    rows = synth._sql(ensure_spatial(spark), sf_dir, synth.RECTANGLES["ponds"]).where(_INNER).select("id", st.point("x0", "y0").alias("geom"))
+    # other ponds nearby add nothing, as a site's own pond reaches all of its buffer
+    sites = rows.select(F.col("id").alias("site"), "geom")
+    found = newt.assess(sites, synth.layer(spark, sf_dir, "lpa"), rows.select("geom"))
+    return found["habitat_impact"].where("Area = 'Buffer'").withColumn("Shape_Area", F.round("Shape_Area", 1))
+
+
 @query()
 def newt_pond_frequency(spark, sf_dir):
     found = newt.assess(synth.developments(spark, sf_dir).select(F.col("id").alias("site"), "geom"), synth.layer(spark, sf_dir, "lpa"), synth.layer(spark, sf_dir, "ponds").select("geom"))

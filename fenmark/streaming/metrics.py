@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of the unit names that container statistics use.
@@ -41,6 +45,50 @@ def tumbling(events: DataFrame, width: str = "5 seconds", late: str = "30 second
     return out.select(F.col("window.start").alias("bucket"), "event_type", "mean", "last_value", "n")
 
 
+def counter_rates(events: DataFrame, series: list[str], value: str = "value", time: str = "ts", order: str = "event_id", late: str = "30 seconds", idle: str = "1 hour") -> DataFrame:
+    """series..., order, time and rate: for each row of a growing counter, its rise a second since the row before in its series, by time,
+    then order. Rows where the counter fell (it began anew) or no time went by have none and are left out.
+
+    events may be a stream: then the last row of each series is kept between batches, for `idle` after it came. A row that is not later
+    than the last one of its series that was seen is passed over, and `late` is how far behind the latest row a series may lie before
+    its state can go.
+    """
+    if not events.isStreaming:
+        w = Window.partitionBy(*series).orderBy(time, order)
+        seconds = (F.unix_micros(time) - F.unix_micros(F.lag(time).over(w))) / 1_000_000.0
+        rate = F.try_divide(F.col(value) - F.lag(value).over(w), F.nullif(seconds, F.lit(0.0)))
+        return events.select(*series, order, time, rate.alias("rate")).where("rate >= 0")
+
+    fields = {f.name: f.dataType.simpleString() for f in events.schema}
+    wait = pd.Timedelta(idle).value // 1_000_000
+
+    def advance(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values([time, order], kind="stable")
+        at = rows[time].astype("datetime64[us]").astype("int64").to_numpy()
+        ids, v = rows[order].to_numpy(), rows[value].to_numpy(dtype=float, na_value=np.nan)
+        if state.exists:
+            last_at, last_id, last_value = state.get
+            new = (at > last_at) | (at == last_at) & (ids > last_id)
+            rows, at, ids, v = rows[new], np.r_[last_at, at[new]], np.r_[last_id, ids[new]], np.r_[last_value, v[new]]
+        else:
+            rows = rows.iloc[1:]
+        if len(at):
+            state.update((int(at[-1]), int(ids[-1]), float(v[-1])))
+            state.setTimeoutTimestamp(max(int(at[-1]) // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rate = np.diff(v) / (np.diff(at) / 1_000_000.0)
+        good = np.isfinite(rate) & (rate >= 0)
+        out = rows[[order, time]][good].assign(rate=rate[good], **dict(zip(series, key, strict=True)))
+        yield out[[*series, order, time, "rate"]]
+
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in [*series, order, time]) + ", rate double"
+    rows = events.select(*series, order, time, value).where(F.col(time).isNotNull()).withWatermark(time, late)
+    return rows.groupBy(*series).applyInPandasWithState(advance, schema, "at long, id long, value double", "append", "EventTimeTimeout")
+
+
 def retained(df: DataFrame, time: str, now: Column, days: int = 30) -> DataFrame:
     """Rows not older than `days` before now."""
     return df.where(F.col(time) >= now - F.make_dt_interval(F.lit(days)))
@@ -63,3 +111,42 @@ def drop_old_days(spark, folder: str, last: str, days: int = 30) -> list[str]:
     for n in old:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{n}"), True)
     return old
+
+
+def compact_days(spark: SparkSession, folder: str, last: str, order: list[str], days: int = 7, files: int = 1, level: int = 9) -> list[str]:
+    """Rewrites the `day=YYYY-MM-DD` partitions below folder that lie more than `days` before the day `last`, in order of `order`, with a
+    stronger codec; gives their names. Partitions that were rewritten already are left alone.
+
+    A day is written aside, its rows are counted, and then the two folders change places. Safe to run again after a crash at any point:
+    what was written aside but not swapped in is made anew, and a swap that was begun is ended. Only for the moment of the swap itself
+    is a day not there for readers.
+    """
+    from datetime import date, timedelta
+
+    least = (date.fromisoformat(last) - timedelta(days=days)).isoformat()
+    jvm, root = spark._jvm, folder.rstrip("/")
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    fs = path("").getFileSystem(spark._jsc.hadoopConfiguration())
+    names = {s.getPath().getName() for s in fs.listStatus(path(""))}
+    # swaps that a crash cut off: the old folder was moved away first
+    for old in sorted(n for n in names if n.startswith("_old-")):
+        day = old.removeprefix("_old-")
+        if day not in names:
+            fs.rename(path(f"_new-{day}"), path(day))
+            names.add(day)
+        fs.delete(path(old), True)
+    done = sorted(n for n in names if n.startswith("day=") and n.removeprefix("day=") < least)
+    for day in done:
+        if fs.exists(path(f"{day}/_COMPACTED")):
+            continue
+        fs.delete(path(f"_new-{day}"), True)
+        rows = spark.read.parquet(f"{root}/{day}")
+        made = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+        made.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(f"{root}/_new-{day}")
+        if spark.read.parquet(f"{root}/_new-{day}").count() != rows.count():
+            raise ValueError(f"{day}: rows were lost on the way")
+        fs.create(path(f"_new-{day}/_COMPACTED"), True).close()
+        fs.rename(path(day), path(f"_old-{day}"))
+        fs.rename(path(f"_new-{day}"), path(day))
+        fs.delete(path(f"_old-{day}"), True)
+    return done
