@@ -117,51 +117,62 @@ def _polygon_parts(points: list[tuple], parts: list[int]) -> dict:
     return {"type": "Polygon", "coordinates": out[0]} if len(out) == 1 else {"type": "MultiPolygon", "coordinates": out}
 
 
+def dbf_fields(head: bytes) -> list[tuple[str, str, int]]:
+    """Name, kind and width of each column, from the beginning of an attribute table."""
+    fields, at = [], 32
+    while head[at] != 0x0D:
+        fields.append((head[at : at + 11].split(b"\0")[0].decode(), chr(head[at + 11]), head[at + 16]))
+        at += 32
+    return fields
+
+
+def dbf_row(fields: list[tuple[str, str, int]], raw: bytes) -> dict[str, object]:
+    """The values of a row, whose first byte tells whether it is deleted."""
+    row: dict[str, object] = {}
+    p = 1
+    for name, kind, size in fields:
+        text = raw[p : p + size].decode("utf-8", "replace").strip()
+        p += size
+        if kind in "NF":
+            row[name] = None if not text or text.startswith("*") else float(text) if "." in text or "e" in text.lower() else int(text)
+        else:
+            row[name] = text or None
+    return row
+
+
+def shape_of(body: bytes) -> dict | None:
+    """The GeoJSON geometry of a shape record's content."""
+    kind = struct.unpack("<I", body[:4])[0] % 10
+    if kind == 1:
+        return {"type": "Point", "coordinates": struct.unpack("<dd", body[4:20])}
+    if kind == 8:
+        (n,) = struct.unpack("<I", body[36:40])
+        return {"type": "MultiPoint", "coordinates": list(struct.iter_unpack("<dd", body[40 : 40 + 16 * n]))}
+    if kind in (3, 5):
+        n_parts, n_points = struct.unpack("<II", body[36:44])
+        parts = list(struct.unpack(f"<{n_parts}I", body[44 : 44 + 4 * n_parts]))
+        points = list(struct.iter_unpack("<dd", body[44 + 4 * n_parts : 44 + 4 * n_parts + 16 * n_points]))
+        if kind == 5:
+            return _polygon_parts(points, parts)
+        return {"type": "MultiLineString", "coordinates": [points[a:b] for a, b in zip(parts, [*parts[1:], n_points], strict=True)]}
+    return None
+
+
+def srid_of(prj: str | None) -> int:
+    return 27700 if prj and "British_National_Grid" in prj.replace(" ", "_") else 4326
+
+
 def shapefile_features(shp: bytes, dbf: bytes, prj: str | None) -> Iterator[tuple[str, bytes | None, int]]:
     """(attributes, geom, srid) of each record that is not marked as deleted: null, point, multipoint, line and polygon shapes, also
     with Z or M."""
-    count, head, width = struct.unpack("<IHH", dbf[4:12])
-    fields, at = [], 32
-    while dbf[at] != 0x0D:
-        fields.append((dbf[at : at + 11].split(b"\0")[0].decode(), chr(dbf[at + 11]), dbf[at + 16]))
-        at += 32
-    rows = []
-    for i in range(count):
-        row, p = {}, head + i * width + 1
-        if dbf[p - 1 : p] == b"*":  # deleted
-            rows.append(None)
-            continue
-        for name, kind, size in fields:
-            raw = dbf[p : p + size].decode("utf-8", "replace").strip()
-            p += size
-            if kind in "NF":
-                row[name] = None if not raw or raw.startswith("*") else float(raw) if "." in raw or "e" in raw.lower() else int(raw)
-            else:
-                row[name] = raw or None
-        rows.append(row)
-    srid = 27700 if prj and "British_National_Grid" in prj.replace(" ", "_") else 4326
+    _, head, width = struct.unpack("<IHH", dbf[4:12])
+    fields, srid = dbf_fields(dbf), srid_of(prj)
     at, i = 100, 0
     while at < len(shp):
         size = struct.unpack(">I", shp[at + 4 : at + 8])[0] * 2
-        body = shp[at + 8 : at + 8 + size]
-        kind = struct.unpack("<I", body[:4])[0] % 10
-        geometry = None
-        if kind == 1:
-            geometry = {"type": "Point", "coordinates": struct.unpack("<dd", body[4:20])}
-        elif kind == 8:
-            (n,) = struct.unpack("<I", body[36:40])
-            geometry = {"type": "MultiPoint", "coordinates": list(struct.iter_unpack("<dd", body[40 : 40 + 16 * n]))}
-        elif kind in (3, 5):
-            n_parts, n_points = struct.unpack("<II", body[36:44])
-            parts = list(struct.unpack(f"<{n_parts}I", body[44 : 44 + 4 * n_parts]))
-            points = list(struct.iter_unpack("<dd", body[44 + 4 * n_parts : 44 + 4 * n_parts + 16 * n_points]))
-            if kind == 5:
-                geometry = _polygon_parts(points, parts)
-            else:
-                lines = [points[a:b] for a, b in zip(parts, [*parts[1:], n_points], strict=True)]
-                geometry = {"type": "MultiLineString", "coordinates": lines}
-        if rows[i] is not None:
-            yield json.dumps(rows[i], ensure_ascii=False), wkb(geometry), srid
+        row = dbf[head + i * width : head + (i + 1) * width]
+        if row[:1] != b"*":  # deleted
+            yield json.dumps(dbf_row(fields, row), ensure_ascii=False), wkb(shape_of(shp[at + 8 : at + 8 + size])), srid
         at, i = at + 8 + size, i + 1
 
 
