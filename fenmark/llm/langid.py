@@ -77,6 +77,7 @@ def predict(documents: DataFrame, model: dict[str, bytes], margin: float = MARGI
 
     A null text, or one without a letter, is `und`, with score 0; so is every text if the model is empty. Ties go to the
     commonest of the languages. rejected: `und`, or a score below margin. Columns with these three names are replaced; others are kept.
+    Long texts are compressed in blocks, so that a worker holds a text and little more.
     """
     names = ("lang_pred", "score", "rejected")
     rest = documents.drop(*names)

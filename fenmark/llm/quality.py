@@ -126,17 +126,17 @@ WIDTH = (1 << BITS) + 6
 
 
 def fit(documents: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Labeller accuracies from the vote patterns of all documents (doc_id, text), and a scorer fitted on the `most` of smallest
-    doc_id hash at most.
+    """Labeller accuracies from the vote patterns of all documents (doc_id, text), and a scorer fitted on `most` at most, those of
+    smallest doc_id hash, then text hash.
 
-    Rows with a null doc_id vote but are not sampled; null texts vote as empty ones. Rows that repeat a doc_id all vote, and are all
-    sampled if their hash is. An empty table gives a model that scores 0.5. The sample is at the driver as the distinct hashed words
+    Rows with a null doc_id vote but are not sampled; null texts vote as empty ones. Rows that repeat a doc_id all vote; equal ones are
+    sampled once. An empty table gives a model that scores 0.5. The sample is at the driver as the distinct hashed words
     of each text, 8 bytes each and 16,390 a text at most, so a long text takes no more than 130 KB there.
     """
     counts = {r.p: r["count"] for r in documents.select(pattern().alias("p")).groupBy("p").count().collect()}
     posterior, acc = expectation_maximisation(counts)
-    rows = documents.where("doc_id is not null").select("text", F.xxhash64("doc_id").alias("h"))
-    last = rows.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    rows = documents.where("doc_id is not null").select("text", F.struct(F.xxhash64("doc_id").alias("d"), F.xxhash64("text").alias("t")).alias("h"))
+    last = rows.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     if last is None:
         return Model(posterior, acc, np.zeros(WIDTH), 0.0)
 
@@ -148,7 +148,8 @@ def fit(documents: DataFrame, most: int = TRAIN_ROWS) -> Model:
             lists = [pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(x[order].astype(t))) for x, t in ((bucket, np.int32), (value, np.float32))]
             yield pa.RecordBatch.from_arrays([batch.column("p").slice(at, end - at), *lists], names=["p", "bucket", "value"])
 
-    sample = rows.where(F.col("h") <= F.lit(last)).select("text", pattern().alias("p")).mapInArrow(each_batch(sparse), "p string, bucket array<int>, value array<float>").toArrow()
+    first = rows.where((F.col("h.d") < last.d) | (F.col("h.d") == last.d) & (F.col("h.t") <= last.t)).dropDuplicates(["h"])
+    sample = first.select("text", pattern().alias("p")).mapInArrow(each_batch(sparse), "p string, bucket array<int>, value array<float>").toArrow()
     y = np.array([posterior[p] for p in sample["p"].to_pylist()])
     lists = [sample[c].combine_chunks() for c in ("bucket", "value")]
     if isinstance(lists[0], pa.ChunkedArray):

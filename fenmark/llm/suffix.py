@@ -413,7 +413,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
 
     Null and empty texts have no bytes; texts of fewer than 100 bytes lose none; an empty table gives no rows. Rows with a null
     doc_id are left whole and are no earlier copy for others. A doc_id should name one text: rows that repeat it count as standing at
-    one place, so that they do not remove each other, and runs found in one are removed from each, as far as it reaches.
+    one place, so that they do not remove each other, and runs found in one are removed from each, as far as it reaches. A text is held
+    whole by one worker, with its anchors and its list of runs.
     """
     with Scratch(documents.sparkSession) as scratch:
         spans = repeated_spans(documents, scratch)
