@@ -164,6 +164,12 @@ def transform(g: ColumnOrName, source: Column | int, target: int) -> Column:
     return _call("transform", g, source if isinstance(source, Column) else F.lit(source), F.lit(target))
 
 
+def shifted(g: ColumnOrName, source: int, target: int, grid: str) -> Column:
+    """Coordinates between EPSG 27700 and 4326 by a file of local shifts (NTv2, of at most 256 MB) at path grid, which every worker
+    reads once; so right to what the file holds, centimetres for the national one. Outside of its grids as transform()."""
+    return _call("shift", g, F.lit(source), F.lit(target), F.lit(grid))
+
+
 def tile_geometry(g: ColumnOrName, z: int, x: int, y: int) -> Column:
     """A web Mercator geometry on a tile's grid of 4096 with a margin of 64; null outside."""
     return tile_geometry_at(g, F.lit(z), F.lit(x), F.lit(y))

@@ -44,6 +44,7 @@ FUNCTIONS = {
     "fm_round_exact": ("RoundExact", "double"),
     "fm_transform": ("Crs$Transform", "binary"),
     "fm_as_geojson": ("Crs$AsGeoJson", "string"),
+    "fm_shift": ("Shift$Transform", "binary"),
     "fm_from_geojson": ("Parse$FromGeoJson", "binary"),
     "fm_try_geometry": ("Parse$TryGeometry", "binary"),
     "fm_try_text": ("Parse$TryText", "binary"),

@@ -212,3 +212,49 @@ def test_a_box_reads_few_row_groups_of_a_clustered_layer(sp, tmp_path):  # noqa:
     near = tiles.near_box(stored, box_, ("x0", "y0", "x1", "y1"))
     assert near.count() == tiles.near_box(rows, box_).count() and "PushedFilters: [IsNotNull(x0)" in near._jdf.queryExecution().toString()
     assert {r.level for r in stored.select("level").distinct().collect()} == {0} and grid.clustered(rows.limit(0)).count() == 0
+
+
+def ntv2(path, order, grids):
+    """A shift file: grids of (south, north, east, west, step) in seconds, longitudes positive west, and functions of both shifts."""
+    import struct
+
+    word = lambda name, form, v: name.ljust(8).encode() + struct.pack(order + form, v).ljust(8, b"\0")
+    text = lambda name, v: name.ljust(8).encode() + v.ljust(8).encode()
+    raw = word("NUM_OREC", "i", 11) + word("NUM_SREC", "i", 11) + word("NUM_FILE", "i", len(grids)) + text("GS_TYPE", "SECONDS") + b"".join(text(n, "x") for n in ("VERSION", "SYSTEM_F", "SYSTEM_T"))
+    raw += b"".join(word(n, "d", 1.0) for n in ("MAJOR_F", "MINOR_F", "MAJOR_T", "MINOR_T"))
+    for south, north, east, west, step, f in grids:
+        nodes = [(f(south + j * step, east + i * step)) for j in range(int((north - south) / step) + 1) for i in range(int((west - east) / step) + 1)]
+        raw += b"".join(text(n, "x") for n in ("SUB_NAME", "PARENT", "CREATED", "UPDATED")) + b"".join(word(n, "d", float(v)) for n, v in zip(("S_LAT", "N_LAT", "E_LONG", "W_LONG", "LAT_INC", "LONG_INC"), (south, north, east, west, step, step), strict=True))
+        raw += word("GS_COUNT", "i", len(nodes)) + b"".join(struct.pack(order + "4f", a, b, 0, 0) for a, b in nodes)
+    path.write_bytes(raw)
+    return f"file://{path}"
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_local_shifts_go_both_ways(sp, tmp_path, order):  # noqa: F811
+    # one coarse grid over a part of the country, and a finer one in it with other shifts
+    coarse = (51 * 3600, 53 * 3600, 0, 4 * 3600, 600, lambda lat, west: (1.5 + (lat - 51 * 3600) * 1e-4, 4.0 + west * 2e-4))
+    fine = (52 * 3600, 52 * 3600 + 600, 3600, 4200, 60, lambda lat, west: (3.0, 7.0))
+    grid = ntv2(tmp_path / f"g{ord(order)}.gsb", order, [coarse, fine])
+    there = lambda x, y: one(sp, st.bounds(st.shifted(st.point(F.lit(x), F.lit(y)), 27700, 4326, grid)).alias("b")).b[:2]
+    back = lambda x, y: one(sp, st.bounds(st.shifted(st.point(F.lit(x), F.lit(y)), 4326, 27700, grid)).alias("b")).b[:2]
+    for x, y in ((400_000.0, 200_000.0), (451_234.5, 187_654.3), (462_000.0, 240_000.0)):
+        lon, lat = there(x, y)
+        e, n = back(lon, lat)
+        assert abs(e - x) < 0.01 and abs(n - y) < 0.01
+    # what the file says, against the plain projection: on the middle meridian 200 km north the shifts are linear, so exact
+    plain = one(sp, st.bounds(st.transform(st.point(F.lit(400_000.0), F.lit(200_000.0)), 27700, 4326)).alias("b")).b
+    lon, lat = there(400_000.0, 200_000.0)
+    assert abs(lon - plain[0]) < 0.005 and abs(lat - plain[1]) < 0.005 and (lon, lat) != tuple(plain[:2])
+    # the grid's own longitude there is -2 exactly: 4 + 7200 * 2e-4 seconds further east
+    assert abs(lon - (-2 - (4.0 + 7200 * 2e-4) / 3600)) < 1e-9
+    # in the finer grid its shift counts; outside of all grids the seven parameters do
+    alone = ntv2(tmp_path / f"f{ord(order)}.gsb", order, [fine])
+    by_fine = one(sp, st.bounds(st.shifted(st.point(F.lit(462_000.0), F.lit(240_000.0)), 27700, 4326, alone)).alias("b")).b[:2]
+    by_coarse = one(sp, st.bounds(st.shifted(st.point(F.lit(462_000.0), F.lit(240_000.0)), 27700, 4326, ntv2(tmp_path / f"c{ord(order)}.gsb", order, [coarse]))).alias("b")).b[:2]
+    assert there(462_000.0, 240_000.0) == by_fine and by_fine[0] - by_coarse[0] < -1.5 / 3600 and by_fine[1] - by_coarse[1] > 1.0 / 3600
+    far = one(sp, st.bounds(st.transform(st.point(F.lit(400_000.0), F.lit(700_000.0)), 27700, 4326)).alias("b")).b[:2]
+    assert there(400_000.0, 700_000.0) == far
+    (tmp_path / "bad.gsb").write_bytes(b"x" * 400)
+    with pytest.raises(Exception, match="NTv2"):
+        one(sp, st.shifted(st.point(F.lit(1.0), F.lit(1.0)), 27700, 4326, f"file://{tmp_path}/bad.gsb"))
