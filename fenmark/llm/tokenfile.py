@@ -31,7 +31,7 @@ from fenmark.llm.common import Scratch, each_batch
 MAGIC = b"PFORIDS1"
 BLOCK_IDS, PERCENTILE = 4096, 95
 #: Blocks that are packed or unpacked together, bytes of text for each file, and bytes of a worker's memo, about.
-TOGETHER, FILE_TEXT, MEMO_BYTES, MEMO_LONGEST = 32, 32 << 20, 64 << 20, 64
+TOGETHER, FILE_TEXT, MEMO_BYTES, MEMO_LONGEST = 32, 32 << 20, 96 << 20, 64
 HEAD, INDEX, TAIL = struct.Struct("<IHHI"), struct.Struct("<III"), struct.Struct("<Q8s")
 
 #: A space before a character that is no white space begins a new pre-token of byte-level BPE, whatever is before it.
@@ -39,7 +39,7 @@ CUT = re.compile("[ ](?=[^\\s\x1c-\x1f\x85᠎])")
 #: Characters whose kind needs no Unicode tables, and the pre-tokens of texts that have no others.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ž"
 PLAIN = re.compile(f"[ -~\n{LETTERS}]*")
-WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^ \n0-9{LETTERS}]+|[ \n]+(?![^ \n])|[ \n]+")
+WORDS = re.compile(f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^ \n0-9{LETTERS}]+|[ \n]+(?![^ \n])|[ \n]+")
 
 FOUND = "file long, doc_id long, at long, n_tokens long, ids_crc32 long"
 
@@ -73,8 +73,9 @@ class Pieces(dict):
     def __missing__(self, word: str) -> bytes:
         made = self.old.get(word)
         if made is None:
-            found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.names))
-            made = np.array([x.id for x in found], "<u4").tobytes()
+            # of ASCII, only the space and the line feed have other names
+            named = word.replace(" ", self.names[32]).replace("\n", self.names[10]) if word.isascii() else word.encode().decode("latin-1").translate(self.names)
+            made = struct.pack("<%dI" % len(found := self.tokenizer.model.tokenize(named)), *[x.id for x in found])
         if len(word) <= MEMO_LONGEST:
             self.held += 220 + len(made)
             if self.held > MEMO_BYTES:
@@ -103,6 +104,11 @@ def _widths(x: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.uint64(1) << np.arange(33, dtype=np.uint64), x.astype(np.uint64), "right")
 
 
+def _kind(width: int) -> np.dtype:
+    """The numbers whose low bits are packed."""
+    return np.dtype("<u2" if width <= 16 else "<u4")
+
+
 def pack(ids: np.ndarray) -> list[bytes]:
     """Blocks of equally many ids each: ids is a matrix of unsigned 32-bit numbers, a block a row."""
     m, n = ids.shape
@@ -114,7 +120,8 @@ def pack(ids: np.ndarray) -> list[bytes]:
     for w in np.unique(widths).tolist():
         rows = np.flatnonzero(widths == w)
         part = above[rows]
-        bits = np.unpackbits(part.astype("<u4").view(np.uint8).reshape(len(rows), n, 4), axis=2, bitorder="little")[:, :, :w]
+        kind = _kind(w)
+        bits = np.unpackbits(part.astype(kind).view(np.uint8).reshape(len(rows), n, -1), axis=2, bitorder="little")[:, :, :w]
         packed = np.packbits(bits.reshape(len(rows), n * w), axis=1, bitorder="little") if w else np.zeros((len(rows), 0), np.uint8)
         high = (part.astype(np.uint64) >> np.uint64(w)).astype("<u4")
         for j, r in enumerate(rows.tolist()):
@@ -133,9 +140,10 @@ def unpack(content: memoryview, starts: list[int]) -> list[np.ndarray]:
         values = np.zeros((len(rows), n), np.uint32)
         if w:
             packed = np.stack([np.frombuffer(content, np.uint8, size, starts[j] + HEAD.size) for j in rows])
-            bits = np.zeros((len(rows), n, 32), np.uint8)
+            kind = _kind(w)
+            bits = np.zeros((len(rows), n, 8 * kind.itemsize), np.uint8)
             bits[:, :, :w] = np.unpackbits(packed, axis=1, count=n * w, bitorder="little").reshape(len(rows), n, w)
-            values = np.packbits(bits, axis=2, bitorder="little").view("<u4").reshape(len(rows), n)
+            values = np.packbits(bits, axis=2, bitorder="little").view(kind).reshape(len(rows), n).astype(np.uint32)
         for j, v in zip(rows, values, strict=True):
             least, _, _, extra = heads[j]
             if extra:
