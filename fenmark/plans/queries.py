@@ -752,7 +752,7 @@ def tile_pyramid(spark, sf_dir):
 def clustered_box_scan(spark, sf_dir):
     """The rows near a box from a layer that is stored along Hilbert's curve with its boxes."""
     cat, box = Catalog(ensure_spatial(spark), shared_folder(spark, "catalog")), (20000.0, 30000.0, 40000.0, 45000.0)
-    cat.promote({"coef": grid.clustered(synth.layer(spark, sf_dir, "coef").select("id", "geom"))}, cluster={"coef": "place"}, group_bytes=1 << 20)
+    cat.promote({"coef": grid.clustered(synth.layer(spark, sf_dir, "coef").select("id", "geom"))}, group_bytes=1 << 20)  # in order already
     close = tiles.near_box(cat.read("coef"), box, ("x0", "y0", "x1", "y1"))
     return close.where(st.intersects("geom", st.box(*[F.lit(v) for v in box]))).select("id")
 
