@@ -236,7 +236,8 @@ def write(documents: DataFrame, path: str, folder: str, end_id: int = 0) -> None
         pa.default_memory_pool().release_unused()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    files = docs.repartitionByRange(max(1, -(-total // FILE_TEXT)), *order).sortWithinPartitions(*order)
+    # ranges are told by ids and hashes alone: their sample goes through the driver, and texts must not
+    files = docs.repartitionByRange(max(1, -(-total // FILE_TEXT)), *order[:2]).sortWithinPartitions(*order)
     rows = files.mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value"))
     rows.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 0).text(folder)
 
