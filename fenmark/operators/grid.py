@@ -4,8 +4,10 @@ A row's level is the smallest whose cells are at least as wide as its bounding b
 large it is. Two rows meet at the larger of their levels, in one cell only: the one that holds the lower left corner of what their
 boxes share. So pairs come once, without a distinct, and neither small parcels nor huge catchments multiply rows.
 
-A cell of a huge row may hold very many small ones. Rows that are lifted by `FAR` levels or more are dealt over `SALTS` keys of the
-cell, and the few rows of that size are repeated as often.
+Cells shrink with the rows, down to two metres, so that many small features close together share few cells. A cell of a huge row may
+still hold very many small ones. Rows that are lifted by `FAR` levels or more are dealt over shares of the cell, and the rows of that
+size are repeated as often: the fewer they are against the small ones, the more shares, so that what is repeated stays a fraction of
+what is dealt. Rows are counted by level for that, in the job that finds the levels in use.
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
 
-BASE, STEP, LEVELS = 500.0, 4.0, 12
-FAR, SALTS = 3, 16
+#: Cells of a level are BASE * STEP**level wide.
+BASE, STEP, LOWEST, HIGHEST = 500.0, 4.0, -4, 12
+FAR = 3
+#: Most shares of a cell; its shares where rows cannot be counted; how many times fewer the repeated rows are than the dealt ones.
+MOST_SHARES, SHARES, FEWER = 1024, 16, 8
 #: Inputs of fewer bytes are dealt over all cores first.
 SPREAD_BYTES = 32 << 20
 
@@ -37,25 +42,46 @@ def with_box(df: DataFrame, geom: str, name: str, grow: float = 0.0) -> DataFram
 
 def _level(box: str) -> Column:
     side = F.greatest(F.col(f"{box}.x1") - F.col(f"{box}.x0"), F.col(f"{box}.y1") - F.col(f"{box}.y0"))
-    return F.least(F.greatest(F.ceil(F.log(STEP, F.greatest(side, F.lit(1e-9)) / BASE)), F.lit(0)), F.lit(LEVELS)).cast("int")
+    return F.least(F.greatest(F.ceil(F.log(STEP, F.greatest(side, F.lit(1e-9)) / BASE)), F.lit(LOWEST)), F.lit(HIGHEST)).cast("int")
 
 
 def _size(level: Column) -> Column:
     return F.lit(BASE) * F.pow(F.lit(STEP), level)
 
 
-def _levels(a: DataFrame, b: DataFrame | None) -> tuple[list[int], list[int]]:
-    """The levels in use on either side, at most LEVELS + 1 each."""
+def _levels(a: DataFrame, b: DataFrame | None) -> tuple[dict[int, int], dict[int, int]]:
+    """The levels in use on either side with their numbers of rows, at most HIGHEST - LOWEST + 1 each."""
     both = a.select(F.lit(0).alias("side"), _level("_box").alias("level"))
     both = both if b is None else both.union(b.select(F.lit(1), _level("_box")))
-    found = both.groupBy("side").agg(F.collect_set("level").alias("levels")).collect()
-    of = {r.side: sorted(r.levels) for r in found}
-    return of.get(0, []), of.get(1, [])
-
-
-def _celled(df: DataFrame, own: str, other: str, met: list[int]) -> DataFrame:
-    """df once for each cell it covers at its own level, and at each larger level in met. Column _part tells who meets there: both
-    sides at their own level, or one side's rows (`own` or `other`) at theirs with smaller ones of the other side."""
+    found: tuple[dict[int, int], dict[int, int]] = {}, {}
+    for r in both.groupBy("side", "level").count().collect():
+        found[r["side"]][r["level"]] = r["count"]
+    return found
+
+
+def _shares(large: dict[int, int | None], small: dict[int, int | None]) -> dict[int, int]:
+    """Into how many shares cells of each of large's levels are dealt for rows of small that are FAR levels smaller or more: a power of
+    two, 1 where there are none. Unknown numbers of rows are None."""
+    out = {}
+    for level, n in large.items():
+        below = [count for at, count in small.items() if level - at >= FAR]
+        if not below:
+            out[level] = 1
+        elif n is None or None in below:
+            out[level] = SHARES
+        else:
+            out[level] = min(1 << max(sum(below) // (FEWER * n), 1).bit_length() - 1, MOST_SHARES)
+    return out
+
+
+def _by_level(level: Column, values: dict[int, int]) -> Column:
+    return F.coalesce(*[F.when(level == at, v) for at, v in values.items()], F.lit(1))
+
+
+def _celled(df: DataFrame, own: str, other: str, mine: dict[int, int | None], met: dict[int, int | None]) -> DataFrame:
+    """df once for each cell it covers at its own level, and at each larger level in met; mine and met are the levels in use on this
+    side and on the other. Column _part tells who meets there: both sides at their own level, or one side's rows (`own` or `other`) at
+    theirs with smaller ones of the other side."""
     df = df.withColumn("_own", _level("_box"))
     level, none = F.col("_own"), F.array().cast("array<struct<_level:int,_part:string,_salt:int>>")
 
@@ -69,10 +95,13 @@ def _celled(df: DataFrame, own: str, other: str, met: list[int]) -> DataFrame:
     if met:
         # a row is met by smaller ones in its cell as it is, and by much smaller ones in each share of it
         keys.append(F.when(level > min(met), alone(level, own, F.lit(-1))).otherwise(none))
-        keys.append(F.when(level - min(met) >= FAR, F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: key(level, own, i))).otherwise(none))
-        dealt = F.pmod(F.xxhash64("_box"), F.lit(SALTS))
-        larger = F.filter(F.array(*[F.lit(m) for m in met]), lambda m: m > level)
-        keys.append(F.transform(larger, lambda m: key(m, other, F.when(m - level >= FAR, dealt).otherwise(-1))))
+        shares = {at: n for at, n in _shares(mine, met).items() if n > 1}
+        if shares:
+            n = _by_level(level, shares)
+            keys.append(F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(level, own, i))).otherwise(none))
+        for at, n in _shares(met, mine).items():
+            salt = F.lit(-1) if n == 1 else F.when(at - level >= FAR, F.pmod(F.xxhash64("_box"), F.lit(n))).otherwise(-1)
+            keys.append(F.when(level < at, alone(F.lit(at), other, salt)).otherwise(none))
     df = df.withColumn("_key", F.explode(F.concat(*keys))).drop("_own")
     df = df.withColumns({c: F.col(f"_key.{c}") for c in ("_level", "_part", "_salt")}).drop("_key")
     s = _size(F.col("_level"))
@@ -83,7 +112,7 @@ def _celled(df: DataFrame, own: str, other: str, met: list[int]) -> DataFrame:
 
 def levels(df: DataFrame, geom: str = "geom") -> list[int]:
     """The levels in use in df."""
-    return _levels(with_box(df.select(geom), geom, "_box"), None)[0]
+    return sorted(_levels(with_box(df.select(geom), geom, "_box"), None)[0])
 
 
 def box_pairs(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom: str = "r_geom", within: float = 0.0, known: list[int] | None = None) -> DataFrame:
@@ -93,8 +122,8 @@ def box_pairs(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom: str
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     a, b = with_box(spread(left), lgeom, "_box", within), with_box(right, rgeom, "_box")
-    on_left, on_right = _levels(a, b) if known is None else (known, _levels(b, None)[0])
-    a, b = _celled(a, "l", "r", on_right).withColumnRenamed("_box", "_lbox"), _celled(b, "r", "l", on_left).withColumnRenamed("_box", "_rbox")
+    on_left, on_right = _levels(a, b) if known is None else (dict.fromkeys(known), _levels(b, None)[0])
+    a, b = _celled(a, "l", "r", on_left, on_right).withColumnRenamed("_box", "_lbox"), _celled(b, "r", "l", on_right, on_left).withColumnRenamed("_box", "_rbox")
     pairs = a.join(b, ["_level", "_part", "_salt", "_cx", "_cy"])
     s = _size(F.col("_level"))
     for axis in ("x", "y"):

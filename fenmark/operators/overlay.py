@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
-from fenmark.operators.grid import BASE, STEP, box_pairs, levels, spatial_join, within_distance
+from fenmark.operators.grid import BASE, LOWEST, STEP, box_pairs, levels, spatial_join, within_distance
 from fenmark.session import written
 
 
@@ -47,8 +47,8 @@ def land_use_intersections(sites: DataFrame, coefficients: DataFrame, catchments
     # a catchment must meet both; their pair is narrowed first
     two = two.withColumn("cut", st.shared("geom", "c_geom")).where("cut is not null").drop("geom", "c_geom")
     # a cut is no larger than its site, so the first join need not run to tell its levels
-    most = max(levels(sites), default=0)
-    three = box_pairs(two, n, "cut", "n_geom", known=list(range(most + 1))).withColumn("area_in_nn_catchment_ha", st.shared_area("cut", "n_geom") / 10_000.0)
+    most = max(levels(sites), default=LOWEST)
+    three = box_pairs(two, n, "cut", "n_geom", known=list(range(LOWEST, most + 1))).withColumn("area_in_nn_catchment_ha", st.shared_area("cut", "n_geom") / 10_000.0)
     return three.where("area_in_nn_catchment_ha > 0").drop("cut", "n_geom")
 
 

@@ -298,3 +298,27 @@ def test_checkpoint_dir_is_the_sessions(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(Far)
+
+
+def test_dense_cells_are_small_and_huge_rows_deal_what_they_hold(sp):
+    # 4,000 boxes of two metres and some larger ones within one cell of 500 m, and one row that holds all
+    tiny = sp.range(4000).select("id", st.box(F.col("id") % 80 * 6, F.floor(F.col("id") / 80) * 6, F.col("id") % 80 * 6 + 2, F.floor(F.col("id") / 80) * 6 + 2).alias("geom"))
+    wide = sp.range(5).select((F.col("id") + 10_000).alias("id"), st.box(F.col("id") * 90, F.lit(0), F.col("id") * 90 + 100, F.lit(290)).alias("geom"))
+    huge = sp.range(1).select(F.lit(20_000).cast("long").alias("id"), st.box(F.lit(-50_000), F.lit(-50_000), F.lit(50_000), F.lit(50_000)).alias("geom"))
+    rows = tiny.union(wide).union(huge)
+    other = rows.select(F.col("id").alias("r_id"), F.col("geom").alias("r_geom"))
+    found = {tuple(r) for r in grid.spatial_join(rows, other).select("id", "r_id").collect()}
+    boxes = {r.id: tuple(r.b) for r in rows.select("id", st.bounds("geom").alias("b")).collect()}
+    large = [i for i in boxes if i >= 10_000]
+    meet = lambda p, q: p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]
+    brute = {(i, i) for i in boxes if i < 10_000} | {(i, j) for i in large for j in boxes if meet(boxes[i], boxes[j])}
+    brute |= {(j, i) for i, j in brute}
+    assert found == brute
+
+    boxed = grid.with_box(tiny, "geom", "_box")
+    mine, _ = grid._levels(boxed, None)
+    most = grid._celled(boxed, "l", "r", mine, mine).groupBy("_level", "_part", "_salt", "_cx", "_cy").count().agg(F.max("count")).first()[0]
+    assert most <= 4
+    # the one huge row is repeated once for so many of the small ones, and dealt rows never come less often than repeated ones
+    assert grid._shares({6: 1}, {-4: 4000}) == {6: 256} and grid._shares({6: 1}, {-4: 10**9}) == {6: grid.MOST_SHARES}
+    assert grid._shares({2: 1000}, {-4: 1000, 1: 10**9}) == {2: 1} and grid._shares({2: None}, {-4: 7}) == {2: grid.SHARES}
