@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from fenmark.functions import geometry as st
 from fenmark.functions import loads, numeric
 from fenmark.operators import grid, numbering, outputs, overlay, quality_gate, tiles, validation
-from fenmark.plans import boundary, incremental, newt, nutrient, registry, synth
+from fenmark.plans import boundary, extract, incremental, newt, nutrient, registry, synth
 from fenmark.session import ensure_spatial, shared_folder
 from fenmark.sources import tabular
 from fenmark.sources.catalog import Catalog, Manifest
@@ -819,5 +820,189 @@ def boundary_metadata(spark, sf_dir):
     return synth.developments(spark, sf_dir).select("id", boundary.first_error().alias("error"), F.to_json(boundary.metadata()).alias("metadata"))
 
 
+_RING = "{x0} {y0}, {x1} {y0}, {x1} {y1}, {x0} {y1}, {x0} {y0}"
+
+
+def _wkt(text: str):
+    """WKT with corner columns in it, as a geometry. Names in braces stand for columns."""
+    parts = re.split(r"\{(\w+)\}", text.replace("{ring}", _RING))
+    return st.from_text(F.concat(*[F.col(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)]))
+
+
+def _corners(spark, sf_dir):
+    return synth._sql(ensure_spatial(spark), sf_dir, synth.RECTANGLES["dev"])
+
+
+BOW_TIE = "POLYGON (({x0} {y0}, {x1} {y1}, {x1} {y0}, {x0} {y1}, {x0} {y0}))"
+
+
+@query(_ctes("dev") + " SELECT id, ['invalid_geometry', 'unsupported_geometry_type', 'self_intersecting_geometry', 'geometry_has_holes', 'duplicate_vertices', NULL][id % 6 + 1] AS error, CASE WHEN id % 6 = 3 THEN 1 WHEN id % 6 IN (2, 4, 5) THEN 0 END AS holes FROM dev")
+def boundary_problems(spark, sf_dir):
+    """The first thing that is wrong with each of six kinds of boundaries."""
+    k = F.col("id") % 6
+    holed = "POLYGON (({ring}), ({hx} {hy}, {hx2} {hy}, {hx2} {hy2}, {hx} {hy}))"
+    dev = _corners(spark, sf_dir).withColumns({"hx": F.col("x0") + 10, "hx2": F.col("x0") + 30, "hy": F.col("y0") + 10, "hy2": F.col("y0") + 30})
+    g = F.when(k == 1, st.point("x0", "y0")).when(k == 2, _wkt(BOW_TIE)).when(k == 3, _wkt(holed)).when(k == 4, _wkt("POLYGON (({x0} {y0}, {x1} {y0}, {x1} {y0}, {x1} {y1}, {x0} {y1}, {x0} {y0}))")).when(k == 5, st.box("x0", "y0", "x1", "y1"))
+    return dev.select("id", g.alias("geom")).select("id", boundary.first_error().alias("error"), F.when(k > 1, st.holes("geom")).alias("holes"))
+
+
+@query(_ctes("dev") + " SELECT id, true AS valid, CASE WHEN id % 2 = 0 THEN (x1 - x0) * (y1 - y0) / 2.0 ELSE 1.0 * (x1 - x0) * (y1 - y0) END AS area FROM dev")
+def linework_areas(spark, sf_dir):
+    """Rings that cross themselves, and pairs of boxes that overlap by half, made valid by their lines: what two cover is a hole."""
+    dev = _corners(spark, sf_dir).withColumns({"m": (F.col("x0") + F.col("x1")) / 2, "n": F.col("x1") + (F.col("x1") - F.col("x0")) / 2})
+    two = "MULTIPOLYGON ((({ring})), (({m} {y0}, {n} {y0}, {n} {y1}, {m} {y1}, {m} {y0})))"
+    made = dev.select("id", st.make_valid(F.when(F.col("id") % 2 == 0, _wkt(BOW_TIE)).otherwise(_wkt(two)), linework=True).alias("geom"))
+    return made.select("id", st.is_valid("geom").alias("valid"), F.round(st.area("geom"), 3).alias("area"))
+
+
+@query("SELECT id, round(6378137.0 * radians(lon), 4) AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)), 4) AS y, round(lon, 9) AS lon_again, round(lat, 9) AS lat_again FROM (SELECT c_custkey AS id, c_custkey % 3599 / 10.0 - 179.95 AS lon, c_custkey % 1601 / 10.0 - 80.05 AS lat FROM customer)")
+def mercator_round_trip(spark, sf_dir):
+    """Degrees to web Mercator and back."""
+    k = F.col("c_custkey")
+    rows = table(ensure_spatial(spark), sf_dir, "customer").select(k.alias("id"), st.point(k % 3599 / 10.0 - 179.95, k % 1601 / 10.0 - 80.05).alias("g"))
+    rows = rows.withColumn("m", st.transform("g", 4326, 3857))
+    there, back = st.bounds("m"), st.bounds(st.transform("m", 3857, 4326))
+    return rows.select("id", F.round(there[0], 4).alias("x"), F.round(there[1], 4).alias("y"), F.round(back[0], 9).alias("lon_again"), F.round(back[1], 9).alias("lat_again"))
+
+
+@query(_ctes("dev") + " SELECT id, CASE id % 5 WHEN 2 THEN NULL WHEN 3 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, CASE WHEN id % 5 <> 2 THEN CAST((x1 - x0) * (y1 - y0) AS DOUBLE) END AS area FROM dev")
+def geojson_column(spark, sf_dir):
+    """Geometries from JSON text: with heights, as a feature, damaged, in several parts, and from text that the library made."""
+    dev, k = _corners(spark, sf_dir), F.col("id") % 5
+
+    def text(form: str, corner: str = "[%d,%d]"):
+        ring = F.format_string(f"[[{','.join([corner] * 5)}]]", "x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1", "x0", "y0")
+        return F.replace(F.lit(form), F.lit("RING"), ring)
+
+    plain = '{"type":"Polygon","coordinates":RING}'
+    made = F.when(k == 0, text(plain, "[%d,%d,7.5]")).when(k == 1, text('{"type":"Feature","properties":{"a":null},"geometry":' + plain + "}")).when(k == 2, text('{"type":"Polygon","coordinates":RING'))
+    made = made.when(k == 3, text('{"type":"MultiPolygon","coordinates":[RING]}')).otherwise(st.as_geojson(st.box("x0", "y0", "x1", "y1")))
+    rows = dev.select("id", st.from_geojson(made).alias("geom"))
+    return rows.select("id", st.geometry_type("geom").alias("kind"), F.round(st.area("geom"), 3).alias("area"))
+
+
+@query("SELECT min(p_partkey) AS first, count(*) AS n FROM part GROUP BY p_partkey % 97, p_size")
+def geometry_groups(spark, sf_dir):
+    """Rows of equal geometry by its key."""
+    rows = table(ensure_spatial(spark), sf_dir, "part").select("p_partkey", st.hash_key(st.point(F.col("p_partkey") % 97, "p_size")).alias("key"))
+    return rows.groupBy("key").agg(F.min("p_partkey").alias("first"), F.count(F.lit(1)).alias("n")).drop("key")
+
+
+RULES_TEXT = """{"tables": {"orders": {"key": ["o_custkey", "o_orderdate"], "unique": true, "non_null": ["o_clerk_or_none"],
+  "ranges": {"o_totalprice": [1000, 300000]}, "allowed": {"o_orderstatus": ["F", "O"]}, "row_floor_percent": 90,
+  "references": {"o_custkey": {"table": "customers", "column": "c_custkey", "allow_null": false}}}}}"""
+
+
+@query(
+    """WITH o AS (SELECT *, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey END AS none FROM orders WHERE o_orderkey % 4 <> 0),
+    f AS (SELECT 'null_o_clerk_or_none: ' || count(*) || ' rows' AS d, count(*) AS n FROM o WHERE none IS NULL
+    UNION ALL SELECT 'range_o_totalprice: ' || count(*) || ' rows', count(*) FROM o WHERE o_totalprice < 1000 OR o_totalprice > 300000
+    UNION ALL SELECT 'allowed_o_orderstatus: ' || count(*) || ' rows', count(*) FROM o WHERE o_orderstatus NOT IN ('F', 'O')
+    UNION ALL SELECT 'unique_key: ' || count(*) || ' keys', count(*) FROM (SELECT o_custkey, o_orderdate FROM o GROUP BY ALL HAVING count(*) > 1)
+    UNION ALL SELECT 'reference_o_custkey: ' || count(*) || ' rows', count(*) FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)
+    UNION ALL SELECT 'row_count: ' || (SELECT count(*) FROM o) || ' below ' || CAST(ceil(count(*) * 90 / 100.0) AS BIGINT), CASE WHEN (SELECT count(*) FROM o) < ceil(count(*) * 90 / 100.0) THEN 1 ELSE 0 END FROM orders)
+    SELECT 'orders' AS "table", count(*) AS n, string_agg(d, '; ' ORDER BY d) AS detail FROM f WHERE n > 0"""
+)
+def gate_rules_from_text(spark, sf_dir):
+    """All kinds of rules for a table, from text: nulls, ranges, allowed values, repeated keys, references and lost rows."""
+    rules = quality_gate.load_rules(RULES_TEXT, {"customers": table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")})["orders"]
+    orders = table(spark, sf_dir, "orders").withColumn("o_clerk_or_none", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderkey")))
+    found = quality_gate.check("orders", orders.where("o_orderkey % 4 <> 0"), rules, previous=orders)
+    return quality_gate.failures_by_table(spark.createDataFrame([(f,) for f in found], "failure string"))
+
+
+@query(_ctes("dev") + " SELECT dwellings, min(id) AS id, 'Polygon' AS kind FROM dev WHERE id % 3 <> 0 GROUP BY 1")
+def first_single_polygons(spark, sf_dir):
+    """The first row of each group that is one polygon; points and several parts are passed over."""
+    dev = _corners(spark, sf_dir)
+    g = F.when(F.col("id") % 3 != 0, st.box("x0", "y0", "x1", "y1")).when(F.col("id") % 2 == 0, st.point("x0", "y0")).otherwise(_wkt("MULTIPOLYGON ((({ring})))"))
+    return validation.first_polygon(dev.select("dwellings", "id", g.alias("geom")), "dwellings", "id").select("dwellings", "id", st.geometry_type("geom").alias("kind"))
+
+
+@query(_ctes("dev", "lpa", "nnc") + f", z AS (SELECT dev.id AS site, nnc.id AS pond, list(DISTINCT rz) AS rz FROM dev JOIN nnc ON {_meet('dev', 'nnc')} JOIN lpa ON {_meet('dev', 'lpa')} AND {_meet('nnc', 'lpa')} GROUP BY ALL) SELECT site, CASE WHEN pond % 2 = 0 THEN 'P' ELSE 'A' END AS PANS, 'RLB' AS Area, CASE WHEN list_contains(rz, 'Red') THEN 'Red' WHEN list_contains(rz, 'Amber') THEN 'Amber' ELSE 'Green' END AS MaxZone, CASE WHEN pond % 3 = 0 THEN 'T' ELSE 'F' END AS TmpImp, count(*) AS FREQUENCY FROM z GROUP BY ALL")
+def newt_surveyed_ponds(spark, sf_dir):
+    """Ponds with what a survey found in them, without buffers."""
+    sites = synth.developments(spark, sf_dir).select(F.col("id").alias("site"), "geom")
+    ponds = synth.layer(spark, sf_dir, "nnc").select(F.when(F.col("id") % 2 == 0, "P").otherwise("A").alias("PANS"), F.when(F.col("id") % 3 == 0, "T").otherwise("F").alias("TmpImp"), "geom")
+    return newt.assess(sites, synth.layer(spark, sf_dir, "lpa"), ponds, surveyed=True, s=newt.Settings(0.0, 0.0))["pond_frequency"]
+
+
+@query(_ctes("dev") + f" SELECT id, CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS rlb_id, name, dwelling_category, dwellings, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS shape_area, {_r2('(x1 - x0) * (y1 - y0) / 10000.0')} AS dev_area_ha FROM dev")
+def sites_of_older_names(spark, sf_dir):
+    """Sites whose columns have the older names, with columns that are of no use."""
+    older = {new: old for old, new in nutrient.LEGACY_NAMES.items()}
+    rows = synth.developments(spark, sf_dir).withColumnsRenamed(older).withColumn("Shape_Area", F.lit(-1.0)).withColumn("extra", F.lit("x"))
+    return nutrient.prepare(rows).select("id", "rlb_id", "name", "dwelling_category", "dwellings", "shape_area", "dev_area_ha")
+
+
+def _post(key: str, body: str) -> int:
+    """A receiver that answers by the key."""
+    if int(key) % 5 == 3:
+        raise OSError("nobody there")
+    return (200, 404, 500, 0, 201)[int(key) % 5]
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, [200, 404, 500, 0, 201][c_custkey % 5 + 1] AS status, CASE WHEN c_custkey % 5 IN (2, 3) THEN 4 ELSE 1 END AS attempts FROM customer")
+def callbacks(spark, sf_dir):
+    """Results handed to a receiver: what answers with an error is tried again, what is refused for good is not."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("payload"))
+    return outputs.send(rows, _post, wait=lambda _: None)
+
+
+@query("SELECT metric, count(*) AS n, sum(value) AS total FROM (SELECT unnest(['cpu_percent', 'memory_bytes', 'memory_limit_bytes', 'received_bytes', 'sent_bytes']) AS metric, unnest([CASE WHEN event_id % 7 <> 0 THEN k / 2.0 END, k * 1048576.0, 2147483648.0, k * 1000.0, CASE WHEN event_id % 7 <> 0 THEN k END]) AS value FROM (SELECT event_id, event_id % 100 AS k FROM events WHERE event_id % 11 <> 0)) WHERE value IS NOT NULL GROUP BY 1")
+def container_statistics(spark, sf_dir):
+    """Numbers from lines of container statistics, some of them damaged in part and some whole."""
+    k, bad = F.col("event_id") % 100, F.col("event_id") % 7 == 0
+    cpu = F.when(bad, "--").otherwise(F.format_string("%.1f%%", k / 2.0))
+    line = F.concat_ws("|", "event_type", cpu, F.format_string("%dMiB / 2GiB", k), F.concat(F.format_string("%dkB / ", k), F.when(bad, "?").otherwise(F.format_string("%dB", k))))
+    lines = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 11 == 0, "no statistics").otherwise(line).alias("value"))
+    return metrics.long_metrics(metrics.parse_stats(lines)).groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN o_totalprice END AS plain, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS nested FROM orders")
+def cleaned_numbers(spark, sf_dir):
+    """No number and infinite become null, within structures too."""
+    k, v = F.col("o_orderkey"), F.col("o_totalprice")
+    odd = F.when(k % 3 == 0, float("nan")).when(k % 3 == 1, float("inf")).otherwise(v)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", odd.alias("plain"), F.array(F.struct(F.when(k % 5 == 0, float("-inf")).otherwise(v).alias("x"))).alias("nested"))
+    return numeric.cleaned(rows).select("o_orderkey", "plain", F.col("nested")[0]["x"].alias("nested"))
+
+
+@query(SQL["majority_overlap"])
+def registered_assessment(spark, sf_dir):
+    """An assessment by its name, behind a check of its sites, into a sink that is read again."""
+    folder, known = shared_folder(spark, "sink"), registry.Registry()
+
+    def works(spark, sites, layers):
+        return {"works": registry.assign("majority_overlap", sites, layers["works"], "code", "id", "id", "works_code", default="141").select("id", "works_code")}
+
+    known.add("works", works, [lambda sites: validation.attribute_errors(sites, ["id"], ["dwellings"]), validation.upload_errors])
+    known.run("works", spark, synth.developments(spark, sf_dir), {"works": synth.layer(spark, sf_dir, "works")}, [lambda results, run: outputs.dump(results, f"{folder}/{run}")], "first")
+    return spark.read.parquet(f"{folder}/first/works")
+
+
+@query(_ctes("dev", "coef") + f" SELECT DISTINCT coef.id, lu_curr_n_coeff FROM coef JOIN dev ON {_meet('coef', 'dev')}")
+def extract_around_sites(spark, sf_dir):
+    """What a layer has within half a metre of any site; all corners lie on whole metres."""
+    coef = synth.layer(spark, sf_dir, "coef").select("id", "lu_curr_n_coeff", "geom")
+    return extract.around([synth.developments(spark, sf_dir)], {"coef": coef}, margin=0.5)["coef"].drop("geom")
+
+
+@query(_ctes("dev") + " SELECT unnest(['null_geometry: ' || count(*) FILTER (id % 7 = 0), 'invalid_geometry: ' || count(*) FILTER (id % 7 = 2), 'not_polygonal: ' || count(*) FILTER (id % 7 = 3)]) AS error FROM dev")
+def upload_report(spark, sf_dir):
+    """What is wrong with an upload as a whole."""
+    k = F.col("id") % 7
+    g = F.when(k == 2, _wkt(BOW_TIE)).when(k == 3, st.point("x0", "y0")).when(k != 0, st.box("x0", "y0", "x1", "y1"))
+    found = validation.upload_errors(_corners(spark, sf_dir).select(g.alias("geom")))
+    return spark.createDataFrame([(e,) for e in found], "error string")
+
+
+@query(_ctes("coef") + " SELECT id, sha256('coef:' || (id % 18) || ':' || (x0 % 512) || ':' || (y0 % 512) || ':3') AS tag FROM coef")
+def tile_tags(spark, sf_dir):
+    """The tags of tiles, which change with the layer's version only."""
+    coef = synth._sql(ensure_spatial(spark), sf_dir, synth.RECTANGLES["coef"])
+    return coef.select("id", outputs.tile_etag("coef", (F.col("id") % 18).cast("string"), (F.col("x0") % 512).cast("string"), (F.col("y0") % 512).cast("string"), 3).alias("tag"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nutrient_impact_summary(spark, sf_dir)
