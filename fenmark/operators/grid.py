@@ -133,7 +133,7 @@ def box_pairs(left: DataFrame, right: DataFrame, lgeom: str = "geom", rgeom: str
 
 
 def clustered(df: DataFrame, geom: str = "geom", files: int | None = None) -> DataFrame:
-    """df with columns x0, y0, x1, y1 (the bounding box), level and place, in order of place: the middle of the box on Hilbert's curve
+    """df with columns x0, y0, x1, y1 (the bounding box), level (from 0) and place, in order of place: the middle of the box on Hilbert's curve
     through the whole layer. Written as it is, files and their row groups hold neighbours, and a filter on the box columns (see
     tiles.near_box) reads few of them. Rows without a box come last, with nulls. One pass finds the layer's extent."""
     b = st.bounds(geom)
@@ -141,7 +141,7 @@ def clustered(df: DataFrame, geom: str = "geom", files: int | None = None) -> Da
     extent = boxed.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
     if extent[0] is None:
         return boxed.withColumns({"level": F.lit(None).cast("int"), "place": F.lit(None).cast("int")})
-    boxed = boxed.withColumn("_box", F.struct("x0", "y0", "x1", "y1")).withColumn("level", F.when(F.col("x0").isNotNull(), _level("_box"))).drop("_box")
+    boxed = boxed.withColumn("_box", F.struct("x0", "y0", "x1", "y1")).withColumn("level", F.when(F.col("x0").isNotNull(), F.greatest(_level("_box"), F.lit(0)))).drop("_box")
     boxed = boxed.withColumn("place", st.hilbert((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, tuple(extent)))
     order = F.col("place").asc_nulls_last()
     parted = boxed.repartitionByRange(files, order) if files else boxed.repartitionByRange(order)
