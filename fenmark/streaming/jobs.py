@@ -120,6 +120,7 @@ def run(
     failed: str | None = None,
     attempts: int = 2,
     poll: str | None = None,
+    revision: str | None = None,
 ):
     """Consumes JSON lines below source: results of assess(valid rows) to sink, bad messages to rejected, jobs that make assess fail to
     `failed` (without it they end the query). Stops when nothing is left, or with poll (as "5 seconds") looks again for ever; gives the
@@ -127,11 +128,13 @@ def run(
 
     A message counts as done when its batch's checkpoint is written. A batch that is run again overwrites its own folders, so results
     come once. Of valid messages a reference that comes again within `redelivery` is passed over; a bad message does not stand in the
-    way of its corrected form. Tables that assess writes on its way go after each batch.
+    way of its corrected form. With `revision`, a column of read(), messages of one reference that differ in it are all assessed, and who
+    reads the sink chooses among them: which one comes first would be left open. Tables that assess writes on its way go after each batch.
     """
     rows = spark.readStream.schema("value string").text(source).withColumn("received_at", F.current_timestamp())
+    named = [F.lit(" "), F.coalesce(F.col(revision).cast("string"), F.lit(""))] if revision else []
     # bad messages are told apart by their text
-    job = F.when(F.col("error").isNull(), F.concat(F.lit("job "), "reference")).otherwise(F.concat(F.lit("bad "), F.coalesce("value", F.lit(""))))
+    job = F.when(F.col("error").isNull(), F.concat(F.lit("job "), "reference", *named)).otherwise(F.concat(F.lit("bad "), F.coalesce("value", F.lit(""))))
     rows = read(rows).withColumn("_job", job).withWatermark("received_at", redelivery).dropDuplicatesWithinWatermark(["_job"]).drop("_job")
 
     def batch(df: DataFrame, number: int) -> None:

@@ -22,3 +22,15 @@ def test_job_by_the_origin_completes(sp, tmp_path):  # noqa: F811
     ring = [[[0, 0], [50, 0], [50, 50], [0, 50], [0, 0]]]
     lines = sp.createDataFrame([(message("NRF-000001", boundary={"coordinates": ring}),)], "value string")
     assert jobs.parse_sites(lines).first().error is None
+
+
+def test_revisions_of_a_reference_all_come(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    lines = [message("NRF-000001", housingUnits=n) for n in (3, 9, 4, 9)]
+    assert json.loads(lines[1])["housingUnits"] == 9
+    (src / "a.txt").write_text("\n".join(lines))
+    jobs.run(spark, str(src), str(tmp_path / "cp"), lambda df: df.select("reference", "housingUnits"), str(tmp_path / "out"), str(tmp_path / "bad"), revision="housingUnits")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.housingUnits for r in got.collect()) == [3, 4, 9]
+    assert got.agg(F.max("housingUnits")).first()[0] == 9
