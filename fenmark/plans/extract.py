@@ -14,5 +14,5 @@ def around(sites: list[DataFrame], layers: dict[str, DataFrame], margin: float =
     masks = sites[0].select("geom")
     for more in sites[1:]:
         masks = masks.unionByName(more.select("geom"))
-    masks = masks.where(F.col("geom").isNotNull()).select(st.buffer("geom", margin).alias("geom"))
+    masks = masks.where(F.col("geom").isNotNull()).dropDuplicates(["geom"]).select(st.buffer("geom", margin).alias("geom"))
     return {name: overlay.clip(layer, masks) for name, layer in layers.items()}

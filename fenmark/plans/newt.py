@@ -40,7 +40,17 @@ def assess(sites: DataFrame, zones: DataFrame, ponds: DataFrame, surveyed: bool
     state = ponds.withColumn("PANS", F.col("PANS") if surveyed else F.lit("NS"))
     state = state.withColumn("TmpImp", F.col("TmpImp") if surveyed and "TmpImp" in ponds.columns else F.lit("F")).select("PANS", "TmpImp", "geom")
 
-    site = sites.select("site", st.make_valid("geom").alias("geom")).where("geom is not null")
+    # sites of equal shapes have equal results, and so have equal ponds: each is computed once and counts as often as it is there
+    shaped = sites.where("geom is not null").select("site", "geom", st.hash_key("geom").alias("_gk"))
+    named = shaped.groupBy("site").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_gk")), ","), 256).alias("_shape"))
+    named = written(named.join(named.groupBy("_shape").agg(F.min("site").alias("_first")), "_shape").select("site", "_first"))
+    state = state.groupBy("PANS", "TmpImp", "geom").agg(F.count(F.lit(1)).alias("n"))
+    site = shaped.drop("_gk").join(named.where("site = _first").select("site"), "site").select("site", st.make_valid("geom").alias("geom")).where("geom is not null")
+
+    def all_sites(found: DataFrame) -> DataFrame:
+        columns = found.columns
+        return found.withColumnRenamed("site", "_first").join(named, "_first").select(*columns)
+
     # unions go by cells first, so that no task gets all parts of a large site
     around = union_by(site.withColumn("geom", st.buffer("geom", s.buffer_m)), ["site"], "geom", "_all").select("site", st.reduce_precision("_all", s.grid).alias("geom"))
     parts = written(site.withColumn("Area", F.lit("RLB")).unionByName(around.withColumn("Area", F.lit("Buffer"))))
@@ -54,7 +64,7 @@ def assess(sites: DataFrame, zones: DataFrame, ponds: DataFrame, surveyed: bool
     inside = st.intersects("geom", "own")
     pond = pond.withColumn("Area", F.when(inside, "RLB").otherwise("Buffer")).withColumn("geom", F.when(inside, st.intersection("geom", "own")).otherwise(F.col("geom"))).drop("own")
     pond = pond.withColumn("pond", F.xxhash64("site", "geom", "PANS", "TmpImp", "Area"))
-    pond = written(pond.groupBy("site", "pond", "PANS", "TmpImp", "Area", "geom").agg(F.count(F.lit(1)).alias("n")))  # equal ponds have equal zones
+    pond = written(pond.groupBy("site", "pond", "PANS", "TmpImp", "Area", "geom").agg(F.sum("n").alias("n")))  # equal ponds have equal zones
 
     reach = union_by(pond.withColumn("geom", st.buffer("geom", s.pond_buffer_m)), ["site"], "geom", "_all").select("site", st.reduce_precision("_all", s.grid).alias("m_geom"))
     near = _within_sites(zone, reach, "geom", "m_geom").select("site", "rz", st.intersection("geom", "m_geom").alias("z_geom")).where(~st.is_empty("z_geom"))
@@ -65,4 +75,4 @@ def assess(sites: DataFrame, zones: DataFrame, ponds: DataFrame, surveyed: bool
     touched = _within_sites(pond, zone.withColumnRenamed("geom", "z_geom"), "geom", "z_geom")
     worst = touched.where("PANS is not null and TmpImp is not null and rz is not null").groupBy("site", "pond", "PANS", "TmpImp", "Area").agg(highest_zone(F.array_sort(F.collect_set("rz"))).alias("MaxZone"), F.first("n").alias("n"))
     frequency = worst.groupBy("site", "PANS", "Area", "MaxZone", "TmpImp").agg(F.sum("n").alias("FREQUENCY"))
-    return {"habitat_impact": habitat, "pond_frequency": frequency}
+    return {"habitat_impact": all_sites(habitat), "pond_frequency": all_sites(frequency)}

@@ -1,11 +1,12 @@
 """What only showed on larger tables: equal rows, sites by the grid's origin, references that come again with other contents."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
-from fenmark.operators import validation
+from fenmark.operators import grid, overlay, validation
 from fenmark.plans import incremental
 from fenmark.streaming import jobs
 from tests.test_spatial import box, layer, sp  # noqa: F401
@@ -24,6 +25,20 @@ def test_job_by_the_origin_completes(sp, tmp_path):  # noqa: F811
     assert jobs.parse_sites(lines).first().error is None
 
 
+def test_equal_sites_count_each(sp, tmp_path):  # noqa: F811
+    store = incremental.ResultStore(sp, f"file://{tmp_path}/store")
+    rows = layer(sp, [(i, box(0, 0, 10 + i % 2, 10)) for i in range(6)])
+    seen = []
+
+    def assess(todo):
+        seen.append(todo.count())
+        return todo.select("key", st.area("geom").alias("a"))
+
+    found, n = store.assess(rows, [], assess, {}, "g")
+    assert n == 6 and found.count() == 6 and seen == [2]
+    assert store.assess(rows, [], assess, {}, "g")[1] == 0
+
+
 def test_revisions_of_a_reference_all_come(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
@@ -34,3 +49,54 @@ def test_revisions_of_a_reference_all_come(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.housingUnits for r in got.collect()) == [3, 4, 9]
     assert got.agg(F.max("housingUnits")).first()[0] == 9
+
+
+def _shapes(n, seed, size):
+    """Rectangles, triangles and points, every third one there twice."""
+    r, out = random.Random(seed), []
+    for _ in range(n):
+        x, y, w = r.randrange(20_000), r.randrange(20_000), r.randrange(1, size)
+        g = r.choice([box(x, y, x + w, y + w), f"POLYGON (({x} {y}, {x + w} {y}, {x} {y + w}, {x} {y}))", f"POINT ({x} {y})"])
+        out += [g] * (2 if len(out) % 3 == 0 else 1)
+    return list(enumerate(out))
+
+
+def _sides(sp):
+    left, right = layer(sp, _shapes(60, 1, 400)), layer(sp, _shapes(1500, 2, 6000))
+    return left.select("id", "geom"), right.select(F.col("id").alias("other"), F.col("geom").alias("r_geom"))
+
+
+def test_blocks_give_what_pairs_give(sp):  # noqa: F811
+    left, right = _sides(sp)
+    all_pairs = left.crossJoin(right).select("id", "other", st.shared_area("geom", "r_geom").alias("a"), F.round(st.distance("geom", "r_geom"), 6).alias("d")).collect()
+    near = grid.ids_within(left, right, 500.0, ["id"], ["other"])
+    assert sorted(map(tuple, near.collect())) == sorted((p.id, p.other, p.d) for p in all_pairs if p.d <= 500)
+    few = overlay.nearest_few(left, right, "other", 3, 500.0).select("id", "other", "rank").collect()
+    want = {}
+    for p in sorted(all_pairs, key=lambda p: (p.d, p.other)):
+        if p.d <= 500 and len(want.setdefault(p.id, [])) < 3:
+            want[p.id].append(p.other)
+    assert sorted(map(tuple, few)) == sorted((i, o, n + 1) for i, found in want.items() for n, o in enumerate(found))
+    met = {p.id for p in all_pairs if p.a is not None}
+    assert {r.id for r in overlay.semi(left, right, "id").collect()} == met
+    assert {r.id for r in overlay.semi(left, right, "id", "left_anti").collect()} == {p.id for p in all_pairs} - met
+    features = right.select(F.col("other").alias("id"), F.col("other").cast("string").alias("code"), F.col("r_geom").alias("geom"))
+    got = {r.id: r.v for r in overlay.majority_overlap(left, {"v": (features, "code", "id", "none")}, "id").collect()}
+    best = {}
+    for p in all_pairs:
+        if p.a is not None:
+            best[p.id] = min(best.get(p.id, (1.0, 0)), (-round(p.a, 6), p.other))
+    assert got == {p.id: str(best[p.id][1]) if p.id in best else "none" for p in all_pairs}
+
+
+def test_equal_rows_are_measured_once_and_all_come(sp):  # noqa: F811
+    left = layer(sp, [(i, box(0, 0, 100, 100)) for i in range(3000)]).select("id", "geom")
+    right = layer(sp, [(i, box(50, 50, 200, 200)) for i in range(5)]).select(F.col("id").alias("other"), F.col("geom").alias("r_geom"))
+    assert grid.classes(left, ["id"]).count() < 10
+    got = overlay.overlay_intersection(left, right, area="area")
+    assert got.count() == 15_000 and got.where("area = 2500").select("id", "other").distinct().count() == 15_000
+    cut = overlay.clip(left, right.select(F.col("r_geom").alias("geom")))
+    assert cut.count() == 3000 and cut.select(st.area("geom").alias("a")).distinct().collect()[0].a == 2500
+    coef = right.select("other", F.col("r_geom").alias("geom"))
+    found = overlay.land_use_intersections(left, coef, right.where("other = 0").select(F.lit("c").alias("oid"), F.col("r_geom").alias("geom")), "id")
+    assert found.columns == ["id", "other", "oid", "area_in_nn_catchment_ha"] and found.distinct().count() == 15_000
