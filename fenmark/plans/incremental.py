@@ -38,7 +38,8 @@ class ResultStore:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def assess(self, sites: DataFrame, inputs: list[str], assess: Callable[[DataFrame], DataFrame], settings: object, generation: str) -> tuple[DataFrame, int]:
-        """sites (geom and others) with the columns that assess adds, and how many sites were computed for it.
+        """sites (geom and others) with the columns that assess adds, and how many sites had no result before it: those
+        that share their geometry and inputs count each, and are computed once.
 
         assess takes (key, geom, *inputs), one row for each distinct geometry and inputs that has no result yet, and gives rows with key
         and its own columns; each row's result must depend on that row alone, the settings and the reference data. Sites it gives no row
@@ -47,11 +48,11 @@ class ResultStore:
         folder = self._folder(settings, generation)
         key = F.sha2(F.concat(F.coalesce(st.hash_key("geom"), F.lit("none")), F.to_json(F.struct(*inputs)) if inputs else F.lit("")), 256)
         keyed = written(sites.withColumn("key", key))
-        todo = keyed.select("key", "geom", *inputs).dropDuplicates(["key"])
+        todo = keyed.select("key", "geom", *inputs)
         if self._exists(f"{folder}/keys"):
             todo = todo.join(self.spark.read.schema(KEYS).parquet(f"{folder}/keys"), "key", "left_anti")
-        todo = written(todo)
         computed = todo.count()
+        todo = written(todo.dropDuplicates(["key"]))
         if computed or not self._exists(f"{folder}/keys"):
             run = uuid.uuid4().hex
             assess(todo).write.parquet(f"{folder}/results/run={run}")
