@@ -174,7 +174,7 @@ def met(df: DataFrame, first: bool = False, geom: str = "geom") -> DataFrame:
 def classes(df: DataFrame, columns: list[str], geom: str = "geom", name: str = "_all") -> DataFrame:
     """One row for each distinct geometry of df: geom and `name`, structs of the columns of its rows. Where very many rows are equal
     there are several, of so many rows at most that a row stays small. Null geometries go."""
-    rows = df.where(F.col(geom).isNotNull()).select(st.hash_key(geom).alias("_gk"), F.col(geom), F.struct(*columns).alias("_c"))
+    rows = spread(df.where(F.col(geom).isNotNull()).select(F.col(geom), F.struct(*columns).alias("_c"))).withColumn("_gk", st.hash_key(geom))
     rows = rows.repartition("_gk").sortWithinPartitions("_gk").withColumn("_at", F.shiftright(F.monotonically_increasing_id(), CLASS_ROWS_LOG2))
     return rows.groupBy("_gk", "_at").agg(F.first(geom).alias(geom), F.collect_list("_c").alias(name)).drop("_gk", "_at")
 

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
-from fenmark.operators.grid import BASE, LOWEST, STEP, blocks, box_pairs, classes, levels, measured, met, spatial_join
+from fenmark.operators.grid import BASE, LOWEST, STEP, blocks, box_pairs, classes, levels, measured, met, spatial_join, spread
 from fenmark.session import written
 
+#: Tasks over which pairs with one shape are dealt.
+DEALT = 8
+
 
 def _feature(layer: DataFrame, attr: str, fid: str) -> DataFrame:
     return layer.select(F.col("geom").alias("r_geom"), F.col(fid).alias("_fid"), F.col(attr).cast("string").alias("_attr"))
@@ -18,7 +21,7 @@ def _feature(layer: DataFrame, attr: str, fid: str) -> DataFrame:
 
 def _shapes(left: DataFrame) -> DataFrame:
     """left's distinct geometries with a name each, _gk: what holds for a geometry is computed once for all rows that have it."""
-    return left.where(F.col("geom").isNotNull()).select(st.hash_key("geom").alias("_gk"), "geom").dropDuplicates(["_gk"])
+    return spread(left.where(F.col("geom").isNotNull()).select("geom")).select(st.hash_key("geom").alias("_gk"), "geom").dropDuplicates(["_gk"])
 
 
 def _with_shape(left: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
@@ -116,16 +119,29 @@ def overlay_intersection(left: DataFrame, right: DataFrame, grid: float | None =
     clash = set(lcols) & set(rcols)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-    mine = classes(left.withColumn("geom", snap("geom")), lcols, name="_lefts")
-    theirs = classes(right.withColumn("r_geom", snap("r_geom")), rcols, "r_geom", "_rights").withColumn("_shape", F.col("r_geom"))
-    found = met(blocks(mine, theirs, ["_rights", "_shape"])).select("_lefts", "geom", "_row.*")
+    # blocks hold names of shapes only: lists of rows in them would be copied for every pair of a shape and a block
+    shapes = _shapes(right.withColumnRenamed("r_geom", "geom")).select(F.col("_gk").alias("_ck"), snap("geom").alias("_shape")).withColumn("r_geom", F.col("_shape"))
+    found = met(blocks(_shapes(left).withColumn("geom", snap("geom")), shapes, ["_ck", "_shape"])).select("_gk", "geom", "_row.*")
     found = found.withColumn("geom", snap(st.intersection("geom", "_shape"))).drop("_shape").withColumn("_area", st.area("geom"))
     found = found.where(~st.is_empty("geom") if keep_all else F.col("_area") > 0)
-    made = ["geom", F.col("_area").alias(area)] if area else ["geom"]
-    found = found.select("_rights", *made, F.explode("_lefts").alias("_left"))
-    made = ["geom", area] if area else ["geom"]
-    found = found.select(*[F.col(f"_left.{c}").alias(c) for c in lcols], *made, F.explode("_rights").alias("_right"))
-    return found.select(*lcols, "geom", *[F.col(f"_right.{c}").alias(c) for c in rcols], *made[1:])
+    found = _expanded(found.withColumnRenamed("_area", area) if area else found.drop("_area"), left, lcols, right, rcols)
+    return found.select(*lcols, "geom", *rcols, *([area] if area else []))
+
+
+def _expanded(pairs: DataFrame, lefts: DataFrame, lcols: list[str], rights: DataFrame, rcols: list[str]) -> DataFrame:
+    """pairs of shapes (_gk, _ck and others) as pairs of the rows that have them. A pair of rows goes through no shuffle; a shape that
+    very many others meet is dealt over DEALT tasks."""
+    spark = pairs.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    mine = classes(lefts, lcols, name="_lefts").select(st.hash_key("geom").alias("_gk"), "_lefts")
+    theirs = classes(rights, rcols, "r_geom", "_rights").select(st.hash_key("r_geom").alias("_ck"), "_rights")
+    theirs = theirs.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    both = pairs.join(mine, "_gk").withColumn("_deal", F.pmod(F.xxhash64("_gk"), F.lit(DEALT)).cast("int")).drop("_gk")
+    both = both.repartition(tasks, "_ck", "_deal").join(theirs, ["_ck", "_deal"]).drop("_ck", "_deal")
+    rest = [c for c in both.columns if c not in ("_lefts", "_rights")]
+    both = both.select("_rights", *rest, F.explode("_lefts").alias("_left"))
+    both = both.select(*[F.col(f"_left.{c}").alias(c) for c in lcols], *rest, F.explode("_rights").alias("_right"))
+    return both.select(*lcols, *rest, *[F.col(f"_right.{c}").alias(c) for c in rcols])
 
 
 def overlay_difference(left: DataFrame, right: DataFrame, key: str, grid: float | None = 1e-4) -> DataFrame:

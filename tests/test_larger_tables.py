@@ -100,3 +100,19 @@ def test_equal_rows_are_measured_once_and_all_come(sp):  # noqa: F811
     coef = right.select("other", F.col("r_geom").alias("geom"))
     found = overlay.land_use_intersections(left, coef, right.where("other = 0").select(F.lit("c").alias("oid"), F.col("r_geom").alias("geom")), "id")
     assert found.columns == ["id", "other", "oid", "area_in_nn_catchment_ha"] and found.distinct().count() == 15_000
+
+
+def test_blocks_hold_no_lists_of_rows(sp, monkeypatch):  # noqa: F811
+    left, right = _sides(sp)
+    seen, blocks = [], overlay.blocks
+
+    def watched(a, b, keep, *more, **named):
+        seen.extend(b.schema[c].dataType.typeName() for c in keep)
+        return blocks(a, b, keep, *more, **named)
+
+    monkeypatch.setattr(overlay, "blocks", watched)
+    got = overlay.overlay_intersection(left, right, area="area")
+    assert seen and "array" not in seen
+    want = left.crossJoin(right).select("id", "other", F.round(st.shared_area("geom", "r_geom"), 3).alias("a")).where("a > 0.001")
+    got = got.select("id", "other", F.round("area", 3).alias("a")).where("a > 0.001")
+    assert sorted((r.id, r.other, round(r.a, 1)) for r in got.collect()) == sorted((r.id, r.other, round(r.a, 1)) for r in want.collect())
