@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of the unit names that container statistics use.
 UNIT_BYTES = {"B": 1, "kB": 1_000, "MB": 1_000_000, "GB": 1_000_000_000, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30}
+#: Groups over which a stream's series are dealt.
+DEALS = 1024
 
 
 def to_bytes(text: Column) -> Column:
@@ -45,13 +48,14 @@ def tumbling(events: DataFrame, width: str = "5 seconds", late: str = "30 second
     return out.select(F.col("window.start").alias("bucket"), "event_type", "mean", "last_value", "n")
 
 
-def counter_rates(events: DataFrame, series: list[str], value: str = "value", time: str = "ts", order: str = "event_id", late: str = "30 seconds", idle: str = "1 hour") -> DataFrame:
+def counter_rates(events: DataFrame, series: list[str], value: str = "value", time: str = "ts", order: str = "event_id", late: str = "30 seconds", idle: str = "1 hour", deals: int = DEALS) -> DataFrame:
     """series..., order, time and rate: for each row of a growing counter, its rise a second since the row before in its series, by time,
     then order. Rows where the counter fell (it began anew) or no time went by have none and are left out.
 
     events may be a stream: then the last row of each series is kept between batches, for `idle` after it came. A row that is not later
     than the last one of its series that was seen is passed over, and `late` is how far behind the latest row a series may lie before
-    its state can go.
+    its state can go. Series are dealt over `deals` groups, which a stream with a checkpoint must keep: a call costs milliseconds
+    whatever it is given, so there is one for a group of series and not for each.
     """
     if not events.isStreaming:
         w = Window.partitionBy(*series).orderBy(time, order)
@@ -61,32 +65,55 @@ def counter_rates(events: DataFrame, series: list[str], value: str = "value", ti
 
     fields = {f.name: f.dataType.simpleString() for f in events.schema}
     wait = pd.Timedelta(idle).value // 1_000_000
+    columns = list(dict.fromkeys([*series, order, time, value]))
+
+    def micros(rows: pd.DataFrame) -> np.ndarray:
+        return rows[time].astype("datetime64[us]").astype("int64").to_numpy()
+
+    def keep(state, last: pd.DataFrame, come: np.ndarray) -> None:
+        """The last rows of a group's series, but for those that are idle and did not come now."""
+        now, until = state.getCurrentWatermarkMs(), micros(last) // 1000 + wait
+        stay = come | (until > now)
+        if not stay.any():
+            if state.exists:
+                state.remove()
+            return
+        table = pa.Table.from_pandas(last[stay], preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+        state.setTimeoutTimestamp(max(int(until[stay].min()), now + 1))
 
     def advance(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        old = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
         if state.hasTimedOut:
-            state.remove()
+            keep(state, old, np.zeros(len(old), bool))
             return
-        rows = pd.concat(list(parts)).sort_values([time, order], kind="stable")
-        at = rows[time].astype("datetime64[us]").astype("int64").to_numpy()
-        ids, v = rows[order].to_numpy(), rows[value].to_numpy(dtype=float, na_value=np.nan)
-        if state.exists:
-            last_at, last_id, last_value = state.get
-            new = (at > last_at) | (at == last_at) & (ids > last_id)
-            rows, at, ids, v = rows[new], np.r_[last_at, at[new]], np.r_[last_id, ids[new]], np.r_[last_value, v[new]]
-        else:
-            rows = rows.iloc[1:]
-        if len(at):
-            state.update((int(at[-1]), int(ids[-1]), float(v[-1])))
-            state.setTimeoutTimestamp(max(int(at[-1]) // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        rows = pd.concat([p[columns] for p in parts], ignore_index=True)
+        every = rows if old is None else pd.concat([old, rows], ignore_index=True)
+        code, known = every.groupby(series, dropna=False, sort=False).ngroup().to_numpy(), len(every) - len(rows)
+        at, fresh = micros(every), np.ones(len(every), bool)
+        if known:
+            place = np.full(code.max() + 1, -1)
+            place[code[:known]] = np.arange(known)
+            met = known + np.flatnonzero(place[code[known:]] >= 0)
+            last, ids = place[code[met]], every[order].to_numpy()
+            fresh[met] = (at[met] > at[last]) | (at[met] == at[last]) & (ids[met] > ids[last])
+        every = every.assign(_code=code, _at=at, _new=np.arange(len(every)) >= known)[fresh].sort_values(["_code", "_at", order], kind="stable")
+        code, at, v = every["_code"].to_numpy(), every["_at"].to_numpy(), every[value].to_numpy(dtype=float, na_value=np.nan)
+        same = code[1:] == code[:-1]
         with np.errstate(divide="ignore", invalid="ignore"):
             rate = np.diff(v) / (np.diff(at) / 1_000_000.0)
-        good = np.isfinite(rate) & (rate >= 0)
-        out = rows[[order, time]][good].assign(rate=rate[good], **dict(zip(series, key, strict=True)))
-        yield out[[*series, order, time, "rate"]]
+        good = np.flatnonzero(same & np.isfinite(rate) & (rate >= 0))
+        yield every.iloc[good + 1][list(dict.fromkeys([*series, order, time]))].assign(rate=rate[good])
+        final = np.r_[~same, True]
+        keep(state, every.loc[final, columns], np.isin(code[final], code[every["_new"].to_numpy()]))
 
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [*series, order, time]) + ", rate double"
-    rows = events.select(*series, order, time, value).where(F.col(time).isNotNull()).withWatermark(time, late)
-    return rows.groupBy(*series).applyInPandasWithState(advance, schema, "at long, id long, value double", "append", "EventTimeTimeout")
+    rows = events.select(*columns).where(F.col(time).isNotNull()).withWatermark(time, late)
+    rows = rows.withColumn("_deal", F.pmod(F.xxhash64(*series), F.lit(deals)))
+    return rows.groupBy("_deal").applyInPandasWithState(advance, schema, "last binary", "append", "EventTimeTimeout")
 
 
 def retained(df: DataFrame, time: str, now: Column, days: int = 30) -> DataFrame:

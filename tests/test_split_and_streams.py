@@ -93,6 +93,18 @@ def test_rates_of_a_stream_in_many_batches(sp, tmp_path):  # noqa: F811
     assert got == want and 150 < len(got) < 298
 
 
+def test_a_stream_of_many_series_makes_few_calls(sp, tmp_path):  # noqa: F811
+    made = sp.range(6000).select(F.col("id").alias("event_id"), (F.col("id") % 2000).cast("string").alias("k"), F.timestamp_seconds(F.col("id") + 86_400).alias("ts"), (F.col("id") * 2.0).alias("value"))
+    made.withColumn("k", F.nullif("k", F.lit("7"))).write.parquet(str(tmp_path / "in"))
+    stream = sp.readStream.schema(made.schema).parquet(str(tmp_path / "in"))
+    q = metrics.counter_rates(stream, ["k"]).writeStream.option("checkpointLocation", str(tmp_path / "c")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    # states are of groups of series, at most, and not of each series
+    assert q.recentProgress[0].stateOperators[0].numRowsTotal <= 1024
+    got = sp.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 4000 and got.select("rate").distinct().collect()[0].rate == 2.0 and got.where("k is null").count() == 2
+
+
 def test_old_days_are_compacted_once_and_after_crashes(sp, tmp_path):  # noqa: F811
     root = tmp_path / "days"
     sp.range(60).select("id", (F.col("id") % 4).alias("k"), F.concat(F.lit("2024-01-0"), (F.col("id") % 6 + 1).cast("string")).alias("day")).write.partitionBy("day").parquet(str(root))
