@@ -9,6 +9,9 @@ may run into a name of the text around it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,8 @@ NUMBER = r"[0-9]++(?:[.,][0-9]++)*+"
 #: A word with a capital first and a small letter in it, after a single letter and an apostrophe at the latest.
 CAPITALISED = rf"(?=\p{{Lu}})(?=(?:\p{{L}}['\u2019])?{LETTERS}*\p{{Ll}}){WORD}"
 OPENER = rf"(?:{'|'.join(w.capitalize() for w in OPENERS.split())})(?!['\u2019]?{LETTERS})"
-NAME = rf"(?<!{LETTERS})(?<!{LETTERS}['\u2019])(?!{OPENER}){CAPITALISED}(?: {CAPITALISED})*+"
+# a capital is looked for first, as most places have none
+NAME = rf"(?=\p{{Lu}})(?<!{LETTERS})(?<!{LETTERS}['\u2019])(?!{OPENER}){CAPITALISED}(?: {CAPITALISED})*+"
 #: Marks before a name and a unit, and after a name.
 NAME_MARK, NAME_END, UNIT_MARK = "\x02", "\x03", "\x04"
 NAME_WORDS = 3
@@ -41,7 +45,9 @@ def _values(text: str) -> Column:
     A name is a run of capitalised words that does not begin with a usual sentence opener. Longer runs are headlines: plain words.
     Nouns that a language capitalises count as names, in items and documents alike.
     """
-    clean = F.translate(text, NAME_MARK + NAME_END + UNIT_MARK, "   ")
+    # translating costs much for each character, and next to no text has the marks
+    marks = [NAME_MARK, NAME_END, UNIT_MARK]
+    clean = F.when(reduce(or_, [F.contains(F.col(text), F.lit(m)) for m in marks]), F.translate(text, "".join(marks), "   ")).otherwise(F.col(text))
     named = F.regexp_replace(clean, NAME, f"{NAME_MARK}$0{NAME_END}")
     named = F.regexp_replace(named, f"{NAME_MARK}([^{NAME_END} ]++(?: [^{NAME_END} ]++){{{NAME_WORDS},}}+){NAME_END}", "$1")
     marked = F.regexp_replace(F.lower(named), rf"([0-9]) ?({'|'.join(UNITS.split())})(?!['\u2019]?[\p{{L}}\p{{M}}0-9])", f"$1 {UNIT_MARK}$2")

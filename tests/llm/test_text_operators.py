@@ -350,3 +350,10 @@ def test_expectation_maximisation_recovers_accuracies():
         counts[p] = counts.get(p, 0) + 1
     posterior, found = quality.expectation_maximisation(counts)
     assert [found[i, 1, 1] for i in range(4)] == pytest.approx(acc, abs=0.05) and posterior["1111"] > 0.95 > 0.2 > posterior["0000"]
+
+
+def test_names_are_looked_for_at_capitals_and_marks_are_spaces(spark):
+    assert decontaminate.NAME.startswith(r"(?=\p{Lu})")  # most places have none, and end there
+    rows = spark.createDataFrame([("Then Ada Byron ran 5 km",), ("Then\x02Ada Byron\x03ran\x045 km",)], "text string")
+    plain, marked = [r.v for r in rows.select(decontaminate._values("text").alias("v")).collect()]
+    assert plain == marked == ["then", "\x02ada byron", "ran", "5", "\x04km"]
