@@ -22,6 +22,8 @@ BASE, STEP, LOWEST, HIGHEST = 500.0, 4.0, -4, 12
 FAR = 3
 #: Most shares of a cell; its shares where rows cannot be counted; how many times fewer the repeated rows are than the dealt ones.
 MOST_SHARES, SHARES, FEWER = 1024, 16, 8
+#: Stands for all shares of a cell.
+EVERY = -2
 #: Inputs of fewer bytes are dealt over all cores first.
 SPREAD_BYTES = 32 << 20
 #: Rows of a block and of a class; a geometry of more bytes is a block of its own; large rows that are repeated for shares at most.
@@ -83,10 +85,10 @@ def _by_level(level: Column, values: dict[int, int]) -> Column:
     return F.coalesce(*[F.when(level == at, v) for at, v in values.items()], F.lit(1))
 
 
-def _celled(df: DataFrame, own: str, other: str, mine: dict[int, int | None], met: dict[int, int | None], blocks: bool = False) -> DataFrame:
+def _celled(df: DataFrame, own: str, other: str, mine: dict[int, int | None], met: dict[int, int | None], blocks: bool = False, later: bool = False) -> DataFrame:
     """df once for each cell it covers at its own level, and at each larger level in met; mine and met are the levels in use on this
     side and on the other. Column _part tells who meets there: both sides at their own level, or one side's rows (`own` or `other`) at
-    theirs with smaller ones of the other side."""
+    theirs with smaller ones of the other side. later: a row that goes to all shares of a cell comes once, with EVERY as its _salt."""
     df = df.withColumn("_own", _level("_box"))
     level, none = F.col("_own"), F.array().cast("array<struct<_level:int,_part:string,_salt:int>>")
 
@@ -103,7 +105,8 @@ def _celled(df: DataFrame, own: str, other: str, mine: dict[int, int | None], me
         shares = {at: n for at, n in _shares(mine, met, blocks).items() if n > 1}
         if shares:
             n = _by_level(level, shares)
-            keys.append(F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(level, own, i))).otherwise(none))
+            every = alone(level, own, F.lit(EVERY)) if later else F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(level, own, i))
+            keys.append(F.when(n > 1, every).otherwise(none))
         for at, n in _shares(met, mine, blocks).items():
             salt = F.lit(-1) if n == 1 else F.when(at - level >= FAR, F.pmod(F.xxhash64("_box"), F.lit(n))).otherwise(-1)
             keys.append(F.when(level < at, alone(F.lit(at), other, salt)).otherwise(none))
@@ -145,16 +148,30 @@ def blocks(left: DataFrame, right: DataFrame, keep: list[str], lgeom: str = "geo
     by, key = by or [], ["_level", "_part", "_salt", "_cx", "_cy"]
     a, b = with_box(spread(left), lgeom, "_box", within), with_box(right, rgeom, "_box")
     on_left, on_right = _levels(a, b)
-    a, b = _celled(a, "l", "r", on_left, on_right, True).drop("_box"), _celled(b, "r", "l", on_right, on_left, True)
-    b = b.select(*key, *by, F.struct(*keep).alias("_row"), F.col(rgeom).alias("_g"))
-    # a cell's rows lie side by side in a few parts, and are cut into blocks there
-    b = b.repartition(*key, F.pmod(F.xxhash64("_g"), F.lit(4))).sortWithinPartitions(*key, *by, "_row").withColumn("_at", F.monotonically_increasing_id())
+    a, b = _celled(a, "l", "r", on_left, on_right, True), _celled(b, "r", "l", on_right, on_left, True, later=True)
+    s = _size(F.col("_level"))
+    # a row is no wider than its cell, so its middle is half a cell outside at most
+    middle = [(F.col(f"_box.{axis}0") + F.col(f"_box.{axis}1")) / 2 / s - F.col(f"_c{axis}") for axis in ("x", "y")]
+    b = b.select(*key, *by, st.hilbert(*middle, (-0.5, -0.5, 1.5, 1.5)).alias("_place"), F.struct(*keep).alias("_row"), F.col(rgeom).alias("_g"), F.col("_box").alias("_b"))
+    # a cell's rows lie side by side in a few parts, neighbours together, and are cut into blocks there
+    b = b.repartition(*key, F.pmod(F.xxhash64("_g"), F.lit(4))).sortWithinPartitions(*key, *by, "_place", "_row", "_g").withColumn("_at", F.monotonically_increasing_id())
     b = b.withColumn("_at", F.when(F.length("_g") > BLOCK_BYTES, -F.col("_at") - 1).otherwise(F.shiftright("_at", BLOCK_ROWS_LOG2)))
-    b = b.groupBy(*key, *by, "_at").agg(F.array_sort(F.collect_list(F.struct("_row", "_g"))).alias("_l"))
-    b = b.select(*key, *by, st.packed(F.transform("_l", lambda x: x["_g"])).alias("_block"), F.transform("_l", lambda x: x["_row"]).alias("_rows"))
+    extent = [f(f"_b.{c}").alias(f"_b{c}") for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]
+    b = b.groupBy(*key, *by, "_at").agg(F.array_sort(F.collect_list(F.struct("_row", "_g"))).alias("_l"), *extent)
+    sides = ["_bx0", "_by0", "_bx1", "_by1"]
+    b = b.select(*key, *by, *sides, st.packed(F.transform("_l", lambda x: x["_g"])).alias("_block"), F.transform("_l", lambda x: x["_row"]).alias("_rows"))
+    # blocks are made once and then repeated for the shares
+    shares = _by_level(F.col("_level"), _shares(on_right, on_left, True))
+    salts = F.when(F.col("_salt") == EVERY, F.sequence(F.lit(0), shares - 1)).otherwise(F.array("_salt"))
+    b = b.withColumn("_salt", F.explode(salts))
     # a few bytes stand for much work, so the number of tasks is told
     tasks = max(4 * left.sparkSession.sparkContext.defaultParallelism, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return a.repartition(tasks, *key).join(b, key).withColumn("_s", _size(F.col("_level"))).drop("_level", "_part", "_salt")
+    # Spark takes blocks for a few bytes each and would send them to the driver
+    both = a.repartition(tasks, *key).join(b.hint("merge"), key)
+    # most blocks of a large cell are not near a small row: they go before their bytes are copied
+    for axis in ("x", "y"):
+        both = both.where((F.col(f"_box.{axis}0") <= F.col(f"_b{axis}1")) & (F.col(f"_box.{axis}1") >= F.col(f"_b{axis}0")))
+    return both.withColumn("_s", s).drop("_level", "_part", "_salt", "_box", *sides)
 
 
 def measured(df: DataFrame, hits: Column, name: str) -> DataFrame:

@@ -116,3 +116,17 @@ def test_blocks_hold_no_lists_of_rows(sp, monkeypatch):  # noqa: F811
     want = left.crossJoin(right).select("id", "other", F.round(st.shared_area("geom", "r_geom"), 3).alias("a")).where("a > 0.001")
     got = got.select("id", "other", F.round("area", 3).alias("a")).where("a > 0.001")
     assert sorted((r.id, r.other, round(r.a, 1)) for r in got.collect()) == sorted((r.id, r.other, round(r.a, 1)) for r in want.collect())
+
+
+def test_blocks_are_not_broadcast_and_far_ones_meet_nothing(sp, monkeypatch):  # noqa: F811
+    """Small sites among many large features of one cell: blocks hold neighbours, and only near ones reach a comparison."""
+    monkeypatch.setattr(grid, "BLOCK_ROWS_LOG2", 4)
+    left = layer(sp, [(i, box(i * 700, i * 650, i * 700 + 20, i * 650 + 20)) for i in range(40)]).select("id", "geom")
+    right = layer(sp, [(i, box(i % 40 * 780, i // 40 * 780, i % 40 * 780 + 9000, i // 40 * 780 + 9000)) for i in range(1600)]).select(F.col("id").alias("other"), F.col("geom").alias("r_geom"))
+    both = grid.blocks(left, right, ["other"])
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+    met = {(r.id, r.other) for r in grid.met(both).select("id", "_row.other").collect()}
+    want = {(r.id, r.other) for r in left.crossJoin(right).where(st.intersects("geom", "r_geom")).select("id", "other").collect()}
+    assert met == want and len(want) > 1000
+    # each of the 40 sites would meet all blocks of its cell, 100 of 16 rows at least
+    assert both.count() < 40 * 100 * 0.6
