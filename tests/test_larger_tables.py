@@ -130,3 +130,16 @@ def test_blocks_are_not_broadcast_and_far_ones_meet_nothing(sp, monkeypatch):  #
     assert met == want and len(want) > 1000
     # each of the 40 sites would meet all blocks of its cell, 100 of 16 rows at least
     assert both.count() < 40 * 100 * 0.6
+
+
+def test_a_batch_without_messages_is_not_assessed(spark, tmp_path):
+    src, seen = tmp_path / "in", []
+    src.mkdir()
+    (src / "a.txt").write_text(message("NRF-000001"))
+
+    def assess(df):
+        seen.append(df.count())
+        return df.select("reference")
+
+    jobs.run(spark, str(src), str(tmp_path / "cp"), assess, str(tmp_path / "out"), str(tmp_path / "bad"))
+    assert seen == [1] and spark.read.parquet(str(tmp_path / "out")).count() == 1
