@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import struct
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
@@ -15,9 +16,13 @@ from fenmark.operators.grid import spatial_join, spread
 from fenmark.operators.outputs import tile_etag
 from fenmark.session import written
 
-#: Features of a tile that are encoded together, and parts of a tile that are merged together.
+#: Features of a tile that are encoded or decoded together, and how many times as many entries of its dictionaries are.
 PART_FEATURES, FAN = 4096, 8
-PARTIAL = "z int, x int, y int, part long, names array<string>, shown array<binary>, tags array<array<int>>, bodies array<binary>"
+PARTIAL = "z int, x int, y int, part long, names array<binary>, shown array<binary>, tags array<array<int>>, bodies array<binary>"
+#: A piece of a tile's layer: its place in the tile, its bytes, and how many features they hold.
+PIECE = "z int, x int, y int, place long, piece binary, features long"
+#: Places of features, of keys and of values begin here.
+KEYS_AT, VALUES_AT = 1 << 60, 1 << 61
 WORLD = 2 * 3.141592653589793 * 6378137.0
 
 
@@ -172,24 +177,6 @@ def _tile_box(z: Column, x: Column, y: Column, margin: float = 0.0) -> Column:
     return st.box(left - m, top - side - m, left + side + m, top + m)
 
 
-def _merge(parts: list[tuple[list[str], list[bytes], list[list[int]], list[bytes]]]) -> tuple[list[str], list[bytes], list[list[int]], list[bytes]]:
-    """Partial layers as one: their dictionaries of keys and of values united in order, tags renumbered, features in order."""
-    names, shown = sorted({k for p in parts for k in p[0]}), sorted({v for p in parts for v in p[1]})
-    key, value = {k: i for i, k in enumerate(names)}, {v: i for i, v in enumerate(shown)}
-    rows = []
-    for own_names, own_shown, tags, bodies in parts:
-        for tag, body in zip(tags, bodies, strict=True):
-            rows.append(([n for k, v in zip(tag[::2], tag[1::2], strict=True) for n in (key[own_names[k]], value[own_shown[v]])], body))
-    rows.sort()
-    return names, shown, [t for t, _ in rows], [b for _, b in rows]
-
-
-def _partial_batch(keys: list[tuple[int, int, int, int]], made: list[tuple]) -> pa.RecordBatch:
-    cols = [*zip(*keys, strict=True), *zip(*made, strict=True)]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PARTIAL.split(", ")])
-
-
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int, int], list[dict]]]:
     """Rows that follow each other with the same z, x, y and part."""
     at, rows = None, []
@@ -206,20 +193,77 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int
 
 
 def _encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with g and properties (JSON text of an object) to partial layers."""
+    """Rows with h, g and properties (JSON text of an object) to partial layers with dictionaries of their own, features in order of h."""
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.binary())]
     for k, rows in _grouped(batches):
-        single = []
+        rows.sort(key=lambda r: (r["h"], r["properties"], r["g"]))
+        given = [{n.encode(): _value(v) for n, v in json.loads(r["properties"]).items() if v is not None} for r in rows]
+        names, shown = sorted({n for o in given for n in o}), sorted({v for o in given for v in o.values()})
+        key, value = {n: i for i, n in enumerate(names)}, {v: i for i, v in enumerate(shown)}
+        tags = [[i for n, v in o.items() for i in (key[n], value[v])] for o in given]
+        bodies = []
         for r in rows:
             kind, numbers = commands(r["g"])
-            given = {n: _value(v) for n, v in json.loads(r["properties"]).items() if v is not None}
-            tags = [x for i in range(len(given)) for x in (i, i)]
-            single.append((list(given), list(given.values()), [tags], [_varint(3 << 3) + _varint(kind) + _field(4, b"".join(map(_varint, numbers)))]))
-        yield _partial_batch([k], [_merge(single)])
+            bodies.append(_varint(3 << 3) + _varint(kind) + _field(4, b"".join(map(_varint, numbers))))
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*k, names, shown, tags, bodies), kinds, strict=True)], names=[x.split()[0] for x in PARTIAL.split(", ")])
 
 
-def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for k, rows in _grouped(batches):
-        yield _partial_batch([k], [_merge([(r["names"], r["shown"], r["tags"], r["bodies"]) for r in rows])])
+def _piece(z: int, x: int, y: int, place: int, piece: bytes, features: int) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((z, x, y, place, piece, features), kinds, strict=True)], names=[c.split()[0] for c in PIECE.split(", ")])
+
+
+def _feature_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial layers with the tile's numbers of their keys and values (`to_key`, `to_value`) to the bytes of their features."""
+    for b in batches:
+        for i in range(b.num_rows):
+            r = b.slice(i, 1).to_pylist()[0]
+            key, value = r["to_key"] or [], r["to_value"] or []
+            tags = (b"".join([_varint(n) for k, v in zip(t[::2], t[1::2], strict=True) for n in (key[k], value[v])]) for t in r["tags"])
+            piece = b"".join([_field(2, _field(2, t) + body) for t, body in zip(tags, r["bodies"], strict=True)])
+            yield _piece(r["z"], r["x"], r["y"], r["part"], piece, len(r["bodies"]))
+
+
+def _entry_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of dictionaries in order, with their number at in the tile, to bytes; of each run of entries together."""
+    key, first, last, out = None, 0, 0, []
+    for b in batches:
+        for z, x, y, kind, v, at in zip(*(b.column(c).to_pylist() for c in ("z", "x", "y", "kind", "v", "at")), strict=True):
+            if (z, x, y, kind) != key or at != last + 1 or len(out) == PART_FEATURES * FAN:
+                if out:
+                    yield _piece(*key[:3], first + (VALUES_AT if key[3] else KEYS_AT), b"".join(out), 0)
+                key, first, out = (z, x, y, kind), at, []
+            out.append(_field(4 if kind else 3, v))
+            last = at
+    if out:
+        yield _piece(*key[:3], first + (VALUES_AT if key[3] else KEYS_AT), b"".join(out), 0)
+
+
+def _entries_numbered(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct entries (keys, v), which are in order within a part of the table, and at: their places among those of equal keys, from 0."""
+    spark, order = entries.sparkSession, [*keys, "v"]
+    table = written(entries.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    # ranges follow each other, so a place is that in the range and the rows of the ranges before
+    held = table.groupBy(F.shiftright("_at", 33).alias("_range"), *keys).agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(held.withColumn("_base", before - F.col("_low")).select("_range", *keys, "_base"))
+    return table.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(starts) if _few(starts) else starts, ["_range", *keys]).select(*order, (F.col("_at") + F.col("_base")).alias("at"))
+
+
+def _few(df: DataFrame) -> bool:
+    return df.count() <= 100_000
+
+
+def _varint_of(n: Column) -> Column:
+    """The bytes of _varint() for whole numbers below 2**35."""
+    def byte(i: int, more: int) -> Column:
+        return F.unhex(F.lpad(F.hex(F.shiftright(n, 7 * i).bitwiseAND(127).bitwiseOR(more)), 2, "0"))
+
+    sizes = [F.concat(*[byte(i, 128) for i in range(size - 1)], byte(size - 1, 0)) for size in range(1, 6)]
+    out = F.when(n < 1 << 7, sizes[0])
+    for size in range(2, 5):
+        out = out.when(n < 1 << 7 * size, sizes[size - 1])
+    return out.otherwise(sizes[4])
 
 
 def pyramid(layer: DataFrame, name: str, zooms: tuple[int, int], properties: list[str], srid: int = 27700, version: int = 1) -> DataFrame:
@@ -228,8 +272,9 @@ def pyramid(layer: DataFrame, name: str, zooms: tuple[int, int], properties: lis
 
     Features are dealt to the tiles of the first zoom by their boxes and cut there; the tiles of each further zoom take what is left in
     the one above, so that a feature costs what of it is in a tile. A tile's features are encoded in parts of about PART_FEATURES with
-    dictionaries of their own, and the parts merged FAN at a time: no task gets a whole layer, however low the zoom, but for the bytes
-    of the tile itself. What is smaller than a step of a tile's grid goes. Null geometries are in no tile; an empty layer has none.
+    dictionaries of their own; the tile's dictionaries are numbered over all its parts, and each part is written with these numbers. Only
+    the bytes of a tile come together in one task, and none of them in Python. What is smaller than a step of a tile's grid goes. Null
+    geometries are in no tile; an empty layer has none.
     """
     low, high = zooms
     margin = 64 / 4096
@@ -256,31 +301,37 @@ def pyramid(layer: DataFrame, name: str, zooms: tuple[int, int], properties: lis
     every = levels[0]
     for more in levels[1:]:
         every = every.union(more)
-    every = every.select("z", "x", "y", "properties", st.tile_geometry_at("geom", z, x, y).alias("g")).where("g is not null")
+    every = written(every.select("z", "x", "y", "properties", st.tile_geometry_at("geom", z, x, y).alias("g")).where("g is not null"))
     keys = ["z", "x", "y"]
     sizes = every.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART_FEATURES).alias("parts"))
-    every = every.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("properties", "g"), F.col("parts"))).drop("parts")
+    # parts follow each other in the order of a hash, so a tile is the same however many it has
+    every = every.join(sizes, keys).withColumn("h", F.shiftrightunsigned(F.xxhash64("properties", "g"), 33))
+    every = every.withColumn("part", F.shiftright(F.col("h") * F.col("parts"), 31)).drop("parts")
     by = [*keys, "part"]
     made = written(every.repartition(*by).sortWithinPartitions(*by).mapInArrow(_encode_parts, PARTIAL))
-    most = made.agg(F.max("part")).first()[0] or 0
-    while most:
-        most //= FAN
-        made = made.withColumn("part", F.floor(F.col("part") / FAN).cast("long")).repartition(*by).sortWithinPartitions(*by).mapInArrow(_merge_parts, PARTIAL)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                features = b"".join(_field(2, _field(2, b"".join(map(_varint, t))) + body) for t, body in zip(r["tags"], r["bodies"], strict=True))
-                whole = _varint(15 << 3) + _varint(2) + _field(1, name.encode()) + features
-                whole += b"".join(_field(3, k.encode()) for k in r["names"]) + b"".join(_field(4, v) for v in r["shown"])
-                tile = _field(3, whole + _varint(5 << 3) + _varint(4096))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k]], pa.int32()) for k in ("z", "x", "y")] + [pa.array([tile], pa.binary()), pa.array([len(r["bodies"])], pa.int64())], names=["z", "x", "y", "tile", "features"])
-
-    return made.mapInArrow(finish, "z int, x int, y int, tile binary, features long").withColumn("etag", tile_etag(name, "z", "x", "y", version))
-
-
-def _fields(raw: memoryview) -> Iterator[tuple[int, memoryview | int]]:
-    """Number and value of each field of a message: bytes, or a whole number."""
+    entries = made.select(*by, F.lit(0).alias("kind"), F.posexplode("names").alias("i", "v")).union(made.select(*by, F.lit(1), F.posexplode("shown")))
+    numbered = written(_entries_numbered(entries, [*keys, "kind"]))
+    own = entries.join(numbered, [*keys, "kind", "v"]).groupBy(*by)
+
+    def numbers(kind: int) -> Column:
+        pairs = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("i", "at"))))
+        return F.transform(pairs, lambda p: p["at"])
+
+    own = own.agg(numbers(0).alias("to_key"), numbers(1).alias("to_value"))
+    pieces = made.drop("names", "shown").join(own, by, "left").mapInArrow(_feature_pieces, PIECE)
+    pieces = pieces.union(numbered.sortWithinPartitions(*keys, "kind", "at").mapInArrow(_entry_pieces, PIECE))
+    # a tile is far more bytes than Spark expects, so tiles are not put together into few tasks
+    tasks = max(4 * layer.sparkSession.sparkContext.defaultParallelism, int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    whole = pieces.repartition(tasks, *keys).groupBy(*keys).agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY place)").alias("_layer"), F.sum("features").alias("features"))
+    begin, end = _varint(15 << 3) + _varint(2) + _field(1, name.encode()), _varint(5 << 3) + _varint(4096)
+    size = F.length("_layer") + len(begin) + len(end)
+    whole = whole.select(*keys, F.concat(F.lit(_varint(3 << 3 | 2)), _varint_of(size), F.lit(begin), "_layer", F.lit(end)).alias("tile"), "features")
+    return whole.withColumn("etag", tile_etag(name, "z", "x", "y", version))
+
+
+def _places(raw: memoryview) -> Iterator[tuple[int, int, int | None, int]]:
+    """Number, start, end of each field of a message; where it holds a whole number, that instead of the start, and no end. The last is
+    the kind on the wire."""
     at = 0
 
     def number() -> int:
@@ -296,21 +347,24 @@ def _fields(raw: memoryview) -> Iterator[tuple[int, memoryview | int]]:
 
     while at < len(raw):
         tag = number()
-        if tag & 7 == 2:
-            size = number()
-            yield tag >> 3, raw[at : at + size]
-            at += size
-        elif tag & 7 == 0:
-            yield tag >> 3, number()
-        else:
-            size = 8 if tag & 7 == 1 else 4
-            yield tag >> 3, raw[at : at + size]
-            at += size
+        if tag & 7 == 0:
+            yield tag >> 3, number(), None, 0
+            continue
+        size = number() if tag & 7 == 2 else 8 if tag & 7 == 1 else 4
+        yield tag >> 3, at, at + size, tag & 7
+        at += size
+
+
+def _fields(raw: memoryview) -> Iterator[tuple[int, memoryview | int]]:
+    """Number and value of each field of a message: bytes, or a whole number."""
+    for n, start, end, _ in _places(raw):
+        yield n, start if end is None else raw[start:end]
 
 
 def decoded(tiles: DataFrame) -> DataFrame:
     """(z, x, y, layer, kind, properties): a row for each feature of tiles (z, x, y, tile). kind is point, line or polygon; properties
-    is an array of key and value as text. Values that are text or numbers are read; others are null."""
+    is an array of key and value as text. Values that are text or numbers are read; others are null. Of a tile, its bytes and the places
+    of its values are held, and PART_FEATURES features at a time."""
 
     def value(raw: memoryview) -> str | None:
         for n, v in _fields(raw):
@@ -322,32 +376,46 @@ def decoded(tiles: DataFrame) -> DataFrame:
                 return str(v >> 1 ^ -(v & 1))
         return None
 
+    kinds = [pa.int32()] * 3 + [pa.string()] * 2 + [pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["z", "x", "y", "layer", "kind", "properties"])
+
+    def features(layer: memoryview) -> Iterator[tuple[str, str | None, list[dict]]]:
+        name, keys, starts, ends = "", [], array("q"), array("q")
+        for n, start, end, _ in _places(layer):
+            if n == 1:
+                name = bytes(layer[start:end]).decode()
+            elif n == 3:
+                keys.append(bytes(layer[start:end]).decode())
+            elif n == 4:
+                starts.append(start)
+                ends.append(end)
+        for n, start, end, _ in _places(layer):
+            if n != 2:
+                continue
+            own, tags, t, shift = dict(_fields(layer[start:end])), [], 0, 0
+            for byte in own.get(2, b""):
+                t |= (byte & 127) << shift
+                shift += 7
+                if byte < 128:
+                    tags.append(t)
+                    t = shift = 0
+            given = [{"key": keys[k], "value": value(layer[starts[v] : ends[v]])} for k, v in zip(tags[::2], tags[1::2], strict=True)]
+            yield name, {1: "point", 2: "line", 3: "polygon"}.get(own.get(3)), given
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                z, x, y = (b.column(c)[i].as_py() for c in range(3))
                 out = []
-                for _, layer in _fields(memoryview(r["tile"])):
-                    parts = list(_fields(layer))
-                    keys, values = [bytes(v).decode() for n, v in parts if n == 3], [value(v) for n, v in parts if n == 4]
-                    name = next(bytes(v).decode() for n, v in parts if n == 1)
-                    for n, feature in parts:
-                        if n != 2:
-                            continue
-                        own = dict(_fields(feature))
-                        tags, at = [], list(own.get(2, b""))
-                        while at:
-                            t = shift = 0
-                            while True:
-                                byte = at.pop(0)
-                                t |= (byte & 127) << shift
-                                shift += 7
-                                if byte < 128:
-                                    break
-                            tags.append(t)
-                        given = [{"key": keys[k], "value": values[v]} for k, v in zip(tags[::2], tags[1::2], strict=True)]
-                        out.append((r["z"], r["x"], r["y"], name, {1: "point", 2: "line", 3: "polygon"}.get(own.get(3)), given))
+                for _, layer in _fields(memoryview(b.column(3)[i].as_buffer()).cast("B")):
+                    for f in features(layer):
+                        out.append((z, x, y, *f))
+                        if len(out) == PART_FEATURES:
+                            yield batch(out)
+                            out = []
                 if out:
-                    kinds = [pa.int32()] * 3 + [pa.string()] * 2 + [pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["z", "x", "y", "layer", "kind", "properties"])
+                    yield batch(out)
 
     return tiles.select("z", "x", "y", "tile").mapInArrow(run, "z int, x int, y int, layer string, kind string, properties array<struct<key: string, value: string>>")

@@ -2,11 +2,12 @@
 
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from fenmark.functions import geometry as st
-from fenmark.operators import grid, overlay, validation
+from fenmark.operators import grid, overlay, tiles, validation
 from fenmark.plans import incremental
 from fenmark.streaming import jobs
 from tests.test_spatial import box, layer, sp  # noqa: F401
@@ -143,3 +144,17 @@ def test_a_batch_without_messages_is_not_assessed(spark, tmp_path):
 
     jobs.run(spark, str(src), str(tmp_path / "cp"), assess, str(tmp_path / "out"), str(tmp_path / "bad"))
     assert seen == [1] and spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_no_python_worker_makes_a_whole_tile(sp, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(tiles, "PART_FEATURES", 16)
+    rows = layer(sp, [(i, box(1000 + i % 20 * 100, 1000 + i // 20 * 100, 1090 + i % 20 * 100, 1090 + i // 20 * 100)) for i in range(400)]).select("id", "geom")
+    rows = rows.withColumns({"kind": F.when(F.col("id") % 3 > 0, "same"), "below": -F.col("id")}).withColumn("id", F.when(F.col("id") > 0, F.col("id")))
+    made = tiles.pyramid(rows, "plans", (10, 11), ["id", "kind", "below"], srid=3857)
+    assert not re.search(r"MapInArrow [^\n]*\btile#", made._jdf.queryExecution().optimizedPlan().toString())
+    want = sorted((str(r.id) if r.id else "", r.kind or "", str(r.below)) for r in rows.collect())
+    for z in (10, 11):
+        got = [{p.key: p.value for p in r.properties} for r in tiles.decoded(made.where(F.col("z") == z)).collect()]
+        assert sorted((g.get("id", ""), g.get("kind", ""), g["below"]) for g in got) == want and len(got) == 400
+    bare = tiles.pyramid(rows.select(F.lit(None).cast("int").alias("id"), "geom"), "plans", (10, 10), ["id"], srid=3857)
+    assert bare.agg(F.sum("features")).first()[0] == 400 and all(not r.properties for r in tiles.decoded(bare).collect())
