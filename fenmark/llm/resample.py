@@ -33,7 +33,13 @@ class Dictionary(dict):
 
     def __init__(self, buckets: int):
         super().__init__()
-        self.buckets, self.words, self.hashed, self.held = buckets, [], [], 0
+        self.buckets = buckets
+        self.forget()
+
+    def forget(self) -> None:
+        """Begins anew: no word keeps an id of lists that are gone."""
+        self.clear()
+        self.words, self.hashed, self.held = [], [], 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = i = len(self.words)
@@ -79,7 +85,7 @@ def _blocks(column: pa.Array, words: Dictionary) -> Iterator[tuple[int, int, np.
             counts.append(sum(map(len, ids)))
         yield at, end, np.concatenate(parts) if parts else np.zeros(0, np.int64), np.repeat(np.arange(end - at), counts)
         if words.held > DICTIONARY_BYTES:
-            words.__init__(words.buckets)
+            words.forget()
         at = end
 
 

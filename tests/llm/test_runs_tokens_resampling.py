@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -65,6 +66,20 @@ def test_resampling_equals_brute_force(spark, monkeypatch, n, piece, held):
     assert sorted(repr(list(x)) for x in got) == resampled(rows, target, n, 97, 20, 30, "s")
 
 
+def test_a_dictionary_that_begins_anew_knows_no_old_word(monkeypatch):
+    """In this process: workers do not see what a test sets, so theirs never got full."""
+    monkeypatch.setattr(resample, "PIECE", 64)
+    monkeypatch.setattr(resample, "DICTIONARY_BYTES", 2000)
+    texts = [" ".join(f"w{i * 7 + j}" for j in range(30)) for i in range(50)]
+    known, got, sizes = resample.Dictionary(97), [], []
+    for at, _, ids, row in resample._blocks(pa.array(texts), known):
+        got += [(at + r, b) for found, of in known.features(ids, row, 2) for b, r in zip(found.tolist(), of.tolist(), strict=True)]
+        sizes.append(len(known))
+        assert len(known) == len(known.words) == len(known.hashed)
+    want = [(i, zlib.crc32(" ".join(w).encode()) % 97) for i, t in enumerate(texts) for n in (1, 2) for w in zip(*[t.split()[k:] for k in range(n)], strict=False)]
+    assert sorted(got) == sorted(want) and max(sizes) < 50
+
+
 def test_resampling_edge_tables(spark):
     none = frame(spark, [])
     assert resample.resample(none, none).count() == 0
