@@ -133,6 +133,37 @@ def test_blocks_are_not_broadcast_and_far_ones_meet_nothing(sp, monkeypatch):  #
     assert both.count() < 40 * 100 * 0.6
 
 
+def test_equal_rows_of_either_side_are_measured_once_within_a_distance(sp, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(grid, "LEFT_LOG2", 3, raising=False)
+    monkeypatch.setattr(grid, "RIGHT_LOG2", 2, raising=False)
+    left = layer(sp, [(i, box(i % 6 * 900, 0, i % 6 * 900 + 101, 77)) for i in range(120)]).select("id", "geom")
+    right = layer(sp, [(i, box(i % 9 * 1300, 333, i % 9 * 1300 + 12_000, 9000)) for i in range(63)]).select(F.col("id").alias("other"), F.col("id").cast("string").alias("name"), F.col("geom").alias("r_geom"))
+    seen, blocks = [], grid.blocks
+
+    def watched(a, b, *more, **named):
+        seen.append((a.count(), b.count()))
+        return blocks(a, b, *more, **named)
+
+    monkeypatch.setattr(grid, "blocks", watched)
+    for centre in (False, True):
+        got = sorted(map(tuple, grid.ids_within(left, right, 3000.0, ["id"], ["other", "name"], from_centre=centre).select("id", "other", "name", "distance_m").collect()))
+        gap = F.round(st.distance(st.centroid("geom") if centre else "geom", "r_geom"), 6).alias("d")
+        want = left.crossJoin(right).select("id", "other", "name", gap).where("d <= 3000").collect()
+        assert got == sorted(map(tuple, want)) and len({d for *_, d in got}) > 5
+    # not 63 rows on the right, but 9 shapes of 7 rows in parts of 4 at most
+    assert all(a < 40 and b < 30 for a, b in seen)
+
+
+def test_a_cell_with_very_many_sites_and_works_is_dealt_over_shares(sp):  # noqa: F811
+    """Sites with their search distance are nearly as large as works, and few cells hold all: each was one task."""
+    left = layer(sp, [(i, box(i * 50, i * 50, i * 50 + 20, i * 50 + 20)) for i in range(400)]).select("id", "geom")
+    right = layer(sp, [(i, box(i * 200, i * 200, i * 200 + 12_000, i * 200 + 12_000)) for i in range(80)]).select(F.col("id").alias("other"), F.col("geom").alias("r_geom"))
+    both = grid.blocks(left, right, ["other"], within=3000.0)
+    assert both.select("_s", "_cx", "_cy").distinct().count() < 8
+    assert both.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+    assert both.rdd.getNumPartitions() >= 16
+
+
 def test_a_batch_without_messages_is_not_assessed(spark, tmp_path):
     src, seen = tmp_path / "in", []
     src.mkdir()
